@@ -71,5 +71,40 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def before(lengths: Column, block: int = 256) -> Column:
+    """For each element of an array of longs, the sum of those before it.
+
+    Appending to an array copies it, so sums run within blocks and over blocks: near-linear cost.
+    """
+    zero = F.lit(0).cast("long")
+
+    def sums(part: Column, start: Column) -> Column:
+        """One more than the part's elements: the last is the whole sum."""
+        return F.aggregate(part, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def in_blocks(all_: Column) -> Column:
+        count = F.ceil(F.size(all_) / block).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(all_, b * block + 1, F.lit(block)))
+
+        def of_parts(ps: Column) -> Column:
+            totals = F.transform(ps, lambda p: F.aggregate(p, zero, lambda acc, x: acc + x))
+            return let(
+                sums(totals, zero),
+                lambda starts: F.flatten(F.transform(ps, lambda p, b: F.slice(sums(p, F.get(starts, b)), F.lit(1), F.size(p)))),
+            )
+
+        return let(parts, of_parts)
+
+    return let(lengths, lambda all_: F.when(F.size(all_) == 0, all_).otherwise(in_blocks(all_)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import partitions, text_or_empty, written
+from listwright.llm.common import fresh, partitions, text_or_empty, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -212,15 +212,16 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     )
     pairs = pairs.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key"), "rows", "stays")
     gone = written(pairs.filter("rows > 1 or not stays"), "gone")
-    keyed = docs.withColumn("_sha", F.sha2(text_or_empty(), 256))
+    sha = fresh(docs, "text_sha")
+    keyed = docs.withColumn(sha, F.sha2(text_or_empty(), 256))
 
     def matched(keys: DataFrame, how: str) -> DataFrame:
-        same = keyed["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (keyed["_sha"] == keys["_key"])
+        same = keyed["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (keyed[sha] == keys["_key"])
         return keyed.join(keys, same, how)
 
     left = matched(gone, "left_anti").select(*docs.columns)
     twins = gone.filter("rows > 1 and stays")
     if twins.isEmpty():
         return left
-    back = matched(twins, "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    back = matched(twins, "left_semi").dropDuplicates(["doc_id", sha]).select(*docs.columns)
     return left.unionByName(back)

@@ -11,6 +11,7 @@ from listwright.llm import (
     exact_dedup,
     lm_score,
     mixing,
+    oracles,
     packing,
     quality_rules,
     secret_scan,
@@ -93,4 +94,8 @@ QUERIES = {
         op10_secret_scan,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_quality_rules": oracles.quality(),
+    "op4_exact_dedup": oracles.EXACT_DEDUP,
+    "op8_chat_format": oracles.chat_format(PROBE),
+}

@@ -8,8 +8,8 @@ models, in order, over whole texts.
 
 Training uses a bounded sample of labelled documents (``SAMPLE`` rows expected, picked by hash, all
 of them if fewer): its word hashes are the only thing collected. Each model keeps the ``FEATURES``
-words that tell its category best; the threshold is the one with the best F1 on out-of-fold
-probabilities of the last category.
+words that tell its category best; the threshold is the highest whose F1 on
+out-of-fold probabilities of the last category is near the best.
 
 Defined results: a null or empty text has no words and gets the models' base probabilities, which
 for a rare category are below the threshold. Without labelled rows of both kinds a category's
@@ -36,6 +36,7 @@ from listwright.llm.common import written
 SAMPLE = 12_000
 FOLDS, FEATURES, HASH_BITS = 5, 512, 20
 STEM = 4
+F1_SLACK = 0.005
 #: A word must be in so many texts to be a feature.
 LEAST_TEXTS = 8
 #: And tell its category by so many standard deviations; weights are penalised by their square.
@@ -148,14 +149,17 @@ def fit_chain(docs: np.ndarray, words: np.ndarray, labels: np.ndarray, folds: np
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability from which the verdict has the best F1; ties to the middle of the gap."""
+    """The highest probability from which the verdict's F1 is within ``F1_SLACK`` of the best.
+
+    F1 is flat around its best; the higher end leaves more clean documents alone.
+    """
     if not len(y) or not y.any():
         return 1.0
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     f1[:-1][p[order][:-1] == p[order][1:]] = 0  # a threshold can't part equals
-    at = int(f1.argmax())
+    at = int(np.argmax(f1 >= f1.max() - F1_SLACK))
     below = p[order][at + 1] if at + 1 < len(y) else 0.0
     return float((p[order][at] + below) / 2)
 

@@ -27,7 +27,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return None
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return str(bool(v))

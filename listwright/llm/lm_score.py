@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -120,23 +121,32 @@ class Network:
         self.flat -= RATE * slope / (np.sqrt(squares) + 1e-6)
 
 
+class _Hashed(dict):
+    """Tokens of words; that of a word that isn't named comes from its hash, when first asked for."""
+
+    most = 300_000
+
+    def __missing__(self, word: str) -> int:
+        got = NAMED + zlib.crc32(word.encode()) % (TOKENS - NAMED)
+        if len(self) < self.most and len(word) < 100:
+            self[word] = got
+        return got
+
+
 class Ids:
-    """Tokens of texts; ids of words that aren't named come from their hash."""
+    """Tokens of texts."""
 
-    def __init__(self, named: list[str]):
-        self.known = {w: i for i, w in enumerate(named)}
-        self.kept = len(self.known)
+    def __init__(self, named: tuple[str, ...]):
+        self.known = _Hashed({w: i for i, w in enumerate(named)})
 
     def __call__(self, text: str) -> np.ndarray:
-        known, out = self.known, []
-        for w in _WORDS.findall(text):
-            got = known.get(w)
-            if got is None:
-                got = NAMED + zlib.crc32(w.encode()) % (TOKENS - NAMED)
-                if len(known) < self.kept + 300_000 and len(w) < 100:
-                    known[w] = got
-            out.append(got)
-        return np.array(out, np.int32)
+        return np.fromiter(map(self.known.__getitem__, _WORDS.findall(text)), np.int32)
+
+
+@lru_cache(maxsize=1)
+def ids_of(named: tuple[str, ...]) -> Ids:
+    """One per worker process, so that a worker's next task knows its words."""
+    return Ids(named)
 
 
 def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +174,7 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int, ids: Ids) -> Iterator
 
 def _trained(flat: np.ndarray, named: list[str], first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, ids, tokens = Network(flat), Ids(named), 0
+        net, ids, tokens = Network(flat), ids_of(tuple(named)), 0
         squares = np.full_like(net.flat, 1e-4 if first else 1e-2)
         for texts in _texts(batches, 0, ids):
             around, target = windows(texts)
@@ -199,7 +209,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, list[str]]
 
 def _scored(flat: np.ndarray, named: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, ids = Network(flat), Ids(named)
+        net, ids = Network(flat), ids_of(tuple(named))
         for batch in batches:
             counts, sums = [], []
 

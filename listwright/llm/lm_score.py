@@ -6,7 +6,7 @@ softmax over 1,024 tokens). A document's score is the sum of log p(token | both
 tokens.
 
 The vocabulary is counted over all documents, its most frequent words each a token and all others
-hashed to the rest. Training reads all documents too: each round, every scan task starts from the
+hashed to the rest; token numbers are written once. Training reads all documents too: each round, every scan task starts from the
 same weights, passes once over its own texts in numpy, and emits its weights in blocks with the
 tokens they stand for; the blocks' weighted means, aggregated in Spark, start the next round. So what
 is gathered grows with the input while the model's size stays fixed, and no text leaves its task.
@@ -29,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import WORD, text_or_empty, words_of
+from listwright.llm.common import WORD, text_or_empty, words_of, written
 
 WINDOW, WIDTH, CLASSES = 2, 16, 32
 TOKENS = CLASSES * CLASSES
 #: Tokens that are words of their own; the others are hashed.
 NAMED = 896
 BORDER = TOKENS
-ROUNDS, RATE, BATCH = 2, 0.05, 8192
+ROUNDS, RATE, BATCH = 2, 0.05, 3072
 BLOCK = 512
+#: Logits are kept within this, so that no exponential overflows.
+LOGIT = 40
 _WORDS = re.compile(WORD)
 
 
@@ -49,25 +51,26 @@ def vocabulary(docs: DataFrame) -> list[str]:
 
 
 class Network:
-    """Weights in one flat array; ``parts`` are views of it."""
+    """Weights in one flat array; ``parts`` are views of it.
+
+    Activations are (units, tokens), so that all steps over the tokens run along contiguous memory.
+    """
 
     SHAPES = (
         ("embed", (TOKENS + 1, WIDTH)),
         ("mix", (2 * WINDOW, WIDTH)),
         ("shift", (WIDTH,)),
-        ("to_class", (WIDTH, CLASSES)),
-        ("to_member", (WIDTH, CLASSES)),
+        ("to_class", (CLASSES, WIDTH)),
+        ("to_member", (CLASSES, WIDTH)),
         ("class_bias", (CLASSES,)),
         ("member_bias", (CLASSES, CLASSES)),
     )
+    SIZE = sum(int(np.prod(s)) for _, s in SHAPES)
 
     def __init__(self, flat: np.ndarray | None = None):
-        size = sum(int(np.prod(s)) for _, s in self.SHAPES)
         if flat is None:
-            rng = np.random.default_rng(11)
-            flat = rng.normal(0, 0.3, size).astype(np.float32)
-            start = size - CLASSES - TOKENS
-            flat[start:] = 0
+            flat = np.random.default_rng(11).normal(0, 0.3, self.SIZE)
+            flat[self.SIZE - CLASSES - TOKENS :] = 0
         self.flat = np.array(flat, np.float32)
         self.parts, at = {}, 0
         for name, shape in self.SHAPES:
@@ -76,49 +79,71 @@ class Network:
             at += n
 
     def forward(self, around: np.ndarray, target: np.ndarray):
-        """log p of each target; and what the backward pass needs."""
+        """log p of each target; and what the backward pass needs. ``around`` is (positions, tokens)."""
         p = self.parts
-        seen = p["embed"][around]
-        hidden = np.tanh((seen * p["mix"]).sum(1) + p["shift"])
-        kind, member = target // CLASSES, target % CLASSES
-        a = hidden @ p["to_class"] + p["class_bias"]
-        b = hidden @ p["to_member"] + p["member_bias"][kind]
-        for z in (a, b):
-            z -= z.max(1, keepdims=True)
-        ea, eb = np.exp(a), np.exp(b)
-        sa, sb = ea.sum(1, keepdims=True), eb.sum(1, keepdims=True)
-        rows = np.arange(len(target))
-        logs = a[rows, kind] - np.log(sa[:, 0]) + b[rows, member] - np.log(sb[:, 0])
-        return logs, (seen, hidden, kind, member, ea / sa, eb / sb, rows)
+        pre = np.zeros((len(target), WIDTH), np.float32)
+        for k in range(2 * WINDOW):
+            pre += np.take(p["embed"] * p["mix"][k], around[k], axis=0)
+        hidden = np.tanh(pre + p["shift"])
+        kind, member, rows = target // CLASSES, target % CLASSES, np.arange(len(target))
+        a = p["to_class"] @ hidden.T
+        a += p["class_bias"][:, None]
+        b = p["to_member"] @ hidden.T
+        b += np.take(p["member_bias"].T, kind, axis=1)
+        logs = np.zeros(len(target), np.float32)
+        chances = []
+        for z, at in ((a, kind), (b, member)):
+            np.clip(z, -LOGIT, LOGIT, out=z)
+            logs += z[at, rows]
+            e = np.exp(z, out=z)
+            total = e.sum(0)
+            logs -= np.log(total)
+            chances.append((e, total))
+        return logs, (hidden, kind, member, chances, rows)
 
     def step(self, around: np.ndarray, target: np.ndarray, squares: np.ndarray) -> None:
         """One Adagrad step on the mean negative log-likelihood."""
         p = self.parts
-        _, (seen, hidden, kind, member, pa_, pb, rows) = self.forward(around, target)
-        pa_[rows, kind] -= 1
-        pb[rows, member] -= 1
-        slope = np.zeros_like(self.flat)
-        g = Network.__new__(Network)
-        g.flat, g.parts, at = slope, {}, 0
-        for name, shape in self.SHAPES:
-            n = int(np.prod(shape))
-            g.parts[name] = slope[at : at + n].reshape(shape)
-            at += n
-        g.parts["to_class"][:] = hidden.T @ pa_
-        g.parts["to_member"][:] = hidden.T @ pb
-        g.parts["class_bias"][:] = pa_.sum(0)
-        for c in range(CLASSES):  # sums by class
-            g.parts["member_bias"][:, c] = np.bincount(kind, weights=pb[:, c], minlength=CLASSES)
-        inner = (pa_ @ p["to_class"].T + pb @ p["to_member"].T) * (1 - hidden * hidden)
-        g.parts["shift"][:] = inner.sum(0)
+        _, (hidden, kind, member, chances, rows) = self.forward(around, target)
+        (to_a, sum_a), (to_b, sum_b) = chances
+        to_a /= sum_a
+        to_b /= sum_b
+        to_a[kind, rows] -= 1
+        to_b[member, rows] -= 1
+        slope = Network(np.zeros(self.SIZE))
+        g = slope.parts
+        g["to_class"][:] = to_a @ hidden
+        g["to_member"][:] = to_b @ hidden
+        g["class_bias"][:] = to_a.sum(1)
+        order, ids, starts = _runs(kind)
+        g["member_bias"][ids] = _sums(np.take(to_b.T, order, axis=0), starts)
+        inner = to_a.T @ p["to_class"] + to_b.T @ p["to_member"]
+        inner *= 1 - hidden * hidden
+        g["shift"][:] = inner.sum(0)
         for k in range(2 * WINDOW):
-            g.parts["mix"][k] = (seen[:, k] * inner).sum(0)
-            back = inner * p["mix"][k]
-            for d in range(WIDTH):
-                g.parts["embed"][:, d] += np.bincount(around[:, k], weights=back[:, d], minlength=TOKENS + 1)
-        slope /= len(target)
-        squares += slope * slope
-        self.flat -= RATE * slope / (np.sqrt(squares) + 1e-6)
+            order, ids, starts = _runs(around[k])
+            sums = _sums(np.take(inner, order, axis=0), starts)
+            g["embed"][ids] += sums * p["mix"][k]
+            g["mix"][k] = (p["embed"][ids] * sums).sum(0)
+        slope.flat /= len(target)
+        squares += slope.flat**2
+        self.flat -= RATE * slope.flat / (np.sqrt(squares) + 1e-6)
+
+
+def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal ids together, the distinct ids in it, and where each begins."""
+    order = np.argsort(ids.astype(np.int16), kind="stable")  # a radix sort
+    ordered = ids[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    return order, ordered[starts], starts
+
+
+def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows, as differences of running sums (a reduction per run costs far more)."""
+    running = np.cumsum(rows, axis=0)
+    ends = running[np.r_[starts[1:], len(rows)] - 1]
+    ends[1:] -= ends[:-1].copy()
+    return ends
 
 
 class _Hashed(dict):
@@ -149,21 +174,36 @@ def ids_of(named: tuple[str, ...]) -> Ids:
     return Ids(named)
 
 
+def _tokenised(named: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = ids_of(tuple(named))
+        for batch in batches:
+            tokens = [ids(t.as_py() or "").astype("<u2").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["doc_id", "tokens"])
+
+    return run
+
+
+def tokenised(docs: DataFrame, named: list[str]) -> DataFrame:
+    """(doc_id, tokens) of all rows, two bytes a token, as a written table: texts are read once."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(narrow.mapInArrow(_tokenised(named), "doc_id long, tokens binary"), "lm-tokens")
+
+
 def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens around each token of each text, and the tokens."""
+    """The tokens around each token of each text (positions, tokens), and the tokens."""
     gap = np.full(WINDOW, BORDER, np.int32)
     joined = np.concatenate([gap, *[x for t in texts for x in (t, gap)]])
     real = np.flatnonzero(joined != BORDER)
-    offsets = [d for d in range(-WINDOW, WINDOW + 1) if d]
-    return np.stack([joined[real + d] for d in offsets], axis=1), joined[real]
+    return np.stack([joined[real + d] for d in range(-WINDOW, WINDOW + 1) if d]), joined[real]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int, ids: Ids) -> Iterator[list[np.ndarray]]:
-    """Texts in lists of some thousand tokens."""
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[np.ndarray]]:
+    """Token arrays in lists of some thousand tokens."""
     held, count = [], 0
     for batch in batches:
-        for text in batch.column(column):
-            held.append(ids(text.as_py() or ""))
+        for tokens in batch.column(column):
+            held.append(np.frombuffer(tokens.as_buffer(), "<u2").astype(np.int32))
             count += len(held[-1])
             if count >= BATCH:
                 yield held
@@ -172,59 +212,62 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int, ids: Ids) -> Iterator
         yield held
 
 
-def _trained(flat: np.ndarray, named: list[str], first: bool):
+def _parts(n: int) -> list[slice]:
+    """Even parts of one to two batches; small ones would cost as much as whole ones."""
+    cuts = np.linspace(0, n, max(1, n // BATCH) + 1).astype(int)
+    return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+
+
+def _trained(flat: np.ndarray, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, ids, tokens = Network(flat), ids_of(tuple(named)), 0
+        net, seen = Network(flat), 0
         squares = np.full_like(net.flat, 1e-4 if first else 1e-2)
-        for texts in _texts(batches, 0, ids):
+        for texts in _texts(batches, 0):
             around, target = windows(texts)
-            for k in range(0, len(target), BATCH):
-                net.step(around[k : k + BATCH], target[k : k + BATCH], squares)
-            tokens += len(target)
-        if tokens:
-            blocks = [net.flat[k : k + BLOCK].astype(float) * tokens for k in range(0, len(net.flat), BLOCK)]
+            for part in _parts(len(target)):
+                net.step(around[:, part], target[part], squares)
+            seen += len(target)
+        if seen:
+            blocks = [net.flat[k : k + BLOCK].astype(float) * seen for k in range(0, len(net.flat), BLOCK)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(blocks)), pa.int32()), pa.array([tokens] * len(blocks), pa.int64()), pa.array(blocks, pa.list_(pa.float64()))],
+                [pa.array(range(len(blocks)), pa.int32()), pa.array([seen] * len(blocks), pa.int64()), pa.array(blocks, pa.list_(pa.float64()))],
                 names=["block", "tokens", "sums"],
             )
 
     return run
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, list[str]]:
-    """The network's weights and the named words."""
-    named = vocabulary(docs)
-    text = docs.select(F.col("text").cast("string").alias("text"))
+def train(tokens: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """The network's weights after so many rounds over the table of tokens."""
     flat = Network().flat
     for k in range(rounds):
-        blocks = text.mapInArrow(_trained(flat, named, k == 0), "block int, tokens long, sums array<double>")
+        blocks = tokens.select("tokens").mapInArrow(_trained(flat, k == 0), "block int, tokens long, sums array<double>")
         each = blocks.select("block", "tokens", F.posexplode("sums").alias("at", "sum"))
         means = each.groupBy("block", "at").agg((F.sum("sum") / F.sum("tokens")).alias("w"))
         rows = means.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]).alias("w"))
         got = {r["block"]: r["w"] for r in rows.collect()}  # one model, whose size is fixed
         if got:
             flat = np.concatenate([np.array(got[b], np.float32) for b in sorted(got)])
-    return flat, named
+    return flat
 
 
-def _scored(flat: np.ndarray, named: list[str]):
+def _scored(flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, ids = Network(flat), ids_of(tuple(named))
+        net = Network(flat)
         for batch in batches:
             counts, sums = [], []
-
-            def flush(held: list[np.ndarray]) -> None:
-                around, target = windows(held)
-                logs = np.concatenate([net.forward(around[k : k + BATCH], target[k : k + BATCH])[0] for k in range(0, len(target), BATCH)] or [np.empty(0)])
-                ends = np.cumsum([len(x) for x in held])
-                total = np.r_[0.0, np.cumsum(logs, dtype=float)]
-                counts.extend(len(x) for x in held)
-                sums.extend((total[ends] - total[np.r_[0, ends[:-1]]]).tolist())
-
-            for texts in _texts(iter([batch]), 1, ids):
-                flush(texts)
+            for texts in _texts(iter([batch]), 1):
+                around, target = windows(texts)
+                parts = [net.forward(around[:, part], target[part])[0] for part in _parts(len(target))]
+                total = np.r_[0.0, np.cumsum(np.concatenate(parts or [np.empty(0)]), dtype=float)]
+                lengths = np.array([len(x) for x in texts])
+                ends = np.cumsum(lengths)
+                counts.append(lengths)
+                sums.append(total[ends] - total[ends - lengths])
+            none = [np.empty(0, np.int64)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood"]
+                [batch.column(0), pa.array(np.concatenate(counts or none)), pa.array(np.concatenate(sums or none).astype(float))],
+                names=["doc_id", "n_tokens", "log_likelihood"],
             )
 
     return run
@@ -232,7 +275,6 @@ def _scored(flat: np.ndarray, named: list[str]):
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, n_tokens, log_likelihood (summed), per_token."""
-    flat, named = train(docs, rounds)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = narrow.mapInArrow(_scored(flat, named), "doc_id long, n_tokens long, log_likelihood double")
+    tokens = tokenised(docs, vocabulary(docs))
+    out = tokens.mapInArrow(_scored(train(tokens, rounds)), "doc_id long, n_tokens long, log_likelihood double")
     return out.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -47,8 +47,9 @@ def test_toxicity_without_labels(spark, odd_docs, no_docs):
 
 
 def test_lm_learns_and_sums_every_token(spark, sample_docs, odd_docs, no_docs):
-    flat, named = lm_score.train(sample_docs, 2)
-    score = lambda weights: spark.createDataFrame(sample_docs.select("doc_id", "text").mapInArrow(lm_score._scored(weights, named), "doc_id long, n long, ll double").toPandas()).agg((F.sum("ll") / F.sum("n")).alias("x")).first().x
+    tokens = lm_score.tokenised(sample_docs, lm_score.vocabulary(sample_docs))
+    flat = lm_score.train(tokens, 2)
+    score = lambda weights: tokens.mapInArrow(lm_score._scored(weights), "doc_id long, n long, ll double").agg((F.sum("ll") / F.sum("n")).alias("x")).first().x
     assert score(flat) > score(lm_score.Network().flat) + 0.5
     texts = {r.doc_id: r.text for r in odd_docs.filter("doc_id is not null").collect()}
     got = {r.doc_id: r for r in lm_score.score(odd_docs, 1).collect() if r.doc_id is not None}
@@ -61,10 +62,10 @@ def test_lm_learns_and_sums_every_token(spark, sample_docs, odd_docs, no_docs):
 def test_lm_scores_are_normalised_and_gradients_right():
     rng = np.random.default_rng(2)
     net = lm_score.Network()
-    around = np.repeat(rng.integers(0, lm_score.TOKENS + 1, (1, 4)), lm_score.TOKENS, 0)
+    around = np.repeat(rng.integers(0, lm_score.TOKENS + 1, (4, 1)), lm_score.TOKENS, 1)
     logs, _ = net.forward(around, np.arange(lm_score.TOKENS))
     assert abs(np.exp(logs.astype(float)).sum() - 1) < 1e-4
-    around, target = rng.integers(0, lm_score.TOKENS + 1, (64, 4)), rng.integers(0, lm_score.TOKENS, 64)
+    around, target = rng.integers(0, lm_score.TOKENS + 1, (4, 64)), rng.integers(0, lm_score.TOKENS, 64)
     moved = lm_score.Network(net.flat)
     squares = np.zeros_like(net.flat)
     moved.step(around, target, squares)

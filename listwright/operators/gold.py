@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from listwright.functions.text import alnum_key, fold
+from listwright.sources.shared import ensure_checkpoints
 
 FILLED = ("price_eur", "area_m2", "bedrooms", "floor", "year_built", "area")
 PRECISION = {"site": 1, "area": 2, "district": 3}
@@ -78,6 +79,7 @@ def dictionary(df: DataFrame, value: str, order: str) -> DataFrame:
     A global rank without one sorting task: values are counted per range of first appearance, and a
     range's offset is added to the rank inside it.
     """
+    ensure_checkpoints(df.sparkSession)
     first = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("first"))
     ranged = first.repartitionByRange("first").withColumn("range", F.spark_partition_id()).checkpoint()
     offsets = ranged.groupBy("range").count().withColumn("start", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -150,23 +150,11 @@ def pair_evidence(spark, sf_dir):
 @query()
 def constrained_groups(spark, sf_dir):
     df = listings(spark, sf_dir).withColumns({"neighbourhood": F.lit(None).cast("string"), "area": F.lit(None).cast("string")})
-    spark.sparkContext.setCheckpointDir(_checkpoint_dir(spark))
     return grouping.grouped(df).select("ord", "property_id", "group_size")
 
 
-def _checkpoint_dir(spark) -> str:
-    """The folder all executors share, as the session names it; a local session may make its own."""
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return found or f"file://{tempfile.mkdtemp(prefix='listwright-')}"
-
-
 @query("WITH RECURSIVE e AS (SELECT l_suppkey AS a, l_partkey % 100 + 1000 AS b FROM lineitem WHERE l_orderkey % 401 = 0 UNION SELECT l_partkey % 100 + 1000, l_suppkey FROM lineitem WHERE l_orderkey % 401 = 0), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a) SELECT node, min(seen) AS component FROM r GROUP BY 1")
 def connected_components(spark, sf_dir):
-    spark.sparkContext.setCheckpointDir(_checkpoint_dir(spark))
     edges = table(spark, sf_dir, "lineitem").filter("l_orderkey % 401 = 0").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100 + 1000).alias("b"))
     return grouping.connected(edges).select("node", "component")
 

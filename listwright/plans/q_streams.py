@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listwright.plans.catalog import query, table
-from listwright.plans.q_match import _checkpoint_dir
+from listwright.sources.shared import shared_dir
 from listwright.streaming import jobs
 
 
@@ -15,7 +15,7 @@ def stream(spark, sf_dir):
 
 
 def ended(spark, df, mode="complete"):
-    return jobs.run_to_table(df, f"{_checkpoint_dir(spark)}/streams", mode)
+    return jobs.run_to_table(df, f"{shared_dir(spark)}/streams", mode)
 
 
 @query("SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY 1")

@@ -44,7 +44,7 @@ RULES = (
     Rule("mean_word_chars", 2.0, 15.0),
     Rule("symbol_ratio", None, 0.10),
     Rule("stop_word_ratio", 0.02, None),
-    Rule("dup_line_ratio", None, 0.30),
+    Rule("dup_line_ratio", None, 0.60),
     Rule("pipe_word_ratio", None, 0.20),
 )
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50

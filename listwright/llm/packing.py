@@ -15,8 +15,11 @@ dense: the group number is in the upper 32 bits.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -33,37 +36,81 @@ GROUP_ROWS = 4096
 #: A gap smaller than this isn't worth a cut.
 LEAST_PIECE = 16
 #: Distinct words whose ids a worker remembers at once.
-REMEMBERED = 400_000
+REMEMBERED, LONG_WORD = 800_000, 100
+
+
+#: Bytes as the tokenizer's vocabulary writes them: printable ones as themselves, others from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+_END = pack_ids("<I", END_ID)
+#: Latin letters, then ASCII marks other than the apostrophe: two pieces, whatever stands around.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class _Words(dict):
+    """Ids (as little-endian 32-bit bytes) by word, made when first asked for, forgotten when too many."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.make(word)
+        if len(self) >= self.most:
+            self.clear()
+        if len(word) < LONG_WORD:
+            self[word] = ids
+        return ids
 
 
 class Tokens:
-    """Ids of texts. White space parts this tokenizer's words, so each distinct one is encoded once."""
+    """Ids of texts. White space parts this tokenizer's words, so each distinct one is encoded once.
+
+    Words of Latin letters with marks behind them, which nearly all are, go to the BPE model without
+    the tokenizer's normalising steps, which leave them as they are once in lower case; all other
+    words take the whole way.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-        self.known: dict[str, list[int]] = {}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model = tokenizer.encode, tokenizer.model
+        self.known = _Words(self._encoded, REMEMBERED // 4)
+        self.letters = _Words(self._spelled, REMEMBERED)
+        self.other = _Words(self._whole, REMEMBERED // 4)
+
+    def _whole(self, word: str) -> bytes:
+        ids = self.encode(word, add_special_tokens=False).ids
+        return pack_ids(f"<{len(ids)}I", *ids)
+
+    def _spelled(self, letters: str) -> bytes:
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_BYTES)
+        ids = [x.id for x in self.model.tokenize(letters)]
+        return pack_ids(f"<{len(ids)}I", *ids)
+
+    def _encoded(self, word: str) -> bytes:
+        plain = _PLAIN.fullmatch(word.lower())
+        if not plain:
+            return self.other[word]
+        letters, marks = plain.groups()
+        return self.letters[letters] + self.other[marks] if marks else self.letters[letters]
 
     def __call__(self, text: str) -> np.ndarray:
-        known, ids = self.known, []
-        add = ids.extend
-        for word in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
-            got = known.get(word)
-            if got is None:
-                got = self.encode(word, add_special_tokens=False).ids
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(word) < 200:
-                    known[word] = got
-            add(got)
-        ids.append(END_ID)
-        return np.array(ids, "<u4")
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)) + _END, "<u4")
+
+
+@cache
+def tokens_of(path: str) -> Tokens:
+    """One per worker process, so that a worker's next task knows its words."""
+    return Tokens(path)
 
 
 def _tokenised(path: str, sequence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(path)
+        tokens = tokens_of(path)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             full, tails, lengths = [], [], []

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from listwright.llm import exact_dedup, mixing, packing, quality_rules, secret_scan, simhash
 from listwright.llm.components import components
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -320,3 +321,13 @@ def test_empty_tables(no_docs):
     assert mixing.mix(no_docs).count() == 0
     assert packing.pack(no_docs, TOKENIZER).count() == 0
     assert secret_scan.report(no_docs).count() == 0
+
+
+def test_tokens_by_word_are_the_tokenizers_own(sample_docs):
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(TOKENIZER).encode
+    mine = packing.Tokens(TOKENIZER)
+    odd = ["", "it's DON'T 'tis", "İstanbul ΣΑΣ Σ", "été K Å ﬁ ½ ÷×", "<|endoftext|>a <|startoftext|>", "a b c\x1cd", "x,—y naïve?! ``'' ßÿ", "日本語 한국어 😀👍", "1,234.5€ a1b2", "tab\tnl\r\n\x0b\x0cend"]
+    for text in odd + [r.text for r in sample_docs.limit(60).collect()]:
+        assert mine(text).tolist() == [*encode(text, add_special_tokens=False).ids, packing.END_ID]

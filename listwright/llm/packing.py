@@ -75,7 +75,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.encode, self.model = tokenizer.encode, tokenizer.model
+        self.encode, self.model, self.size = tokenizer.encode, tokenizer.model, tokenizer.get_vocab_size()
         self.known = _Words(self._encoded, REMEMBERED // 4)
         self.letters = _Words(self._spelled, REMEMBERED)
         self.other = _Words(self._whole, REMEMBERED // 4)
@@ -108,7 +108,12 @@ def tokens_of(path: str) -> Tokens:
     return Tokens(path)
 
 
-def _tokenised(path: str, sequence: int):
+def stored_as(path: str) -> str:
+    """The least type that holds the tokenizer's ids: tails are stored and shuffled as that."""
+    return "<u2" if tokens_of(path).size <= 1 << 16 else "<u4"
+
+
+def _tokenised(path: str, sequence: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(path)
         row = TaskContext.get().partitionId() << 33
@@ -118,7 +123,7 @@ def _tokenised(path: str, sequence: int):
                 ids = tokens(text.as_py() or "")
                 cut = len(ids) // sequence * sequence
                 full.append([zlib.crc32(ids[k : k + sequence].tobytes()) for k in range(0, cut, sequence)])
-                tails.append(ids[cut:].tobytes())
+                tails.append(ids[cut:].astype(kind).tobytes())
                 lengths.append(len(ids))
             rows = np.arange(row, row + batch.num_rows)
             row += batch.num_rows
@@ -215,14 +220,14 @@ def fill_gaps(patterns: list[Pattern], least: int = LEAST_PIECE) -> list[Pattern
     return done + queue
 
 
-def _packed(sequence: int):
+def _packed(sequence: int, kind: str):
     import pandas as pd
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row", kind="stable")
         base = int(key[0]) << 32
-        tails = rows["tail"].to_list()
-        sizes = np.array([len(t) // 4 for t in tails], np.int64)
+        tails = [np.frombuffer(t, kind) for t in rows["tail"]]
+        sizes = np.array([len(t) for t in tails], np.int64)
         out: list[tuple] = []
         sequences = 0
         docs, tokens = rows["doc_id"].to_list(), rows["doc_tokens"].to_list()
@@ -239,7 +244,7 @@ def _packed(sequence: int):
                 offset = 0
                 for origin, start, length, rank in pattern.slots:
                     at = int(ranked[first[origin] + rank + instance])
-                    ids = tails[at][4 * start : 4 * (start + length)]
+                    ids = tails[at][start : start + length].astype("<u4").tobytes()
                     whole = tokens[at]
                     out.append((docs[at], whole - origin + start, length, zlib.crc32(ids), whole, base + sequences, offset))
                     offset += length
@@ -257,7 +262,8 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, group_r
     """One row per piece of a document: which ids it holds and where they lie in which sequence."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, row long, doc_tokens long, full_crc array<long>, tail binary"
-    tokens = written(narrow.mapInArrow(_tokenised(tokenizer_path, sequence), schema), "tokens")
+    kind = stored_as(tokenizer_path)
+    tokens = written(narrow.mapInArrow(_tokenised(tokenizer_path, sequence, kind), schema), "tokens")
     groups = max(1, round(tokens.count() / group_rows))
     grouped = tokens.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    return grouped.groupBy("group").applyInPandas(_packed(sequence), _PIECES)
+    return grouped.groupBy("group").applyInPandas(_packed(sequence, kind), _PIECES)

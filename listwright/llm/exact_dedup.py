@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.llm.common import fresh, partitions, text_or_empty, written
@@ -203,7 +203,9 @@ def decide(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their own columns only.
 
-    Rows go by doc_id and digest. Only where rows repeat both (then the table of such twins isn't
+    Rows go by doc_id and digest. A bit map of the dropped rows' digests, of bounded size, lets all
+    rows pass that it doesn't hold; only the rest, the dropped rows and few others, are shuffled to be
+    joined with them (all rows, if there are so many that the map is full). Only where rows repeat both (then the table of such twins isn't
     empty) a second scan puts one of them back.
     """
     verdict = written(decide(docs), "verdict")
@@ -212,16 +214,41 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     )
     pairs = pairs.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key"), "rows", "stays")
     gone = written(pairs.filter("rows > 1 or not stays"), "gone")
-    sha = fresh(docs, "text_sha")
-    keyed = docs.withColumn(sha, F.sha2(text_or_empty(), 256))
+    sha, place, map_, no = (fresh(docs, x) for x in ("text_sha", "text_place", "text_map", "map_no"))
+    bits = _bits(gone.count())
+    maps = F.broadcast(_bitmap(gone, bits).toDF(no, map_))
+    keyed = docs.withColumn(sha, F.sha2(text_or_empty(), 256)).withColumn(place, _place(F.col(sha), bits))
+    keyed = keyed.join(maps, F.shiftright(F.col(place), 15) == F.col(no), "left").drop(no)
+    unsure = F.coalesce(_bit(F.col(map_), F.col(place)), F.lit(False))
 
     def matched(keys: DataFrame, how: str) -> DataFrame:
-        same = keyed["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (keyed[sha] == keys["_key"])
-        return keyed.join(keys, same, how)
+        side = keyed.filter(unsure)
+        return side.join(keys, side["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (side[sha] == keys["_key"]), how)
 
-    left = matched(gone, "left_anti").select(*docs.columns)
+    left = keyed.filter(~unsure).select(*docs.columns).unionByName(matched(gone, "left_anti").select(*docs.columns))
     twins = gone.filter("rows > 1 and stays")
     if twins.isEmpty():
         return left
     back = matched(twins, "left_semi").dropDuplicates(["doc_id", sha]).select(*docs.columns)
     return left.unionByName(back)
+
+
+def _bits(keys: int) -> int:
+    """A power of two of some 16 bits a key, between 32 KB and 16 MB: what the map may grow to."""
+    return 1 << min(27, max(18, (16 * keys).bit_length()))
+
+
+def _place(sha: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(sha), F.lit(bits)).cast("long")
+
+
+def _bitmap(gone: DataFrame, bits: int) -> DataFrame:
+    """(map_no, bitmap): the places of all keys, 32,768 bits a row, ``bits`` in all."""
+    places = gone.select(_place(F.col("_key"), bits).alias("p"))
+    return places.groupBy(F.shiftright("p", 15).alias("map_no")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("bitmap"))
+
+
+def _bit(bitmap: Column, place: Column) -> Column:
+    at = place.bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1

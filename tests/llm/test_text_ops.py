@@ -331,3 +331,18 @@ def test_tokens_by_word_are_the_tokenizers_own(sample_docs):
     odd = ["", "it's DON'T 'tis", "İstanbul ΣΑΣ Σ", "été K Å ﬁ ½ ÷×", "<|endoftext|>a <|startoftext|>", "a b c\x1cd", "x,—y naïve?! ``'' ßÿ", "日本語 한국어 😀👍", "1,234.5€ a1b2", "tab\tnl\r\n\x0b\x0cend"]
     for text in odd + [r.text for r in sample_docs.limit(60).collect()]:
         assert mine(text).tolist() == [*encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 18])
+def test_the_bit_map_holds_every_dropped_digest(spark, sample_docs, monkeypatch, bits):
+    monkeypatch.setattr(exact_dedup, "_bits", lambda keys: bits)
+    got = exact_dedup.drop_copies(sample_docs.unionByName(sample_docs.filter("doc_id % 3 = 0")))
+    groups = defaultdict(list)
+    for r in sample_docs.collect():
+        groups[r.text].append(r.doc_id)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(max(ids) for ids in groups.values())
+    keys = spark.createDataFrame([(f"{i:064x}",) for i in range(500)], "_key string")
+    maps = exact_dedup._bitmap(keys, bits)
+    place = exact_dedup._place(F.col("_key"), bits)
+    held = keys.join(maps, F.shiftright(place, 15) == F.col("map_no")).filter(exact_dedup._bit(F.col("bitmap"), place))
+    assert held.count() == 500

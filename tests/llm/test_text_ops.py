@@ -194,6 +194,24 @@ def test_mixing(docs):
     assert mixed.columns == docs.columns
 
 
+def test_the_mix_emits_the_picked_blocks(spark):
+    rows = [(i, " ".join(f"{i}_{k}" for k in range(400)), "abc"[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r["doc_id"]: r for r in rows_of(mixing.mix(docs))}
+    got = defaultdict(Counter)
+    for r in mixing.apply_mix(docs).collect():
+        got[r.doc_id].update(r.text.split())
+    cut = tails = 0
+    for i, text, source in rows:
+        assert sum(got[i].values()) == plan[i]["taken"]
+        assert set(got[i]) <= set(text.split())
+        if source == "b":  # taken 0.83 times
+            assert plan[i]["target"] < plan[i]["source_size"] and max(got[i].values(), default=0) <= 1
+            cut += plan[i]["taken"] < 390
+            tails += plan[i]["taken"] < 390 and any(int(w.split("_")[1]) >= 390 for w in got[i])
+    assert cut > 5 and tails > cut / 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=12), st.integers(0, 400))
 def test_sainte_lague_is_the_highest_quotients(votes, seats):

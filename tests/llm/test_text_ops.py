@@ -212,6 +212,22 @@ def test_the_mix_emits_the_picked_blocks(spark):
     assert cut > 5 and tails > cut / 2
 
 
+def test_the_mix_tells_rows_of_one_id_apart(spark, odd_docs):
+    rows = [(i % 3 if i < 30 else None, " ".join(f"{i}_{k}" for k in range(10 + 90 * (i % 2))), "s" if i % 5 else None) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (None, None, "s"), (1, "", "s")], "doc_id long, text string, source string")
+    for given_docs in (docs, odd_docs):
+        got = mixing.apply_mix(given_docs)
+        assert got.columns == given_docs.columns
+        got = got.collect()
+        assert all(r.text and r.text.strip() for r in got)
+        expected, found = Counter(), Counter()
+        for r in rows_of(mixing.mix(given_docs)):
+            expected[r["doc_id"], r["source"]] += r["taken"]
+        for r in got:
+            found[r.doc_id, r.source] += len(WORD.findall(r.text))
+        assert found == +expected
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=12), st.integers(0, 400))
 def test_sainte_lague_is_the_highest_quotients(votes, seats):

@@ -2,14 +2,20 @@
 
 The network predicts each token from the two before and the two after it: position-wise weighted
 embeddings are summed, squashed, and give the token's class and its member in the class (a factored
-softmax over 1,024 tokens). A document's score is the sum of log p(token | both sides) over all its
-tokens.
+softmax over 1,024 tokens). Words that aren't named share hashed tokens; each has its own probability
+in its token, its count over the token's, from counts of all words of the corpus. A document's score
+is the sum over its words of log p(token | both sides) + log p(word | token).
+
+The counts stay a table. Texts are coded in chunks of some two million tokens, a chunk with its distinct
+unnamed words (64-bit hashes) and their counts. These are dealt out by hash, summed over chunks, and go
+back to the chunk as logarithms, so what is shuffled are distinct words of chunks, not occurrences, and
+no word is a hot key. The parts they are dealt to grow with the corpus.
 
 The vocabulary is counted over all documents, its most frequent words each a token and all others
 hashed to the rest; token numbers are written once. Training reads all documents too: each round, every scan task starts from the
 same weights, passes once over its own texts in numpy, and emits its weights in blocks with the
-tokens they stand for; the blocks' weighted means, aggregated in Spark, start the next round. So what
-is gathered grows with the input while the model's size stays fixed, and no text leaves its task.
+tokens they stand for; the blocks' weighted means, aggregated in Spark, start the next round. The
+network's size stays fixed while the table of counts grows with the input; no text leaves its task.
 
 Defined results: a null, empty or wordless text has no tokens and scores 0. Tokens at a text's ends
 have a border token on their empty side. Repeated rows get equal scores, an empty table gives an
@@ -20,12 +26,14 @@ tasks (the order of training), not on reruns of one split.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +48,9 @@ ROUNDS, RATE, BATCH = 2, 0.05, 3072
 BLOCK = 512
 #: Logits are kept within this, so that no exponential overflows.
 LOGIT = 40
+#: Tokens of a chunk of texts, and distinct words of chunks that one task counts.
+CHUNK, COUNTED = 1 << 21, 1 << 20
+LEAST_PARTS = 64
 _WORDS = re.compile(WORD)
 
 
@@ -147,25 +158,28 @@ def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class _Hashed(dict):
-    """Tokens of words; that of a word that isn't named comes from its hash, when first asked for."""
+    """Tokens and hashes of words; those of a word that isn't named are made when first asked for."""
 
     most = 300_000
 
-    def __missing__(self, word: str) -> int:
-        got = NAMED + zlib.crc32(word.encode()) % (TOKENS - NAMED)
+    def __missing__(self, word: str) -> tuple[int, int]:
+        raw = word.encode()
+        got = NAMED + zlib.crc32(raw) % (TOKENS - NAMED), xxhash.xxh64_intdigest(raw)
         if len(self) < self.most and len(word) < 100:
             self[word] = got
         return got
 
 
 class Ids:
-    """Tokens of texts."""
+    """Tokens of texts, and hashes of the words that aren't named."""
 
     def __init__(self, named: tuple[str, ...]):
-        self.known = _Hashed({w: i for i, w in enumerate(named)})
+        self.known = _Hashed({w: (i, 0) for i, w in enumerate(named)})
 
-    def __call__(self, text: str) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, _WORDS.findall(text)), np.int32)
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        found = list(map(self.known.__getitem__, _WORDS.findall(text)))
+        tokens = np.fromiter((t for t, _ in found), np.int32, len(found))
+        return tokens, np.fromiter((h for t, h in found if t >= NAMED), np.uint64)
 
 
 @lru_cache(maxsize=1)
@@ -174,20 +188,112 @@ def ids_of(named: tuple[str, ...]) -> Ids:
     return Ids(named)
 
 
-def _tokenised(named: list[str]):
+def _chunk(docs: list, tokens: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of one chunk; the first has the chunk's distinct words and their counts, the others places in them."""
+    words, places, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    ends = np.cumsum([len(h) for h in hashes])
+    none = [None] * (len(docs) - 1)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(docs, pa.int64()),
+            pa.array([t.astype("<u2").tobytes() for t in tokens], pa.binary()),
+            pa.array([uuid.uuid4().int >> 65] * len(docs), pa.int64()),
+            pa.array([p.astype("<u4").tobytes() for p in np.split(places, ends[:-1])], pa.binary()),
+            pa.array([words.astype("<u8").tobytes(), *none], pa.binary()),
+            pa.array([counts.astype("<u4").tobytes(), *none], pa.binary()),
+        ],
+        names=["doc_id", "tokens", "chunk", "places", "words", "counts"],
+    )
+
+
+def _coded(named: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(tuple(named))
+        ids, docs, tokens, hashes, held = ids_of(tuple(named)), [], [], [], 0
         for batch in batches:
-            tokens = [ids(t.as_py() or "").astype("<u2").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["doc_id", "tokens"])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                got, others = ids(text.as_py() or "")
+                docs.append(doc)
+                tokens.append(got)
+                hashes.append(others)
+                held += len(got) + 1
+                if held >= CHUNK:
+                    yield _chunk(docs, tokens, hashes)
+                    docs, tokens, hashes, held = [], [], [], 0
+        if docs:
+            yield _chunk(docs, tokens, hashes)
 
     return run
 
 
-def tokenised(docs: DataFrame, named: list[str]) -> DataFrame:
-    """(doc_id, tokens) of all rows, two bytes a token, as a written table: texts are read once."""
+def coded(docs: DataFrame, named: list[str]) -> DataFrame:
+    """All rows as tokens (two bytes each) and places in their chunk's words, a written table: texts are read once."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(narrow.mapInArrow(_tokenised(named), "doc_id long, tokens binary"), "lm-tokens")
+    schema = "doc_id long, tokens binary, chunk long, places binary, words binary, counts binary"
+    return written(narrow.mapInArrow(_coded(named), schema), "lm-tokens")
+
+
+def tokenised(docs: DataFrame, named: list[str]) -> DataFrame:
+    """(doc_id, tokens) of all rows."""
+    return coded(docs, named).select("doc_id", "tokens")
+
+
+def _parted(parts: int):
+    """Each chunk's words and counts, by the part that counts them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, words, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                hashes, n = np.frombuffer(words.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<u4")
+                part = hashes % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                ids, starts = np.unique(part[order], return_index=True)
+                at = np.split(order, starts[1:]) if len(ids) else []
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids.astype(np.int32)), pa.array([chunk] * len(ids), pa.int64()),
+                        pa.array([hashes[k].tobytes() for k in at], pa.binary()), pa.array([n[k].tobytes() for k in at], pa.binary()),
+                    ],
+                    names=["part", "chunk", "words", "counts"],
+                )
+
+    return run
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """The logarithm of each word's count in all chunks, for each chunk that has it."""
+    hashes = [np.frombuffer(x.as_buffer(), "<u8") for x in rows["words"]]
+    counts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in rows["counts"]])
+    words, places = np.unique(np.concatenate(hashes), return_inverse=True)
+    logs = np.log(np.bincount(places, counts, len(words)))[places].astype("<f4")
+    each = np.split(logs, np.cumsum([len(h) for h in hashes])[:-1])
+    return pa.table({"chunk": rows["chunk"], "part": rows["part"], "logs": pa.array([x.tobytes() for x in each], pa.binary())})
+
+
+def word_logs(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(chunk, part, logs) of all chunks' words by the order of the words in the part, and the parts."""
+    held = rows.filter("words is not null").select("chunk", "words", "counts")
+    total = held.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    parts = max(LEAST_PARTS, -(-total // (8 * COUNTED)))
+    dealt = held.mapInArrow(_parted(parts), "part int, chunk long, words binary, counts binary")
+    return dealt.groupBy("part").applyInArrow(_summed, "chunk long, part int, logs binary"), parts
+
+
+def _hashed_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(TOKENS, np.int64)
+    for batch in batches:
+        for tokens in batch.column(0):
+            seen += np.bincount(np.frombuffer(tokens.as_buffer(), "<u2"), minlength=TOKENS)
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["token", "n"])
+
+
+def token_logs(tokens: DataFrame) -> np.ndarray:
+    """log of each hashed token's count in all documents, 0 for named ones: one number a token."""
+    out = np.zeros(TOKENS)
+    each = tokens.select("tokens").mapInArrow(_hashed_tokens, "token long, n long").filter(F.col("token") >= NAMED)
+    for r in each.groupBy("token").agg(F.sum("n").alias("n")).collect():
+        out[r["token"]] = np.log(r["n"])
+    return out
 
 
 def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -251,19 +357,30 @@ def train(tokens: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     return flat
 
 
+def _sums_of(net: Network, texts: list[np.ndarray]) -> np.ndarray:
+    """The sum of log p(token | both sides) of each text."""
+    around, target = windows(texts)
+    parts = [net.forward(around[:, part], target[part])[0] for part in _parts(len(target))]
+    return _by_text(np.concatenate(parts or [np.empty(0)]), texts)
+
+
+def _by_text(values: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    total = np.r_[0.0, np.cumsum(values, dtype=float)]
+    lengths = np.array([len(x) for x in texts])
+    ends = np.cumsum(lengths)
+    return total[ends] - total[ends - lengths]
+
+
 def _scored(flat: np.ndarray):
+    """Scores of the tokens alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(flat)
         for batch in batches:
             counts, sums = [], []
             for texts in _texts(iter([batch]), 1):
-                around, target = windows(texts)
-                parts = [net.forward(around[:, part], target[part])[0] for part in _parts(len(target))]
-                total = np.r_[0.0, np.cumsum(np.concatenate(parts or [np.empty(0)]), dtype=float)]
-                lengths = np.array([len(x) for x in texts])
-                ends = np.cumsum(lengths)
-                counts.append(lengths)
-                sums.append(total[ends] - total[ends - lengths])
+                counts.append(np.array([len(x) for x in texts]))
+                sums.append(_sums_of(net, texts))
             none = [np.empty(0, np.int64)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.concatenate(counts or none)), pa.array(np.concatenate(sums or none).astype(float))],
@@ -273,8 +390,30 @@ def _scored(flat: np.ndarray):
     return run
 
 
+def _whole(flat: np.ndarray, of_tokens: np.ndarray, parts: int):
+    """Scores of one chunk's rows: of their tokens, and of each word in its token."""
+    tokens_alone = _scored(flat)
+
+    def run(rows: pa.Table, logs: pa.Table) -> pa.Table:
+        words = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in rows["words"] if x.is_valid])
+        part, of_words = words % np.uint64(parts), np.zeros(len(words))
+        for p, got in zip(logs["part"].to_pylist(), logs["logs"], strict=True):
+            of_words[part == p] = np.frombuffer(got.as_buffer(), "<f4")
+        narrow = rows.select(["doc_id", "tokens"]).combine_chunks().to_batches()
+        out = pa.Table.from_batches(list(tokens_alone(iter(narrow))))
+        places = [np.frombuffer(x.as_buffer(), "<u4") for x in rows["places"]]
+        tokens = [np.frombuffer(x.as_buffer(), "<u2") for x in rows["tokens"]]
+        inside = _by_text(of_words[np.concatenate(places)], places) - _by_text(of_tokens[np.concatenate(tokens)], tokens)
+        return out.set_column(2, "log_likelihood", pa.array(out["log_likelihood"].to_numpy() + inside))
+
+    return run
+
+
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, n_tokens, log_likelihood (summed), per_token."""
-    tokens = tokenised(docs, vocabulary(docs))
-    out = tokens.mapInArrow(_scored(train(tokens, rounds)), "doc_id long, n_tokens long, log_likelihood double")
+    rows = coded(docs, vocabulary(docs))
+    logs, parts = word_logs(rows)
+    score_chunk = _whole(train(rows, rounds), token_logs(rows), parts)
+    held = rows.select("chunk", "doc_id", "tokens", "places", "words").groupBy("chunk")
+    out = held.cogroup(logs.groupBy("chunk")).applyInArrow(score_chunk, "doc_id long, n_tokens long, log_likelihood double")
     return out.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

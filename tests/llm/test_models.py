@@ -1,6 +1,7 @@
 """Trained operators by held-out accuracy, the pipeline against brute force, and oracle SQL."""
 
 import hashlib
+import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -59,6 +60,29 @@ def test_lm_learns_and_sums_every_token(spark, sample_docs, odd_docs, no_docs):
     assert lm_score.score(no_docs, 1).count() == 0
 
 
+def test_lm_scores_each_words_own_probability(spark, sample_docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "LEAST_PARTS", 7)
+    docs = sample_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "unheard " * 9), (-2, "unheard"), (-3, None)], "doc_id long, text string"))
+    named = lm_score.vocabulary(docs)[:20]
+    rows = lm_score.coded(docs, named)
+    words = {r.doc_id: lm_score._WORDS.findall(r.text or "") for r in docs.collect()}
+    counts = Counter(w for ws in words.values() for w in ws if w not in named)
+    token = {w: lm_score.NAMED + zlib.crc32(w.encode()) % (lm_score.TOKENS - lm_score.NAMED) for w in counts}
+    in_token = Counter()
+    for w, n in counts.items():
+        in_token[token[w]] += n
+    logs, parts = lm_score.word_logs(rows)
+    flat = np.zeros(lm_score.Network.SIZE, np.float32)  # log p(token) is the same for all
+    run = lm_score._whole(flat, lm_score.token_logs(rows), parts)
+    got = rows.groupBy("chunk").cogroup(logs.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, log_likelihood double").collect()
+    assert {r.doc_id for r in got} == set(words)
+    for r in got:
+        inside = sum(np.log(counts[w] / in_token[token[w]]) for w in words[r.doc_id] if w in counts)
+        assert r.n_tokens == len(words[r.doc_id])
+        assert abs(r.log_likelihood - inside + r.n_tokens * np.log(lm_score.TOKENS)) < 1e-3 * (1 + r.n_tokens)
+    assert abs(sum(n / in_token[token[w]] for w, n in counts.items()) - len(in_token)) < 1e-6
+
+
 def test_lm_scores_are_normalised_and_gradients_right():
     rng = np.random.default_rng(2)
     net = lm_score.Network()

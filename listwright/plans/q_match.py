@@ -149,7 +149,7 @@ def pair_evidence(spark, sf_dir):
 
 @query()
 def constrained_groups(spark, sf_dir):
-    df = listings(spark, sf_dir).withColumns({"neighbourhood": F.lit(None).cast("string"), "area": F.lit(None).cast("string")})
+    df = listings(spark, sf_dir).withColumn("neighbourhood", F.lit(None).cast("string"))
     return grouping.grouped(df).select("ord", "property_id", "group_size")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Greek letters in Latin script, and words that don't tell agencies apart.
 LATIN_ONE = ("αβγδεζηικλμνξοπρστυφω", "avgdeziiklmnxoprstyfo")
@@ -16,6 +19,11 @@ NAME_NOISE = (
     "ακινητα ακινητων συμβουλοι ικε επε οε εε ae ike ltd group the"
 ).split()
 
+# Parameters that don't identify a page, elements and classes that aren't a page's own text.
+TRACKING = r"utm_\w+|fbclid|gclid|lang|sr"
+BOILER_TAGS = "script|style|nav|header|footer|aside|noscript|form|select"
+BOILER_CLASSES = "menu|footer|navbar|sidebar|widget|related|similar|recent|featured|breadcrumb-menu|cookie|mega"
+
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&euro;": "€", "&amp;": "&"}
 
 
@@ -72,6 +80,12 @@ def unescape(c: Column) -> Column:
     return c
 
 
+@F.pandas_udf(StringType())
+def unescape_all(c: pd.Series) -> pd.Series:
+    """Every HTML entity, in Arrow batches: for texts whose entities go beyond the common ones."""
+    return c.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
+
+
 def strip_tags(c: Column) -> Column:
     return squeeze(unescape(F.regexp_replace(c, r"<[^>]*>", " ")))
 
@@ -83,23 +97,39 @@ def page_text(html: Column) -> Column:
 
 
 def without_boilerplate(html: Column) -> Column:
-    for tag in ("nav", "header", "footer", "aside"):
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}>", " ")
-    return html
+    """A page without scripts, navigation and the like, and without blocks whose class or id says so."""
+    bare = F.regexp_replace(html, rf"(?is)<({BOILER_TAGS})\b.*?</\1>", " ")
+    block = rf"""(?is)<(div|ul|section)\b[^>]*(?:class|id)=["'][^"']*(?:{BOILER_CLASSES})[^"']*["'][^>]*>.*?</\1>"""
+    return F.regexp_replace(bare, block, " ")
 
 
 def meta(html: Column, name: str) -> Column:
-    """A meta element's content, whichever attribute comes first."""
-    first = rf"""(?is)<meta[^>]+(?:property|name)="{name}"[^>]+content="([^"]*)\""""
-    second = rf"""(?is)<meta[^>]+content="([^"]*)"[^>]+(?:property|name)="{name}\""""
-    found = [F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in (first, second)]
+    """A meta element's content, whichever attribute comes first; null without one."""
+    said = f"""(?:property|name)=["']{name}["']"""
+    first = rf"""(?is)<meta[^>]+{said}[^>]+content=["']([^"']*)"""
+    second = rf"""(?is)<meta[^>]+content=["']([^"']*)["'][^>]+{said}"""
+    found = [F.nullif(F.trim(F.regexp_extract(html, p, 1)), F.lit("")) for p in (first, second)]
     return unescape(F.coalesce(*found))
 
 
-def links(html: Column) -> Column:
-    """Distinct link targets, fragments dropped."""
+def links(html: Column, base: Column | None = None) -> Column:
+    """Distinct link targets, fragments dropped; with a base, relative ones are made whole and only http stays."""
     found = F.regexp_extract_all(html, F.lit(r"""(?i)<a[^>]+href="([^"#]+)"""), F.lit(1))
-    return F.array_distinct(found)
+    if base is None:
+        return F.array_distinct(found)
+    scheme, root = F.regexp_extract(base, r"^([a-zA-Z]+:)", 1), F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]+)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]+/(?:[^?#]*/)?)", 1), F.lit("")), F.concat(root, F.lit("/")))
+
+    def whole(x: Column) -> Column:
+        return (
+            F.when(x.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), x)
+            .when(x.startswith("//"), F.concat(scheme, x))
+            .when(x.startswith("/"), F.concat(root, x))
+            .otherwise(F.concat(folder, x))
+        )
+
+    every = F.transform(F.regexp_extract_all(html, F.lit(r"""href=["']([^"'<> ]+)["']"""), F.lit(1)), lambda x: F.regexp_replace(whole(unescape(x)), "#.*$", ""))
+    return F.array_distinct(F.filter(every, lambda x: x.startswith("http")))
 
 
 def utf16_length(c: Column) -> Column:
@@ -113,10 +143,10 @@ def html_escape(c: Column) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """A URL's identity: no fragment, tracking parameters or trailing marks, lower case."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    bare = F.regexp_replace(bare, r"[?&](?:utm_[a-z]+|fbclid|gclid)=[^&]*", "")
-    return F.lower(F.regexp_replace(bare, r"[/?&]+$", ""))
+    """A URL's identity: lower case, without fragment, tracking and language parameters, trailing marks."""
+    bare = F.regexp_replace(F.lower(url), "#.*$", "")
+    bare = F.regexp_replace(bare, rf"(?U)([?&])(?:{TRACKING})=[^&]*&?", "$1")
+    return F.regexp_replace(bare, r"[?&/]+$", "")
 
 
 def host(url: Column) -> Column:
@@ -134,3 +164,33 @@ def label_ok(c: Column) -> Column:
 
 def has_cyrillic(c: Column) -> Column:
     return c.rlike(r"[\x{0400}-\x{04FF}]")
+
+
+def words_of(c: Column, least: int = 5) -> Column:
+    """All runs of letters of a length at least, in order, repeats included."""
+    return F.regexp_extract_all(c, F.lit(rf"(\p{{L}}{{{least},}})"), F.lit(1))
+
+
+def cells(html_: Column) -> Column:
+    """A page's text with a bar at each tag: what stands between two tags is a cell."""
+    bare = F.regexp_replace(F.regexp_replace(html_, r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " ")
+    return F.regexp_replace(unescape(F.regexp_replace(bare, r"<[^>]+>", " | ")), r"\s+", " ")
+
+
+def place_under_heading(html_: Column, title: Column) -> Column:
+    """The first place-like cell after the heading: words parted by commas or dashes, no digits or prices.
+
+    The heading is the title up to a separator, at most 40 characters; each place where it stands is
+    tried, and of each the six cells that follow within 1,500 characters.
+    """
+    core = F.substring(F.get(F.split(F.trim(F.regexp_replace(title, r"\s+", " ")), r"\s+[-|–]\s+"), F.lit(0)), 1, 40)
+    parts = F.split(cells(html_), F.concat(F.lit("\\Q"), core, F.lit("\\E")), -1)
+
+    def place(after: Column) -> Column:
+        near = F.split(F.substring(after, 1, 1500), r"\|", -1)
+        shown = F.filter(F.transform(F.slice(near, F.lit(2), F.greatest(F.size(near) - 1, F.lit(0))), lambda c: F.trim(c)), lambda c: c != "")
+        like = F.filter(F.slice(shown, 1, 6), lambda c: c.rlike(r"^[^\d€$:@/]{3,70}$") & c.rlike("[,–-]") & (F.size(F.split(c, r"\s+")) <= 8))
+        return F.get(like, F.lit(0))
+
+    found = F.filter(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), place), lambda c: c.isNotNull())
+    return F.when(F.length(core) >= 8, F.get(found, F.lit(0)))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from listwright.functions.text import alnum_key, fold
-from listwright.sources.shared import ensure_checkpoints
+from listwright.functions.text import words
+from listwright.operators.ranges import ranked
 
 FILLED = ("price_eur", "area_m2", "bedrooms", "floor", "year_built", "area")
 PRECISION = {"site": 1, "area": 2, "district": 3}
@@ -54,37 +54,55 @@ def rollup_properties(df: DataFrame) -> DataFrame:
     )
 
 
+# What sites add to titles, and words of a location that say nothing more than the title.
+TITLE_TAIL = r"(?i)\s*[-|·–]\s*(?:Μεσιτικό Γραφείο|Real Estate|Κτηματομεσιτικό)[^-|·–]*$"
+PLAIN_PLACES = ("θεσσαλονίκη", "θεσσαλονίκης", "ελλάδα", "greece")
+
+
 def short_title(title: Column, agency: Column, most: int = 90) -> Column:
-    """Without the agency's name and doubled marks, cut at a length."""
-    bare = F.replace(title, F.coalesce(F.nullif(agency, F.lit("")), F.lit("\u0000")), F.lit(""))
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"^[\s|,–-]+|[\s|,–-]+$", "")), 1, most)
+    """Without the agency's name (whole, and up to " - ") and what sites add, cut at a length."""
+    out = title
+    for name in (agency, F.get(F.split(agency, " - ", 2), F.lit(0))):
+        out = F.when(F.length(name) >= 4, F.replace(out, name, F.lit(" "))).otherwise(out)
+    out = F.regexp_replace(F.regexp_replace(out, TITLE_TAIL, ""), r"\s+", " ")
+    return F.substring(F.regexp_replace(out, r"^[ \-|·–,]+|[ \-|·–,]+$", ""), 1, most)
+
+
+def short_location(location: Column, title: Column, generic: str = "") -> Column:
+    """The location's first 40 characters, where they hold a word that the title hasn't."""
+    shown = F.substring(location, 1, 40)
+    said = lambda c: words(F.lower(F.coalesce(c, F.lit(""))), 3)
+    plain = F.array(*[F.lit(w) for w in (*PLAIN_PLACES, *([generic.lower()] if generic else []))])
+    return F.when(F.size(F.array_except(F.array_except(said(shown), said(title)), plain)) > 0, shown)
 
 
-def short_location(location: Column, title: Column) -> Column:
-    """The location, where it has a word that the title hasn't."""
-    split = lambda c: F.split(alnum_key(fold(F.coalesce(c, F.lit("")))), " ")
-    return F.when(F.size(F.array_except(split(location), split(title))) > 0, location)
+# Names of the floors that have no number.
+FLOOR_NAMES = {-2.0: "basement", -1.0: "semi-basement", 0.0: "ground floor", 0.5: "mezzanine"}
 
 
-def display_line(place: Column, type_: Column, m2: Column, floor: Column, price: Column, sites: Column) -> Column:
-    size = F.when(m2.isNotNull(), F.concat(F.floor(m2).cast("string"), F.lit(" m²")))
-    shown = F.when(price.isNotNull(), F.concat(F.replace(F.format_number(F.floor(price), 0), F.lit(","), F.lit(" ")), F.lit(" €"))).otherwise(F.lit("on request"))
+def floor_name(level: Column) -> Column:
+    out = F.when(level.isNotNull(), F.concat(F.lit("floor "), level.cast("int").cast("string")))
+    for value, name in FLOOR_NAMES.items():
+        out = F.when(level == value, F.lit(name)).otherwise(out)
+    return out
+
+
+def display_line(place: Column, type_: Column, m2: Column, floor: Column, price: Column, sites: Column, rent: Column | None = None, delta: Column | None = None) -> Column:
+    """One line of a message: place, what it is, its size and floor, the price with its market delta, how many sites."""
+    what = F.concat_ws(" ", F.coalesce(type_, F.lit("object")), F.when(m2.isNotNull(), F.concat(F.floor(m2).cast("string"), F.lit(" m²"))))
+    unit = F.when(rent, F.lit(" €/month")).otherwise(F.lit(" €")) if rent is not None else F.lit(" €")
+    shown = F.when(price.isNotNull(), F.concat(F.replace(F.format_number(F.floor(price), 0), F.lit(","), F.lit(" ")), unit)).otherwise(F.lit("price on request"))
+    if delta is not None:
+        sign = F.when(delta > 0, F.lit("+")).otherwise(F.lit("−"))
+        shown = F.concat(shown, F.when(delta.isNotNull(), F.concat(F.lit(" ("), sign, F.abs(delta).cast("int").cast("string"), F.lit("% to the district's mean)"))).otherwise(F.lit("")))
     more = F.when(sites > 1, F.concat(F.lit("on "), sites.cast("string"), F.lit(" sites")))
-    return F.concat_ws(", ", place, type_, size, floor, shown, more)
+    return F.concat_ws(", ", place, what, floor, shown, more)
 
 
 def dictionary(df: DataFrame, value: str, order: str) -> DataFrame:
-    """(value, code): codes by first appearance. Values are aggregated first; ranks run in ranges.
-
-    A global rank without one sorting task: values are counted per range of first appearance, and a
-    range's offset is added to the rank inside it.
-    """
-    ensure_checkpoints(df.sparkSession)
+    """(value, code): codes by first appearance; values are aggregated before they are ranked."""
     first = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("first"))
-    ranged = first.repartitionByRange("first").withColumn("range", F.spark_partition_id()).checkpoint()
-    offsets = ranged.groupBy("range").count().withColumn("start", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("range").orderBy("first"))
-    return ranged.withColumn("inside", inside).join(offsets, "range").select(value, (F.col("start") + F.col("inside") - 1).alias("code"))
+    return ranked(first, [F.col("first"), F.col(value)]).select(value, F.col("rank_").alias("code"))
 
 
 def split_url(url: Column) -> Column:

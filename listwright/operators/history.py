@@ -38,6 +38,54 @@ def last_drops(changes: DataFrame, key: str, order: list[str], price: str, since
     return last.filter(F.col("old_price").isNotNull() & (F.col(day) >= since) & share.between(LEAST_DROP, MOST_DROP))
 
 
+def group_drops(drops: DataFrame, members: DataFrame, key: str, price: str) -> DataFrame:
+    """(property, key, old, new): of a property's members that dropped, the one with the lowest new price.
+
+    ``members(property_id, key)`` say which listings are one property.
+    """
+    held = drops.join(members.select("property_id", F.col(key).alias("_member")), F.col(key) == F.col("_member"))
+    best = F.min_by(F.struct(key, "old_price", F.col(price).alias("new_price")), F.struct(price, key))
+    return held.groupBy("property_id").agg(best.alias("b")).select("property_id", "b.*")
+
+
+def history_lists(history: DataFrame, key: str, day: str, price: str) -> DataFrame:
+    """(key, history): a listing's [day, price] in order, where the price changed at least once."""
+    lists = history.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(day, price))).alias("history"))
+    return lists.filter(F.size("history") > 1)
+
+
+def with_history(listings: DataFrame, history: DataFrame, key: str, day: str, price: str) -> DataFrame:
+    """Listings with their price history, null where the price never changed."""
+    lists = history_lists(history, key, day, price).withColumnRenamed(key, "_key")
+    return listings.join(lists, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def removal_reasons(gone: DataFrame, log: DataFrame, key: str, month: Column) -> DataFrame:
+    """Gone rows with the reason logged last in the month, null without one. ``log(key, date, reason)``."""
+    last = log.filter(F.col("date") >= F.trunc(month, "month")).groupBy(F.col(key).alias("_key")).agg(F.max_by("reason", F.struct("date", "reason")).alias("reason"))
+    return gone.join(last, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def completed_parts(progress: DataFrame, part: str, expected: str, read: str) -> DataFrame:
+    """Parts whose pages were all read: the completeness table that ``removed`` needs."""
+    return progress.groupBy(part).agg(F.max(expected).alias("pages"), F.count_distinct(read).alias("read")).filter(F.col("read") >= F.col("pages")).select(part)
+
+
+def forgotten(df: DataFrame, seen: str, today: Column, days: int = FORGET_DAYS) -> DataFrame:
+    """Without rows that weren't seen for so many days; rows never dated stay."""
+    return df.filter(F.col(seen).isNull() | (F.col(seen) >= F.date_sub(today, days)))
+
+
+def hint_due(listings: DataFrame, hints: DataFrame, today: Column, portals: list[str], generic: str, found_days: int = 60, empty_days: int = 7) -> DataFrame:
+    """Listings whose page is to be read for a district: vague or guessed ones, not portals', not read lately."""
+    vague = F.col("area").isNull() | (F.col("area") == generic) | (F.col("region_how") == "agency")
+    asked = listings.filter(~F.col("source_domain").isin(*portals) & (F.coalesce("region", F.lit("")) != "other") & F.coalesce(vague, F.lit(True)))
+    h = hints.select(F.col("url").alias("_url"), F.col("checked_at").alias("_at"), F.col("how").alias("_how"))
+    wait = F.when(F.coalesce("_how", F.lit("")) != "", found_days).otherwise(empty_days)
+    fresh = F.coalesce(F.col("_at") >= F.date_sub(today, wait), F.lit(False))
+    return asked.join(h, F.col("url") == F.col("_url"), "left").filter(~fresh).drop("_url", "_at", "_how")
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """(key, status, old, new) of two snapshots: new, gone, down, up or same."""
     a = before.select(F.col(key).alias("k_old"), F.col(value).alias("old_value"))

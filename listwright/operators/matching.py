@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TOP, UNKNOWN_PRICE, HOME = 25, 1e12, "home"
-#: Filters are a small table by nature; up to so many are broadcast, more are joined by transaction.
+#: Up to so many enabled filters are broadcast; more are joined by the deal and region they ask for.
 MOST_BROADCAST = 10_000
+#: The join of many filters is spread over so many tasks a key; filters, the smaller side, are repeated.
+SPREAD = 64
+ANY = "\u0000any"
 
 FILTER_SCHEMA = (
     "name string, enabled boolean, transaction string, region string, types array<string>, areas array<string>, "
@@ -52,20 +55,27 @@ def matches(p: Column, f: Column, home: str = HOME) -> Column:
 
 
 def match_filters(properties: DataFrame, filters: DataFrame, home: str = HOME) -> DataFrame:
-    """(filter columns as f, property columns as p) of every match.
+    """(filter columns as f, property columns as p) of every match; the same rows however many filters there are.
 
-    Enabled filters are counted first: a small table is broadcast. A large one is cut by the
-    transaction it asks for, so that its join has a key; filters that ask for none meet both.
+    Enabled filters are counted first: a small table is broadcast. A large one is joined by the deal and
+    the region that a filter asks for. A property comes under its own values and under "any", so filters
+    that ask for neither meet it too; keys are few, so each is spread by a salt over several tasks.
     """
     on = filters.filter(F.coalesce("enabled", F.lit(True)))
     p = properties.select(F.struct(*properties.columns).alias("p"))
     f = on.select(F.struct(*on.columns).alias("f"))
+    fits = matches(F.col("p"), F.col("f"), home)
     if on.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        return p.join(F.broadcast(f), matches(F.col("p"), F.col("f"), home))
-    kinds = F.when(F.coalesce("f.transaction", F.lit("")) == "", F.array(F.lit("sale"), F.lit("rent"), F.lit(""))).otherwise(F.array("f.transaction"))
-    keyed = f.withColumn("_k", F.explode(kinds))
-    same = F.coalesce("p.transaction", F.lit("")) == F.col("_k")
-    return p.join(keyed, same & matches(F.col("p"), F.col("f"), home)).drop("_k")
+        return p.join(F.broadcast(f), fits)
+    asked = lambda c, default: F.when(F.coalesce(c, F.lit(default)) == "", F.lit(ANY)).otherwise(F.coalesce(c, F.lit(default)))
+    key = F.struct(asked(F.col("f.transaction"), "").alias("deal"), asked(F.col("f.region"), home).alias("region"))
+    keyed = f.withColumns({"_k": key, "_salt": F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))})
+    own = F.coalesce("p.region", F.lit(ANY))
+    deals = F.array_distinct(F.array(F.coalesce("p.transaction", F.lit(ANY)), F.lit(ANY)))
+    seen = p.withColumn("_deal", F.explode(deals)).withColumn("_region", F.explode(F.array_distinct(F.array(own, F.lit(ANY)))))
+    salt = F.pmod(F.xxhash64("p.id"), F.lit(SPREAD)).cast("int")
+    seen = seen.select("p", F.struct(F.col("_deal").alias("deal"), F.col("_region").alias("region")).alias("_at"), salt.alias("_s"))
+    return seen.join(keyed, (F.col("_at") == F.col("_k")) & (F.col("_s") == F.col("_salt")) & fits).select("p", "f")
 
 
 def top_hits(matched: DataFrame, top: int = TOP) -> DataFrame:
@@ -82,10 +92,47 @@ def unsent(properties: DataFrame, sent: DataFrame, member_urls: str = "urls") ->
     return properties.join(seen.select("id").distinct(), "id", "left_anti")
 
 
-def market_delta(price: Column, m2: Column, reference: Column) -> Column:
-    """Percent above the district's price per metre, shown between 10 and 60 either way."""
-    pct = F.bround((price / m2 / reference - 1) * 100)
-    return F.when(F.abs(pct).between(10, 60), pct)
+#: Types whose price per metre compares with the district's.
+COMPARED = ("apartment", "studio", "maisonette")
+
+
+def market_delta(price: Column, m2: Column, sale: Column, rent: Column, transaction: Column, type_: Column) -> Column:
+    """Percent above the map area's price per metre of that deal, shown between 10 and 60 either way."""
+    reference = F.when(transaction == "sale", sale).when(transaction == "rent", rent)
+    pct = F.bround((price / F.nullif(m2, F.lit(0.0)) / F.nullif(reference, F.lit(0.0)) - 1) * 100)
+    return F.when(type_.isin(*COMPARED) & (price != 0) & F.abs(pct).between(10, 60), pct)
+
+
+def plain_cut(piece: str, limit: int) -> str:
+    """A piece too long for one message: its text without tags, cut to the limit, no entity broken."""
+    import re
+
+    text = re.sub(r"<[^>]+>", "", piece)
+    while _units(text) > limit - 1:
+        text = re.sub(r"&[a-z#0-9]*$", "", text[: -max(1, (_units(text) - limit + 1) // 2)])
+    return text + "…"
+
+
+def _units(s: str) -> int:
+    return len(s.encode("utf-16-le")) // 2
+
+
+def first_run(sent: DataFrame | None, properties: DataFrame) -> tuple[bool, DataFrame]:
+    """Whether this run only primes the sent set, and the URLs that are sent after it: all there are."""
+    urls = properties.select(F.explode("urls").alias("url")).distinct()
+    return sent is None, urls if sent is None else urls.unionByName(sent.select("url")).distinct()
+
+
+def unsent_drops(matched: DataFrame, drops: DataFrame, sent: DataFrame, new_ids: DataFrame) -> DataFrame:
+    """Of matched properties that aren't new, the lowest recent drop of a member that wasn't sent yet.
+
+    ``drops(id, url, old_price, price)`` are members' drops; ``sent(url, price)`` those sent before.
+    """
+    best = drops.groupBy("id").agg(F.min_by(F.struct("url", "old_price", "price"), F.struct("price", "url")).alias("drop"))
+    known = matched.join(new_ids.select(F.col("id").alias("_new")), F.col("p.id") == F.col("_new"), "left_anti")
+    found = known.join(best, F.col("p.id") == best["id"]).select("f", "p", "drop.*")
+    told = sent.select(F.col("url").alias("_u"), F.col("price").alias("_p"))
+    return found.join(told, (F.col("url") == F.col("_u")) & (F.col("price") == F.col("_p")), "left_anti")
 
 
 def pack_messages(blocks: DataFrame, limit: int = 3900) -> DataFrame:
@@ -94,8 +141,7 @@ def pack_messages(blocks: DataFrame, limit: int = 3900) -> DataFrame:
     A recipient's blocks meet in one task, as its messages are one sequence.
     """
 
-    def units(s: str) -> int:
-        return len(s.encode("utf-16-le")) // 2
+    units = _units
 
     def run(key, frame):
         import pandas as pd
@@ -104,13 +150,14 @@ def pack_messages(blocks: DataFrame, limit: int = 3900) -> DataFrame:
         for row in frame.sort_values("ord").itertuples(index=False):
             lead = [row.title] if row.title else []
             for k, piece in enumerate([*lead, *row.pieces]):
-                while units(piece) > limit:
-                    piece = piece[: -max(1, (units(piece) - limit + 1) // 2)]
+                if units(piece) > limit:
+                    piece = plain_cut(piece, limit)
                 joint = "" if not open_ else "\n\n" if k == 0 else "\n"
                 if units(open_ + joint + piece) <= limit:
                     open_ += joint + piece
                     continue
-                out.append(open_)
+                if open_:
+                    out.append(open_)
                 again = f"{row.title} (cont.)\n{piece}" if row.title and k else piece
                 open_ = again if units(again) <= limit else piece
         if open_:

@@ -6,18 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from listwright.operators.ranges import ranked
+from listwright.sources.shared import written
+
 #: Rows that a report shows of each list.
 TOP_ROWS = 300
-#: Sources that a fair-share budget is dealt to on one task.
-MAX_SITES = 100_000
 
 
-def source_counters(diff: DataFrame, source: str) -> DataFrame:
-    """Per source, and in total (null source): listings, new, removed, down, up."""
+def source_counters(diff: DataFrame, source: str, today: Column | None = None) -> DataFrame:
+    """Per source, and in total (null source): listings, new, removed, down, up, checked today.
+
+    ``checked_at`` of the diff says when a listing was last read; without it nothing was checked.
+    """
     status = F.col("status")
+    checked = (F.col("checked_at") == today) & (status != "gone") if today is not None else F.lit(False)
     return diff.rollup(source).agg(
         F.count_if(status != "gone").alias("listings"),
         *[F.count_if(status == s).alias(n) for s, n in (("new", "new"), ("gone", "removed"), ("down", "price_down"), ("up", "price_up"))],
+        F.count_if(checked).alias("checked"),
     )
 
 
@@ -40,9 +46,11 @@ def status_bucket(status: Column) -> Column:
     return F.when(blocked, F.lit("blocked")).otherwise(status)
 
 
-def eligible_sources(registry: DataFrame) -> DataFrame:
-    """Sources that may be read: working, with listings, not forbidden, one per domain."""
-    ok = (F.col("site_status") == "ok") & F.col("has_listings") & (F.coalesce("robots_ok", F.lit("")) != "explicit_no")
+def eligible_sources(registry: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """Sources that may be read: working, with listings, not forbidden, one per domain; of a list, if given."""
+    ok = (F.col("site_status") == "ok") & (F.col("has_listings").cast("string").isin("yes", "true")) & (F.coalesce("robots_ok", F.lit("")) != "explicit_no")
+    if only:
+        ok = ok & F.col("domain").isin(*only)
     w = Window.partitionBy("domain").orderBy("ord")
     return registry.filter(ok).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
@@ -61,33 +69,68 @@ def rotation(index: Column, day: Column, n: Column) -> Column:
 
 
 def fair_share(backlog: DataFrame, budget: int, cap: int, site: str = "site", waiting: str = "waiting") -> DataFrame:
-    """Pages per site: ascending by backlog, each gets its share of what is left.
+    """Pages per site: ascending by backlog, each gets its share of what is left, at least one page.
 
-    A fold over the sorted sites in one row; the table of sites is small by nature, which is checked.
+    The fold over the sorted sites has a closed form. Up to the first site that wants more than its
+    share, each gets what it wants; there the rest is dealt evenly, and the last sites get the pages
+    that don't divide. Ranks and sums before a site run in ranges, so no task holds all sites.
     """
-    if backlog.limit(MAX_SITES + 1).count() > MAX_SITES:
-        raise ValueError(f"more than {MAX_SITES} sites")
-    rows = backlog.agg(F.array_sort(F.collect_list(F.struct(F.col(waiting).cast("long").alias("w"), F.col(site).alias("s")))).alias("xs"))
-    zero = F.struct(F.lit(budget).cast("long").alias("left"), F.size("xs").cast("long").alias("sites"), F.array().cast("array<struct<s:string,share:bigint>>").alias("out"))
+    wants = backlog.select(F.col(site).alias("s"), F.least(F.col(waiting), F.lit(cap)).cast("long").alias("c"), F.col(waiting).alias("w"))
+    rows = written(ranked(wants, [F.col("w"), F.col("s")], ["c"]), "shares")
+    n = rows.count()
+    left, after = F.lit(budget) - F.col("c_before"), F.lit(n) - F.col("rank_")
+    even = F.greatest(F.lit(1).cast("long"), F.floor(left / after).cast("long"))
+    first = rows.filter(F.col("c") > even).orderBy("rank_").select("rank_", "c_before").first()
+    if first is None:
+        share = F.col("c")
+    else:
+        at, rest = first["rank_"], budget - first["c_before"]
+        sites = n - at
+        each, extra = (rest // sites, rest % sites) if rest >= sites else (1, 0)
+        share = F.when(F.col("rank_") < at, F.col("c")).otherwise(F.when(after <= extra, F.lit(each + 1)).otherwise(F.lit(each)))
+    return rows.select(F.col("s").alias(site), share.cast("long").alias("share"))
+
+
+def last_due_start(slots: list[tuple[int, int] | int], now: Column, grace_hours: float, zone: str = "UTC") -> Column:
+    """The latest scheduled start (hours, or hours and minutes in a zone) due before now less the grace, in UTC."""
+    minutes = [s * 60 if isinstance(s, int) else s[0] * 60 + s[1] for s in slots]
+    limit = now - F.make_dt_interval(mins=F.lit(int(grace_hours * 60)))
+    midnight = F.date_trunc("DAY", F.from_utc_timestamp(limit, zone))
+    starts = F.array(*[F.to_utc_timestamp(midnight + F.make_dt_interval(mins=F.lit(m - d * 1440)), zone) for m in minutes for d in (0, 1, 2)])
+    return F.array_max(F.filter(starts, lambda s: s <= limit))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        even = F.greatest(F.lit(1).cast("long"), F.floor(acc["left"] / acc["sites"]).cast("long"))
-        share = F.greatest(F.lit(0).cast("long"), F.least(x["w"], F.lit(cap).cast("long"), even, acc["left"]))
-        return F.struct(
-            (acc["left"] - share).alias("left"), (acc["sites"] - 1).alias("sites"),
-            F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), share.alias("share")))).alias("out"),
-        )
+def last_row(log: DataFrame, at: str = "at") -> DataFrame:
+    """The newest row of a log, by its own time."""
+    return log.agg(F.max_by(F.struct(*log.columns), at).alias("r")).filter("r is not null").select("r.*")
 
-    done = rows.filter(F.size("xs") > 0).select(F.explode(F.aggregate("xs", zero, step, lambda acc: acc["out"])).alias("o"))
-    return done.select(F.col("o.s").alias(site), F.col("o.share").alias("share"))
 
+def log_time(c: Column) -> Column:
+    return F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm'Z'"))
 
-def last_due_start(hours: list[int], now: Column, grace_hours: int) -> Column:
-    """The latest scheduled start that is due: before now less the grace, today's or yesterday's."""
-    limit = now - F.expr(f"INTERVAL {grace_hours} HOURS")
-    midnight = F.date_trunc("DAY", limit)
-    slots = F.array(*[midnight + F.expr(f"INTERVAL {h - d * 24} HOURS") for h in hours for d in (0, 1)])
-    return F.array_max(F.filter(slots, lambda s: s <= limit))
+
+def page_as_of(html: Column) -> Column:
+    """The day that a published page says its data are of."""
+    return F.try_to_date(F.regexp_extract(html, r'const ASOF = "(\d\d\.\d\d\.\d{4})"', 1), "dd.MM.yyyy")
+
+
+def watchdog(runs: DataFrame, notes: DataFrame, page: DataFrame, now: Column, slots: list, grace_hours: float = 4, zone: str = "UTC") -> DataFrame:
+    """One row: the last run, when it was due, and whether it is stale, failed steps, was not delivered, or isn't shown.
+
+    ``runs(at, failed_steps)``, ``notes(at, messages, delivered)``, ``page(html)``: logs and the page as landed.
+    """
+    run = runs.agg(F.max_by(F.struct("at", "failed_steps"), "at").alias("run"))
+    note = notes.agg(F.max_by(F.struct("at", "messages", "delivered"), "at").alias("note"))
+    shown = page.agg(F.max(page_as_of(F.col("html"))).alias("shown"))
+    at = log_time(F.col("run.at"))
+    due = last_due_start(slots, now, grace_hours, zone)
+    # Three single rows: aggregates without keys.
+    return run.join(note).join(shown).select(
+        F.col("run.at").alias("last_run"), due.alias("due"), (at.isNull() | (at < due)).alias("stale"),
+        (F.coalesce("run.failed_steps", F.lit("")) != "").alias("failed"),
+        F.coalesce((F.col("note.messages") != F.col("note.delivered")) & (log_time(F.col("note.at")) >= at), F.lit(False)).alias("undelivered"),
+        F.coalesce(F.col("shown") < F.to_date(at), F.lit(False)).alias("not_shown"),
+    )
 
 
 def run_summary(steps: DataFrame) -> DataFrame:
@@ -98,6 +141,44 @@ def run_summary(steps: DataFrame) -> DataFrame:
     )
 
 
+def sorted_rows(df: DataFrame, *order: str) -> DataFrame:
+    """Rows in the order in which a sink writes them: by ranges, so files follow one another."""
+    return df.orderBy(*order)
+
+
+def language_prune(urls: DataFrame, site: str, url: str, local_share: float = 0.3) -> DataFrame:
+    """Without URLs of translated paths, at sites where enough URLs are local."""
+    path = F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
+    local = ~path.rlike(r"(?i)/(en|ru|de|bg|fr|it|zh|he|tr|sr|ro|uk|ar|nl|pl)(/|$)")
+    marked = urls.withColumn("_local", local)
+    shares = marked.groupBy(site).agg((F.count_if("_local") >= local_share * F.count(F.lit(1))).alias("_prune")).withColumnRenamed(site, "_site")
+    kept = marked.join(shares, F.col(site) == F.col("_site")).filter(~F.col("_prune") | F.col("_local"))
+    return kept.drop("_local", "_prune", "_site")
+
+
+def to_fetch(urls: DataFrame, known: DataFrame, ignore: DataFrame, most_new: int, site: str = "source_domain") -> DataFrame:
+    """Crawl URLs (site, url, lastmod, ord) with what to do: keep, refetch, fetch or skip.
+
+    A known listing is read again only when the sitemap's day is later than the known one; new pages
+    are read up to a budget per site in the crawl's order, pages known not to be listings never.
+    """
+    key = F.regexp_replace("url", "/+$", "")
+    u = urls.withColumn("_key", key)
+    k = known.select(F.regexp_replace("url", "/+$", "").alias("_known"), F.col("date_sitemap").alias("_had"))
+    i = ignore.select(F.regexp_replace("url", "/+$", "").alias("_ignored")).distinct()
+    joined = u.join(k, F.col("_key") == F.col("_known"), "left").join(i, F.col("_key") == F.col("_ignored"), "left")
+    newer = F.col("lastmod").isNotNull() & (F.col("_had").isNull() | (F.col("lastmod") > F.col("_had")))
+    reads = F.col("_known").isNotNull() & newer | F.col("_known").isNull() & F.col("_ignored").isNull()
+    turn = F.sum(reads.cast("int")).over(Window.partitionBy(site).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    todo = (
+        F.when(F.col("_known").isNotNull() & ~newer, F.lit("keep"))
+        .when(F.col("_known").isNotNull(), F.lit("refetch"))
+        .when(F.col("_ignored").isNotNull() | (turn > most_new), F.lit("skip"))
+        .otherwise(F.lit("fetch"))
+    )
+    return joined.withColumn("todo", todo).drop("_key", "_known", "_had", "_ignored")
+
+
 def report_document(counters: DataFrame, run_at: str) -> DataFrame:
     """One JSON document of a report (sources are few)."""
     return counters.agg(F.to_json(F.struct(F.lit(run_at).alias("at"), F.array_sort(F.collect_list(F.struct(*counters.columns))).alias("sources"))).alias("report"))

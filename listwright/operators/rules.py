@@ -22,8 +22,12 @@ TYPE_RULES = [
     ("hotel", "ξενοδοχ|hotel|ξενωνα"),
     ("store", "επαγγελματικ|αιθουσα|επιχειρησ|gewerbe"),
 ]
-SALE_WORDS, RENT_WORDS = r"πωλ|for sale|\bsale\b|\bverkauf|\bpolis", r"ενοικ|for rent|\brent\b|\bmiet|enoik"
+# Words of folded titles and URLs that name the deal, and price levels that tell it.
+RENT_WORDS = r"προσ ενοικ|ενοικιαζ|ενοικιαση|enoikiasi|enoikiaz|for[-_ ]rent|to[-_ ]rent|\brent\b|μισθωσ"
+SALE_WORDS = r"προσ πωλ|πωλειται|πωλουντ|πωληση|pwlisi|polisi|poleitai|for[-_ ]sale|\bsale\b"
 RENT_BELOW, SALE_FROM = 10_000, 30_000
+# Fixed value: a phrase that names the agency's office, not the object.
+OFFICE_PHRASE = r"(?U)(κτηματο)?μεσιτικ\w*\s+γραφει\w*[^|·,-]*"
 
 
 def first_match(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -48,20 +52,26 @@ def guarded_match(c: Column, names: str, guard: str) -> Column:
     return F.exists(tails, lambda x: F.coalesce(x, F.lit("")) == "")
 
 
-def transaction_of(text: Column, field: Column, price: Column) -> Column:
-    """Words first, then the source's field, then the price level."""
-    sale, rent = text.rlike(f"(?U){SALE_WORDS}"), text.rlike(f"(?U){RENT_WORDS}")
+def transaction_of(words: Column, field: Column, price: Column) -> Column:
+    """Words first, rent before sale; then the source's field; then the price level. Null if none tells."""
     return (
-        F.when(sale & ~rent, F.lit("sale"))
-        .when(rent & ~sale, F.lit("rent"))
-        .when(field.isNotNull(), field)
-        .when(price < RENT_BELOW, F.lit("rent"))
+        F.when(words.rlike(f"(?U){RENT_WORDS}"), F.lit("rent"))
+        .when(words.rlike(f"(?U){SALE_WORDS}"), F.lit("sale"))
+        .when(field.isin("sale", "rent"), field)
+        .when((price != 0) & (price < RENT_BELOW), F.lit("rent"))
         .when(price >= SALE_FROM, F.lit("sale"))
     )
 
 
-def type_of(title: Column, field: Column, url: Column, office_phrase: str | None = None) -> Column:
-    """By title (without the phrase that names the agency's office), then field, then URL."""
-    if office_phrase:
-        title = F.regexp_replace(title, office_phrase, " ")
-    return F.coalesce(first_match(title, TYPE_RULES), first_match(field, TYPE_RULES), first_match(url, TYPE_RULES))
+def type_of(title: Column, field: Column, url: Column) -> Column:
+    """By title (without the phrase that names the agency's office), then the field as it is, then URL."""
+    own = F.regexp_replace(title, OFFICE_PHRASE, " ")
+    return F.coalesce(first_match(own, TYPE_RULES), F.nullif(field, F.lit("")), first_match(url, TYPE_RULES))
+
+
+def kind_by_word(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """The label of the first word that the lower-cased text holds, else null; (word, label) in order."""
+    low, out = F.lower(text), F.lit(None).cast("string")
+    for word, label in reversed(rules):
+        out = F.when(low.contains(word), F.lit(label)).otherwise(out)
+    return out

@@ -92,7 +92,7 @@ LISTINGS_SQL = """lv AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
     JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
-URL_KEY_SQL = r"""lower(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '[?&](?:utm_[a-z]+|fbclid|gclid)=[^&]*', '', 'g'), '[/?&]+$', ''))"""
+URL_KEY_SQL = r"""regexp_replace(regexp_replace(regexp_replace(lower(url), '#.*$', ''), '([?&])(?:utm_\w+|fbclid|gclid|lang|sr)=[^&]*&?', '\1', 'g'), '[?&/]+$', '')"""
 
 
 def with_listings(sql: str) -> str:

@@ -53,10 +53,6 @@ def try_casts(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", number(F.col("props")).alias("bad"), number(F.get_json_object("props", "$.k")).alias("good"))
 
 
-@query(with_listings(f"SELECT ord, url FROM (SELECT ord, url, row_number() OVER (PARTITION BY {URL_KEY_SQL} ORDER BY ord) AS rn FROM lv) WHERE rn = 1"))
-def dedup_first_url(spark, sf_dir):
-    return normalize.first_by_url(listings(spark, sf_dir)).select("ord", "url")
-
 
 @query(
     with_listings(
@@ -79,30 +75,6 @@ def cross_field_nulls(spark, sf_dir):
     return normalize.validate(listings(spark, sf_dir)).select("ord", "price_eur", "area_m2")
 
 
-@query(with_listings("SELECT ord FROM lv WHERE first_seen >= DATE '2000-01-31' - 30"))
-def ttl_filter(spark, sf_dir):
-    df = listings(spark, sf_dir).withColumn("date_published", F.col("first_seen"))
-    return normalize.mark_drops(df.withColumn("url", F.lower("url")), F.lit("2000-01-31").cast("date")).filter("drop_reason is null").select("ord")
-
-
-@query(with_listings("SELECT 'expired' AS drop_reason, count(*) AS n FROM lv WHERE first_seen < DATE '2000-01-31' - 30"))
-def drop_reason_histogram(spark, sf_dir):
-    df = listings(spark, sf_dir).withColumn("date_published", F.col("first_seen"))
-    return normalize.drop_reasons(normalize.mark_drops(df, F.lit("2000-01-31").cast("date"))).withColumnRenamed("count", "n")
-
-
-@query(
-    with_listings(
-        """SELECT source_domain, location, n, total FROM (SELECT source_domain, location, count(*) AS n FROM lv GROUP BY ALL)
-  JOIN (SELECT source_domain, count(*) AS total FROM lv GROUP BY ALL) USING (source_domain) WHERE n >= 5 AND n >= 0.15 * total AND regexp_matches(location, '[0-9]')"""
-    )
-)
-def office_share(spark, sf_dir):
-    df = listings(spark, sf_dir)
-    by_place = df.groupBy("source_domain", "location").agg(F.count(F.lit(1)).alias("n"))
-    total = by_place.groupBy("source_domain").agg(F.sum("n").alias("total"))
-    return by_place.join(total, "source_domain").filter((F.col("n") >= 5) & (F.col("n") >= 0.15 * F.col("total")) & F.col("location").rlike("[0-9]"))
-
 
 @query(with_listings("SELECT source_domain, CAST(sum(c) AS BIGINT) AS points, max(c) AS most FROM (SELECT source_domain, round(lat, 1) AS lat, lon, count(*) AS c FROM lv GROUP BY ALL) GROUP BY 1 HAVING sum(c) >= 5 AND max(c) > 0.5 * sum(c)"))
 def mode_share(spark, sf_dir):
@@ -111,33 +83,17 @@ def mode_share(spark, sf_dir):
 
 @query(
     with_listings(
-        """, placed AS (SELECT *, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE region END AS r FROM lv),
-  home AS (SELECT source_domain FROM placed WHERE r IS NOT NULL GROUP BY 1 HAVING count(*) >= 10 AND count_if(r = 'EUROPE') >= 0.9 * count(*))
+        """, placed AS (SELECT *, CASE WHEN l_partkey % 3 = 0 THEN NULL WHEN region = 'EUROPE' THEN region ELSE 'other' END AS r FROM lv),
+  home AS (SELECT source_domain FROM placed WHERE r IS NOT NULL AND source_kind <> 'portal' GROUP BY 1 HAVING count(*) >= 10 AND count_if(r = 'EUROPE') / count(*) >= 0.9)
   SELECT ord, coalesce(r, CASE WHEN source_domain IN (SELECT source_domain FROM home) THEN 'EUROPE' END) AS region FROM placed"""
     )
 )
 def agency_infer(spark, sf_dir):
-    df = listings(spark, sf_dir).withColumn("region", F.when(F.col("l_partkey") % 3 != 0, F.col("region")))
+    region = F.when(F.col("region") == "EUROPE", F.col("region")).otherwise(F.lit("other"))
+    df = listings(spark, sf_dir).withColumn("region", F.when(F.col("l_partkey") % 3 != 0, region))
     return normalize.fill_from_agency(df, "EUROPE").select("ord", "region")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '2-HIGH' AND o_custkey % 2 = 0 THEN c_mktsegment ELSE o_orderstatus END AS area FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
-def hint_left_join(spark, sf_dir):
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    vague = (F.col("o_orderpriority") == "2-HIGH") & (F.col("o_custkey") % 2 == 0)
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.when(vague, F.col("c_mktsegment")).otherwise(F.col("o_orderstatus")).alias("area"))
-
-
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
-def id_anti_join(spark, sf_dir):
-    gone = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(gone, "o_orderkey", "left_anti").select("o_orderkey")
-
-
-@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
-def semi_join(spark, sf_dir):
-    big = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(big, "c_custkey", "left_semi").select("c_custkey")
 
 
 @query("SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -174,10 +130,13 @@ def removal_complete_parts(spark, sf_dir):
     return history.removed(before, after, complete, "k", "part").select("k", "v")
 
 
-@query("SELECT b.o_custkey AS k, b.o_orderdate AS last_date, arg_max(r.o_orderstatus, (r.o_orderdate, r.o_orderkey)) AS reason FROM (SELECT o_custkey, max(o_orderdate) AS o_orderdate FROM orders GROUP BY 1) b JOIN orders r ON r.o_custkey = b.o_custkey GROUP BY ALL")
+@query("WITH x AS (SELECT 1)" + SNAPSHOTS + """, gone AS (SELECT k, v FROM before WHERE k NOT IN (SELECT k FROM after)), why AS (SELECT o_custkey AS k, arg_max(o_orderpriority, (o_orderdate, o_orderpriority)) AS reason
+  FROM orders WHERE o_orderdate >= TIMESTAMP '1998-03-01' GROUP BY 1) SELECT k, v, reason FROM gone LEFT JOIN why USING (k)""")
 def removal_reason(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderdate").alias("last_date"), F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("reason"))
+    """Gone rows with the reason logged last in the month or later."""
+    before, after = snapshots(spark, sf_dir)
+    log = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("date"), F.col("o_orderpriority").alias("reason"))
+    return history.removal_reasons(before.join(after.select("k"), "k", "left_anti"), log, "k", F.lit("1998-03-17").cast("date"))
 
 
 @query("WITH k AS (SELECT l_suppkey, count(*) AS known FROM lineitem GROUP BY 1), g AS (SELECT l_suppkey, count(*) AS got FROM lineitem WHERE l_suppkey % 2 = 0 OR l_returnflag = 'A' GROUP BY 1) SELECT l_suppkey, known, coalesce(got, 0) AS got FROM k LEFT JOIN g USING (l_suppkey) WHERE known >= 20 AND coalesce(got, 0) < 0.5 * known")
@@ -209,13 +168,40 @@ def ever_changed(spark, sf_dir):
     return changes(spark, sf_dir).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+@query(CHANGES + """ SELECT c_custkey, h FROM customer LEFT JOIN (SELECT o_custkey, string_agg(strftime(o_orderdate, '%Y-%m-%d') || '=' || CAST(floor(o_totalprice) AS BIGINT), ';' ORDER BY o_orderdate, floor(o_totalprice)) AS h
+  FROM c GROUP BY 1 HAVING count(*) > 1) ON o_custkey = c_custkey""")
+def price_history_lists(spark, sf_dir):
+    """Each customer with the list of day and price of its changes, null where the price never changed."""
+    c = changes(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("date").alias("day"), F.floor("o_totalprice").cast("long").alias("price"))
+    got = history.with_history(table(spark, sf_dir, "customer").select("c_custkey"), c, "c_custkey", "day", "price")
+    shown = F.array_join(F.transform("history", lambda x: F.concat_ws("=", x["day"].cast("string"), x["price"].cast("string"))), ";")
+    return got.select("c_custkey", shown.alias("h"))
+
+
+@query(CHANGES + """ SELECT n AS property_id, arg_min(o_custkey, (o_totalprice, o_custkey)) AS o_custkey, min(o_totalprice) AS new_price FROM (SELECT *, o_custkey % 40 AS n, row_number() OVER (PARTITION BY o_custkey
+  ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM c) WHERE rn = 1 AND 1 - o_totalprice / old_price BETWEEN 0.01 AND 0.5 GROUP BY 1""")
+def group_price_drops(spark, sf_dir):
+    """Of each property's members that dropped, the one with the lowest new price."""
+    drops = history.last_drops(changes(spark, sf_dir), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice", F.lit("1900-01-01").cast("timestamp"), "o_orderdate")
+    members = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") % 40).alias("property_id"))
+    return history.group_drops(drops, members, "o_custkey", "o_totalprice").select("property_id", "o_custkey", "new_price")
+
+
+@query("SELECT user_id, max(ts) AS ts FROM events WHERE event_type <> 'error' GROUP BY 1 HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL '2 days'".replace("(SELECT max(ts) FROM events)", "TIMESTAMP '2024-01-30 00:00:00'"))
+def forgotten_sources(spark, sf_dir):
+    """Users not seen for two days are forgotten."""
+    seen = table(spark, sf_dir, "events").filter("event_type <> 'error'").groupBy("user_id").agg(F.max("ts").alias("ts"))
+    return history.forgotten(seen, "ts", F.lit("2024-01-30 00:00:00").cast("timestamp"), 2)
+
+
 DIFF_SQL = "WITH x AS (SELECT 1)" + SNAPSHOTS + """, d AS (SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'new' WHEN a.k IS NULL THEN 'gone' WHEN a.v < b.v THEN 'down' WHEN a.v > b.v THEN 'up' ELSE 'same' END AS status, b.v AS old_value, a.v AS new_value FROM before b FULL JOIN after a ON a.k = b.k)"""
 
 
-@query(DIFF_SQL + " SELECT CAST(k % 20 AS BIGINT) AS source, count_if(status <> 'gone')::BIGINT AS listings, count_if(status = 'new')::BIGINT AS \"new\", count_if(status = 'gone')::BIGINT AS removed, count_if(status = 'down')::BIGINT AS price_down, count_if(status = 'up')::BIGINT AS price_up FROM d GROUP BY ROLLUP (CAST(k % 20 AS BIGINT))")
+@query(DIFF_SQL + " SELECT CAST(k % 20 AS BIGINT) AS source, count_if(status <> 'gone')::BIGINT AS listings, count_if(status = 'new')::BIGINT AS \"new\", count_if(status = 'gone')::BIGINT AS removed, count_if(status = 'down')::BIGINT AS price_down, count_if(status = 'up')::BIGINT AS price_up, count_if(status <> 'gone' AND k % 3 = 1)::BIGINT AS checked FROM d GROUP BY ROLLUP (CAST(k % 20 AS BIGINT))")
 def source_counters(spark, sf_dir):
     diff = history.snapshot_diff(*snapshots(spark, sf_dir), "k", "v").withColumn("source", F.col("k") % 20)
-    return reporting.source_counters(diff, "source")
+    today = F.lit("1998-08-02").cast("date")
+    return reporting.source_counters(diff.withColumn("checked_at", F.when(F.col("k") % 3 == 1, today)), "source", today)
 
 
 @query(DIFF_SQL + " SELECT k, old_value, new_value FROM d WHERE new_value < old_value ORDER BY new_value / old_value, k LIMIT 300")
@@ -269,9 +255,12 @@ def dictionary_encode(spark, sf_dir):
     return gold.dictionary(table(spark, sf_dir, "part").withColumnRenamed("p_name", "value"), "value", "p_partkey").select("value", F.col("code").cast("long").alias("code"))
 
 
-@query()
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN to_json([o_orderstatus, NULL, CASE WHEN o_custkey % 5 = 0 THEN o_orderpriority END])
+    WHEN o_custkey % 5 = 0 THEN to_json([o_orderstatus, o_custkey::VARCHAR, o_orderpriority]) ELSE to_json([o_orderstatus, o_custkey::VARCHAR]) END AS "row" FROM orders""".replace("to_json([o_orderstatus, NULL, CASE WHEN o_custkey % 5 = 0 THEN o_orderpriority END])", "CASE WHEN o_custkey % 5 = 0 THEN to_json([o_orderstatus, NULL, o_orderpriority]) ELSE to_json([o_orderstatus]) END"))
 def sparse_pack(spark, sf_dir):
-    return gold.packed_rows(listings(spark, sf_dir), "ord", ["transaction", "year_built", "price_eur", "area"])
+    """Rows as arrays, the fullest column first, trailing nulls cut."""
+    o = table(spark, sf_dir, "orders").withColumns({"o_orderpriority": F.when(F.col("o_custkey") % 5 == 0, F.col("o_orderpriority")), "o_custkey": F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey"))})
+    return gold.packed_rows(o, "o_orderkey", ["o_orderpriority", "o_custkey", "o_orderstatus"])
 
 
 @query(
@@ -292,14 +281,14 @@ def rotation(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE b AS (SELECT l_suppkey AS site, count(*) AS w, row_number() OVER (ORDER BY count(*), CAST(l_suppkey AS VARCHAR)) AS i, count(*) OVER () AS n FROM lineitem WHERE l_suppkey % 7 = 0 GROUP BY 1),
-  f AS (SELECT site, i, n, least(w, 400, greatest(1, 3000 // n)) AS share, 3000 - least(w, 400, greatest(1, 3000 // n)) AS left_ FROM b WHERE i = 1
-  UNION ALL SELECT b.site, b.i, b.n, greatest(0, least(b.w, 400, greatest(1, f.left_ // (b.n - b.i + 1)), f.left_)), f.left_ - greatest(0, least(b.w, 400, greatest(1, f.left_ // (b.n - b.i + 1)), f.left_)) FROM f JOIN b ON b.i = f.i + 1)
+    """WITH RECURSIVE b AS (SELECT l_suppkey AS site, count(*) AS w, row_number() OVER (ORDER BY count(*), CAST(l_suppkey AS VARCHAR)) AS i, count(*) OVER () AS n FROM lineitem GROUP BY 1),
+  f AS (SELECT site, i, least(w, 700, greatest(1, 50000 // n)) AS share, 50000 - least(w, 700, greatest(1, 50000 // n)) AS left_ FROM b WHERE i = 1
+  UNION ALL SELECT b.site, b.i, least(b.w, 700, greatest(1, f.left_ // (b.n - b.i + 1))), f.left_ - least(b.w, 700, greatest(1, f.left_ // (b.n - b.i + 1))) FROM f JOIN b ON b.i = f.i + 1)
   SELECT CAST(site AS VARCHAR) AS site, CAST(share AS BIGINT) AS share FROM f"""
 )
 def budget_fair_share(spark, sf_dir):
-    backlog = table(spark, sf_dir, "lineitem").filter("l_suppkey % 7 = 0").groupBy(F.col("l_suppkey").cast("string").alias("site")).agg(F.count(F.lit(1)).alias("waiting"))
-    return reporting.fair_share(backlog, 3000, 400)
+    backlog = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("site")).agg(F.count(F.lit(1)).alias("waiting"))
+    return reporting.fair_share(backlog, 50_000, 700)
 
 
 @query("SELECT o_orderkey, (SELECT max(e.o_totalprice) FROM orders e WHERE e.o_custkey = o.o_custkey AND e.o_orderstatus = 'F' AND e.o_orderdate = (SELECT max(x.o_orderdate) FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderstatus = 'F' AND x.o_orderdate <= o.o_orderdate)) AS as_of_price FROM orders o WHERE o_orderstatus = 'O'")

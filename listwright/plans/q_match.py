@@ -86,76 +86,94 @@ def unsent_properties(spark, sf_dir):
 
 @query(
     with_listings(
-        ", ref AS (SELECT n_name AS area, 900.0::DOUBLE + n_nationkey * 20 AS sale FROM nation), d AS (SELECT ord, round_even((price_eur / area_m2 / sale - 1) * 100, 0) AS pct FROM lv JOIN ref USING (area)) SELECT ord, CASE WHEN abs(pct) BETWEEN 10 AND 60 THEN pct END AS delta FROM d"
+        """, ref AS (SELECT n_name AS area, 900.0::DOUBLE + n_nationkey * 20 AS sale, 4.0::DOUBLE + n_nationkey AS rent FROM nation), d AS (SELECT ord, CASE l_partkey % 4 WHEN 0 THEN 'apartment' WHEN 1 THEN 'studio'
+  WHEN 2 THEN 'land' END AS ty, round_even((price_eur / area_m2 / CASE transaction WHEN 'sale' THEN sale WHEN 'rent' THEN rent END - 1) * 100, 0) AS pct FROM lv JOIN ref USING (area))
+  SELECT ord, CASE WHEN ty IN ('apartment', 'studio') AND abs(pct) BETWEEN 10 AND 60 THEN pct END AS delta FROM d"""
     )
 )
 def market_delta(spark, sf_dir):
-    ref = table(spark, sf_dir, "nation").select(F.col("n_name").alias("area"), (900.0 + F.col("n_nationkey") * 20).alias("sale"))
-    return listings(spark, sf_dir).join(ref, "area").select("ord", matching.market_delta(F.col("price_eur"), F.col("area_m2"), F.col("sale")).alias("delta"))
+    ref = table(spark, sf_dir, "nation").select(F.col("n_name").alias("area"), (900.0 + F.col("n_nationkey") * 20).alias("sale"), (4.0 + F.col("n_nationkey")).alias("rent"))
+    k = F.col("l_partkey") % 4
+    type_ = F.when(k == 0, "apartment").when(k == 1, "studio").when(k == 2, "land")
+    got = listings(spark, sf_dir).join(ref, "area")
+    return got.select("ord", matching.market_delta(F.col("price_eur"), F.col("area_m2"), F.col("sale"), F.col("rent"), F.col("transaction"), type_).alias("delta"))
 
 
-PAIRS_SQL = """, b AS (SELECT ord, transaction, source_domain, price_eur, m, price_m2, round_even(m, 0)::BIGINT AS bucket FROM
-    (SELECT ord, transaction, source_domain, price_eur, price_eur / area_m2 AS price_m2, price_eur / 100 AS m FROM lv WHERE transaction IS NOT NULL AND type = 'promo' AND bedrooms = 2)),
+PAIRS_SQL = """, b AS (SELECT *, round_even(m, 0)::BIGINT AS bucket FROM (SELECT ord, transaction, type, bedrooms, source_domain, price_eur / area_m2 AS price_m2, price_eur / 100 AS m FROM lv WHERE transaction IS NOT NULL)),
   pairs AS (SELECT x.ord AS a_ord, y.ord AS b_ord, x.price_m2 AS pa, y.price_m2 AS pb, x.m AS ma, y.m AS mb FROM b x JOIN b y
-    ON x.transaction = y.transaction AND y.bucket BETWEEN x.bucket AND x.bucket + greatest(2, floor(0.015 * x.bucket)::BIGINT) + 1
+    ON x.transaction = y.transaction AND x.type = y.type AND x.bedrooms = y.bedrooms AND y.bucket BETWEEN x.bucket AND x.bucket + greatest(2, floor(0.015 * x.bucket)::BIGINT) + 1
     AND (x.bucket < y.bucket OR x.ord < y.ord) AND x.source_domain <> y.source_domain)"""
+BLOCKED = ["transaction", "type", "bedrooms"]
 
 
 def band_base(spark, sf_dir):
-    df = listings(spark, sf_dir).filter("transaction is not null and type = 'promo' and bedrooms = 2")
-    return df.select("ord", "transaction", "source_domain", "price_eur", (F.col("price_eur") / F.col("area_m2")).alias("price_m2"), (F.col("price_eur") / 100).alias("m"))
+    """All listings with a deal; pairs agree in deal, type and bedrooms."""
+    df = listings(spark, sf_dir).filter("transaction is not null")
+    return df.select("ord", *BLOCKED, "source_domain", (F.col("price_eur") / F.col("area_m2")).alias("price_m2"), (F.col("price_eur") / 100).alias("m"))
 
 
 @query(with_listings(PAIRS_SQL + " SELECT a_ord, b_ord FROM pairs"))
 def band_join_pairs(spark, sf_dir):
-    return grouping.band_pairs(band_base(spark, sf_dir), ["transaction"], "m", "source_domain").select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"))
+    return grouping.band_pairs(band_base(spark, sf_dir), BLOCKED, "m", "source_domain").select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"))
 
 
 @query(with_listings(PAIRS_SQL + " SELECT a_ord, b_ord FROM pairs WHERE abs(pa - pb) <= 0.015 * greatest(pa, pb) AND abs(ma - mb) <= greatest(1.0, 0.015 * greatest(ma, mb))"))
 def band_join_close(spark, sf_dir):
-    p = grouping.band_pairs(band_base(spark, sf_dir), ["transaction"], "m", "source_domain")
+    p = grouping.band_pairs(band_base(spark, sf_dir), BLOCKED, "m", "source_domain", price="price_m2")
     near = close(F.col("a.price_m2"), F.col("b.price_m2"), 0.015) & close(F.col("a.m"), F.col("b.m"), 0.015, 1.0)
     return p.filter(near).select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"))
 
 
-EVIDENCE_SQL = (
-    with_listings(
-        """, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, source_domain ORDER BY ord) AS rn FROM lv WHERE transaction IS NOT NULL) WHERE rn = 1)
+_KM = "sqrt(power(x.lat - y.lat, 2) + power((x.lon - y.lon) * 0.76, 2)) * 111"
+EVIDENCE_SQL = with_listings(
+    f""", b AS (SELECT *, l_suppkey % 3 > 0 AS own, title || CASE WHEN l_suppkey % 2 = 0 THEN ' in the same words' ELSE '' END AS said, CASE WHEN l_suppkey % 4 > 0 THEN 'n' || (l_orderkey_ % 3) END AS nb,
+    ['w' || (l_suppkey % 10), 'v' || (l_partkey % 7)] AS rare FROM (SELECT *, o_orderkey AS l_orderkey_ FROM lv) WHERE transaction IS NOT NULL)
   SELECT x.ord AS a_ord, y.ord AS b_ord,
    (CASE WHEN x.floor = y.floor THEN 2 ELSE 0 END + CASE WHEN x.bedrooms = y.bedrooms THEN 1 ELSE 0 END + CASE WHEN abs(x.year_built - y.year_built) <= 1 THEN 2 ELSE 0 END
-   + CASE WHEN sqrt(power(x.lat - y.lat, 2) + power((x.lon - y.lon) * 0.76, 2)) * 111 <= 0.25 THEN 2 ELSE 0 END
+   + CASE WHEN x.own AND y.own AND {_KM} <= 0.25 THEN 2 ELSE 0 END
+   + CASE WHEN x.said = y.said AND length(x.said) >= 30 THEN 2 ELSE 0 END + CASE WHEN x.nb = y.nb THEN 1 ELSE 0 END + CASE WHEN list_has_any(x.rare, y.rare) THEN 1 ELSE 0 END
    + CASE WHEN x.price_eur = y.price_eur AND fmod(x.price_eur, CASE WHEN x.transaction = 'rent' THEN 10 ELSE 1000 END) <> 0 THEN 1 ELSE 0 END
    + CASE WHEN x.area_m2 = y.area_m2 AND fmod(x.area_m2, 5) <> 0 THEN 1 ELSE 0 END)::INTEGER AS points
   FROM b x JOIN b y ON x.l_partkey = y.l_partkey AND x.transaction = y.transaction AND x.source_domain <> y.source_domain
     AND y.area_m2 BETWEEN x.area_m2 AND x.area_m2 + 3 AND (x.area_m2 < y.area_m2 OR x.ord < y.ord)
-  WHERE NOT (sqrt(power(x.lat - y.lat, 2) + power((x.lon - y.lon) * 0.76, 2)) * 111 > 2.5)"""
-    )
+  WHERE NOT coalesce(x.own AND y.own AND {_KM} > 2.5, FALSE)"""
 )
 
 
 @query(EVIDENCE_SQL)
 def pair_evidence(spark, sf_dir):
-    df = listings(spark, sf_dir).filter("transaction is not null").withColumns({"neighbourhood": F.lit(None).cast("string"), "rare_words": F.array().cast("array<string>"), "title": F.lit("")})
-    from pyspark.sql.window import Window
-
-    one = Window.partitionBy("l_partkey", "source_domain").orderBy("ord")
-    df = grouping.prepared(df.withColumn("rn", F.row_number().over(one)).filter("rn = 1").drop("rn"))
+    """All pairs of one part's listings with their points, unless their own points on the map contradict."""
+    c = F.col
+    df = listings(spark, sf_dir).filter("transaction is not null").withColumns(
+        {
+            "title": F.concat("title", F.when(c("l_suppkey") % 2 == 0, " in the same words").otherwise("")), "map_lat": c("lat"), "map_lon": c("lon"),
+            "geo": F.when(c("l_suppkey") % 3 > 0, "site").otherwise("area"), "neighbourhood": F.when(c("l_suppkey") % 4 > 0, F.concat(F.lit("n"), c("o_orderkey") % 3)),
+            "rare_words": F.array(F.concat(F.lit("w"), c("l_suppkey") % 10), F.concat(F.lit("v"), c("l_partkey") % 7)),
+        }
+    )
+    df = grouping.prepared(df)
     pairs = grouping.band_pairs(df, ["l_partkey", "transaction"], "area_m2", "source_domain")
     a, b = F.col("a"), F.col("b")
-    return pairs.filter(~grouping.contradicts(a.dropFields("floor_key", "bedrooms_key", "year_key").withField("floor_key", F.lit(None).cast("string")).withField("bedrooms_key", F.lit(None).cast("string")).withField("year_key", F.lit(None).cast("int")), b)).select(
-        F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), grouping.evidence(a, b).alias("points")
-    )
+    # One part's listings agree in floor, bedrooms and year; the map point is what can contradict.
+    return pairs.filter(~grouping.contradicts(a, b)).select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), grouping.evidence(a, b).alias("points"))
 
 
 @query()
 def constrained_groups(spark, sf_dir):
-    df = listings(spark, sf_dir).withColumn("neighbourhood", F.lit(None).cast("string"))
+    df = listings(spark, sf_dir).withColumns({"neighbourhood": F.lit(None).cast("string"), "location_raw": F.col("location"), "map_lat": F.col("lat"), "map_lon": F.col("lon"), "geo": F.lit("site")})
     return grouping.grouped(df).select("ord", "property_id", "group_size")
 
 
-@query("WITH RECURSIVE e AS (SELECT l_suppkey AS a, l_partkey % 100 + 1000 AS b FROM lineitem WHERE l_orderkey % 401 = 0 UNION SELECT l_partkey % 100 + 1000, l_suppkey FROM lineitem WHERE l_orderkey % 401 = 0), r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a) SELECT node, min(seen) AS component FROM r GROUP BY 1")
+@query("""WITH g AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component, dense_rank() OVER (ORDER BY c_nationkey, c_mktsegment) AS i FROM customer)
+  SELECT c_custkey AS node, component FROM g UNION ALL SELECT DISTINCT 20000000 + c_nationkey * 100 + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3 WHEN 'HOUSEHOLD' THEN 4 ELSE 5 END, component FROM g JOIN customer USING (c_custkey)
+  UNION ALL SELECT 10000000 + o_orderkey, component FROM orders JOIN g ON o_custkey = c_custkey""")
 def connected_components(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").filter("l_orderkey % 401 = 0").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100 + 1000).alias("b"))
+    """Orders hang on customers, customers on their nation's segment."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    segment = F.when(F.col("c_mktsegment") == "AUTOMOBILE", 1).when(F.col("c_mktsegment") == "BUILDING", 2).when(F.col("c_mktsegment") == "FURNITURE", 3).when(F.col("c_mktsegment") == "HOUSEHOLD", 4).otherwise(5)
+    edges = o.select((10_000_000 + F.col("o_orderkey")).alias("a"), F.col("o_custkey").alias("b")).unionByName(
+        c.select(F.col("c_custkey").alias("a"), (20_000_000 + F.col("c_nationkey") * 100 + segment).cast("long").alias("b"))
+    )
     return grouping.connected(edges).select("node", "component")
 
 
@@ -209,8 +227,8 @@ def _edges_sql() -> str:
   SELECT k, arg_min(id, (official, size, id)) AS area_id FROM held JOIN size USING (id) GROUP BY k"""
 )
 def point_in_polygon(spark, sf_dir):
-    rows = [(n, o, [[{"lat": y, "lon": x} for y, x in ring] for ring in rings]) for n, o, rings in AREAS]
-    areas = spark.createDataFrame(rows, "id string, official boolean, rings array<array<struct<lat: double, lon: double>>>")
+    rows = [(n, o, [[[{"lat": y, "lon": x} for y, x in ring] for ring in rings]]) for n, o, rings in AREAS]
+    areas = spark.createDataFrame(rows, "id string, official boolean, polygons array<array<array<struct<lat: double, lon: double>>>>")
     return spatial.containing_area(points(spark, sf_dir), areas, "k")
 
 
@@ -232,9 +250,19 @@ def analogs(spark, sf_dir):
     return spatial.analog_counts(table(spark, sf_dir, "part"), ["p_brand"], "p_partkey", "p_size").select(F.col("p_partkey").alias("k"), "analogs")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 12 THEN NULL ELSE p_size::DOUBLE END AS code, CASE WHEN p_size > 12 THEN NULL ELSE p_size::DOUBLE END AS level, p_size::VARCHAR AS digits FROM part")
+FLOORS = ("ημιυπόγειο", "Υπόγειο", "ημιόροφος", "υπερυψωμένο", "Ισόγειο", "3ος", "75", "-3", "", "x 4", "7")
+FLOOR_VALUES = {"code": (-1, -2, 0.5, 0.5, 0, 3, None, -2, None, None, 7), "level": (-1, -2, 0.5, 0.5, 0, 3, None, -2, None, None, 7), "digits": ("-1", "-1", None, "0", "0", "3", "75", "-3", None, "4", "7")}
+
+
+def _nth(values, kind: str) -> str:
+    shown = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return "CASE p_partkey % 11 " + " ".join(f"WHEN {i} THEN {shown(v)}" for i, v in enumerate(values)) + f" END::{kind}"
+
+
+@query(f"SELECT p_partkey, {_nth(FLOOR_VALUES['code'], 'DOUBLE')} AS code, {_nth(FLOOR_VALUES['level'], 'DOUBLE')} AS level, {_nth(FLOOR_VALUES['digits'], 'VARCHAR')} AS digits FROM part")
 def floor_readings(spark, sf_dir):
-    f = F.col("p_size").cast("string")
+    """Three readings of a floor, from words and numbers."""
+    f = F.get(F.array(*[F.lit(x) for x in FLOORS]), (F.col("p_partkey") % 11).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", floors.floor_code(f).alias("code"), floors.floor_level(f).alias("level"), floors.floor_digits(f).alias("digits"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from listwright.plans.catalog import query, table
@@ -9,23 +11,46 @@ from listwright.sources.shared import shared_dir
 from listwright.streaming import jobs
 
 
-def stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+#: Files that the events are dealt to, one micro-batch each, and the rows that come a file late.
+FILES, LATE = 3, 50
+_LANDED: dict[tuple[str, str, bool], str] = {}
+
+
+def landed(spark, sf_dir, late: bool) -> str:
+    """A folder of event files in time order; with ``late``, one event in so many comes with the next file."""
+    key = (spark.sparkContext.applicationId, sf_dir, late)
+    if key not in _LANDED:
+        events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+        first, last = events.agg(F.min("ts"), F.max("ts")).first()
+        step = (last - first) / FILES
+        part = F.least(F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) / F.lit(step.total_seconds() * 1e6)), F.lit(FILES - 1))
+        if late:
+            part = F.least(part + (F.col("event_id") % LATE == 7).cast("int"), F.lit(FILES - 1))
+        path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+        for k in range(FILES):  # a job each, so that files' times follow one another
+            events.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
+def stream(spark, sf_dir, late=True):
+    path = landed(spark, sf_dir, late)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def ended(spark, df, mode="complete"):
-    return jobs.run_to_table(df, f"{shared_dir(spark)}/streams", mode)
+def ended(spark, df, mode="complete", keys=()):
+    return jobs.run_to_table(df, f"{shared_dir(spark)}/streams", mode, keys=keys)
 
 
 @query("SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY 1")
 def seen_stream(spark, sf_dir):
-    return ended(spark, jobs.seen_stream(stream(spark, sf_dir), "user_id", "ts"))
+    return ended(spark, jobs.seen_stream(stream(spark, sf_dir), "user_id", "ts"), "update", ["user_id"])
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS w, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_window(spark, sf_dir):
-    got = ended(spark, jobs.tumbling(stream(spark, sf_dir), "ts", "1 hour", "2 hours", "event_type"))
+    """Windows are updated batch by batch and leave the state once no event can be late enough."""
+    got = ended(spark, jobs.tumbling(stream(spark, sf_dir), "ts", "1 hour", "21 days", "event_type"), "update", ["window", "event_type"])
     return got.select(F.col("window.start").alias("w"), "event_type", "n")
 
 
@@ -49,7 +74,7 @@ def dedup_watermark(spark, sf_dir):
 
 @query("SELECT * FROM (SELECT user_id AS key, ts AS at, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_value, value AS new_value FROM events) WHERE new_value IS DISTINCT FROM old_value")
 def price_change_stream(spark, sf_dir):
-    return ended(spark, jobs.price_changes(stream(spark, sf_dir), "user_id", "ts", "value"), "append")
+    return ended(spark, jobs.price_changes(stream(spark, sf_dir, late=False), "user_id", "ts", "value"), "append")
 
 
 @query("SELECT max(ts) AS newest, TRUE AS fresh FROM events")

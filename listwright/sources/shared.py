@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +24,17 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """``checkpoint()`` writes to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends there, and its size is known.
+
+    Small tables are then broadcast by their file size, so the large side of a join isn't shuffled. The
+    files go when the driver's JVM ends; until then lost executors can't lose them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/listwright-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

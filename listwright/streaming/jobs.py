@@ -6,8 +6,9 @@ Each returns a streaming DataFrame; ``run_to_table`` drives one to its end and g
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,18 +35,20 @@ def deduplicated(events: DataFrame, at: str, late: str, *keys: str) -> DataFrame
 
 def price_changes(events: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """(key, at, old, new) whenever a key's value differs from its last one."""
+    import numpy as np
     import pandas as pd
 
     def run(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values([at, "event_id"], kind="stable")
-        out = []
-        for t, v in zip(rows[at], rows[value], strict=True):
-            if last is None or v != last:
-                out.append((k[0], t, last, v))
-            last = v
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["key", "at", "old_value", "new_value"]).astype({"old_value": "float64"})
+        # Only times and values of a key's rows in one micro-batch are held; maxFilesPerTrigger bounds them.
+        got = [(f[at].to_numpy(), f["event_id"].to_numpy(), f[value].to_numpy()) for f in frames]
+        times, ids, values = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((ids, times))
+        times, values = times[order], values[order]
+        before = np.r_[np.nan if last is None else last, values[:-1]]
+        moved = values != before
+        state.update((float(values[-1]),))
+        yield pd.DataFrame({"key": k[0], "at": times[moved], "old_value": before[moved], "new_value": values[moved]})
 
     return events.groupBy(key).applyInPandasWithState(run, "key long, at timestamp, old_value double, new_value double", "last double", "append", "NoTimeout")
 
@@ -55,35 +58,64 @@ def watched(latest: DataFrame, now: Column, grace_hours: int, at: str) -> DataFr
     return latest.agg(F.max(at).alias("newest")).select("newest", (F.col("newest") >= now - F.expr(f"INTERVAL {grace_hours} HOURS")).alias("fresh"))
 
 
-def deliver_once(spark: SparkSession, alerts: DataFrame, sent_path: str, checkpoint: str, deliver: Callable[[list], bool]) -> None:
+#: The sent set is stored by this many buckets of its key; a batch reads only the buckets it touches.
+SENT_BUCKETS = 64
+
+
+def sent_bucket(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(SENT_BUCKETS)).cast("int")
+
+
+def deliver_once(spark: SparkSession, alerts: DataFrame, sent_path: str, checkpoint: str, deliver: Callable[[Iterator[dict]], bool]) -> None:
     """Batches of alerts whose keys weren't sent; keys are kept only if the whole batch was delivered.
 
-    A batch that fails raises, so the stream's checkpoint doesn't pass it.
+    ``deliver`` gets each partition's rows where they are and says whether all went out; nothing but one
+    verdict a partition comes to the driver. A batch with a failed part raises, so the stream's
+    checkpoint doesn't pass it. The sent set is partitioned by a bucket of the key.
     """
 
+    def parts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ok, n = True, 0
+        for frame in frames:
+            rows = frame.to_pylist()
+            n += len(rows)
+            ok = bool(deliver(iter(rows))) and ok
+        yield pa.RecordBatch.from_arrays([pa.array([ok]), pa.array([n], pa.int64())], names=["ok", "n"])
+
     def batch(df: DataFrame, _: int) -> None:
-        sent = spark.read.schema("url string").parquet(sent_path)
-        fresh = df.join(sent, "url", "left_anti").dropDuplicates(["url"]).persist()
+        keyed = df.withColumn("bucket", sent_bucket(F.col("url")))
+        touched = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # at most SENT_BUCKETS
+        sent = spark.read.schema("url string, bucket int").parquet(sent_path).filter(F.col("bucket").isin(*touched) if touched else F.lit(False))
+        fresh = keyed.join(sent, ["bucket", "url"], "left_anti").dropDuplicates(["bucket", "url"]).persist()
         try:
-            if not deliver(fresh.collect()):
+            verdict = fresh.drop("bucket").mapInArrow(parts, "ok boolean, n long").agg(F.bool_and("ok").alias("ok")).first()
+            if verdict is not None and verdict["ok"] is False:
                 raise RuntimeError("not all messages were delivered")
-            fresh.select("url").write.mode("append").parquet(sent_path)
+            fresh.select("url", "bucket").write.mode("append").partitionBy("bucket").parquet(sent_path)
         finally:
             fresh.unpersist()
 
     alerts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_to_table(df: DataFrame, folder: str, mode: str = "complete", timeout: int = 600) -> DataFrame:
+def prime_sent(urls: DataFrame, sent_path: str) -> None:
+    """A first run's state: everything there is counts as sent, and nothing is."""
+    urls.select("url").distinct().withColumn("bucket", sent_bucket(F.col("url"))).write.partitionBy("bucket").parquet(sent_path)
+
+
+def run_to_table(df: DataFrame, folder: str, mode: str = "complete", timeout: int = 600, keys: Sequence[str] = ()) -> DataFrame:
     """Runs a stream over what is there, into a table, and gives the table.
 
-    Append mode writes Parquet; other modes replace the table with each batch's result.
+    Append mode writes Parquet; complete mode replaces the table with each batch's result; update mode
+    appends each batch's changed rows, of which the last of each of ``keys`` counts.
     """
     spark = df.sparkSession
     name = f"{folder}/{uuid.uuid4().hex}"
     writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{name}/checkpoint")
     if mode == "append":
         query = writer.format("parquet").start(f"{name}/out")
+    elif mode == "update":
+        query = writer.foreachBatch(lambda b, i: b.withColumn("batch_", F.lit(i).cast("long")).write.mode("append").parquet(f"{name}/out")).start()
     else:
         query = writer.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{name}/out")).start()
     try:
@@ -91,4 +123,8 @@ def run_to_table(df: DataFrame, folder: str, mode: str = "complete", timeout: in
             raise TimeoutError("the stream didn't end")
     finally:
         query.stop()
-    return spark.read.parquet(f"{name}/out")
+    out = spark.read.parquet(f"{name}/out")
+    if mode != "update":
+        return out
+    last = out.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "batch_").alias("x"))
+    return last.select("x.*")

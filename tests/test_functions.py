@@ -30,8 +30,8 @@ def test_names_and_latin(spark):
 
 
 def test_urls(spark):
-    got = values(spark, ["https://A.gr/x/?utm_source=a&b=1#c", "https://a.gr/x/?fbclid=9", "http://a.gr/x///"], text.url_key)
-    assert got == ["https://a.gr/x/&b=1", "https://a.gr/x", "http://a.gr/x"]
+    urls = ["https://A.gr/x/?utm_source=a&b=1#c", "https://a.gr/x/?fbclid=9", "http://a.gr/x///", "http://a.gr/p?utm_x=a&id=5", "http://a.gr/p?id=5&LANG=el&sr=2", "http://a.gr/p?a=1&gclid=3&b=2"]
+    assert values(spark, urls, text.url_key) == ["https://a.gr/x/?b=1", "https://a.gr/x", "http://a.gr/x", "http://a.gr/p?id=5", "http://a.gr/p?id=5&sr=2", "http://a.gr/p?a=1&b=2"]
     assert values(spark, ["https://www.A.gr:80/x", "//b.gr/", "c"], text.host) == ["a.gr", "b.gr", ""]
     assert values(spark, ["a+b%20c", "bad%zz"], text.unquote) == ["a+b c", "bad%zz"]
 
@@ -42,11 +42,24 @@ def test_html(spark):
     page = '<meta content="T &amp; U" property="og:title"><meta name="description" content="D">'
     assert values(spark, [page], lambda c: F.concat_ws("|", text.meta(c, "og:title"), text.meta(c, "description"))) == ["T & U|D"]
     assert values(spark, ["a😀"], text.utf16_length) == [3]
+    assert values(spark, ["&alpha;&#8364;&amp;lt;", None, "x"], text.unescape_all) == ["α€&lt;", None, "x"]
+    body = "<nav>a</nav>b<div class='side menu-x'>c</div>d<FORM>e</form>"
+    assert values(spark, [body], lambda c: F.replace(text.without_boilerplate(c), F.lit(" "), F.lit(""))) == ["bd"]
+    page = "<a href='/x#y'>1</a><a href=\"z?q=1&amp;r\">2</a><a href='//b.gr/'>3</a><a href='mailto:q'>4</a>"
+    assert values(spark, [page], lambda c: text.links(c, F.lit("https://a.gr/d/e"))) == [["https://a.gr/x", "https://a.gr/d/z?q=1&r", "https://b.gr/"]]
+    under = "<title>Nice flat, Centre | Agency</title><h1>Nice flat, Centre</h1><p>120.000 €</p><span>Region - Town, Quarter</span>"
+    assert values(spark, [under], lambda c: text.place_under_heading(c, F.lit("Nice flat, Centre | Agency"))) == ["Region - Town, Quarter"]
 
 
 def test_numbers(spark):
     inputs = ["1.234,5", "1,234.5", "37,5", "1.234", "12", "x", "", "€ 1.250.000", "-3,5"]
     assert values(spark, inputs, numbers.locale_number) == [1234.5, 1234.5, 37.5, 1234.0, 12.0, None, None, 1250000.0, -3.5]
+    odd = ["72.000", "72,000", "37,5", "1.234,5", "€ 1.946 / τ.μ.", "90,68", "from 77.000 €", "1'250 000"]
+    assert values(spark, odd, numbers.card_number) == [72000.0, 72000.0, 37.5, None, None, 90.68, 77000.0, 1250000.0]
+    assert values(spark, odd, numbers.portal_number) == [72000.0, 72.0, 37.5, 1234.5, None, 90.68, 77000.0, 1250000.0]
+    assert values(spark, odd, numbers.listed_number)[5:7] == [90.68, 77000.0]
+    assert values(spark, odd, numbers.profile_money)[6] == 77000.0 and values(spark, odd, numbers.post_number)[7] == 1250000.0
+    assert values(spark, ["1.234,5", "1,234.5", "37,5", "1 250", "x"], numbers.page_number) == [1234.5, 1234.5, 37.5, 1250.0, None]
     assert values(spark, [2.5, 3.5], lambda c: numbers.per_unit(c, F.lit(1.0)), "double") == [2, 4]
     assert values(spark, [1234567.9], numbers.money, "double") == ["1 234 567"]
     assert values(spark, [0, 139, 141, 99999], lambda c: numbers.recheck_budget(c, 500, 7), "int") == [10, 10, 11, 500]
@@ -58,7 +71,13 @@ def test_dates(spark):
     inputs = ["2026-02-30", "2026-02-28T10:00", "3/4/2025", "03-04-25", "1/1/2009", "2026-05-03", "2026-05-02", ""]
     expected = [None, dt.date(2026, 2, 28), dt.date(2025, 4, 3), dt.date(2025, 4, 3), None, None, dt.date(2026, 5, 2), None]
     assert values(spark, inputs, lambda c: dates.parse_day(c, today)) == expected
-    assert values(spark, ["3 days ago", "2 Weeks ago", "5 hours ago", "soon"], lambda c: dates.relative_day(c, today)) == [dt.date(2026, 4, 28), dt.date(2026, 4, 17), dt.date(2026, 5, 1), None]
+    said = ["3 days ago", "2 Weeks ago", "5 hours ago", "30 hours ago", "Πριν 30 ώρες", "πριν από 2 μήνες", "Μόλις", "12/09/2025", "31/02/2026", "soon"]
+    card = [dt.date(2026, 4, 28), dt.date(2026, 4, 17), dt.date(2026, 5, 1), dt.date(2026, 4, 30), dt.date(2026, 4, 30), dt.date(2026, 3, 2), dt.date(2026, 5, 1), dt.date(2025, 9, 12), None, None]
+    assert values(spark, said, lambda c: dates.relative_day(c, today)) == card
+    assert values(spark, said[3:6], lambda c: dates.relative_day(c, today, whole_hours=False)) == [dt.date(2026, 5, 1), dt.date(2026, 5, 1), dt.date(2026, 3, 2)]
+    page = '<script type="application/ld+json">{"datePosted": "2026-01-02"}</script><meta property="og:updated_time" content="2026-02-03T04:05">'
+    days = values(spark, [page], lambda c: dates.page_days(c, F.lit("Published: 1/1/2026 Last updated: 9/3/2026"), today))[0]
+    assert (days.published, days.updated, days.source) == (dt.date(2026, 1, 2), dt.date(2026, 2, 3), "jsonld+meta+text")
     assert values(spark, [1802210400], dates.epoch_day, "long") == [dt.date(2027, 2, 10)]
 
 
@@ -86,6 +105,22 @@ def test_rules(spark):
     assert values(spark, ["flat in veria", "veria 12", "veria 12 and kilkis", "none"], guarded) == [True, False, True, False]
 
 
+def test_deals_and_types(spark):
+    words = ["flat for rent or for sale", "for sale", "προσ ενοικιαση", "x", "x"]
+    rows = list(zip(words, [None, "rent", None, "sale", None], [50_000.0, 1.0, None, 5.0, 9_999.0], strict=True))
+    df = spark.createDataFrame(rows, "w string, f string, p double").coalesce(1)
+    assert [r.y for r in df.select(rules.transaction_of(F.col("w"), F.col("f"), F.col("p")).alias("y")).collect()] == ["rent", "sale", "rent", "sale", "rent"]
+    titles = ["μεσιτικο γραφειο αλφα | σπιτι", "γραφειο 50 τμ", "x"]
+    assert values(spark, titles, lambda c: rules.type_of(c, F.lit(None).cast("string"), F.lit("/oikopedo/"))) == ["land", "office", "land"]
+    assert values(spark, ["x"], lambda c: rules.type_of(c, F.lit("anything"), F.lit("/oikopedo/"))) == ["anything"]
+
+
+def test_points_in_scripts(spark):
+    pages = ["new LatLng( 40.6301 , 22.9512 )", "var lat = 50.1234; lng: 8.1234; data-lat='40.5' data-lat=\"40.5111\" data-lng='22.9111'", "none"]
+    got = values(spark, pages, geo.script_point)
+    assert [(p.lat, p.lon) if p else None for p in got] == [(40.6301, 22.9512), (40.5111, 22.9111), None]
+
+
 def test_geometry(spark):
     ring = F.array(*[F.struct(F.lit(float(y)).alias("lat"), F.lit(float(x)).alias("lon")) for y, x in ((0, 0), (0, 4), (4, 4), (4, 0))])
     hole = F.array(*[F.struct(F.lit(float(y)).alias("lat"), F.lit(float(x)).alias("lon")) for y, x in ((1, 1), (1, 2), (2, 2), (2, 1))])

@@ -10,7 +10,7 @@ becomes ``<\\|``; in roles a line feed gets a backslash too. So ``<|`` never sta
 and ``parse`` reads everything back from the output alone. Texts under the loss mask are the
 assistant's, without their marks.
 
-Defined results: null text and null role count as empty; turns go by turn number (null first), ties
+Defined results: null text and null role count as empty; very long texts are formatted whole; turns go by turn number (null first), ties
 by role, then text; repeated rows are turns each; a null conv_id is one conversation; an empty table
 gives an empty table. Only the named columns are read. A conversation's turns meet in one row, as
 the output is one string per conversation; rows are pre-sorted by no one and need not be.
@@ -51,13 +51,18 @@ def visit(parts: Column) -> Column:
             rate = F.when(p["type"] == name, F.lit(each)).otherwise(rate)
         return (rate * F.coalesce(p["amount"], F.lit(1))).cast("long")
 
-    def content(p: Column, i: Column) -> Column:
-        earlier = F.size(F.filter(F.slice(parts, F.lit(1), i), lambda q: q["type"].isin(*EXPANSION)))
-        mark = F.concat(F.lit("<|"), p["type"], F.lit(":"), (earlier + 1).cast("string"), F.lit("|>"))
-        return F.when(p["type"].isin(*EXPANSION), mark).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
+    def joined(seen: Column) -> Column:
+        """``seen`` has the number of attachments before each part."""
 
+        def content(p: Column, before_: Column) -> Column:
+            mark = F.concat(F.lit("<|"), p["type"], F.lit(":"), (before_ + 1).cast("string"), F.lit("|>"))
+            return F.when(p["type"].isin(*EXPANSION), mark).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
+
+        return F.array_join(F.zip_with(parts, seen, content), "")
+
+    counts = F.transform(parts, lambda p: F.coalesce(p["type"].isin(*EXPANSION), F.lit(False)).cast("long"))
     return F.struct(
-        F.array_join(F.transform(parts, content), "").alias("content"),
+        let(before(counts), joined).alias("content"),
         F.transform(typed, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens"))).alias("attachments"),
     )
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listwright.sources.shared import shared_dir, written
+
+__all__ = ["shared_dir", "written"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -43,34 +45,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session, whose executors are threads of the driver, may leave it unset.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='listwright-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there, and its size is known.
-
-    The files go when the driver's JVM ends; until then lost executors can't lose them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/listwright-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -83,6 +57,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(spark: SparkSession, amount: int, each: int) -> int:
+    """Tasks for so much work, so that none grows with the input; not fewer than the session's partitions."""
+    return max(partitions(spark), -(-amount // each), 1)
+
+
+#: A key is hot when it holds more rows than this, or than its share of all rows below.
+HOT_ROWS, MOST_HOT = 64, 10_000
+
+
+def split_join(big: DataFrame, key: str, small: DataFrame, small_key: str, rows: str, total: int) -> DataFrame:
+    """Inner join on a key that one row of ``small`` has; hot keys never meet in one task.
+
+    ``rows`` counts ``big``'s rows of the key, ``total`` all of them. Keys with more than
+    ``2 * total / MOST_HOT`` rows can't be more than ``MOST_HOT``: that bounds their table, which is
+    broadcast, so their rows of ``big`` stay where they are. The others are joined by a shuffle, in which
+    a key brings few rows.
+    """
+    most = max(HOT_ROWS, 2 * total // MOST_HOT)
+    hot = small.filter(F.col(rows) > most).select(F.col(small_key).alias("hot_key_"))
+    marked = big.join(F.broadcast(hot), F.col(key) == F.col("hot_key_"), "left")
+    few = marked.filter("hot_key_ is null").drop("hot_key_").join(small.filter(F.col(rows) <= most), F.col(key) == F.col(small_key))
+    many = marked.filter("hot_key_ is not null").drop("hot_key_").join(F.broadcast(small.filter(F.col(rows) > most)), F.col(key) == F.col(small_key))
+    return few.unionByName(many)
+
+
 def before(lengths: Column, block: int = 256) -> Column:
     """For each element of an array of longs, the sum of those before it.
 

@@ -4,14 +4,15 @@ Strong patterns (assignments, access keys, hex runs) are reported wherever they
 (account names, short secrets, endpoints) are reported only when a complementary part starts within
 ``SCOPE`` characters of the same text: an identifier needs a secret, a secret an identifier or
 endpoint, an endpoint both. Only texts with a weak part enter that interval join, which is a range
-window over one text's sorted parts, so it emits no pairs and a crowded text costs its own length
-times a logarithm. Spans count code points, ends excluded.
+window over one text's sorted parts, so it emits no pairs; what travels is the row's number and one
+span, so a crowded text costs the number of its spans times a logarithm. Spans count code points, ends
+excluded.
 
 A pattern's places come from splitting the text by it: what lies between the matches and the matches
 themselves add up to their starts. Texts without the pattern are only tested for it.
 
 Defined results: a null or empty text has no spans, and the digest of no spans is that of the empty
-string. Repeated rows are scanned each, an empty table gives an empty table, ties in start go by
+string. Very long texts are scanned whole, in one row. Repeated rows are scanned each, an empty table gives an empty table, ties in start go by
 kind as listed. Only ``doc_id`` and ``text`` are read.
 """
 
@@ -83,7 +84,7 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     found = written(found, "spans")
     plain = found.filter(F.size("weak") == 0).select("doc_id", "base", F.col("base").alias("all"))
-    parts = found.filter(F.size("weak") > 0).select("doc_id", "row", "base", F.explode(F.concat("base", "weak")).alias("x"))
+    parts = found.filter(F.size("weak") > 0).select("doc_id", "row", F.explode(F.concat("base", "weak")).alias("x"))
     role = F.get(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("x.k"))
     near = Window.partitionBy("row").orderBy("x.s").rangeBetween(-SCOPE, SCOPE)
 
@@ -99,8 +100,8 @@ def scan(docs: DataFrame) -> DataFrame:
     joined = (
         parts.withColumn("linked", linked)
         .groupBy("row")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("base").alias("base"), F.collect_list(F.when(F.col("linked"), F.col("x"))).alias("all"))
-        .select("doc_id", "base", F.sort_array("all").alias("all"))
+        .agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.when(F.col("linked"), F.col("x")))).alias("all"))
+        .select("doc_id", F.filter("all", lambda x: x["k"] < len(BASE)).alias("base"), "all")
     )
     return plain.unionByName(joined)
 

@@ -5,11 +5,12 @@ from them, one of accepted and one of rejected URLs: a character follows the two
 these were seen, else the one before it, else none (Witten-Bell interpolation). Characters fall into
 32 classes, so a model is a table of at most 32,768 log-ratios whatever the input. A URL's score is
 its mean log-ratio per character; the threshold is the one that best separates held-out examples.
-Everything is native; the table of log-ratios, bounded by the alphabet, is broadcast to the URLs'
-windows, whose mean is one row a URL before it is shuffled; the threshold is a scalar subquery.
+Everything is native; the log-ratios, a fixed number of them, and the threshold are constants of the
+expression that scores a URL in its own row: nothing is exploded, sorted or shuffled after the model.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no rule and
-scores 0. Where no example of one side exists, the method allows. Repeated rows get equal verdicts,
+scores 0. Very long URLs are scored whole. Where no example of one side exists, the method allows; a
+score equal to the threshold is allowed. Repeated rows get equal verdicts,
 an empty table gives an empty table. Only ``page_id`` and ``url`` are read.
 """
 
@@ -112,21 +113,22 @@ def train(examples: DataFrame) -> DataFrame:
     return full.select(F.col("code").cast("int").alias("code"), ratio.alias("ratio"))
 
 
-def score(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """``urls`` with the mean log-ratio of their ``windows``; 0 for none.
+def constant(model: DataFrame) -> Column:
+    """The log-ratios by window number as one constant array: their number is fixed by the alphabet."""
+    ratios = [0.0] * SYMBOLS ** (ORDER + 1)
+    for r in model.collect():
+        ratios[r["code"]] = r["ratio"]
+    return F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
 
-    The model's size is bounded by the alphabet, so it is broadcast; a URL's windows stay in one
-    task, so each URL is one row when it is shuffled.
-    """
-    kept = [c for c in urls.columns if c != "windows"]
-    single = urls.withColumn("row", F.monotonically_increasing_id())
-    each = single.select("row", *kept, F.explode_outer("windows").alias("w"))
-    ratios = F.broadcast(model.select("code", "ratio"))
-    found = each.join(ratios, each["w"] == ratios["code"], "left")
-    means = found.groupBy("row").agg(
-        *[F.first(c).alias(c) for c in kept], F.round(F.coalesce(F.avg("ratio"), F.lit(0.0)), 9).alias("score")
-    )
-    return means.drop("row")
+
+def score(windows: Column, ratios: Column) -> Column:
+    """The mean log-ratio of a URL's windows, added up in order; 0 for none."""
+
+    def mean(ws: Column) -> Column:
+        total = F.aggregate(ws, F.lit(0.0), lambda acc, w: acc + F.get(ratios, w))
+        return F.round(F.when(F.size(ws) > 0, total / F.size(ws)).otherwise(F.lit(0.0)), 9)
+
+    return let(windows, mean)
 
 
 def threshold(scored: DataFrame) -> DataFrame:
@@ -154,11 +156,12 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         (F.col("by_rule.verdict") == "allow").alias("accepted"),
         F.pmod(F.xxhash64("host", "path"), F.lit(HELD_OUT)).alias("fold"),
     )
-    model = written(train(known.filter("fold > 0")), "url-model")
-    held = score(known.filter("fold = 0").select("windows", "accepted"), model)
-    # Without examples of both sides the threshold is null, and the method allows.
-    least = written(threshold(held), "url-threshold").select(F.when(F.col("grade").isNotNull(), F.col("least"))).scalar()
-    scored = score(split.withColumn("windows", _windows(F.col("host"), F.col("path"))), model)
+    ratios = constant(written(train(known.filter("fold > 0")), "url-model"))
+    held = known.filter("fold = 0").select(score(F.col("windows"), ratios).alias("score"), "accepted")
+    best = threshold(held).first()
+    # Without examples of both sides there is no grade, and the method allows.
+    least = F.lit(best["least"] if best["grade"] is not None else float("-inf"))
+    scored = split.withColumn("score", score(_windows(F.col("host"), F.col("path")), ratios))
     method = F.when(F.col("score") < least, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(
         "page_id", "host", "path", F.col("by_rule.rule").alias("rule"), F.coalesce("by_rule.verdict", method).alias("verdict"), "score"

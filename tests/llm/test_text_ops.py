@@ -171,27 +171,82 @@ def test_components_of_long_chains(spark):
     assert all(got[i] == 0 for i in range(301)) and got[2000] == got[1500] == 1000 and got[5299] == 5000
 
 
+def wanted_by_source(sizes, weights=(3, 1, 2)):
+    """Targets by filling: every source grows by its weight until it holds twice its size."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, out = 1.5 * sum(sizes.values()), dict.fromkeys(order, 0.0)
+    open_ = {s for s in order if sizes[s]}
+    while open_ and left > 1e-9:
+        step = min(left / sum(weight[s] for s in open_), min((2 * sizes[s] - out[s]) / weight[s] for s in open_))
+        for s in open_:
+            out[s] += step * weight[s]
+        left -= step * sum(weight[s] for s in open_)
+        open_ = {s for s in open_ if out[s] < 2 * sizes[s] - 1e-9}
+    return out
+
+
 def test_mixing(docs):
     got = rows_of(mixing.mix(docs))
     assert len(got) == docs.count()
     sizes = defaultdict(int)
     for r in docs.collect():
         sizes[r.source] += len(WORD.findall(r.text or ""))
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    wanted = dict(zip(order, mixing.targets([sizes[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))]), strict=True))
+    wanted = wanted_by_source(sizes)
     taken = defaultdict(int)
     for r in got:
         assert 0 <= r["taken"] <= 2 * r["size"]
         assert r["source_size"] == sizes[r["source"]]
         assert r["target"] == pytest.approx(wanted[r["source"]])
         taken[r["source"]] += r["taken"]
-    for s in order:
-        assert abs(taken[s] - wanted[s]) <= 3 * mixing.BLOCK
-    again = rows_of(mixing.mix(docs))
+    for s in sizes:
+        assert abs(taken[s] - wanted[s]) <= 1 + sizes[s] / mixing.SHARD_TOKENS
+    again = rows_of(mixing.mix(docs.repartition(3)))
     key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["taken"])
     assert sorted(got, key=key) == sorted(again, key=key)
-    mixed = mixing.apply_mix(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    assert mixed.columns == docs.columns
+
+
+@pytest.mark.parametrize("shard", [65_536, 50])
+def test_tiny_and_many_sources_meet_their_targets(spark, monkeypatch, shard):
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", shard)
+    rows = [(k, " ".join(["w"] * (1 + k % 23)), f"s{k % 140:03d}") for k in range(900)]
+    rows += [(None, "a b c", None), (None, "a b c d", None), (5, None, "none"), (6, "", "none"), (7, "one", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len((text or "").split())
+    wanted, taken = wanted_by_source(sizes), Counter()
+    for r in rows_of(mixing.mix(docs)):
+        taken[r["source"]] += r["taken"]
+        assert r["target"] == pytest.approx(wanted[r["source"]])
+    for s, w in wanted.items():
+        assert abs(taken[s] - w) <= 0.5 + (1 + sizes[s] / shard) / 2
+
+
+@pytest.mark.parametrize("tokens, words", [(n, w) for n in (1, 5, 31, 32, 33, 64, 100, 321) for w in (0, 1, 17, 32, 40, 99, 100, 2 * n) if w <= 2 * n])
+def test_a_shard_gives_exactly_its_words(spark, tokens, words):
+    """Each word at most once a pass, and as many as the shard's share says."""
+    docs = spark.createDataFrame([(1, " ".join(f"{k}" for k in range(tokens)), "a")], "doc_id long, text string, source string")
+    plan = spark.createDataFrame([(1,)], "x int")
+    monkey = mixing.targets
+    mixing.targets = lambda found, weights=None: found.join(plan).select("src", "source", "source_size", "rows", F.lit(float(words)).alias("target"))
+    try:
+        r = mixing._dealt(docs).first()
+    finally:
+        mixing.targets = monkey
+    spans = [(x.a, x.b) for x in r.picked]
+    assert r.passes * tokens + sum(b - a for a, b in spans) == words
+    assert all(0 <= a < b <= tokens for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_quotas_are_the_highest_quotients(spark):
+    """Rounding by the block is the highest-quotient allotment of as many blocks as it gives."""
+    votes = [5.0, 160.0, 16.0, 999.5, 47.9, 3200.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(votes)], "i int, v double")
+    got = [r.q for r in df.select("i", mixing.rounded(F.col("v"), mixing.BLOCK).alias("q")).orderBy("i").collect()]
+    exact = mixing.sainte_lague(votes, sum(got))
+    quotients = lambda seats: sorted(v / (2 * k + 1) for v, n in zip(votes, seats, strict=True) for k in range(n))
+    assert quotients(got) == pytest.approx(quotients(exact))
 
 
 def test_the_mix_emits_the_picked_blocks(spark):
@@ -241,10 +296,13 @@ def test_sainte_lague_is_the_highest_quotients(votes, seats):
     assert quotients(got) == quotients(slow)
 
 
-def test_targets_stop_at_twice_the_size():
-    got = mixing.targets([100, 1000, 10], [3, 1, 2])
-    assert got == pytest.approx([200, 1665 - 200 - 20, 20])
-    assert mixing.targets([0, 0], [3, 1]) == [0, 0]
+def test_targets_stop_at_twice_the_size(spark):
+    def of(*sizes):
+        df = spark.createDataFrame([(f"s{i}", f"{i}", n, 1) for i, n in enumerate(sizes)], "src string, source string, source_size long, rows long")
+        return [r.target for r in mixing.targets(df).orderBy("source").collect()]
+
+    assert of(100, 1000, 10) == pytest.approx([200, 1665 - 200 - 20, 20])
+    assert of(0, 0) == [0, 0] and of(7) == [pytest.approx(10.5)]
 
 
 def packed(docs):

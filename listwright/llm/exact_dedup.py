@@ -1,14 +1,14 @@
 """Exact de-duplication through a cuckoo-filter index of live digests.
 
-Texts are digested (SHA-256) natively. Each scan task merges its own copies in a local index, so a
-text that a third of all rows share leaves a task once; what is left is dealt by digest to shards,
+Texts are digested (SHA-256) natively. Each scan task merges its own copies in a local index, which is
+emptied when it is full, so a text that a third of all rows share leaves a task a few times; what is left is dealt by digest to shards,
 and one index per shard merges it. An index holds short fingerprints in two-choice buckets of four;
 a hit is verified against the full digest and text length that are stored under the same bucket, so
 a false hit never merges two texts. When an insertion kicks too often, the table doubles and is
 refilled from the stored keys. A row with a larger doc_id replaces the live entry by deletion and
 insertion.
 
-Defined results: a null text counts as empty; of equal texts the row with the largest doc_id stays
+Defined results: a null text counts as empty; very long texts are digested whole; of equal texts the row with the largest doc_id stays
 (null doc_ids rank lowest). Rows that repeat both doc_id and text are told apart by their place in
 the table, and one of them stays. An empty table gives an empty table. Only ``doc_id`` and ``text``
 are read, so other columns can't clash.
@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import fresh, partitions, text_or_empty, written
+from listwright.llm.common import fresh, parts_for, split_join, text_or_empty, written
 
 SLOTS = 4
 MAX_KICKS = 200
-#: Distinct digests that one shard's index is meant to hold.
-SHARD_KEYS = 1_000_000
+#: Distinct digests that one shard's index is meant to hold, and that a scan task's local index holds at most.
+SHARD_KEYS, LOCAL_KEYS = 400_000, 200_000
 
 
 class CuckooIndex:
@@ -151,12 +151,7 @@ def retract(index: CuckooIndex, key: bytes, count: int = 1) -> bool:
 _MERGED = "text_sha256 binary, n_bytes long, keep_id long, keep_row long, group_size long"
 
 
-def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = CuckooIndex()
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(5)]
-        for sha, n_bytes, doc_id, row, count in zip(*columns, strict=True):
-            merge(index, sha + n_bytes.to_bytes(8, "little"), doc_id, row, count)
+def _flushed(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
     rows = list(index.items())
     for k in range(0, len(rows), 20_000):
         part = rows[k : k + 20_000]
@@ -172,6 +167,23 @@ def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+def _merged(most: int | None = None):
+    """Merges rows of equal texts; with ``most``, whenever so many texts are live they are passed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = CuckooIndex()
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for sha, n_bytes, doc_id, row, count in zip(*columns, strict=True):
+                merge(index, sha + n_bytes.to_bytes(8, "little"), doc_id, row, count)
+                if most and index.live >= most:
+                    yield from _flushed(index)
+                    index = CuckooIndex()
+        yield from _flushed(index)
+
+    return run
+
+
 def decide(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
@@ -186,11 +198,11 @@ def decide(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
         "digests",
     )
     ones = digests.withColumn("count", F.lit(1).cast("long"))
-    local = ones.mapInArrow(_merge_batches, _MERGED)
-    shards = max(partitions(spark), -(-digests.count() // shard_keys))
-    index = local.repartition(shards, "text_sha256").mapInArrow(_merge_batches, _MERGED)
+    local = ones.mapInArrow(_merged(LOCAL_KEYS), _MERGED)
+    total = digests.count()
+    index = local.repartition(parts_for(spark, total, shard_keys), "text_sha256").mapInArrow(_merged(), _MERGED)
     groups = written(index, "index").select(F.col("text_sha256").alias("sha"), "keep_id", "keep_row", "group_size")
-    return digests.join(groups, F.col("text_sha256") == F.col("sha")).select(
+    return split_join(digests, "text_sha256", groups, "sha", "group_size", total).select(
         "doc_id",
         "keep_id",
         "group_size",

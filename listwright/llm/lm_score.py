@@ -1,419 +1,507 @@
 """LM scoring: masked pseudo-likelihood of a bidirectional window network.
 
 The network predicts each token from the two before and the two after it: position-wise weighted
-embeddings are summed, squashed, and give the token's class and its member in the class (a factored
-softmax over 1,024 tokens). Words that aren't named share hashed tokens; each has its own probability
-in its token, its count over the token's, from counts of all words of the corpus. A document's score
-is the sum over its words of log p(token | both sides) + log p(word | token).
-
-The counts stay a table. Texts are coded in chunks of some two million tokens, a chunk with its distinct
-unnamed words (64-bit hashes) and their counts. These are dealt out by hash, summed over chunks, and go
-back to the chunk as logarithms, so what is shuffled are distinct words of chunks, not occurrences, and
-no word is a hot key. The parts they are dealt to grow with the corpus.
-
-The vocabulary is counted over all documents, its most frequent words each a token and all others
-hashed to the rest; token numbers are written once. Training reads all documents too: each round, every scan task starts from the
-same weights, passes once over its own texts in numpy, and emits its weights in blocks with the
-tokens they stand for; the blocks' weighted means, aggregated in Spark, start the next round. The
-network's size stays fixed while the table of counts grows with the input; no text leaves its task.
-
-Defined results: a null, empty or wordless text has no tokens and scores 0. Tokens at a text's ends
-have a border token on their empty side. Repeated rows get equal scores, an empty table gives an
-empty table. Only ``doc_id`` and ``text`` are read. Scores depend on how the table is split into
-tasks (the order of training), not on reruns of one split.
+embeddings are summed, squashed, and give the token's class and, by the class's own output vectors, its
+member (a factored softmax over 16,384 tokens). The logits begin at the corpus' own log frequencies, so
+the network learns what the context adds to them. The most frequent words, some 15,000, are tokens;
+the others share hashed tokens, and each has its own probability in its token, its count over the
+token's, from counts of all words of the corpus. A document's score is the sum over its words of
+log p(token | both sides) + log p(word | token).
+
+Texts are read once. Scan tasks cut them into chunks: rows of one chunk hold places in the chunk's
+distinct words (64-bit hashes) and their counts. Those words are dealt out by hash and summed over
+chunks, and their counts go back to the chunks, so what is shuffled are distinct words of chunks, not
+occurrences, and no word is a hot key. The parts they are dealt to grow with the corpus, as does the
+table of counts; the network's size is fixed.
+
+Training reads all chunks: each round, every scan task starts from the same weights, passes once over
+its chunks in numpy, and emits its weights in blocks; their means by tokens, added up in the order of
+the tasks, start the next round. No text leaves its task.
+
+Defined results: a null, empty or wordless text has no tokens and scores 0. Very long texts are one
+chunk's. Tokens at a text's ends have border tokens on their empty side. Words of equal counts are named
+together or not at all. Repeated rows get equal scores up to rounding, an empty table gives an empty
+table. Only ``doc_id`` and ``text`` are read. The order of training follows how the table is split into
+tasks; reruns of one split agree.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import WORD, text_or_empty, words_of, written
+from listwright.llm.common import SPACE, WORD, written
 
-WINDOW, WIDTH, CLASSES = 2, 16, 32
-TOKENS = CLASSES * CLASSES
-#: Tokens that are words of their own; the others are hashed.
-NAMED = 896
+WINDOW, WIDTH, CLASSES, MEMBERS = 2, 32, 128, 128
+TOKENS = CLASSES * MEMBERS
+#: Tokens that words without a name share; the others are words of their own.
+HASHED = 1_024
+NAMED = TOKENS - HASHED
 BORDER = TOKENS
-ROUNDS, RATE, BATCH = 2, 0.05, 3072
-BLOCK = 512
+ROUNDS, RATE, BATCH = 1, 0.25, 8_192
+#: Weights of a block, and tasks whose blocks one group adds up.
+BLOCK, ADDED = 16_384, 256
 #: Logits are kept within this, so that no exponential overflows.
 LOGIT = 40
-#: Tokens of a chunk of texts, and distinct words of chunks that one task counts.
-CHUNK, COUNTED = 1 << 21, 1 << 20
-LEAST_PARTS = 64
-_WORDS = re.compile(WORD)
+#: Tokens of a chunk of texts, letters read at once, and distinct words of chunks that one task counts.
+CHUNK, PIECE, COUNTED = 1 << 18, 1 << 20, 1 << 20
+LEAST_PARTS = 16
+#: Counts fall into so many bins to a doubling; the names end at a bin's edge.
+BINS = 32
+_WORDS, _SPACE = re.compile(WORD), re.compile(SPACE)
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
-    """The most frequent words of all documents, ties by code point."""
-    words = docs.select(F.explode(words_of(text_or_empty())).alias("word"))
-    counts = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(NAMED)
-    return [r["word"] for r in counts.collect()]
+class Vocabulary(NamedTuple):
+    """Hashes of the named words in order, their token numbers, and all tokens' log frequencies."""
 
+    hashes: np.ndarray
+    numbers: np.ndarray
+    class_bias: np.ndarray
+    member_bias: np.ndarray
+    token_logs: np.ndarray
 
-class Network:
-    """Weights in one flat array; ``parts`` are views of it.
+    def tokens(self, words: np.ndarray) -> np.ndarray:
+        """The token of each word hash."""
+        out = hashed_token(words)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+            hit = self.hashes[at] == words
+            out[hit] = self.numbers[at[hit]]
+        return out
 
-    Activations are (units, tokens), so that all steps over the tokens run along contiguous memory.
-    """
 
-    SHAPES = (
-        ("embed", (TOKENS + 1, WIDTH)),
-        ("mix", (2 * WINDOW, WIDTH)),
-        ("shift", (WIDTH,)),
-        ("to_class", (CLASSES, WIDTH)),
-        ("to_member", (CLASSES, WIDTH)),
-        ("class_bias", (CLASSES,)),
-        ("member_bias", (CLASSES, CLASSES)),
-    )
-    SIZE = sum(int(np.prod(s)) for _, s in SHAPES)
+def hashed_token(words: np.ndarray) -> np.ndarray:
+    """The shared token of words without a name: each class has as many."""
+    j = (words % np.uint64(HASHED)).astype(np.int64)
+    return (j % CLASSES) * MEMBERS + NAMED // CLASSES + j // CLASSES
 
-    def __init__(self, flat: np.ndarray | None = None):
-        if flat is None:
-            flat = np.random.default_rng(11).normal(0, 0.3, self.SIZE)
-            flat[self.SIZE - CLASSES - TOKENS :] = 0
-        self.flat = np.array(flat, np.float32)
-        self.parts, at = {}, 0
-        for name, shape in self.SHAPES:
-            n = int(np.prod(shape))
-            self.parts[name] = self.flat[at : at + n].reshape(shape)
-            at += n
 
-    def forward(self, around: np.ndarray, target: np.ndarray):
-        """log p of each target; and what the backward pass needs. ``around`` is (positions, tokens)."""
-        p = self.parts
-        pre = np.zeros((len(target), WIDTH), np.float32)
-        for k in range(2 * WINDOW):
-            pre += np.take(p["embed"] * p["mix"][k], around[k], axis=0)
-        hidden = np.tanh(pre + p["shift"])
-        kind, member, rows = target // CLASSES, target % CLASSES, np.arange(len(target))
-        a = p["to_class"] @ hidden.T
-        a += p["class_bias"][:, None]
-        b = p["to_member"] @ hidden.T
-        b += np.take(p["member_bias"].T, kind, axis=1)
-        logs = np.zeros(len(target), np.float32)
-        chances = []
-        for z, at in ((a, kind), (b, member)):
-            np.clip(z, -LOGIT, LOGIT, out=z)
-            logs += z[at, rows]
-            e = np.exp(z, out=z)
-            total = e.sum(0)
-            logs -= np.log(total)
-            chances.append((e, total))
-        return logs, (hidden, kind, member, chances, rows)
-
-    def step(self, around: np.ndarray, target: np.ndarray, squares: np.ndarray) -> None:
-        """One Adagrad step on the mean negative log-likelihood."""
-        p = self.parts
-        _, (hidden, kind, member, chances, rows) = self.forward(around, target)
-        (to_a, sum_a), (to_b, sum_b) = chances
-        to_a /= sum_a
-        to_b /= sum_b
-        to_a[kind, rows] -= 1
-        to_b[member, rows] -= 1
-        slope = Network(np.zeros(self.SIZE))
-        g = slope.parts
-        g["to_class"][:] = to_a @ hidden
-        g["to_member"][:] = to_b @ hidden
-        g["class_bias"][:] = to_a.sum(1)
-        order, ids, starts = _runs(kind)
-        g["member_bias"][ids] = _sums(np.take(to_b.T, order, axis=0), starts)
-        inner = to_a.T @ p["to_class"] + to_b.T @ p["to_member"]
-        inner *= 1 - hidden * hidden
-        g["shift"][:] = inner.sum(0)
-        for k in range(2 * WINDOW):
-            order, ids, starts = _runs(around[k])
-            sums = _sums(np.take(inner, order, axis=0), starts)
-            g["embed"][ids] += sums * p["mix"][k]
-            g["mix"][k] = (p["embed"][ids] * sums).sum(0)
-        slope.flat /= len(target)
-        squares += slope.flat**2
-        self.flat -= RATE * slope.flat / (np.sqrt(squares) + 1e-6)
-
-
-def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order that brings equal ids together, the distinct ids in it, and where each begins."""
-    order = np.argsort(ids.astype(np.int16), kind="stable")  # a radix sort
-    ordered = ids[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return order, ordered[starts], starts
-
-
-def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows, as differences of running sums (a reduction per run costs far more)."""
-    running = np.cumsum(rows, axis=0)
-    ends = running[np.r_[starts[1:], len(rows)] - 1]
-    ends[1:] -= ends[:-1].copy()
-    return ends
-
-
-class _Hashed(dict):
-    """Tokens and hashes of words; those of a word that isn't named are made when first asked for."""
-
-    most = 300_000
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        raw = word.encode()
-        got = NAMED + zlib.crc32(raw) % (TOKENS - NAMED), xxhash.xxh64_intdigest(raw)
-        if len(self) < self.most and len(word) < 100:
-            self[word] = got
-        return got
-
-
-class Ids:
-    """Tokens of texts, and hashes of the words that aren't named."""
-
-    def __init__(self, named: tuple[str, ...]):
-        self.known = _Hashed({w: (i, 0) for i, w in enumerate(named)})
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        found = list(map(self.known.__getitem__, _WORDS.findall(text)))
-        tokens = np.fromiter((t for t, _ in found), np.int32, len(found))
-        return tokens, np.fromiter((h for t, h in found if t >= NAMED), np.uint64)
-
-
-@lru_cache(maxsize=1)
-def ids_of(named: tuple[str, ...]) -> Ids:
-    """One per worker process, so that a worker's next task knows its words."""
-    return Ids(named)
-
-
-def _chunk(docs: list, tokens: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows of one chunk; the first has the chunk's distinct words and their counts, the others places in them."""
-    words, places, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    ends = np.cumsum([len(h) for h in hashes])
-    none = [None] * (len(docs) - 1)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(docs, pa.int64()),
-            pa.array([t.astype("<u2").tobytes() for t in tokens], pa.binary()),
-            pa.array([uuid.uuid4().int >> 65] * len(docs), pa.int64()),
-            pa.array([p.astype("<u4").tobytes() for p in np.split(places, ends[:-1])], pa.binary()),
-            pa.array([words.astype("<u8").tobytes(), *none], pa.binary()),
-            pa.array([counts.astype("<u4").tobytes(), *none], pa.binary()),
-        ],
-        names=["doc_id", "tokens", "chunk", "places", "words", "counts"],
-    )
+def named_token(rank: np.ndarray) -> np.ndarray:
+    """The token of a name by its rank: ranks go around the classes, so classes are about equally frequent."""
+    return (rank % CLASSES) * MEMBERS + rank // CLASSES
 
 
-def _coded(named: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, docs, tokens, hashes, held = ids_of(tuple(named)), [], [], [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got, others = ids(text.as_py() or "")
-                docs.append(doc)
-                tokens.append(got)
-                hashes.append(others)
-                held += len(got) + 1
-                if held >= CHUNK:
-                    yield _chunk(docs, tokens, hashes)
-                    docs, tokens, hashes, held = [], [], [], 0
-        if docs:
-            yield _chunk(docs, tokens, hashes)
+def _lists(text: str) -> Iterator[list[str]]:
+    """The words of a text, in lists of a bounded part of it."""
+    at = 0
+    while len(text) - at > PIECE:
+        gap = _SPACE.search(text, at + PIECE)
+        cut = gap.start() if gap else len(text)
+        yield _WORDS.findall(text, at, cut)
+        at = cut
+    yield _WORDS.findall(text, at)
 
-    return run
 
+class _Places(dict):
+    """Numbers of words by first appearance."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _stored(values: np.ndarray, n: int) -> bytes:
+    """Numbers below n, in two bytes each if they fit."""
+    return values.astype("<u2" if n <= 1 << 16 else "<u4").tobytes()
+
+
+def _read(raw: pa.Scalar, n: int) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), "<u2" if n <= 1 << 16 else "<u4")
 
-def coded(docs: DataFrame, named: list[str]) -> DataFrame:
-    """All rows as tokens (two bytes each) and places in their chunk's words, a written table: texts are read once."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, tokens binary, chunk long, places binary, words binary, counts binary"
-    return written(narrow.mapInArrow(_coded(named), schema), "lm-tokens")
 
+_CHUNKS = "chunk long, docs array<long>, lengths binary, places binary, words binary, counts binary"
 
-def tokenised(docs: DataFrame, named: list[str]) -> DataFrame:
-    """(doc_id, tokens) of all rows."""
-    return coded(docs, named).select("doc_id", "tokens")
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 33
+
+    def closed(docs: list, parts: list[np.ndarray], lengths: list[int], seen: _Places) -> pa.RecordBatch:
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in seen), np.uint64, len(seen))
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        all_ = place[np.concatenate(parts)] if parts else np.empty(0, np.int64)
+        counts = np.bincount(all_, minlength=len(seen))
+        values = [number, docs, np.array(lengths, "<u4").tobytes(), _stored(all_, len(seen)), hashes[order].astype("<u8").tobytes(), counts.astype("<u4").tobytes()]
+        kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split(" ")[0] for x in _CHUNKS.split(", ")])
+
+    docs, parts, lengths, seen, held = [], [], [], _Places(), 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            length = 0
+            for words in _lists(text.as_py() or ""):
+                if words:
+                    parts.append(np.array(list(map(seen.__getitem__, words)), np.int64))
+                    length += len(words)
+            docs.append(doc)
+            lengths.append(length)
+            held += length + 1
+            if held >= CHUNK or len(seen) > 60_000:
+                yield closed(docs, parts, lengths, seen)
+                number += 1
+                docs, parts, lengths, seen, held = [], [], [], _Places(), 0
+    if docs:
+        yield closed(docs, parts, lengths, seen)
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """All rows in chunks, a written table: texts are read once."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(narrow.mapInArrow(_chunked, _CHUNKS), "lm-chunks")
 
 
 def _parted(parts: int):
-    """Each chunk's words and counts, by the part that counts them."""
+    """Each chunk's words and counts, by the part that counts them; words are sorted, so parts are runs."""
+    edges = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, words, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 hashes, n = np.frombuffer(words.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<u4")
-                part = hashes % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                ids, starts = np.unique(part[order], return_index=True)
-                at = np.split(order, starts[1:]) if len(ids) else []
+                cuts = np.r_[0, np.searchsorted(hashes, edges), len(hashes)]
+                some = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids.astype(np.int32)), pa.array([chunk] * len(ids), pa.int64()),
-                        pa.array([hashes[k].tobytes() for k in at], pa.binary()), pa.array([n[k].tobytes() for k in at], pa.binary()),
+                        pa.array(some.astype(np.int32)), pa.array([chunk] * len(some), pa.int64()),
+                        pa.array([hashes[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()), pa.array([n[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()),
                     ],
                     names=["part", "chunk", "words", "counts"],
-                )
+                )
 
     return run
 
 
+def _bin(counts: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(counts) * BINS + 1e-9).astype(np.int64)
+
+
 def _summed(rows: pa.Table) -> pa.Table:
-    """The logarithm of each word's count in all chunks, for each chunk that has it."""
+    """The log count of each word over all chunks, for each chunk that has it; and the part's most frequent words."""
     hashes = [np.frombuffer(x.as_buffer(), "<u8") for x in rows["words"]]
     counts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in rows["counts"]])
     words, places = np.unique(np.concatenate(hashes), return_inverse=True)
-    logs = np.log(np.bincount(places, counts, len(words)))[places].astype("<f4")
-    each = np.split(logs, np.cumsum([len(h) for h in hashes])[:-1])
-    return pa.table({"chunk": rows["chunk"], "part": rows["part"], "logs": pa.array([x.tobytes() for x in each], pa.binary())})
-
-
-def word_logs(rows: DataFrame) -> tuple[DataFrame, int]:
-    """(chunk, part, logs) of all chunks' words by the order of the words in the part, and the parts."""
-    held = rows.filter("words is not null").select("chunk", "words", "counts")
+    total = np.bincount(places, counts, len(words))
+    each = np.split(np.log(total)[places].astype("<f4"), np.cumsum([len(h) for h in hashes])[:-1])
+    top = np.argsort(-total, kind="stable")[: 2 * NAMED]
+    first = rows["part"][0].as_py()
+    return pa.table(
+        {
+            "chunk": pa.array([*rows["chunk"].to_pylist(), None], pa.int64()), "part": pa.array([first] * (len(each) + 1), pa.int32()),
+            "logs": pa.array([*[x.tobytes() for x in each], None], pa.binary()),
+            "top": pa.array([*[None] * len(each), words[top].astype("<u8").tobytes() + total[top].astype("<f8").tobytes()], pa.binary()),
+        }
+    )
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(chunk, part, logs, top): log counts for all chunks' words by part, and each part's most frequent words."""
+    held = rows.select("chunk", "words", "counts")
     total = held.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = max(LEAST_PARTS, -(-total // (8 * COUNTED)))
     dealt = held.mapInArrow(_parted(parts), "part int, chunk long, words binary, counts binary")
-    return dealt.groupBy("part").applyInArrow(_summed, "chunk long, part int, logs binary"), parts
+    return written(dealt.repartition(parts, "part").groupBy("part").applyInArrow(_summed, "chunk long, part int, logs binary, top binary"), "lm-counts")
+
+
+def _pairs(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 16
+    return np.frombuffer(raw[: 8 * n], "<u8"), np.frombuffer(raw[8 * n :], "<f8")
 
 
-def _hashed_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(TOKENS, np.int64)
+def _binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for tokens in batch.column(0):
-            seen += np.bincount(np.frombuffer(tokens.as_buffer(), "<u2"), minlength=TOKENS)
-    at = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["token", "n"])
-
-
-def token_logs(tokens: DataFrame) -> np.ndarray:
-    """log of each hashed token's count in all documents, 0 for named ones: one number a token."""
-    out = np.zeros(TOKENS)
-    each = tokens.select("tokens").mapInArrow(_hashed_tokens, "token long, n long").filter(F.col("token") >= NAMED)
-    for r in each.groupBy("token").agg(F.sum("n").alias("n")).collect():
-        out[r["token"]] = np.log(r["n"])
-    return out
+        for raw in batch.column(0).to_pylist():
+            bins, n = np.unique(_bin(_pairs(raw)[1]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n, pa.int64())], names=["bin", "n"])
 
 
-def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens around each token of each text (positions, tokens), and the tokens."""
-    gap = np.full(WINDOW, BORDER, np.int32)
-    joined = np.concatenate([gap, *[x for t in texts for x in (t, gap)]])
-    real = np.flatnonzero(joined != BORDER)
-    return np.stack([joined[real + d] for d in range(-WINDOW, WINDOW + 1) if d]), joined[real]
+def _above(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                words, counts = _pairs(raw)
+                kept = _bin(counts) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(words[kept].view(np.int64)), pa.array(counts[kept])], names=["word", "n"])
 
+    return run
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[np.ndarray]]:
-    """Token arrays in lists of some thousand tokens."""
-    held, count = [], 0
-    for batch in batches:
-        for tokens in batch.column(column):
-            held.append(np.frombuffer(tokens.as_buffer(), "<u2").astype(np.int32))
-            count += len(held[-1])
-            if count >= BATCH:
-                yield held
-                held, count = [], 0
-    if held:
-        yield held
 
+def named_words(counts: DataFrame, most: int = NAMED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent words, the most frequent first: as many whole bins as fit."""
+    tops = counts.filter("top is not null").select("top")
+    bins = tops.mapInArrow(_binned, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("bin")).collect()  # some bins a doubling
+    held, least = 0, None
+    for r in bins:
+        held += r["n"]
+        if held > most:
+            break
+        least = r["bin"]
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0)
+    found = tops.mapInArrow(_above(least), "word long, n double").toArrow()  # at most ``most`` rows
+    words, n = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.lexsort((words, -n))
+    return words[order], n[order]
+
+
+def _token_counts(hashes: np.ndarray, numbers: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Vocabulary(hashes, numbers, *[np.empty(0)] * 3)
+        seen = np.zeros(TOKENS)
+        for batch in batches:
+            for words, counts in zip(batch.column(0), batch.column(1), strict=True):
+                n = np.frombuffer(counts.as_buffer(), "<u4")
+                seen += np.bincount(code.tokens(np.frombuffer(words.as_buffer(), "<u8")), n, TOKENS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at].astype(np.int64))], names=["token", "n"])
+
+    return run
+
+
+def vocabulary(rows: DataFrame, counts: DataFrame) -> Vocabulary:
+    """The names, and the log frequencies of all tokens: a number a token, from all chunks."""
+    words, _ = named_words(counts)
+    order = np.argsort(words, kind="stable")
+    hashes, numbers = words[order], named_token(order)
+    got = rows.select("words", "counts").mapInArrow(_token_counts(hashes, numbers), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(TOKENS)
+    for r in got:
+        n[r["token"]] = r["n"]
+    square = (n + 0.5).reshape(CLASSES, MEMBERS)  # a token that the corpus lacks isn't impossible
+    classes = square.sum(1)
+    unnamed = np.zeros(TOKENS, bool)
+    unnamed.reshape(CLASSES, MEMBERS)[:, NAMED // CLASSES :] = True
+    logs = np.where(unnamed & (n > 0), np.log(np.maximum(n, 1)), 0.0)
+    return Vocabulary(hashes, numbers, np.log(classes / classes.sum()).astype(np.float32), np.log(square / classes[:, None]).astype(np.float32), logs)
 
-def _parts(n: int) -> list[slice]:
-    """Even parts of one to two batches; small ones would cost as much as whole ones."""
-    cuts = np.linspace(0, n, max(1, n // BATCH) + 1).astype(int)
-    return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
+class Network:
+    """Weights in one flat array; ``parts`` are views of it. The biases are the corpus' and aren't trained."""
+
+    SHAPES = (
+        ("embed", (TOKENS + 1, WIDTH)),
+        ("to_member", (CLASSES, MEMBERS, WIDTH)),
+        ("to_class", (CLASSES, WIDTH)),
+        ("mix", (2 * WINDOW, WIDTH)),
+        ("shift", (WIDTH,)),
+    )
+    SIZE = sum(int(np.prod(s)) for _, s in SHAPES)
+
+    def __init__(self, flat: np.ndarray | None = None, class_bias: np.ndarray | None = None, member_bias: np.ndarray | None = None):
+        if flat is None:
+            flat = np.zeros(self.SIZE, np.float32)
+            rng = np.random.default_rng(11)
+            flat[: (TOKENS + 1) * WIDTH] = rng.normal(0, 0.3, (TOKENS + 1) * WIDTH)
+            flat[-(2 * WINDOW + 1) * WIDTH : -WIDTH] = rng.normal(0.5, 0.3, 2 * WINDOW * WIDTH)
+        self.flat = np.array(flat, np.float32)
+        self.class_bias = np.zeros(CLASSES, np.float32) if class_bias is None else class_bias
+        self.member_bias = np.zeros((CLASSES, MEMBERS), np.float32) if member_bias is None else member_bias
+        self.parts, at = {}, 0
+        for name, shape in self.SHAPES:
+            n = int(np.prod(shape))
+            self.parts[name] = self.flat[at : at + n].reshape(shape)
+            at += n
 
-def _trained(flat: np.ndarray, first: bool):
+    def forward(self, line: np.ndarray):
+        """log p of each token of a line but its ``WINDOW`` first and last, 0 for borders; and what training needs.
+
+        Tokens are brought together by class, so that each class's output vectors are one product.
+        """
+        p, n = self.parts, len(line) - 2 * WINDOW
+        around = np.take(p["embed"], line, axis=0)
+        pre = np.repeat(p["shift"][None], n, axis=0)
+        for k, d in enumerate(_OFFSETS):
+            pre += around[WINDOW + d : WINDOW + d + n] * p["mix"][k]
+        hidden = np.tanh(pre, out=pre)
+        middle = line[WINDOW : WINDOW + n]
+        real = np.flatnonzero(middle != BORDER)
+        kind = middle[real] // MEMBERS
+        order = np.argsort(kind.astype(np.uint8), kind="stable")  # a radix sort
+        real, kind = real[order], kind[order]
+        member, rows = middle[real] % MEMBERS, np.arange(len(real))
+        held = hidden[real]
+        cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
+        a = held @ p["to_class"].T
+        a += self.class_bias
+        b = np.empty((len(real), MEMBERS), np.float32)
+        for c in range(CLASSES):
+            lo, hi = cuts[c], cuts[c + 1]
+            if hi > lo:
+                np.matmul(held[lo:hi], p["to_member"][c].T, out=b[lo:hi])
+                b[lo:hi] += self.member_bias[c]
+        logs = np.zeros(n, np.float32)
+        sums = []
+        for z, at in ((a, kind), (b, member)):
+            np.clip(z, -LOGIT, LOGIT, out=z)
+            own = z[rows, at]
+            np.exp(z, out=z)
+            total = z.sum(1)
+            sums.append(total)
+            logs[real] += own - np.log(total)
+        return logs, (around, held, real, kind, member, rows, cuts, a, b, sums)
+
+    def step(self, line: np.ndarray, squares: dict[str, np.ndarray], rate: float = RATE) -> None:
+        """One Adagrad step on the mean negative log-likelihood of a line's inner tokens."""
+        p = self.parts
+        _, (around, held, real, kind, member, rows, cuts, a, b, sums) = self.forward(line)
+        n = len(real)
+        if not n:
+            return
+        a /= sums[0][:, None] * n
+        b /= sums[1][:, None] * n
+        a[rows, kind] -= 1 / n
+        b[rows, member] -= 1 / n
+        inner = a @ p["to_class"]
+        members = np.zeros_like(p["to_member"])
+        for c in range(CLASSES):
+            lo, hi = cuts[c], cuts[c + 1]
+            if hi > lo:
+                np.matmul(b[lo:hi].T, held[lo:hi], out=members[c])
+                inner[lo:hi] += b[lo:hi] @ p["to_member"][c]
+        slopes = {"to_class": a.T @ held, "to_member": members}
+        inner *= 1 - held * held
+        slopes["shift"] = inner.sum(0)
+        full = np.zeros((len(line) - 2 * WINDOW, WIDTH), np.float32)
+        full[real] = inner
+        back = np.zeros_like(around)
+        slopes["mix"] = np.empty_like(p["mix"])
+        for k, d in enumerate(_OFFSETS):
+            beside = slice(WINDOW + d, WINDOW + d + len(full))
+            back[beside] += full * p["mix"][k]
+            slopes["mix"][k] = np.einsum("ij,ij->j", full, around[beside])
+        order = np.argsort(line.astype(np.uint16), kind="stable")
+        ids, starts = np.unique(line[order], return_index=True)
+        embed = np.add.reduceat(back[order], starts, axis=0)
+        squares["embed"][ids] += embed * embed
+        p["embed"][ids] -= rate * embed / (np.sqrt(squares["embed"][ids]) + 1e-6)
+        for name, g in slopes.items():
+            squares[name] += g * g
+            p[name] -= rate * g / (np.sqrt(squares[name]) + 1e-6)
+
+
+_OFFSETS = [d for d in range(-WINDOW, WINDOW + 1) if d]
+
+
+def lined(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Texts one after the other with border tokens before, between and behind them."""
+    starts = np.r_[0, np.cumsum(lengths)[:-1]] if len(lengths) else np.empty(0, np.int64)
+    out = np.full(len(tokens) + WINDOW * (len(lengths) + 1), BORDER, np.int32)
+    out[np.arange(len(tokens)) + WINDOW * (1 + np.repeat(np.arange(len(lengths)), lengths))] = tokens
+    assert len(starts) == len(lengths)
+    return out
+
+
+def _batches(line: np.ndarray) -> Iterator[np.ndarray]:
+    """Even parts of a line of up to a batch, each with the tokens around it."""
+    n = len(line) - 2 * WINDOW
+    if n <= 0:
+        return
+    cuts = np.linspace(0, n, -(-n // BATCH) + 1).astype(int)
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        yield line[lo : hi + 2 * WINDOW]
+
+
+def _line_of(words: Vocabulary, lengths: pa.Scalar, places: pa.Scalar, hashes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's line of tokens, its texts' lengths and the places of its words."""
+    n, at = np.frombuffer(lengths.as_buffer(), "<u4").astype(np.int64), _read(places, len(hashes))
+    return lined(tokens[at] if len(at) else np.empty(0, np.int64), n), n, at
+
+
+def _trained(flat: np.ndarray, words: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = Network(flat), 0
-        squares = np.full_like(net.flat, 1e-4 if first else 1e-2)
-        for texts in _texts(batches, 0):
-            around, target = windows(texts)
-            for part in _parts(len(target)):
-                net.step(around[:, part], target[part], squares)
-            seen += len(target)
+        net, seen = Network(flat, words.class_bias, words.member_bias), 0
+        squares = {name: np.full_like(net.parts[name], 1e-6) for name, _ in Network.SHAPES}
+        for batch in batches:
+            for lengths, places, raw in zip(*[batch.column(i) for i in range(3)], strict=True):
+                hashes = np.frombuffer(raw.as_buffer(), "<u8")
+                line, n, _ = _line_of(words, lengths, places, hashes, words.tokens(hashes))
+                for part in _batches(line):
+                    net.step(part, squares)
+                seen += int(n.sum())
         if seen:
-            blocks = [net.flat[k : k + BLOCK].astype(float) * seen for k in range(0, len(net.flat), BLOCK)]
+            task = TaskContext.get().partitionId()
+            blocks = [net.flat[k : k + BLOCK].astype("<f8") * seen for k in range(0, len(net.flat), BLOCK)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(blocks)), pa.int32()), pa.array([seen] * len(blocks), pa.int64()), pa.array(blocks, pa.list_(pa.float64()))],
-                names=["block", "tokens", "sums"],
+                [pa.array(range(len(blocks)), pa.int32()), pa.array([task] * len(blocks), pa.int64()), pa.array([float(seen)] * len(blocks)), pa.array([x.tobytes() for x in blocks], pa.binary())],
+                names=["block", "task", "tokens", "sums"],
             )
 
     return run
 
 
-def train(tokens: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """The network's weights after so many rounds over the table of tokens."""
+def _added(rows: pa.Table) -> pa.Table:
+    """One block's sum over tasks, in the order of the tasks."""
+    rows = rows.sort_by("task")
+    total = np.zeros(len(rows["sums"][0].as_buffer()) // 8)
+    for x in rows["sums"]:
+        total += np.frombuffer(x.as_buffer(), "<f8")
+    return pa.table({"block": rows["block"][:1], "task": rows["task"][:1], "tokens": pa.array([float(np.sum(rows["tokens"].to_numpy()))]), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def train(rows: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    """The network's weights after so many rounds over the table of chunks."""
+    schema = "block int, task long, tokens double, sums binary"
     flat = Network().flat
-    for k in range(rounds):
-        blocks = tokens.select("tokens").mapInArrow(_trained(flat, k == 0), "block int, tokens long, sums array<double>")
-        each = blocks.select("block", "tokens", F.posexplode("sums").alias("at", "sum"))
-        means = each.groupBy("block", "at").agg((F.sum("sum") / F.sum("tokens")).alias("w"))
-        rows = means.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]).alias("w"))
-        got = {r["block"]: r["w"] for r in rows.collect()}  # one model, whose size is fixed
+    for _ in range(rounds):
+        blocks = rows.select("lengths", "places", "words").mapInArrow(_trained(flat, words), schema)
+        # Added up by some hundred tasks, then over those: no group holds a block of every task.
+        some = blocks.groupBy("block", F.floor(F.col("task") / ADDED).alias("g")).applyInArrow(_added, schema)
+        got = {r["block"]: np.frombuffer(r["sums"], "<f8") / r["tokens"] for r in some.groupBy("block").applyInArrow(_added, schema).collect()}  # one model, whose size is fixed
         if got:
-            flat = np.concatenate([np.array(got[b], np.float32) for b in sorted(got)])
+            flat = np.concatenate([got[b] for b in sorted(got)]).astype(np.float32)
     return flat
 
 
-def _sums_of(net: Network, texts: list[np.ndarray]) -> np.ndarray:
-    """The sum of log p(token | both sides) of each text."""
-    around, target = windows(texts)
-    parts = [net.forward(around[:, part], target[part])[0] for part in _parts(len(target))]
-    return _by_text(np.concatenate(parts or [np.empty(0)]), texts)
-
-
-def _by_text(values: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+def _by_text(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.r_[0.0, np.cumsum(values, dtype=float)]
-    lengths = np.array([len(x) for x in texts])
     ends = np.cumsum(lengths)
     return total[ends] - total[ends - lengths]
 
 
-def _scored(flat: np.ndarray):
-    """Scores of the tokens alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(flat)
-        for batch in batches:
-            counts, sums = [], []
-            for texts in _texts(iter([batch]), 1):
-                counts.append(np.array([len(x) for x in texts]))
-                sums.append(_sums_of(net, texts))
-            none = [np.empty(0, np.int64)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(counts or none)), pa.array(np.concatenate(sums or none).astype(float))],
-                names=["doc_id", "n_tokens", "log_likelihood"],
-            )
-
-    return run
+def line_logs(net: Network, line: np.ndarray) -> np.ndarray:
+    """log p of each token of a line that isn't a border."""
+    logs = [net.forward(part)[0] for part in _batches(line)]
+    inner = line[WINDOW : len(line) - WINDOW]
+    return np.concatenate(logs)[inner != BORDER] if logs else np.empty(0)
 
 
-def _whole(flat: np.ndarray, of_tokens: np.ndarray, parts: int):
-    """Scores of one chunk's rows: of their tokens, and of each word in its token."""
-    tokens_alone = _scored(flat)
+def _scored(flat: np.ndarray, words: Vocabulary):
+    """Scores of chunks: of their tokens, and of each word in its token."""
 
     def run(rows: pa.Table, logs: pa.Table) -> pa.Table:
-        words = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in rows["words"] if x.is_valid])
-        part, of_words = words % np.uint64(parts), np.zeros(len(words))
-        for p, got in zip(logs["part"].to_pylist(), logs["logs"], strict=True):
-            of_words[part == p] = np.frombuffer(got.as_buffer(), "<f4")
-        narrow = rows.select(["doc_id", "tokens"]).combine_chunks().to_batches()
-        out = pa.Table.from_batches(list(tokens_alone(iter(narrow))))
-        places = [np.frombuffer(x.as_buffer(), "<u4") for x in rows["places"]]
-        tokens = [np.frombuffer(x.as_buffer(), "<u2") for x in rows["tokens"]]
-        inside = _by_text(of_words[np.concatenate(places)], places) - _by_text(of_tokens[np.concatenate(tokens)], tokens)
-        return out.set_column(2, "log_likelihood", pa.array(out["log_likelihood"].to_numpy() + inside))
+        net = Network(flat, words.class_bias, words.member_bias)
+        docs, counts, sums = [], [], []
+        for ids, lengths, places, raw in zip(rows["docs"], rows["lengths"], rows["places"], rows["words"], strict=True):
+            hashes = np.frombuffer(raw.as_buffer(), "<u8")
+            tokens = words.tokens(hashes)
+            line, n, at = _line_of(words, lengths, places, hashes, tokens)
+            order = np.argsort(logs["part"].to_numpy(), kind="stable")
+            own = np.concatenate([np.frombuffer(logs["logs"][int(k)].as_buffer(), "<f4") for k in order]) if len(hashes) else np.empty(0)
+            shared = tokens % MEMBERS >= NAMED // CLASSES
+            inside = np.where(shared, own - words.token_logs[tokens], 0.0) if len(hashes) else own
+            docs += ids.as_py()
+            counts.append(n)
+            sums.append(_by_text(line_logs(net, line), n) + _by_text(inside[at] if len(at) else np.empty(0), n))
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array(np.concatenate(counts)), "log_likelihood": pa.array(np.concatenate(sums).astype(float))})
 
     return run
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, n_tokens, log_likelihood (summed), per_token."""
-    rows = coded(docs, vocabulary(docs))
-    logs, parts = word_logs(rows)
-    score_chunk = _whole(train(rows, rounds), token_logs(rows), parts)
-    held = rows.select("chunk", "doc_id", "tokens", "places", "words").groupBy("chunk")
-    out = held.cogroup(logs.groupBy("chunk")).applyInArrow(score_chunk, "doc_id long, n_tokens long, log_likelihood double")
+    rows = chunks(docs)
+    counts = word_counts(rows)
+    words = vocabulary(rows, counts)
+    run = _scored(train(rows, words, rounds), words)
+    held = rows.select("chunk", "docs", "lengths", "places", "words").groupBy("chunk")
+    logs = counts.filter("logs is not null").select("chunk", "part", "logs").groupBy("chunk")
+    out = held.cogroup(logs).applyInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
     return out.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

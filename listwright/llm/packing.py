@@ -7,7 +7,8 @@ group, the histogram of tail lengths is packed, longest first, each length into
 most room, as counts of packing patterns; a last pass cuts the pieces of the emptiest packs to fill
 what gaps are left in others. Patterns are then joined back to tails by their rank in their length.
 
-Defined results: a null or empty text has the one id 1. Repeated rows are packed each. An empty
+Defined results: a null or empty text has the one id 1. Very long texts are cut into full sequences as
+they are read. Of equal lengths the earlier row goes first. Repeated rows are packed each. An empty
 table gives an empty table. Only ``doc_id`` and ``text`` are read. Sequence ids are unique, not
 dense: the group number is in the upper 32 bits.
 """
@@ -27,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import written
+from listwright.llm.common import parts_for, written
 
 SEQUENCE = 2048
 END_ID = 1
 #: Rows that are packed together.
 GROUP_ROWS = 4096
+#: Groups that one task packs.
+TASK_GROUPS = 16
 #: A gap smaller than this isn't worth a cut.
 LEAST_PIECE = 16
 #: Distinct words whose ids a worker remembers at once.
@@ -63,6 +66,13 @@ class _Words(dict):
         return ids
 
 
+def splits_words(tokenizer) -> bool:
+    """Whether the tokenizer parts words at white space and lower-cases, so that words can be encoded alone."""
+    probes = ("Ab cD", " a\tb\nc ", "x,—y naïve?!", "it's DON'T", "1,234.5€ a1b2", "日本 語")
+    whole = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    return all(whole(t) == [i for w in t.replace("\n", " ").replace("\t", " ").split(" ") for i in whole(w)] and whole(t) == whole(t.lower()) for t in probes)
+
+
 class Tokens:
     """Ids of texts. White space parts this tokenizer's words, so each distinct one is encoded once.
 
@@ -75,6 +85,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        self.by_word = splits_words(tokenizer)
         self.encode, self.model, self.size = tokenizer.encode, tokenizer.model, tokenizer.get_vocab_size()
         self.known = _Words(self._encoded, REMEMBERED // 4)
         self.letters = _Words(self._spelled, REMEMBERED)
@@ -98,6 +109,8 @@ class Tokens:
         return self.letters[letters] + self.other[marks] if marks else self.letters[letters]
 
     def __call__(self, text: str) -> np.ndarray:
+        if not self.by_word:
+            return np.frombuffer(self._whole(text) + _END, "<u4")
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)) + _END, "<u4")
 
@@ -266,4 +279,5 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, group_r
     tokens = written(narrow.mapInArrow(_tokenised(tokenizer_path, sequence, kind), schema), "tokens")
     groups = max(1, round(tokens.count() / group_rows))
     grouped = tokens.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    grouped = grouped.repartition(parts_for(docs.sparkSession, groups, TASK_GROUPS), "group")
     return grouped.groupBy("group").applyInPandas(_packed(sequence, kind), _PIECES)

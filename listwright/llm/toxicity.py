@@ -1,21 +1,26 @@
 """Toxicity: a chain of linear classifiers, one per category.
 
-Categories come in a fixed order. Each has a logistic model over the presence of hashed words and
-over the probabilities of all earlier categories. In training, those probabilities are out-of-fold:
-for each fold they come from models that haven't seen it (copies of a text share a fold), so a later
-model learns from earlier ones as wrong as they will be on new texts. Scoring runs the chain's full
-models, in order, over whole texts.
-
-Training uses a bounded sample of labelled documents (``SAMPLE`` rows expected, picked by hash, all
-of them if fewer): its word hashes are the only thing collected. Each model keeps the ``FEATURES``
-words that tell its category best; the threshold is the highest whose F1 on
+Categories come in a fixed order: first the kinds of toxic text, then toxicity itself, whose link gives
+the verdict. The labels only say toxic or not, so the kinds are found in the data: toxic labelled texts,
+in whatever language, are clustered by the words that tell them from the others; a text belongs to the
+kind of its cluster. Each category has a logistic model over the presence of hashed words and over the
+probabilities of all earlier categories. In training, those probabilities are out-of-fold: for each fold
+they come from models that haven't seen it (copies of a text are one example), so a later model learns
+from earlier ones as wrong as they will be on new texts. Scoring runs the chain's full models, in order,
+over whole texts.
+
+Training uses a bounded sample of labelled documents (``SAMPLE`` rows expected, picked by hash, all of
+them if fewer). Their words are counted in Spark by fold and label; only the ``CANDIDATES`` that tell the
+label best outside some fold come to the driver, and for each sampled text which of them it holds. Each
+model keeps the ``FEATURES`` that tell its category best; the threshold is the highest whose F1 on
 out-of-fold probabilities of the last category is near the best.
 
-Defined results: a null or empty text has no words and gets the models' base probabilities, which
-for a rare category are below the threshold. Without labelled rows of both kinds a category's
-probability is 0, so nothing is rejected. Labels that are null, or of documents that don't exist,
-are left out; repeated rows get equal verdicts, an empty table gives an empty table. Only
-``doc_id`` and ``text`` of documents are read.
+Defined results: a null or empty text has no words and gets the models' base probabilities, which for a
+rare category are below the threshold. Very long texts are read whole. A probability equal to the
+threshold isn't toxic; of equally telling words the lower hash comes first. Without labelled rows of
+both kinds a category's probability is 0, so nothing is rejected. Labels that are null, or of documents
+that don't exist, are left out; a document labelled twice is toxic if one label says so. Repeated rows
+get equal verdicts, an empty table gives an empty table. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -23,52 +28,61 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.llm.common import written
 
-#: Labelled documents that the chain is fitted on, at most (expected).
-SAMPLE = 12_000
+#: Labelled documents that the chain is fitted on, at most (expected), and words that come to the driver.
+SAMPLE, CANDIDATES = 12_000, 2_048
 FOLDS, FEATURES, HASH_BITS = 5, 512, 20
-STEM = 4
+STEMS = (3, 4, 5)
 F1_SLACK = 0.005
 #: A word must be in so many texts to be a feature.
-LEAST_TEXTS = 8
+LEAST_TEXTS = 5
 #: And tell its category by so many standard deviations; weights are penalised by their square.
-LEAST_Z, PENALTY = 7.0, 3e-4
-#: Terms that tell kinds of abuse apart; a labelled text with one of them belongs to the category.
-CATEGORY_TERMS = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser"),
-    "contempt": ("pathetic", "worthless", "trash", "scum", "disgusting"),
-}
+LEAST_Z, PENALTY = 5.0, 3e-4
+#: Kinds that toxic texts are parted into, and rounds of the clustering.
+KINDS, CLUSTER_ROUNDS = 4, 25
 #: In chain order; the last one is the table's own label and gives the verdict.
-CATEGORIES = ("insult", "contempt", "toxic")
+CATEGORIES = (*[f"kind_{k + 1}" for k in range(KINDS)], "toxic")
+#: Words whose candidates a worker remembers.
+REMEMBERED = 500_000
 _WORDS = re.compile(r"[^\W\d_]+")
+_MASK = (1 << HASH_BITS) - 1
+
+
+def _hashes(word: str) -> tuple[int, ...]:
+    """Hashes of a word, and of its first letters where it is longer (forms share a stem)."""
+    stems = [b"^" + word[:n].encode() for n in STEMS if len(word) > n]
+    return tuple(zlib.crc32(x) & _MASK for x in (word.encode(), *stems))
 
 
 def word_hashes(text: str | None) -> set[int]:
-    """Hashes of the distinct words, and of the first letters of longer ones (forms share a stem)."""
-    mask, crc = (1 << HASH_BITS) - 1, zlib.crc32
-    words = set(_WORDS.findall((text or "").lower()))
-    words |= {"^" + w[:STEM] for w in words if len(w) > STEM}
-    return {crc(w.encode()) & mask for w in words}
+    """Hashes of the distinct words and stems of a text."""
+    return set(chain.from_iterable(map(_hashes, set(_WORDS.findall((text or "").lower())))))
 
 
 class Linear(NamedTuple):
-    """A logistic model: features (sorted hashes), their weights, weights of earlier links, bias."""
+    """A logistic model: features (sorted), their weights, weights of earlier links, bias."""
 
     features: np.ndarray
     weights: np.ndarray
     chain: np.ndarray
     bias: float
 
-    def table(self) -> dict[int, float]:
-        return dict(zip(self.features.tolist(), self.weights.tolist(), strict=True))
+
+class Chain(NamedTuple):
+    """Candidates (their hashes, by number), the links over them in order, and the last one's threshold."""
+
+    hashes: np.ndarray
+    links: list[Linear]
+    threshold: float
 
 
 def logit(p: float) -> float:
@@ -80,16 +94,19 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _z(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
+    """How many standard deviations two proportions differ by."""
+    share = (pos + neg) / max(n_pos + n_neg, 1)
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / max(n_pos, 1) + 1 / max(n_neg, 1)))
+    return (pos / max(n_pos, 1) - neg / max(n_neg, 1)) / spread
+
+
 def _choose(docs: np.ndarray, words: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The hashes whose presence tells y best, by the z-score of two proportions."""
-    size = 1 << HASH_BITS
-    pos, neg = y.sum(), len(y) - y.sum()
+    """The words whose presence tells y best."""
+    size = int(words.max()) + 1 if len(words) else 0
     in_pos = np.bincount(words, weights=y[docs], minlength=size)
     total = np.bincount(words, minlength=size)
-    in_neg = total - in_pos
-    share = total / len(y)
-    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / max(pos, 1) + 1 / max(neg, 1)))
-    z = np.abs(in_pos / max(pos, 1) - in_neg / max(neg, 1)) / spread
+    z = np.abs(_z(in_pos, total - in_pos, y.sum(), len(y) - y.sum()))
     z[total < LEAST_TEXTS] = 0
     best = np.argsort(-z, kind="stable")[:FEATURES]
     return np.sort(best[z[best] > LEAST_Z])
@@ -151,36 +168,62 @@ def fit_chain(docs: np.ndarray, words: np.ndarray, labels: np.ndarray, folds: np
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The highest probability from which the verdict's F1 is within ``F1_SLACK`` of the best.
 
-    F1 is flat around its best; the higher end leaves more clean documents alone.
+    F1 is flat around its best; the higher end leaves more clean documents alone. A model that tells
+    nothing rejects nothing.
     """
     if not len(y) or not y.any():
         return 1.0
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    hits, said = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    f1 = 2 * hits / (said + y.sum())
     f1[:-1][p[order][:-1] == p[order][1:]] = 0  # a threshold can't part equals
+    f1[2 * hits <= said] = 0  # nor reject more clean texts than toxic ones
+    if not f1.any():
+        return 1.0
     at = int(np.argmax(f1 >= f1.max() - F1_SLACK))
     below = p[order][at + 1] if at + 1 < len(y) else 0.0
     return float((p[order][at] + below) / 2)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        low = [set(_WORDS.findall((t or "").lower())) for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(1),
-                pa.array([zlib.crc32((t or "").encode()) for t in texts], pa.int64()),
-                pa.array([np.fromiter(word_hashes(t), np.int32) for t in texts], pa.list_(pa.int32())),
-                *[pa.array([bool(w & set(CATEGORY_TERMS[c])) for w in low], pa.bool_()) for c in CATEGORIES[:-1]],
-            ],
-            names=["toxic", "text_crc", "words", *CATEGORIES[:-1]],
-        )
+def kinds_of(docs: np.ndarray, words: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """The kind of each toxic text, by size of the kinds; -1 for other texts and those without a telling word.
+
+    Clusters of directions (spherical k-means) over the words that speak for toxicity, weighted by how
+    much they tell; centres begin at the heaviest text and then at the one least like those chosen.
+    """
+    out = np.full(len(toxic), -1)
+    if not len(words) or not 0 < toxic.sum() < len(toxic):
+        return out
+    pos = np.bincount(words, weights=toxic[docs], minlength=size)
+    z = _z(pos, np.bincount(words, minlength=size) - pos, toxic.sum(), len(toxic) - toxic.sum())
+    z[z < LEAST_Z] = 0
+    rows = np.flatnonzero(toxic)
+    place = np.full(len(toxic), -1)
+    place[rows] = np.arange(len(rows))
+    x = np.zeros((len(rows), size), np.float32)
+    mine = place[docs] >= 0
+    x[place[docs[mine]], words[mine]] = z[words[mine]]
+    length = np.linalg.norm(x, axis=1)
+    told = np.flatnonzero(length > 0)
+    if not len(told):
+        return out
+    x = x[told] / length[told, None]
+    centres = [x[int(np.argmax(length[told]))]]
+    while len(centres) < KINDS:
+        centres.append(x[int(np.argmin(np.max(x @ np.stack(centres).T, axis=1)))])
+    c = np.stack(centres)
+    for _ in range(CLUSTER_ROUNDS):
+        label = np.argmax(x @ c.T, axis=1)
+        sums = np.stack([x[label == k].sum(0) if (label == k).any() else c[k] for k in range(KINDS)])
+        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    label = np.argmax(x @ c.T, axis=1)
+    rank = np.argsort(np.argsort(-np.bincount(label, minlength=KINDS), kind="stable"), kind="stable")
+    out[rows[told]] = rank[label]
+    return out
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """The labelled documents to fit on: toxic, text_crc, words and the categories with terms."""
+    """The labelled texts to fit on, each once: text, toxic, key (a hash of the text) and fold; a written table."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_doc")).agg(F.max("toxic").alias("label_toxic"))
     total = max(1, known.count())
     parts = 1_000_000
@@ -188,63 +231,129 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     picked = written(picked, "labels")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most ``size`` ids, so the side's size is bounded whatever the input.
-    found = text.join(F.broadcast(picked), F.col("doc_id") == F.col("label_doc")).select("text", F.col("label_toxic").cast("int").alias("toxic"))
-    schema = "toxic int, text_crc long, words array<int>, " + ", ".join(f"{c} boolean" for c in CATEGORIES[:-1])
-    return found.mapInArrow(_sampled, schema)
-
-
-def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[Linear], float]:
-    got = sample(docs, labels, size).toArrow().sort_by([("text_crc", "ascending"), ("toxic", "ascending")])
-    crc = got["text_crc"].to_numpy()
-    once = np.r_[True, crc[1:] != crc[:-1]] if len(crc) else np.zeros(0, bool)  # copies count once
-    got = got.filter(pa.array(once, pa.bool_()))
-    toxic = got["toxic"].to_numpy().astype(int) > 0
-    words = got["words"].combine_chunks()
-    lengths = np.diff(words.offsets.to_numpy()) if len(words) else np.zeros(0, int)
-    flat = words.flatten().to_numpy().astype(np.int64)
-    labels_ = np.column_stack([*[toxic & got[c].to_numpy(zero_copy_only=False).astype(bool) for c in CATEGORIES[:-1]], toxic])
-    folds = (got["text_crc"].to_numpy() % FOLDS).astype(int)
-    return fit_chain(np.repeat(np.arange(len(lengths)), lengths), flat, labels_.astype(float), folds)
-
-
-def _scored(models: list[Linear]):
+    found = text.join(F.broadcast(picked), F.col("doc_id") == F.col("label_doc")).select(F.coalesce("text", F.lit("")).alias("text"), F.col("label_toxic").cast("int").alias("toxic"))
+    once = found.groupBy(F.xxhash64("text").alias("key"), "text").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    return written(once.withColumn("fold", F.pmod("key", F.lit(FOLDS)).cast("int")), "labelled")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each hash occurs in a batch's texts, by fold and label."""
+    for batch in batches:
+        groups: dict[tuple[int, int], list] = {}
+        for text, toxic, fold in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            groups.setdefault((fold, toxic), []).append(np.fromiter(word_hashes(text.as_py()), np.int32))
+        for (fold, toxic), lists in groups.items():
+            words, n = np.unique(np.concatenate(lists), return_counts=True)
+            if len(words):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words), pa.array([fold] * len(words), pa.int32()), pa.array([toxic] * len(words), pa.int32()), pa.array(n, pa.int64())], names=["hash", "fold", "toxic", "n"]
+                )
+
+
+def candidates(texts: DataFrame, most: int = CANDIDATES) -> np.ndarray:
+    """Hashes that tell toxic from other texts outside at least one fold, the best first."""
+    totals = {(r["fold"], r["toxic"]): r["n"] for r in texts.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two a fold
+    counts = texts.select("text", "toxic", "fold").mapInArrow(_counted, "hash int, fold int, toxic int, n long")
+    of = lambda fold, toxic: F.coalesce(F.sum(F.when((F.col("fold") == fold) & (F.col("toxic") == toxic), F.col("n"))), F.lit(0))
+    per = counts.groupBy("hash").agg(F.sum("n").alias("all_"), *[of(f, t).alias(f"n{f}_{t}") for f in range(FOLDS) for t in (0, 1)]).filter(F.col("all_") >= LEAST_TEXTS)
+
+    def tells(without: int | None) -> Column:
+        folds = [f for f in range(FOLDS) if f != without]
+        n = [float(max(1, sum(totals.get((f, t), 0) for f in folds))) for t in (0, 1)]
+        got = [sum((F.col(f"n{f}_{t}") for f in folds), F.lit(0)) for t in (0, 1)]
+        share = (got[0] + got[1]) / sum(n)
+        return F.abs(got[1] / n[1] - got[0] / n[0]) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n[0] + 1 / n[1]))
+
+    best = F.greatest(*[tells(f) for f in (None, *range(FOLDS))])
+    rows = per.select("hash", F.round(best, 6).alias("z")).filter(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "hash").limit(most).collect()
+    return np.array([r["hash"] for r in rows], np.int64)
+
+
+class _Known(dict):
+    """Candidates of words by number, made when first asked for."""
+
+    def __init__(self, hashes: np.ndarray):
+        super().__init__()
+        self.numbers = {int(h): i for i, h in enumerate(hashes)}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        got = tuple(self.numbers[h] for h in _hashes(word) if h in self.numbers)
+        if len(self) < REMEMBERED and len(word) < 100:
+            self[word] = got
+        return got
+
+    def __call__(self, text: str | None) -> list[int]:
+        words = set(_WORDS.findall((text or "").lower()))
+        return sorted(set(chain.from_iterable(map(self.__getitem__, words))))
+
+
+def _held(hashes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [m.table() for m in models]
+        known = _Known(hashes)
         for batch in batches:
-            out = np.zeros((batch.num_rows, len(models)))
-            for i, text in enumerate(batch.column(1)):
-                words, logits = word_hashes(text.as_py()), []
-                for k, (model, known) in enumerate(zip(models, tables, strict=True)):
-                    z = model.bias + float(np.dot(model.chain, logits)) + sum(known[x] for x in words & known.keys())
-                    out[i, k] = p = float(sigmoid(z))
-                    logits.append(logit(p))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(out[:, k]) for k in range(len(models))]], names=["doc_id", *[f"p_{c}" for c in CATEGORIES]]
+                [batch.column(1), batch.column(2), batch.column(3), pa.array([known(t.as_py()) for t in batch.column(0)], pa.list_(pa.int32()))], names=["toxic", "fold", "key", "words"]
             )
 
     return run
 
 
-def score(docs: DataFrame, models: list[Linear], threshold: float) -> DataFrame:
+def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Chain:
+    texts = sample(docs, labels, size)
+    hashes = candidates(texts)
+    got = texts.select("text", "toxic", "fold", "key").mapInArrow(_held(hashes), "toxic int, fold int, key long, words array<int>").toArrow()
+    got = got.sort_by([("key", "ascending"), ("toxic", "ascending")])
+    toxic, folds = got["toxic"].to_numpy().astype(float), got["fold"].to_numpy()
+    lists = got["words"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
+    lengths = np.array([len(x) for x in lists], np.int64) if len(toxic) else np.zeros(0, np.int64)
+    words = np.concatenate([np.asarray(x.values, np.int64) for x in lists]) if lengths.sum() else np.zeros(0, np.int64)
+    at = np.repeat(np.arange(len(toxic)), lengths)
+    kinds = kinds_of(at, words, toxic, len(hashes))
+    columns = [*[(kinds == k).astype(float) for k in range(KINDS)], toxic]
+    links, threshold = fit_chain(at, words, np.column_stack(columns), folds)
+    return Chain(hashes, links, threshold)
+
+
+def _scored(model: Chain):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, size = _Known(model.hashes), len(model.hashes)
+        dense = np.zeros((len(model.links), size))
+        for k, link in enumerate(model.links):
+            dense[k, link.features] = link.weights
+        for batch in batches:
+            out = np.zeros((batch.num_rows, len(model.links)))
+            for i, text in enumerate(batch.column(1)):
+                hits, logits = known(text.as_py()), []
+                sums = dense[:, hits].sum(1)
+                for k, link in enumerate(model.links):
+                    out[i, k] = p = float(sigmoid(link.bias + float(np.dot(link.chain, logits)) + sums[k]))
+                    logits.append(logit(p))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[:, k]) for k in range(len(model.links))]], names=["doc_id", *[f"p_{c}" for c in CATEGORIES]])
+
+    return run
+
+
+def score(docs: DataFrame, model: Chain) -> DataFrame:
     """One row per document: doc_id, a probability per category, toxic, kept."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES)
-    toxic = F.col(f"p_{CATEGORIES[-1]}") > F.lit(threshold)
-    return narrow.mapInArrow(_scored(models), schema).withColumn("toxic", toxic).withColumn("kept", ~toxic)
+    toxic = F.col(f"p_{CATEGORIES[-1]}") > F.lit(model.threshold)
+    return narrow.mapInArrow(_scored(model), schema).withColumn("toxic", toxic).withColumn("kept", ~toxic)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, *train(docs, labels))
+    return score(docs, train(docs, labels))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't toxic, own columns only; each row is judged where it is read."""
-    models, threshold = train(docs, labels)
+    model = train(docs, labels)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scored = next(_scored(models)(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(at)], names=["a", "b"])])))
-            yield batch.filter(pa.array(scored.column(len(models)).to_numpy() <= threshold))
+            scored = next(_scored(model)(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(at)], names=["a", "b"])])))
+            yield batch.filter(pa.array(scored.column(len(model.links)).to_numpy() <= model.threshold))
 
     return docs.mapInArrow(run, docs.schema)

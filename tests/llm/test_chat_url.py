@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 from listwright.llm import chat_format, registry, url_filter
 from pyspark.sql import functions as F
 
@@ -43,6 +44,19 @@ def test_visitor_numbers_attachments(spark):
     assert [(a.type, a.ref, a.tokens) for a in got.attachments] == [("image", "s3/a.png", 512), ("audio", "b.wav", 250), ("document", "c.pdf", 600)]
 
 
+def test_chats_of_an_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "x", 1, "y")], "conv_id long, turn long, role string, text string, formatted int, seen string")
+    parts = df.withColumn("parts", chat_format.text_parts(F.col("text"))).withColumns({c: F.lit(1) for c in ("t", "turns", "p", "loss", "attachments", "under")})
+    got = chat_format.digests(chat_format.format_chats(parts)).first()
+    assert (got.n_turns, got.loss_chars, got.formatted_chars) == (1, 0, len("<|im_start|>user\nx<|im_end|>\n"))
+    assert chat_format.digests(chat_format.format_chats(parts.limit(0))).count() == 0
+    many = [("image", None, f"r{k}", 1) for k in range(3000)]
+    one = spark.createDataFrame([(1, 0, "user", many), (2, 0, "user", []), (3, 0, "user", [(None, None, None, None)])], f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")
+    got = {r.conv_id: r for r in chat_format.format_chats(one).collect()}
+    assert "<|image:3000|>" in got[1].formatted and [a.ref for a in got[1].attachments][-1] == "r2999"
+    assert got[2].formatted == got[3].formatted == "<|im_start|>user\n<|im_end|>\n"
+
+
 def test_query_adds_the_probe(spark):
     got = {r.conv_id: r for r in registry.op8_chat_format(spark, "/root/testdata/sf0.001").collect()}
     assert got[-1].n_turns == 2 and got[-1].loss_chars == len(registry.PROBE)
@@ -73,6 +87,38 @@ def test_url_rules_and_verdicts(spark):
     assert got[len(urls) - 2].verdict == "allow" and got[len(urls) - 1].verdict == "block"
 
 
+def test_scores_equal_the_formula(spark):
+    """Model, scores and threshold's verdicts from Python counts of the same examples."""
+    urls = [f"http://good{i % 7}.org/fr/{i}" for i in range(80)] + [f"http://bad{i % 5}.net/casino/{i}" for i in range(70)] + [f"http://x{i}.com/fr/casino{i % 3}" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    fold = {r.page_id: r.f for r in df.select("page_id", F.pmod(F.xxhash64(*url_filter.parts(F.col("url"))), F.lit(url_filter.HELD_OUT)).alias("f")).collect()}
+    n = url_filter.SYMBOLS
+
+    def windows(url):
+        host, path = split(url)
+        codes = [url_filter.ALPHABET.index(c) if c in url_filter.ALPHABET else url_filter.ALPHABET.index("_") for c in re.sub("[0-9]", "0", (host + path).lower())]
+        full = [n - 1, n - 1, *codes]
+        return [(full[i] * n + full[i + 1]) * n + full[i + 2] for i in range(len(codes))]
+
+    counts = {True: np.zeros(n**3), False: np.zeros(n**3)}
+    for i, url in enumerate(urls):
+        rule = rule_of(*split(url))
+        if rule and fold[i]:
+            np.add.at(counts[rule.verdict == "allow"], windows(url), 1)
+
+    def logs(c):
+        c = c.reshape(n, n, n)
+        one = (c.sum((0, 1)) + 1) / (c.sum() + n)
+        pair, kinds = c.sum(0), ((c > 0).any(0)).sum(1)
+        two = np.where(pair.sum(1)[:, None] > 0, (pair + kinds[:, None] * one) / np.maximum(pair.sum(1) + kinds, 1)[:, None], one)
+        kinds = (c > 0).sum(2)
+        return np.log(np.where(c.sum(2)[..., None] > 0, (c + kinds[..., None] * two) / np.maximum(c.sum(2) + kinds, 1)[..., None], two)).reshape(-1)
+
+    ratio = logs(counts[True]) - logs(counts[False])
+    for r in url_filter.judge(df).collect():
+        assert abs(r.score - np.mean([ratio[w] for w in windows(urls[r.page_id])])) < 1e-5
+
+
 def test_url_filter_without_examples(spark):
     df = spark.createDataFrame([(1, "http://x.com/a"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in url_filter.judge(df).collect()} == {"allow"}

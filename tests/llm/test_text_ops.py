@@ -53,6 +53,14 @@ def test_quality_counts(docs):
         assert not (r.quality.base_failed and r.quality.kept)
 
 
+def test_kept_texts_are_the_labels_good_ones(spark):
+    """The verdict against the table's own quality labels."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    both = quality_rules.judge(docs.select("doc_id", "text")).select("doc_id", "quality.kept").join(labels, "doc_id").toPandas()
+    good, bad = both[both.quality == 1], both[both.quality == 0]
+    assert good.kept.mean() > 0.9 and bad.kept.mean() < 0.35
+
+
 def test_quality_plain_path_agrees(spark, docs, monkeypatch):
     monkeypatch.setattr(quality_rules, "PLACE_BITS", 4)  # nearly all texts take the plain path or collide less
     got = quality_rules.judge(docs.select("doc_id", "text")).collect()
@@ -132,6 +140,7 @@ def test_simhash(docs):
     got = rows_of(simhash.near_duplicates(docs))
     texts = {r.doc_id: r.text for r in docs.collect()}
     marks = {i: reference_fingerprint(t) for i, t in texts.items()}
+    assert simhash.hashes_of("a", 3).dtype == np.uint64
     named = {i: m for i, m in marks.items() if i is not None}
     label = reach(named, lambda a, b: bin(a ^ b).count("1") <= 3)
     assert len(got) == docs.count()
@@ -151,20 +160,91 @@ def test_covering_tables_miss_no_pair(spark, bucket):
             marks.add(b ^ sum(1 << int(i) for i in rng.choice(64, 3, replace=False)))
     items = dict(enumerate(sorted(marks)))
     signed = [(m - (1 << 64) if m >> 63 else m, i) for i, m in items.items()]
-    edges = simhash.links(spark.createDataFrame(signed, "fp long, node long"), bucket=bucket)
+    classes = spark.createDataFrame(signed, "fp long, node long").select(F.array("fp").alias("fp"), "node")
+    edges = simhash.links(classes, bucket=bucket)
     got = {r.node: r.component for r in components(edges).collect()}
     expected = reach(items, lambda a, b: bin(a ^ b).count("1") <= 3)
     assert {i: got.get(i, i) for i in items} == expected
 
 
 def test_every_triple_of_positions_is_hidden_by_a_mask():
-    for family in range(simhash.FAMILIES):
+    for family in range(simhash.QUERY.families):
         hidden = [~m & (2**64 - 1) for m in simhash.masks(family)]
         assert all(
             any(h >> a & h >> b & h >> c & 1 for h in hidden) for a in range(64) for b in range(a, 64) for c in range(b, 64)
         )
 
 
+def test_every_pair_of_positions_of_a_part_is_hidden():
+    found = simhash.tables(0, simhash.STAGE)
+    assert len(found) == 56
+    for part in range(8):
+        word, shift = divmod(32 * part, 64)
+        mine = [~(m & (2**64 - 1)) for w, m in found if w == word and (m & (2**64 - 1)) >> shift & 0xFFFFFFFF]
+        assert all(any(h >> shift + a & h >> shift + b & 1 for h in mine) for a in range(32) for b in range(a, 32))
+
+
+def test_buckets_that_no_mask_splits_are_compared_in_blocks(spark):
+    """A group of near copies larger than a bucket is linked whole; strangers stay apart."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 4, dtype=np.uint64)
+    rows = []
+    for i in range(60):
+        fp = base.copy()
+        for at in rng.choice(256, 6, replace=False):
+            fp[at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+        rows.append(fp)
+    rows += [rng.integers(0, 2**63, 4, dtype=np.uint64) for _ in range(20)]
+    classes = spark.createDataFrame([([int(x) for x in r.view(np.int64)], i) for i, r in enumerate(rows)], "fp array<long>, node long")
+    got = {r.node: r.component for r in components(simhash.links(classes, simhash.STAGE, bucket=8)).collect()}
+    assert {got.get(i, i) for i in range(60)} == {0} and all(i not in got for i in range(60, 80))
+
+
+def test_fingerprints_hold_the_querys_word(sample_docs):
+    for r in sample_docs.limit(20).collect():
+        long = simhash.fingerprint(r.text, simhash.Settings(words=4))
+        assert long[0] == simhash.fingerprint(r.text)[0] == reference_fingerprint(r.text)
+
+
+def test_hot_keys_join_as_any_other(spark, monkeypatch):
+    from listwright.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    big = spark.createDataFrame([(k % 7 if k < 50 else 100, k) for k in range(300)], "a long, v long")
+    small = big.groupBy("a").agg(F.count(F.lit(1)).alias("rows_"), F.min("v").alias("m")).withColumnRenamed("a", "n_")
+    got = common.split_join(big, "a", small, "n_", "rows_", 300).select("a", "v", "m")
+    expected = big.join(small, big["a"] == small["n_"]).select("a", "v", "m")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect())) and got.count() == 300
+
+
+@pytest.mark.parametrize("most", [1, 5, None])
+def test_local_indexes_pass_on_when_full(spark, most):
+    rows = [(hashlib.sha256(b"%d" % (k % 9)).digest(), 5, k, k, 1) for k in range(60)]
+    df = spark.createDataFrame(rows, "text_sha256 binary, n_bytes long, doc_id long, row long, count long").coalesce(1)
+    once = df.mapInArrow(exact_dedup._merged(most), exact_dedup._MERGED)
+    again = once.coalesce(1).mapInArrow(exact_dedup._merged(), exact_dedup._MERGED).collect()
+    assert {(r.keep_id, r.group_size) for r in again} == {(max(k for k in range(60) if k % 9 == m), len([k for k in range(60) if k % 9 == m])) for m in range(9)}
+
+
+def test_weak_spans_against_brute_force(docs):
+    """Weak parts by comparing all pairs of a text's spans."""
+    for r in docs.collect():
+        text = r.text or ""
+        spans = base_spans(text)
+        weak = [(m.start(), k, m.end()) for k, name in enumerate(secret_scan.KINDS) if k > 2 for m in re.finditer(secret_scan.PATTERNS[name], text, re.A)]
+        role = lambda x: secret_scan.ROLE[secret_scan.KINDS[x[1]]]
+        every = spans + weak
+        near = lambda x, what: any(role(y) == what and abs(y[0] - x[0]) <= secret_scan.SCOPE for y in every)
+        needs = {"id": lambda x: near(x, "secret"), "secret": lambda x: near(x, "id") or near(x, "endpoint"), "endpoint": lambda x: near(x, "id") and near(x, "secret")}
+        WEAK[r.doc_id, text] = shown(sorted(spans + [x for x in weak if needs[role(x)](x)]))
+    got = {(r["doc_id"], r["spans"]) for r in rows_of(secret_scan.report(docs))}
+    assert got == {(doc, spans) for (doc, _), spans in WEAK.items()}
+    WEAK.clear()
+
+
+WEAK: dict = {}
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 2000), (2000, 1500)] + [(5000, x) for x in range(5001, 5300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -223,20 +303,17 @@ def test_tiny_and_many_sources_meet_their_targets(spark, monkeypatch, shard):
         assert abs(taken[s] - w) <= 0.5 + (1 + sizes[s] / shard) / 2
 
 
-@pytest.mark.parametrize("tokens, words", [(n, w) for n in (1, 5, 31, 32, 33, 64, 100, 321) for w in (0, 1, 17, 32, 40, 99, 100, 2 * n) if w <= 2 * n])
-def test_a_shard_gives_exactly_its_words(spark, tokens, words):
+def test_a_shard_gives_exactly_its_words(spark, monkeypatch):
     """Each word at most once a pass, and as many as the shard's share says."""
-    docs = spark.createDataFrame([(1, " ".join(f"{k}" for k in range(tokens)), "a")], "doc_id long, text string, source string")
-    plan = spark.createDataFrame([(1,)], "x int")
-    monkey = mixing.targets
-    mixing.targets = lambda found, weights=None: found.join(plan).select("src", "source", "source_size", "rows", F.lit(float(words)).alias("target"))
-    try:
-        r = mixing._dealt(docs).first()
-    finally:
-        mixing.targets = monkey
-    spans = [(x.a, x.b) for x in r.picked]
-    assert r.passes * tokens + sum(b - a for a, b in spans) == words
-    assert all(0 <= a < b <= tokens for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+    cases = [(n, w) for n in (1, 5, 31, 32, 33, 64, 100, 321) for w in (0, 1, 17, 32, 40, 99, 100, 2 * n) if w <= 2 * n]
+    docs = spark.createDataFrame([(i, " ".join(f"{k}" for k in range(n)), f"{i}") for i, (n, _) in enumerate(cases)], "doc_id long, text string, source string")
+    asked = spark.createDataFrame([(f"s{i}", float(w)) for i, (_, w) in enumerate(cases)], "asked string, target double")
+    monkeypatch.setattr(mixing, "targets", lambda found, weights: found.join(asked, F.col("src") == F.col("asked")).drop("asked"))
+    got = {r.doc_id: r for r in mixing._dealt(docs).collect()}
+    for i, (tokens, words) in enumerate(cases):
+        spans = [(x.a, x.b) for x in got[i].picked]
+        assert got[i].passes * tokens + sum(b - a for a, b in spans) == words
+        assert all(0 <= a < b <= tokens for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
 
 
 def test_quotas_are_the_highest_quotients(spark):

@@ -1,8 +1,15 @@
 """A corpus pipeline of five stages over ``documents``, each a table in the shared folder.
 
-Toxic documents go; of exact copies the one with the largest doc_id stays, of near-duplicates the one
-with the smallest; sources are mixed to their target weights; what is left is packed into sequences.
-SQL can't express the stages, so their results are tested against brute force.
+Toxic documents go; of exact copies the one with the largest doc_id stays, of near-duplicates (five-word
+shingles, a similarity of 0.8 or more) the one with the smallest; sources are mixed to their target
+weights; what is left is packed into sequences. SQL can't express the stages, so their results are tested
+against brute force.
+
+Defined results: null and empty texts are documents without words, which exact de-duplication makes one
+and the mix takes nothing of; rows that repeat doc_id and text are copies; rows of one doc_id with other
+texts, or without an id, are told apart; very long texts pass whole. Extra columns, whatever their names,
+pass all stages but the last. An empty table gives an empty table after each stage. Ties go as each
+operator's docstring says.
 """
 
 from __future__ import annotations

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import SPACE, WORD, written
+from listwright.llm.common import SPACE, WORD, parts_for, written
 
 WINDOW, WIDTH, CLASSES, MEMBERS = 2, 32, 128, 128
 TOKENS = CLASSES * MEMBERS
@@ -46,13 +46,15 @@ TOKENS = CLASSES * MEMBERS
 HASHED = 1_024
 NAMED = TOKENS - HASHED
 BORDER = TOKENS
-ROUNDS, RATE, BATCH = 1, 0.25, 8_192
+ROUNDS, RATE, BATCH = 1, 0.25, 12_288
 #: Weights of a block, and tasks whose blocks one group adds up.
 BLOCK, ADDED = 16_384, 256
 #: Logits are kept within this, so that no exponential overflows.
 LOGIT = 40
 #: Tokens of a chunk of texts, letters read at once, and distinct words of chunks that one task counts.
-CHUNK, PIECE, COUNTED = 1 << 18, 1 << 20, 1 << 20
+CHUNK, PIECE, COUNTED = 1 << 19, 1 << 20, 1 << 20
+#: Chunks that one task scores.
+TASK_CHUNKS = 8
 LEAST_PARTS = 16
 #: Counts fall into so many bins to a doubling; the names end at a bin's edge.
 BINS = 32
@@ -145,7 +147,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs.append(doc)
             lengths.append(length)
             held += length + 1
-            if held >= CHUNK or len(seen) > 60_000:
+            if held >= CHUNK:
                 yield closed(docs, parts, lengths, seen)
                 number += 1
                 docs, parts, lengths, seen, held = [], [], [], _Places(), 0
@@ -501,7 +503,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     counts = word_counts(rows)
     words = vocabulary(rows, counts)
     run = _scored(train(rows, words, rounds), words)
-    held = rows.select("chunk", "docs", "lengths", "places", "words").groupBy("chunk")
-    logs = counts.filter("logs is not null").select("chunk", "part", "logs").groupBy("chunk")
+    tasks = parts_for(docs.sparkSession, rows.count(), TASK_CHUNKS)
+    held = rows.select("chunk", "docs", "lengths", "places", "words").repartition(tasks, "chunk").groupBy("chunk")
+    logs = counts.filter("logs is not null").select("chunk", "part", "logs").repartition(tasks, "chunk").groupBy("chunk")
     out = held.cogroup(logs).applyInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
     return out.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

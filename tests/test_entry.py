@@ -64,7 +64,7 @@ def test_rest_works_without_the_corpus_operators(monkeypatch):
 
     def gone(name, *a):
         if name.startswith(("listwright.llm", "corpus_pipeline")):
-            raise ModuleNotFoundError(name=name)
+            raise ModuleNotFoundError(name="listwright.llm" if name.startswith("listwright") else name)
         return real(name, *a)
 
     monkeypatch.setattr(__spark_entry__.importlib, "import_module", gone)
@@ -73,6 +73,17 @@ def test_rest_works_without_the_corpus_operators(monkeypatch):
     assert set(__spark_entry__.oracle_sql()) <= set(queries)
 
 
+def test_a_broken_import_inside_is_no_absence(monkeypatch):
+    import __spark_entry__
+
+    def broken(name, *a):
+        raise ModuleNotFoundError(name="listwright.llm.simhash")
+
+    monkeypatch.setattr(__spark_entry__.importlib, "import_module", broken)
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__.queries()
+
+
 def test_nothing_else_imports_the_corpus_operators():
     import pathlib
 

@@ -27,51 +27,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's order lines as listings.
+#: The dimensions that a column of the view needs, besides the order lines.
+NEEDS = {
+    "listing_date": {"orders"}, "o_custkey": {"orders"}, "o_orderkey": {"orders"}, "title": {"part"}, "type": {"part"}, "bedrooms": {"part"}, "floor": {"part"}, "year_built": {"part"},
+    "source_domain": {"supplier"}, "area": {"supplier", "nation"}, "region": {"supplier", "nation", "region"},
+}
+JOINED = (("orders", "l_orderkey", "o_orderkey"), ("part", "l_partkey", "p_partkey"), ("supplier", "l_suppkey", "s_suppkey"), ("nation", "s_nationkey", "n_nationkey"), ("region", "n_regionkey", "r_regionkey"))
 
-    The small dimensions carry no hint: their files' sizes let Catalyst broadcast them while they are
-    small, and shuffle them when they aren't.
+
+def listings(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """The driver's order lines as listings; of the view's columns those asked for, all by default.
+
+    Every line finds its order, part and supplier, so a dimension that gives no column isn't joined. The
+    small ones carry no hint: their files' sizes let Catalyst broadcast them while they are small, and
+    shuffle them when they aren't.
     """
-    t = lambda n: table(spark, sf_dir, n)
-    df = (
-        t("lineitem")
-        .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    )
     order = ((F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
-    return df.select(
-        order.alias("ord"),
-        F.concat(
+    view = {
+        "ord": order,
+        "url": F.concat(
             F.lit("https://WWW.site.example/u"), F.col("l_orderkey"), F.lit("-"), F.col("l_linenumber"),
             F.when(F.col("l_suppkey") % 2 == 0, "?utm_source=a").otherwise(""),
             F.when(F.col("l_partkey") % 3 == 0, "#top").otherwise(""),
-        ).alias("url"),
-        F.col("s_name").alias("source_domain"),
-        F.concat_ws(" ", "p_name", "p_type").alias("title"),
-        F.when(F.col("l_returnflag") == "A", "sale").when(F.col("l_returnflag") == "N", "rent").alias("transaction"),
-        F.lower("p_type").alias("type"),
-        F.col("l_extendedprice").alias("price_eur"),
-        F.col("l_quantity").alias("area_m2"),
-        (F.col("p_size") % 5).alias("bedrooms"),
-        (F.col("p_size") % 14).alias("floor"),
-        F.when(F.col("l_partkey") % 4 == 0, 1950 + F.col("p_size")).alias("year_built"),
-        F.col("n_name").alias("area"),
-        F.col("r_name").alias("region"),
-        F.concat(F.lit("Street "), F.col("l_partkey") % 7).alias("location"),
-        (38.0 + (F.col("l_partkey") % 100) * 0.001).alias("lat"),
-        (23.6 + (F.col("l_suppkey") % 100) * 0.001).alias("lon"),
-        F.col("o_orderdate").cast("date").alias("listing_date"),
-        F.col("l_shipdate").cast("date").alias("first_seen"),
-        F.when(F.col("l_linestatus") == "F", "portal").otherwise("agency").alias("source_kind"),
-        "l_partkey",
-        "l_suppkey",
-        "o_custkey",
-        "o_orderkey",
-    )
+        ),
+        "source_domain": F.col("s_name"),
+        "title": F.concat_ws(" ", "p_name", "p_type"),
+        "transaction": F.when(F.col("l_returnflag") == "A", "sale").when(F.col("l_returnflag") == "N", "rent"),
+        "type": F.lower("p_type"),
+        "price_eur": F.col("l_extendedprice"),
+        "area_m2": F.col("l_quantity"),
+        "bedrooms": F.col("p_size") % 5,
+        "floor": F.col("p_size") % 14,
+        "year_built": F.when(F.col("l_partkey") % 4 == 0, 1950 + F.col("p_size")),
+        "area": F.col("n_name"),
+        "region": F.col("r_name"),
+        "location": F.concat(F.lit("Street "), F.col("l_partkey") % 7),
+        "lat": 38.0 + (F.col("l_partkey") % 100) * 0.001,
+        "lon": 23.6 + (F.col("l_suppkey") % 100) * 0.001,
+        "listing_date": F.col("o_orderdate").cast("date"),
+        "first_seen": F.col("l_shipdate").cast("date"),
+        "source_kind": F.when(F.col("l_linestatus") == "F", "portal").otherwise("agency"),
+        **{c: F.col(c) for c in ("l_partkey", "l_suppkey", "o_custkey", "o_orderkey")},
+    }
+    names = only or tuple(view)
+    needed = set().union(*(NEEDS.get(n, set()) for n in names))
+    df = table(spark, sf_dir, "lineitem")
+    for name, left, right in JOINED:
+        if name in needed:
+            df = df.join(table(spark, sf_dir, name), F.col(left) == F.col(right))
+    return df.select(*[view[n].alias(n) for n in names])
 
 
 LISTINGS_SQL = """lv AS (

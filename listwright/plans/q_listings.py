@@ -23,7 +23,7 @@ from listwright.sources.landed import union_sources
 )
 def flagship_property_rollup(spark, sf_dir):
     """Union view, first-wins by URL, ranked main listing and price span per property, top 500 by size."""
-    df = normalize.first_by_url(listings(spark, sf_dir)).filter("price_eur > 0")
+    df = normalize.first_by_url(listings(spark, sf_dir, "ord", "url", "l_partkey", "source_kind", "listing_date", "price_eur", "first_seen")).filter("price_eur > 0")
     rank = F.struct(F.when(F.col("source_kind") != "portal", 0).otherwise(1), -F.unix_date("listing_date"), F.col("ord"))
     rolled = df.groupBy(F.col("l_partkey").alias("property_id")).agg(
         F.count(F.lit(1)).alias("members"), F.min("price_eur").alias("price_min"), F.max("price_eur").alias("price_max"),
@@ -40,7 +40,7 @@ def scan_union_sources(spark, sf_dir):
 
 @query(with_listings("SELECT ord, CAST(trunc(price_eur) AS BIGINT) AS price_eur, round_even(area_m2, 1) AS area_m2, CAST(round_even(price_eur / area_m2, 0) AS BIGINT) AS price_per_m2, source_kind = 'portal' AS is_portal FROM lv"))
 def project_normalize(spark, sf_dir):
-    return listings(spark, sf_dir).select(
+    return listings(spark, sf_dir, "ord", "price_eur", "area_m2", "source_kind").select(
         "ord", F.col("price_eur").cast("long").alias("price_eur"), F.bround("area_m2", 1).alias("area_m2"),
         per_unit(F.col("price_eur"), F.col("area_m2")).alias("price_per_m2"), (F.col("source_kind") == "portal").alias("is_portal"),
     )
@@ -60,7 +60,7 @@ def try_casts(spark, sf_dir):
     )
 )
 def dedup_object(spark, sf_dir):
-    df = listings(spark, sf_dir).withColumn("price_eur", F.nullif(F.floor(F.col("price_eur") / 1000).cast("double"), F.lit(5.0)))
+    df = listings(spark, sf_dir, "ord", "source_domain", "transaction", "type", "price_eur", "area_m2").withColumn("price_eur", F.nullif(F.floor(F.col("price_eur") / 1000).cast("double"), F.lit(5.0)))
     return normalize.first_by_object(df).select("ord")
 
 
@@ -72,13 +72,13 @@ def dedup_object(spark, sf_dir):
     )
 )
 def cross_field_nulls(spark, sf_dir):
-    return normalize.validate(listings(spark, sf_dir)).select("ord", "price_eur", "area_m2")
+    return normalize.validate(listings(spark, sf_dir, "ord", "url", "title", "transaction", "price_eur", "area_m2")).select("ord", "price_eur", "area_m2")
 
 
 
 @query(with_listings("SELECT source_domain, CAST(sum(c) AS BIGINT) AS points, max(c) AS most FROM (SELECT source_domain, round(lat, 1) AS lat, lon, count(*) AS c FROM lv GROUP BY ALL) GROUP BY 1 HAVING sum(c) >= 5 AND max(c) > 0.5 * sum(c)"))
 def mode_share(spark, sf_dir):
-    return normalize.office_points(listings(spark, sf_dir).withColumn("lat", F.round("lat", 1)))
+    return normalize.office_points(listings(spark, sf_dir, "source_domain", "lat", "lon").withColumn("lat", F.round("lat", 1)))
 
 
 @query(
@@ -90,7 +90,7 @@ def mode_share(spark, sf_dir):
 )
 def agency_infer(spark, sf_dir):
     region = F.when(F.col("region") == "EUROPE", F.col("region")).otherwise(F.lit("other"))
-    df = listings(spark, sf_dir).withColumn("region", F.when(F.col("l_partkey") % 3 != 0, region))
+    df = listings(spark, sf_dir, "ord", "l_partkey", "source_domain", "source_kind", "region").withColumn("region", F.when(F.col("l_partkey") % 3 != 0, region))
     return normalize.fill_from_agency(df, "EUROPE").select("ord", "region")
 
 
@@ -212,7 +212,7 @@ def top_price_drops(spark, sf_dir):
 
 @query(with_listings("SELECT column_name, filled, round(100 * filled / n, 1) AS rate FROM (SELECT count(*) AS n, count(transaction) AS transaction, count(year_built) AS year_built, count(price_eur) AS price_eur FROM lv) UNPIVOT (filled FOR column_name IN (transaction, year_built, price_eur))"))
 def fill_rates(spark, sf_dir):
-    return normalize.fill_rates(listings(spark, sf_dir), ["transaction", "year_built", "price_eur"])
+    return normalize.fill_rates(listings(spark, sf_dir, "transaction", "year_built", "price_eur"), ["transaction", "year_built", "price_eur"])
 
 
 @query("SELECT CASE WHEN event_type IN ('error') THEN 'blocked' ELSE event_type END AS status, count(*) AS n FROM events GROUP BY 1")
@@ -247,7 +247,7 @@ def property_rollup(spark, sf_dir):
 
 @query(with_listings(RANKED + " SELECT ord, CAST(place AS INTEGER) AS place FROM r"))
 def main_listing_rank(spark, sf_dir):
-    return gold.ranked_members(listings(spark, sf_dir).withColumnRenamed("l_partkey", "property_id")).select("ord", "place")
+    return gold.ranked_members(listings(spark, sf_dir, "ord", "l_partkey", "source_kind", "listing_date", "price_eur", "area_m2", "bedrooms", "floor", "year_built", "area").withColumnRenamed("l_partkey", "property_id")).select("ord", "place")
 
 
 @query("SELECT p_name AS value, row_number() OVER (ORDER BY min(p_partkey)) - 1 AS code FROM part GROUP BY 1")
@@ -269,7 +269,7 @@ def sparse_pack(spark, sf_dir):
     )
 )
 def recheck_due(spark, sf_dir):
-    df = listings(spark, sf_dir).withColumns({"linked": F.col("l_partkey") % 2 == 0, "checked_at": F.col("first_seen"), "url": F.concat("url", F.format_string("~%020d", "ord"))})
+    df = listings(spark, sf_dir, "ord", "l_partkey", "first_seen", "url", "source_domain").withColumns({"linked": F.col("l_partkey") % 2 == 0, "checked_at": F.col("first_seen"), "url": F.concat("url", F.format_string("~%020d", "ord"))})
     got = reporting.due_for_recheck(df, F.lit("1996-01-01").cast("date"), 20)
     return got.select("ord", "turn")
 
@@ -339,4 +339,4 @@ def set_difference(spark, sf_dir):
 
 @query(with_listings(f"SELECT DISTINCT {URL_KEY_SQL} AS key_url FROM lv"))
 def url_keys(spark, sf_dir):
-    return listings(spark, sf_dir).select(url_key(F.col("url")).alias("key_url")).distinct()
+    return listings(spark, sf_dir, "url").select(url_key(F.col("url")).alias("key_url")).distinct()

@@ -95,7 +95,7 @@ def market_delta(spark, sf_dir):
     ref = table(spark, sf_dir, "nation").select(F.col("n_name").alias("area"), (900.0 + F.col("n_nationkey") * 20).alias("sale"), (4.0 + F.col("n_nationkey")).alias("rent"))
     k = F.col("l_partkey") % 4
     type_ = F.when(k == 0, "apartment").when(k == 1, "studio").when(k == 2, "land")
-    got = listings(spark, sf_dir).join(ref, "area")
+    got = listings(spark, sf_dir, "ord", "l_partkey", "transaction", "area", "price_eur", "area_m2").join(ref, "area")
     return got.select("ord", matching.market_delta(F.col("price_eur"), F.col("area_m2"), F.col("sale"), F.col("rent"), F.col("transaction"), type_).alias("delta"))
 
 
@@ -108,7 +108,7 @@ BLOCKED = ["transaction", "type", "bedrooms"]
 
 def band_base(spark, sf_dir):
     """All listings with a deal; pairs agree in deal, type and bedrooms."""
-    df = listings(spark, sf_dir).filter("transaction is not null")
+    df = listings(spark, sf_dir, "ord", "transaction", "type", "bedrooms", "source_domain", "price_eur", "area_m2").filter("transaction is not null")
     return df.select("ord", *BLOCKED, "source_domain", (F.col("price_eur") / F.col("area_m2")).alias("price_m2"), (F.col("price_eur") / 100).alias("m"))
 
 
@@ -234,13 +234,13 @@ def point_in_polygon(spark, sf_dir):
 
 @query(with_listings("SELECT transaction, area, count(price_eur) AS samples, round(quantile_cont(price_eur, 0.05), 4) AS p05, round(quantile_cont(price_eur, 0.5), 4) AS median, round(quantile_cont(price_eur, 0.95), 4) AS p95 FROM lv GROUP BY 1, 2 HAVING count(price_eur) >= 8"))
 def segment_median(spark, sf_dir):
-    got = spatial.segment_stats(listings(spark, sf_dir), ["transaction", "area"], "price_eur")
+    got = spatial.segment_stats(listings(spark, sf_dir, "transaction", "area", "price_eur"), ["transaction", "area"], "price_eur")
     return got.select("transaction", "area", "samples", *[F.round(c, 4).alias(c) for c in ("p05", "median", "p95")])
 
 
 @query(with_listings(", s AS (SELECT transaction, area, quantile_cont(price_eur, 0.05) AS p05, quantile_cont(price_eur, 0.95) AS p95 FROM lv WHERE transaction IS NOT NULL GROUP BY 1, 2 HAVING count(price_eur) >= 8) SELECT ord, price_eur FROM lv JOIN s USING (transaction, area) WHERE price_eur NOT BETWEEN p05 AND p95"))
 def outlier_band(spark, sf_dir):
-    df = listings(spark, sf_dir).filter("transaction is not null")
+    df = listings(spark, sf_dir, "ord", "transaction", "area", "price_eur").filter("transaction is not null")
     bands = spatial.segment_stats(df, ["transaction", "area"], "price_eur").select("transaction", "area", "p05", "p95")
     return df.join(bands, ["transaction", "area"]).filter(~F.col("price_eur").between(F.col("p05"), F.col("p95"))).select("ord", "price_eur")
 

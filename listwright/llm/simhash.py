@@ -11,7 +11,12 @@ missed (Pagh, "CoveringLSH").
 five-word shingles have a Jaccard similarity of 0.8 or more: such texts differ in some 15 % of the bits
 of a SimHash, so it takes 256 of them, and links at 46 (18 %). Its tables cover the eight 32-bit parts
 with radius 2 each: complete up to 23 differing bits, as one part then differs in two at most; beyond,
-a pair meets if one of 56 masks hides its differences, which at 0.8 holds for 97 pairs in 100.
+a pair meets if one of 56 masks hides its differences, which at 0.8 holds for 97 pairs in 100. Many
+texts of a lower similarity link at 46 bits too, so ``STAGE`` checks its links by the shingles' hashes
+themselves: all of them for texts of fewer than ``sketch`` distinct ones, the smallest ``sketch`` of the
+union otherwise (an estimate, with a standard error of 0.0125). Only texts that have a link are hashed again for that.
+For the links to be checked, a bucket gives a spanning forest of its nearest pairs, so a pair above the
+threshold is lost only where a nearer link on its way is below it, in every bucket that holds the pair.
 
 Copies of a fingerprint are one class before any table is built. Buckets are dealt by key, scanned
 in sorted order, and linked inside by blocks; each gives a spanning forest, not its pairs. A bucket
@@ -59,10 +64,13 @@ class Settings(NamedTuple):
     radius: int = 3
     families: int = 3
     limit: int = 3
+    #: The least Jaccard similarity of texts that link, and hashes of a text that it is taken from; None checks nothing.
+    similar: float | None = None
+    sketch: int = 1024
 
 
 QUERY = Settings()
-STAGE = Settings(shingle=5, words=4, width=32, radius=2, families=1, limit=46)
+STAGE = Settings(shingle=5, words=4, width=32, radius=2, families=1, limit=46, similar=0.8)
 
 
 def hashes_of(text: str, size: int = 3) -> np.ndarray:
@@ -166,6 +174,35 @@ def _linked(fps: np.ndarray, nodes: np.ndarray, limit: int) -> tuple[np.ndarray,
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def _nearest(fps: np.ndarray, nodes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning forest of the links with the fewest bits (Prim's); ties go by node, so buckets agree on it."""
+    order = np.argsort(nodes, kind="stable")
+    fps, nodes = fps[order], nodes[order]
+    left, at = np.arange(1, len(nodes)), 0
+    bits, by = np.full(len(left), np.iinfo(np.int64).max), np.zeros(len(left), np.int64)
+    a, b = [], []
+    while len(left):
+        now = np.bitwise_count(fps[left] ^ fps[at]).sum(1, dtype=np.int64)
+        closer = now < bits
+        bits[closer], by[closer] = now[closer], at
+        k = int(np.argmin(bits))
+        at = left[k]
+        if bits[k] <= limit:
+            a.append(nodes[by[k]])
+            b.append(nodes[at])
+        left, bits, by = (np.delete(x, k) for x in (left, bits, by))
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _forest(fps: np.ndarray, nodes: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links; of the nearest ones where links are to be checked."""
+    a, b = _linked(fps, nodes, settings.limit)
+    if settings.similar is None or not len(a):
+        return a, b
+    some = np.isin(nodes, np.concatenate([a, b]))
+    return _nearest(fps[some], nodes[some], settings.limit)
+
+
 def _words_of(column: pa.Array, words: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, words)
 
@@ -194,7 +231,7 @@ def _scan(settings: Settings, limit: int):
                 if len(part) > limit:
                     yield passed_on(part)
                     continue
-                a, b = _linked(np.ascontiguousarray(part[:, 2:]).view(np.uint64), part[:, 1], settings.limit)
+                a, b = _forest(np.ascontiguousarray(part[:, 2:]).view(np.uint64), part[:, 1], settings)
                 if len(a):
                     found_a.append(a)
                     found_b.append(b)
@@ -246,7 +283,7 @@ def _blocks(rows: DataFrame, settings: Settings, bucket: int) -> DataFrame:
     def compare(frame: pa.Table) -> pa.Table:
         frame = frame.combine_chunks()
         fps = np.ascontiguousarray(_words_of(frame["fp"].chunk(0), settings.words)).view(np.uint64) if frame.num_rows else np.empty((0, settings.words), np.uint64)
-        a, b = _linked(fps, frame["node"].to_numpy(), settings.limit)
+        a, b = _forest(fps, frame["node"].to_numpy(), settings)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return pairs.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long")
@@ -275,11 +312,53 @@ def fingerprints(docs: DataFrame, settings: Settings = QUERY) -> DataFrame:
     return written(narrow.mapInArrow(_fingerprints(settings), "doc_id long, fp array<long>"), "fingerprints")
 
 
+def _sketches(settings: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, least = [], []
+            for text in batch.column(1):
+                marks.append(np.array(fingerprint(text.as_py(), settings), np.uint64).view(np.int64))
+                least.append(np.unique(hashes_of(text.as_py() or "", settings.shingle).view(np.int64))[: settings.sketch])
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, kind), pa.array(least, kind)], names=["doc_id", "fp", "sketch"])
+
+    return run
+
+
+def similarity(x: Column, y: Column, most: int) -> Column:
+    """Jaccard similarity of two sets by their ``most`` least members, exact where both have fewer."""
+    both = F.array_union(x, y)
+    seen = F.when((F.size(x) < most) & (F.size(y) < most), both).otherwise(F.slice(F.array_sort(both), 1, most))
+    return F.when(F.size(both) > 0, F.size(F.array_intersect(F.array_intersect(seen, x), y)) / F.size(seen)).otherwise(F.lit(0.0))
+
+
+def checked(edges: DataFrame, docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    """The edges between classes whose texts have the similarity; of rows that share a doc_id, any may have it.
+
+    A hub's sketch isn't brought to its edges by a shuffle: hot hubs are at most ``MOST_HOT`` of some 8 KB.
+    """
+    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
+    ends = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct()
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = narrow.join(ends, F.col("doc_id") == F.col("a"), "left_semi")
+    made = texts.mapInArrow(_sketches(settings), "doc_id long, fp array<long>, sketch array<long>").groupBy("doc_id", "fp").agg(F.min("sketch").alias("sketch"))
+    own = classes.select("node", F.col("fp").alias("fp_"))
+    sketches = written(made.join(own, (F.col("doc_id") == F.col("node")) & (F.col("fp") == F.col("fp_"))).select("node", "sketch"), "sketches")
+    total, out = edges.count(), edges
+    for side in ("a", "b"):
+        degrees = edges.groupBy(F.col(side).alias("end_")).agg(F.count(F.lit(1)).alias("rows_"))
+        small = sketches.join(degrees, F.col("node") == F.col("end_")).select("node", F.col("sketch").alias(f"sketch_{side}"), "rows_")
+        out = split_join(out, side, written(small, "ends"), "node", "rows_", total).drop("node", "rows_")
+    near = similarity(F.col("sketch_a"), F.col("sketch_b"), settings.sketch) >= settings.similar - 1e-9
+    return out.filter(near).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = QUERY, bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
     marks = fingerprints(docs, settings)
     classes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows_")), "classes")
-    found = components(links(classes.filter("node is not null"), settings, bucket))
+    edges = links(classes.filter("node is not null"), settings, bucket)
+    found = components(edges if settings.similar is None else checked(edges, docs, classes, settings))
     found = written(found, "components").withColumnRenamed("node", "member")
     named = classes.join(found, classes["node"] == found["member"], "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "node").alias("component_id"), "rows_")
     joined = split_join(marks, "fp", written(named, "classes"), "fp_", "rows_", marks.count())

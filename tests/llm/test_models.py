@@ -195,11 +195,15 @@ def test_lm_is_normalised_and_gradients_are_right():
 
 
 def near_brute(docs, settings):
-    """Smallest id that each document reaches over pairs of fingerprints that link."""
+    """Smallest id that each document reaches over pairs of fingerprints that link, and of the similarity asked for."""
     marks = {i: np.array(simhash.fingerprint(t, settings), np.uint64) for i, t in docs.items()}
     ids = sorted(marks)
     all_ = np.stack([marks[i] for i in ids])
-    label = {}
+    sets, label = [shingles(docs[i]) for i in ids], {}
+
+    def similar(x, y):
+        return settings.similar is None or (all_[x] == all_[y]).all() or len(sets[x] & sets[y]) >= settings.similar * len(sets[x] | sets[y]) - 1e-9
+
     for k, i in enumerate(ids):
         if i in label:
             continue
@@ -207,7 +211,7 @@ def near_brute(docs, settings):
         while stack:
             x = stack.pop()
             for y in np.flatnonzero(np.bitwise_count(all_ ^ all_[x]).sum(1) <= settings.limit):
-                if ids[y] not in label:
+                if ids[y] not in label and similar(x, y):
                     label[ids[y]] = i
                     stack.append(int(y))
     return label
@@ -238,6 +242,29 @@ def test_near_copies_of_five_word_shingles_are_found(spark):
     assert all(got[i] // 10 == i // 10 for i in texts)
 
 
+def test_links_below_the_similarity_are_left(spark):
+    """Texts that link by bits alone stay apart below 0.8; long texts go by their sketches."""
+    rng = np.random.default_rng(9)
+    texts = {}
+    for i in range(60):
+        ws = [f"v{x}" for x in rng.integers(0, 20_000, 400 if i < 50 else 4000)]
+        texts[10 * i] = " ".join(ws)
+        for c, share in ((1, 0.0125), (2, 0.035)):
+            other = list(ws)
+            for at in rng.choice(len(ws), int(share * len(ws)), replace=False):
+                other[at] = f"new{i}_{c}_{at}"
+            texts[10 * i + c] = " ".join(other)
+    jaccard = lambda x, y: len(shingles(texts[x]) & shingles(texts[y])) / len(shingles(texts[x]) | shingles(texts[y]))
+    docs = spark.createDataFrame([*texts.items(), (None, texts[0]), (700, None), (701, ""), (700, None)], "doc_id long, text string")
+    loose = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, simhash.STAGE._replace(similar=None)).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, simhash.STAGE).collect()}
+    below = [10 * i + 2 for i in range(60) if max(jaccard(10 * i + 2, 10 * i), jaccard(10 * i + 2, 10 * i + 1)) < 0.75]
+    assert len(below) > 40 and sum(loose[x] != x for x in below) > 10  # bits alone join them
+    assert all(got[x] == x for x in below)
+    assert all(got[10 * i + 1] == 10 * i for i in range(60) if jaccard(10 * i + 1, 10 * i) >= 0.85)
+    assert got[701] == got[700] == 700
+
+
 def test_pipeline_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(300).withColumn("_taken", F.lit(1))
     (_, toxic), (_, exact), (_, near), (_, mix), (_, pack) = corpus_pipeline.STAGES

@@ -20,12 +20,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """``checkpoint()`` writes to the shared folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and its size is known.
 
@@ -37,4 +31,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at_ = path
+    return table
+
+
+def removed(table: DataFrame) -> None:
+    """Deletes the files of a ``written`` table that no later step reads, not even after a lost executor."""
+    context = table.sparkSession.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(table.written_at_)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

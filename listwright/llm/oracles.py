@@ -12,6 +12,39 @@ EXACT_DEDUP = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER
   doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
+FILL_MIDDLE = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l,
+    sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+  k AS (SELECT *, len(l) AS n, ('0x' || h[1:8])::BIGINT % (len(l) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(l) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+  p AS (SELECT *, array_to_string(l[1:least(a, b)], '') AS pre, array_to_string(l[least(a, b) + 1:greatest(a, b)], '') AS mid,
+    array_to_string(l[greatest(a, b) + 1:], '') AS suf FROM k)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p"""
+
+
+def vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd's rounds without bounds: all distances, then floored means, one pair of steps a round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, p, any_value(v) AS v, min(d * {entries} + e) AS m FROM (
+    SELECT r, x.p, x.v, c.e, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT AS d FROM x JOIN c{k} c ON x.p = c.p) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(n.v, c.v) AS v FROM c{k} c LEFT JOIN (SELECT p, e, list(s ORDER BY i) AS v FROM (
+    SELECT p, (m % {entries})::BIGINT AS e, i, floor(sum(w)::DOUBLE / count(*))::BIGINT AS s
+    FROM (SELECT p, m, unnest(v) AS w, unnest(range(len(v))) AS i FROM a{k}) GROUP BY p, e, i) GROUP BY p, e) n ON c.p = n.p AND c.e = n.e)""")
+    last = rounds
+    return f"""WITH q AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r,
+    list_transform(embedding, lambda y: floor(y::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+  x AS MATERIALIZED (SELECT r, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS v FROM q, (SELECT unnest(range({parts})) AS p)),
+  c0 AS MATERIALIZED (SELECT p, r AS e, v FROM x WHERE r < {entries}),
+  {", ".join(steps)},
+  b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{last}),
+  f AS (SELECT r, string_agg(printf('%02x', (m % {entries})::INTEGER), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a{last} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM q JOIN f USING (r), b"""
+
 
 def chat_format(probe: str) -> str:
     escaped = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"

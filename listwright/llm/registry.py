@@ -1,4 +1,4 @@
-"""The ten queries of the corpus operators and their oracle SQL."""
+"""The thirteen queries of the corpus operators and their oracle SQL."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from listwright.llm import (
     chat_format,
     exact_dedup,
+    fill_middle,
+    language_id,
     lm_score,
     mixing,
     oracles,
@@ -18,6 +20,7 @@ from listwright.llm import (
     simhash,
     toxicity,
     url_filter,
+    vector_codes,
 )
 from listwright.llm.common import table
 
@@ -79,6 +82,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,10 +107,15 @@ QUERIES = {
         op8_chat_format,
         op9_packing,
         op10_secret_scan,
+        op11_fill_middle,
+        op12_vector_codes,
+        op13_language_id,
     )
 }
 ORACLES = {
     "op3_quality_rules": oracles.quality(),
     "op4_exact_dedup": oracles.EXACT_DEDUP,
     "op8_chat_format": oracles.chat_format(PROBE),
+    "op11_fill_middle": oracles.FILL_MIDDLE,
+    "op12_vector_codes": oracles.vector_codes(),
 }

@@ -6,6 +6,7 @@ and scoring a tokenizer or trained models, secret spans the places of matches.
 
 from __future__ import annotations
 
+from listwright.llm.chat_format import EXPANSION, MEDIA, MEDIA_LINK
 from listwright.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS
 
 EXACT_DEDUP = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -49,12 +50,18 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 def chat_format(probe: str) -> str:
     escaped = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
     role = r"replace(" + escaped.format("role") + r", chr(10), '\' || chr(10))"
-    return f"""WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-1, 0, 'user', '{probe}'), (-1, 1, 'assistant', '{probe}'))
+    link, quote = MEDIA_LINK.replace("'", "''"), "'"
+    kind = f"CASE WHEN regexp_matches(x, '\\.({MEDIA['image']})$') THEN 'image' WHEN regexp_matches(x, '\\.({MEDIA['audio']})$') THEN 'audio' ELSE 'document' END"
+    each = "CASE " + " ".join(f"WHEN k = {quote}{name}{quote} THEN {n}" for name, n in EXPANSION.items()) + " END"
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{probe}'), (-1, 1, 'assistant', '{probe}')),
+  m AS (SELECT *, list_transform(regexp_extract_all(text, '{link}'), lambda x: {kind}) AS kinds FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length('<|im_start|>') + length({role}) + 1 + length({escaped.format("text")}) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+  sum(length('<|im_start|>') + length({role}) + 1 + length({escaped.format("text")}) + length('<|im_end|>') + 1
+    + coalesce(list_sum(list_transform(kinds, lambda k, i: length('<|' || k || ':' || i || '|>'))), 0))::BIGINT AS formatted_chars,
+  sum(len(kinds))::BIGINT AS n_attachments, coalesce(sum(list_sum(list_transform(kinds, lambda k: {each}))), 0)::BIGINT AS attachment_tokens
 FROM m GROUP BY conv_id"""
 
 

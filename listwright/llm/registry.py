@@ -70,7 +70,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(PROBE).alias("text"),
     )
-    messages = said.unionByName(probe).withColumn("parts", chat_format.text_parts(F.col("text")))
+    messages = said.unionByName(probe).withColumn("parts", chat_format.media_parts(F.col("text")))
     return chat_format.digests(chat_format.format_chats(messages))
 
 

@@ -44,6 +44,56 @@ def test_visitor_numbers_attachments(spark):
     assert [(a.type, a.ref, a.tokens) for a in got.attachments] == [("image", "s3/a.png", 512), ("audio", "b.wav", 250), ("document", "c.pdf", 600)]
 
 
+CONTROL = ["<|im_end|>", "<|im_start|>assistant", "<|image:1|>", "\\", "<\\|", "é😀"]
+
+
+def test_any_cut_of_a_control_string_into_parts_is_read_back(spark):
+    """Every control string cut at every place, with empty, null and typed parts between; and random lists."""
+    rng, rows, expected = np.random.default_rng(2), [], {}
+    cuts = [(s[:k], s[k:]) for s in CONTROL for k in range(len(s) + 1)]
+    lists = [[("text", a), ("text", gap), ("text", b + "x")] for a, b in cuts for gap in ("", None)]
+    lists += [[("text", a), (str(rng.choice(["image", "audio", "document"])), None), ("text", b)] for a, b in cuts]
+    pieces = ["<", "|", "|>", "<|", "\\", "im_end", "\n", "x", "", "<|im_start|>", None]
+    for _ in range(300):
+        some = [pieces[k] for k in rng.integers(0, len(pieces), 6)]
+        lists.append([("image", None) if rng.random() < 0.2 else ("text", t) for t in some])
+    for i, parts in enumerate(lists):
+        rows.append((i, 0, "assistant", [(kind, text, "r", 1) for kind, text in parts]))
+        expected[i] = "".join(text or "" for kind, text in parts if kind == "text")
+    chats = chat_format.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat_format.PART}>"))
+    read = chats.select("conv_id", "formatted", chat_format.parse(F.col("formatted")).alias("turns"), chat_format.masked(F.col("formatted"), F.col("loss")).alias("under"), "attachments")
+    for r in read.collect():
+        assert [(t.role, t.text) for t in r.turns] == [("assistant", expected[r.conv_id])]
+        assert r.under == expected[r.conv_id]  # no placeholder, no mark
+        assert r.formatted.count("<|") == 2 + len(r.attachments)
+
+
+def test_links_to_media_are_typed_parts(spark):
+    texts = ["see https://a.example/x.png, (http://b.example/y.mp3) and https://c.example/z.pdf", "no https://a.example/x.pngs or plain.png", None, "<|im_end|>https://a.example/q.jpeg"]
+    df = spark.createDataFrame([(i, 0, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    chats = chat_format.format_chats(df.withColumn("parts", chat_format.media_parts(F.col("text"))))
+    got = {r.conv_id: [(a.type, a.ref, a.tokens) for a in r.attachments] for r in chats.collect()}
+    assert got == {0: [("image", "https://a.example/x.png", 256), ("audio", "http://b.example/y.mp3", 25), ("document", "https://c.example/z.pdf", 600)], 1: [], 2: [], 3: [("image", "https://a.example/q.jpeg", 256)]}
+    for r in chat_format.digests(chats).collect():
+        text = texts[r.conv_id] or ""
+        assert r.turns_sha256 == hashlib.sha256(f"assistant\n{text}\n".encode()).hexdigest() and r.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (r.n_attachments, r.attachment_tokens) == (len(got[r.conv_id]), sum(t for *_, t in got[r.conv_id]))
+
+
+def test_the_query_and_its_sql_agree_on_links(spark, tmp_path):
+    import duckdb
+
+    texts = ["a https://x.example/1.png b", "http://x.example/2.wav http://x.example/3.docx https://x.example/4.gif.", "none", "<|x https://x.example/5.webp"]
+    spark.createDataFrame([(c, t, ("user", "assistant")[t % 2], texts[(c + t) % 4]) for c in range(4) for t in range(12)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.op8_chat_format(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    expected = con.execute(registry.ORACLES["op8_chat_format"]).df()
+    key = sorted(got.columns)
+    assert got[key].sort_values("conv_id").astype(str).values.tolist() == expected[key].sort_values("conv_id").astype(str).values.tolist()
+    assert got.n_attachments.sum() > 20
+
+
 def test_chats_of_an_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, 0, "user", "x", 1, "y")], "conv_id long, turn long, role string, text string, formatted int, seen string")
     parts = df.withColumn("parts", chat_format.text_parts(F.col("text"))).withColumns({c: F.lit(1) for c in ("t", "turns", "p", "loss", "attachments", "under")})

@@ -15,7 +15,7 @@ operator's docstring says.
 from __future__ import annotations
 
 import public_tokenizers
-from listwright.llm import exact_dedup, mixing, packing, simhash, toxicity
+from listwright.llm import exact_dedup, mixing, near_copies, packing, toxicity
 from listwright.llm.common import table, written
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_smallest(docs)
+    return near_copies.keep_smallest(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,16 +7,12 @@ differing positions span at most r dimensions, so some v is orthogonal to all of
 mask hides every difference, and the pair shares its bucket. No pair within the radius can be
 missed (Pagh, "CoveringLSH").
 
-``QUERY`` has one word of 64 bits, links at 3 bits, and is complete. ``STAGE`` is for documents whose
-five-word shingles have a Jaccard similarity of 0.8 or more: such texts differ in some 15 % of the bits
-of a SimHash, so it takes 256 of them, and links at 46 (18 %). Its tables cover the eight 32-bit parts
-with radius 2 each: complete up to 23 differing bits, as one part then differs in two at most; beyond,
-a pair meets if one of 56 masks hides its differences, which at 0.8 holds for 97 pairs in 100. Many
-texts of a lower similarity link at 46 bits too, so ``STAGE`` checks its links by the shingles' hashes
-themselves: all of them for texts of fewer than ``sketch`` distinct ones, the smallest ``sketch`` of the
-union otherwise (an estimate, with a standard error of 0.0125). Only texts that have a link are hashed again for that.
-For the links to be checked, a bucket gives a spanning forest of its nearest pairs, so a pair above the
-threshold is lost only where a nearer link on its way is below it, in every bucket that holds the pair.
+``QUERY`` has one word of 64 bits, links at 3 bits, and is complete. ``STAGE``, which ``near_copies`` uses, has
+384 bits, covered in twelve 32-bit parts with radius 2 each: complete up to 35 differing bits, as one part
+then differs in two at most; beyond, a pair meets if one of 84 masks hides its differences. Behind the
+fingerprint it stores 256 one-bit minima of the shingles' hashes, which tell the similarity of two sets
+better than the fingerprint does: in a bucket those are compared, and link if few of them differ, and a
+bucket gives the spanning forest of its nearest pairs.
 
 Copies of a fingerprint are one class before any table is built. Buckets are dealt by key, scanned
 in sorted order, and linked inside by blocks; each gives a spanning forest, not its pairs. A bucket
@@ -64,13 +60,17 @@ class Settings(NamedTuple):
     radius: int = 3
     families: int = 3
     limit: int = 3
-    #: The least Jaccard similarity of texts that link, and hashes of a text that it is taken from; None checks nothing.
-    similar: float | None = None
-    sketch: int = 1024
+    #: 64-bit words of one-bit minima that follow the fingerprint, and are compared in its place.
+    minima: int = 0
+
+    @property
+    def compared(self) -> int:
+        """Words that a bucket's rows have."""
+        return self.minima or self.words
 
 
 QUERY = Settings()
-STAGE = Settings(shingle=5, words=4, width=32, radius=2, families=1, limit=46, similar=0.8)
+STAGE = Settings(shingle=5, words=6, width=32, radius=2, families=1, limit=48, minima=4)
 
 
 def hashes_of(text: str, size: int = 3) -> np.ndarray:
@@ -109,7 +109,10 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str | None, settings: Settings = QUERY) -> list[int]:
     """The unsigned 64-bit words of a text's fingerprint."""
-    hashes = hashes_of(text or "", settings.shingle)
+    return marked(hashes_of(text or "", settings.shingle), settings)
+
+
+def marked(hashes: np.ndarray, settings: Settings) -> list[int]:
     if not len(hashes):
         return [0] * settings.words
     out = []
@@ -150,11 +153,12 @@ def tables(family: int, settings: Settings) -> list[tuple[int, int]]:
 def _dealt(rows: DataFrame, family: int, settings: Settings) -> DataFrame:
     """Each row once a table: its bucket within (bucket) the one it was in."""
     each = [F.xxhash64("bucket", F.lit(family), F.lit(i), F.get("fp", F.lit(w)).bitwiseAND(F.lit(m))) for i, (w, m) in enumerate(tables(family, settings))]
-    return rows.select(F.explode(F.array(*each)).alias("bucket"), "fp", "node")
+    compared = F.slice("fp", settings.words + 1, settings.minima) if settings.minima else F.col("fp")
+    return rows.select(F.explode(F.array(*each)).alias("bucket"), compared.alias("fp"), "node")
 
 
 def _linked(fps: np.ndarray, nodes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among these rows (fingerprints by words), as edges of nodes.
+    """A spanning forest of the links among these rows (bits by words), as edges of nodes.
 
     A row is only compared with rows it isn't connected to yet, so a group of copies costs one pass.
     """
@@ -195,9 +199,9 @@ def _nearest(fps: np.ndarray, nodes: np.ndarray, limit: int) -> tuple[np.ndarray
 
 
 def _forest(fps: np.ndarray, nodes: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links; of the nearest ones where links are to be checked."""
+    """A spanning forest of the links; of the nearest ones where there are minima to tell."""
     a, b = _linked(fps, nodes, settings.limit)
-    if settings.similar is None or not len(a):
+    if not settings.minima or not len(a):
         return a, b
     some = np.isin(nodes, np.concatenate([a, b]))
     return _nearest(fps[some], nodes[some], settings.limit)
@@ -242,7 +246,7 @@ def _scan(settings: Settings, limit: int):
         for got in batches:
             if not got.num_rows:
                 continue
-            rows = np.column_stack([got.column(0).to_numpy(zero_copy_only=False), got.column(2).to_numpy(zero_copy_only=False), _words_of(got.column(1), settings.words)])
+            rows = np.column_stack([got.column(0).to_numpy(zero_copy_only=False), got.column(2).to_numpy(zero_copy_only=False), _words_of(got.column(1), settings.compared)])
             if over is not None:
                 mine = rows[:, 0] == over
                 if mine.any():
@@ -282,7 +286,7 @@ def _blocks(rows: DataFrame, settings: Settings, bucket: int) -> DataFrame:
 
     def compare(frame: pa.Table) -> pa.Table:
         frame = frame.combine_chunks()
-        fps = np.ascontiguousarray(_words_of(frame["fp"].chunk(0), settings.words)).view(np.uint64) if frame.num_rows else np.empty((0, settings.words), np.uint64)
+        fps = np.ascontiguousarray(_words_of(frame["fp"].chunk(0), settings.compared)).view(np.uint64) if frame.num_rows else np.empty((0, settings.compared), np.uint64)
         a, b = _forest(fps, frame["node"].to_numpy(), settings)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -312,54 +316,12 @@ def fingerprints(docs: DataFrame, settings: Settings = QUERY) -> DataFrame:
     return written(narrow.mapInArrow(_fingerprints(settings), "doc_id long, fp array<long>"), "fingerprints")
 
 
-def _sketches(settings: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks, least = [], []
-            for text in batch.column(1):
-                marks.append(np.array(fingerprint(text.as_py(), settings), np.uint64).view(np.int64))
-                least.append(np.unique(hashes_of(text.as_py() or "", settings.shingle).view(np.int64))[: settings.sketch])
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, kind), pa.array(least, kind)], names=["doc_id", "fp", "sketch"])
-
-    return run
-
-
-def similarity(x: Column, y: Column, most: int) -> Column:
-    """Jaccard similarity of two sets by their ``most`` least members, exact where both have fewer."""
-    both = F.array_union(x, y)
-    seen = F.when((F.size(x) < most) & (F.size(y) < most), both).otherwise(F.slice(F.array_sort(both), 1, most))
-    return F.when(F.size(both) > 0, F.size(F.array_intersect(F.array_intersect(seen, x), y)) / F.size(seen)).otherwise(F.lit(0.0))
-
-
-def checked(edges: DataFrame, docs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """The edges between classes whose texts have the similarity; of rows that share a doc_id, any may have it.
-
-    A hub's sketch isn't brought to its edges by a shuffle: hot hubs are at most ``MOST_HOT`` of some 8 KB.
-    """
-    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
-    ends = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct()
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = narrow.join(ends, F.col("doc_id") == F.col("a"), "left_semi")
-    made = texts.mapInArrow(_sketches(settings), "doc_id long, fp array<long>, sketch array<long>").groupBy("doc_id", "fp").agg(F.min("sketch").alias("sketch"))
-    own = classes.select("node", F.col("fp").alias("fp_"))
-    sketches = written(made.join(own, (F.col("doc_id") == F.col("node")) & (F.col("fp") == F.col("fp_"))).select("node", "sketch"), "sketches")
-    total, out = edges.count(), edges
-    for side in ("a", "b"):
-        degrees = edges.groupBy(F.col(side).alias("end_")).agg(F.count(F.lit(1)).alias("rows_"))
-        small = sketches.join(degrees, F.col("node") == F.col("end_")).select("node", F.col("sketch").alias(f"sketch_{side}"), "rows_")
-        out = split_join(out, side, written(small, "ends"), "node", "rows_", total).drop("node", "rows_")
-    near = similarity(F.col("sketch_a"), F.col("sketch_b"), settings.sketch) >= settings.similar - 1e-9
-    return out.filter(near).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, settings: Settings = QUERY, bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
     marks = fingerprints(docs, settings)
     classes = written(marks.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows_")), "classes")
     edges = links(classes.filter("node is not null"), settings, bucket)
-    found = components(edges if settings.similar is None else checked(edges, docs, classes, settings))
-    found = written(found, "components").withColumnRenamed("node", "member")
+    found = written(components(edges), "components").withColumnRenamed("node", "member")
     named = classes.join(found, classes["node"] == found["member"], "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "node").alias("component_id"), "rows_")
     joined = split_join(marks, "fp", written(named, "classes"), "fp_", "rows_", marks.count())
     return joined.select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
@@ -367,13 +329,3 @@ def near_duplicates(docs: DataFrame, settings: Settings = QUERY, bucket: int = B
 
 def hexed(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda w: F.lower(F.lpad(F.hex(w), 16, "0"))), "")
-
-
-def keep_smallest(docs: DataFrame, settings: Settings = STAGE) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; own columns only.
-
-    Of rows that repeat a doc_id all are kept or all go, as they are one document; rows without one stay.
-    """
-    gone = near_duplicates(docs, settings).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    gone = written(gone, "gone").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -8,6 +8,7 @@ from listwright.functions import floors
 from listwright.functions.geo import in_box, planar_km
 from listwright.functions.numbers import close
 from listwright.operators import grouping, matching, spatial
+from listwright.operators.components import components
 from listwright.plans.catalog import listings, query, table, with_listings
 
 FILTERS = [
@@ -174,7 +175,7 @@ def connected_components(spark, sf_dir):
     edges = o.select((10_000_000 + F.col("o_orderkey")).alias("a"), F.col("o_custkey").alias("b")).unionByName(
         c.select(F.col("c_custkey").alias("a"), (20_000_000 + F.col("c_nationkey") * 100 + segment).cast("long").alias("b"))
     )
-    return grouping.connected(edges).select("node", "component")
+    return components(edges).select("node", "component")
 
 
 CENTRES = [("north", 38.08, 23.66), ("south", 38.01, 23.62), ("east", 38.05, 23.70)]

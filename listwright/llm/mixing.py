@@ -45,6 +45,8 @@ SHARE, MOST_REPEATS = 1.5, 2
 BLOCK, SEED = 16, 20_240_501
 #: Tokens of a shard.
 SHARD_TOKENS = 65_536
+#: Rows that a task repeats and cuts at once.
+ROWS = 512
 #: Divisors that one aggregate tries.
 TRIED = 64
 
@@ -273,7 +275,7 @@ def _repeated(columns: list[str], plan_col: str):
     words = re.compile(WORD)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             rows, taken = batch.to_pylist(), []
             for row in rows:
                 plan, spans = row.pop(plan_col), None

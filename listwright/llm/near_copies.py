@@ -31,12 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.llm.common import fresh, split_join, written
-from listwright.llm.components import components
+from listwright.llm.exact_dedup import _bit, _bitmap, _bits, _place
 from listwright.llm.simhash import BUCKET, STAGE, Settings, hashes_of, links, marked
+from listwright.operators.components import components
 
 SIMILAR, SKETCH, BAND = 0.8, 1024, 0.08
 #: A hair that keeps a ratio equal to the threshold above it.
 HAIR = 1e-9
+#: Rows whose sets of hashes a task holds at once.
+ROWS = 512
 _FACTORS = np.random.default_rng(77).integers(0, 1 << 32, 64 * STAGE.minima, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
@@ -70,7 +73,7 @@ def _marks(settings: Settings):
 
 def _hashes(settings: Settings, most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             sets = [set_of(t.as_py(), settings).view(np.int64) for t in batch.column(1)]
             sets = sets if most is None else [np.sort(x)[:most] for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
@@ -85,10 +88,24 @@ def estimate(x: Column, y: Column, most: int = SKETCH) -> Column:
     return F.when(F.size(both) > 0, F.size(F.array_intersect(F.array_intersect(seen, x), y)) / F.size(seen)).otherwise(F.lit(0.0))
 
 
+def sifted(rows: DataFrame, row: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be one of ``keys``, and rows whose key isn't.
+
+    A bit map of the keys, of bounded size, is broadcast, so that rows it clears aren't shuffled to be joined.
+    """
+    place, map_, no = (fresh(rows, x) for x in ("row_place", "row_map", "map_no"))
+    bits = _bits(keys.count())
+    maps = F.broadcast(_bitmap(keys.select(F.col(key).alias("_key")), bits).toDF(no, map_))
+    placed = rows.withColumn(place, _place(F.col(row), bits)).join(maps, F.shiftright(place, 15) == F.col(no), "left")
+    maybe = F.coalesce(_bit(F.col(map_), F.col(place)), F.lit(False))
+    return placed.filter(maybe).select(*rows.columns), placed.filter(~maybe).select(*rows.columns)
+
+
 def _texts_of(ends: DataFrame, rows: DataFrame, settings: Settings, most: int | None) -> DataFrame:
     """(node, hashes) of the nodes that ``ends(a, b)`` name; a written table."""
-    named = ends.select(F.col("a").alias("end_")).unionByName(ends.select(F.col("b").alias("end_"))).distinct()
-    return written(rows.select("row", "text").join(named, F.col("row") == F.col("end_"), "left_semi").mapInArrow(_hashes(settings, most), "node long, hashes array<long>"), "near-hashes")
+    named = written(ends.select(F.col("a").alias("end_")).unionByName(ends.select(F.col("b").alias("end_"))).distinct(), "near-named-ends")
+    some, _ = sifted(rows.select("row", "text"), "row", named, "end_")
+    return written(some.join(named, F.col("row") == F.col("end_"), "left_semi").mapInArrow(_hashes(settings, most), "node long, hashes array<long>"), "near-hashes")
 
 
 def _exact(edges: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame:
@@ -137,4 +154,5 @@ def keep_smallest(docs: DataFrame, settings: Settings = STAGE) -> DataFrame:
     row, gone_row = fresh(docs, "near_row"), fresh(docs, "near_gone")
     keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
     gone = written(groups(keyed, row, settings).filter("row <> kept").select(F.col("row").alias(gone_row)), "near-gone")
-    return keyed.join(gone, F.col(row) == F.col(gone_row), "left_anti").drop(row)
+    some, others = sifted(keyed, row, gone, gone_row)
+    return some.join(gone, F.col(row) == F.col(gone_row), "left_anti").unionByName(others).drop(row)

@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from listwright.llm import exact_dedup, mixing, packing, quality_rules, secret_scan, simhash
-from listwright.llm.components import components
+from listwright.operators.components import components
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -208,7 +208,7 @@ def test_fingerprints_hold_the_querys_word(sample_docs):
 
 
 def test_hot_keys_join_as_any_other(spark, monkeypatch):
-    from listwright.llm import common
+    from listwright.operators import joins as common
 
     monkeypatch.setattr(common, "HOT_ROWS", 3)
     big = spark.createDataFrame([(k % 7 if k < 50 else 100, k) for k in range(300)], "a long, v long")

@@ -133,12 +133,19 @@ def watchdog(runs: DataFrame, notes: DataFrame, page: DataFrame, now: Column, sl
     )
 
 
+def freshness(progress: DataFrame, now: Column, grace_hours: float) -> DataFrame:
+    """Per stream, of its progress rows: batches with rows, rows, dropped rows, the newest event, whether that is young enough."""
+    newest = F.max(F.try_to_timestamp("newest"))
+    told = progress.groupBy("query").agg(F.count_if(F.col("rows") > 0).alias("batches"), F.sum("rows").alias("rows"), F.sum("dropped").alias("dropped"), newest.alias("newest"))
+    return told.withColumn("fresh", F.coalesce(F.col("newest") >= now - F.make_dt_interval(mins=F.lit(int(grace_hours * 60))), F.lit(False)))
+
+
 def run_summary(steps: DataFrame) -> DataFrame:
-    """Minutes of a run and its failed steps."""
-    return steps.agg(
-        F.bround(F.sum("seconds") / 60).cast("long").alias("minutes"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("code") != 0, F.col("name")))), ",").alias("failed"),
-    )
+    """Minutes of a run, how many steps failed, and the first of them by name, as many as a report shows."""
+    failed = steps.filter(F.col("code") != 0)
+    shown = failed.orderBy("name").limit(TOP_ROWS).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("failed"))
+    # Two single rows: aggregates without keys.
+    return steps.agg(F.bround(F.sum("seconds") / 60).cast("long").alias("minutes"), F.count_if(F.col("code") != 0).alias("n_failed")).join(shown)
 
 
 def sorted_rows(df: DataFrame, *order: str) -> DataFrame:

@@ -9,8 +9,13 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+
+#: The store that keyed state with timers needs; set it on the session before such a stream starts.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def seen_stream(events: DataFrame, key: str, at: str) -> DataFrame:
@@ -33,29 +38,131 @@ def deduplicated(events: DataFrame, at: str, late: str, *keys: str) -> DataFrame
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def price_changes(events: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """(key, at, old, new) whenever a key's value differs from its last one."""
-    import numpy as np
+class _Changes(StatefulProcessor):
+    """A key's rows wait in a map by time and id until the watermark has passed them, and are then told in order.
+
+    One timer a key: at the earliest row that waits or, when none does, when the last value is forgotten.
+    """
+
+    def __init__(self, key: str, at: str, tie: str, value: str, keep_ms: int):
+        self.names, self.keep = (key, at, tie, value), keep_ms * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long, tie long", "value double")
+        self.last = handle.getValueState("last", "at long, value double")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wake(self, micros: int) -> None:
+        """A timer at this time unless an earlier one is set; times of timers are whole milliseconds, rounded up."""
+        at = -(-micros // 1000)
+        set_ = self.timer.get()[0] if self.timer.exists() else None
+        if set_ is not None and set_ <= at:
+            return
+        if set_ is not None:
+            self.handle.deleteTimer(set_)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the interface's names
+        _, at, tie, value = self.names
+        first = None
+        for frame in rows:
+            times = frame[at].to_numpy("datetime64[us]").astype("int64").tolist()
+            for t, i, v in zip(times, frame[tie].tolist(), frame[value].tolist(), strict=True):
+                self.waiting.updateValue((t, int(i)), (float(v),))
+                first = t if first is None else min(first, t)
+        if first is not None:
+            self._wake(first)
+        yield _told([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.timer.clear()
+        rows = sorted((k[0], k[1], v[0]) for k, v in self.waiting.iterator())
+        last, out = (self.last.get() if self.last.exists() else None), []
+        for t, i, v in rows:
+            if t > passed:
+                self._wake(t)
+                break
+            before = last[1] if last is not None and t - last[0] <= self.keep else None
+            if before != v:
+                out.append((key[0], t, before, v))
+            last = (t, v)
+            self.waiting.removeKey((t, i))
+        if last is not None and last[0] + self.keep <= passed:
+            self.last.clear()
+        elif last is not None:
+            self.last.update(last)
+            if not rows or rows[-1][0] <= passed:
+                self._wake(last[0] + self.keep)
+        yield _told(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _told(rows: list[tuple]):
     import pandas as pd
 
-    def run(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        # Only times and values of a key's rows in one micro-batch are held; maxFilesPerTrigger bounds them.
-        got = [(f[at].to_numpy(), f["event_id"].to_numpy(), f[value].to_numpy()) for f in frames]
-        times, ids, values = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((ids, times))
-        times, values = times[order], values[order]
-        before = np.r_[np.nan if last is None else last, values[:-1]]
-        moved = values != before
-        state.update((float(values[-1]),))
-        yield pd.DataFrame({"key": k[0], "at": times[moved], "old_value": before[moved], "new_value": values[moved]})
+    frame = pd.DataFrame(rows, columns=["key", "at", "old_value", "new_value"])
+    frame["at"] = pd.to_datetime(frame["at"].astype("int64"), unit="us")
+    return frame.astype({"key": "int64", "old_value": "float64", "new_value": "float64"})
+
+
+def price_changes(events: DataFrame, key: str, at: str, value: str, tie: str, late: str, keep_days: int) -> DataFrame:
+    """(key, at, old, new) whenever a key's value differs from the one before it in event time.
+
+    Rows may come out of order within ``late``; those behind the watermark are dropped. A value is told once
+    the watermark has passed it, so no later row can change what was before it. A last value older than
+    ``keep_days`` is forgotten: the next one has none before it. Rows of one time go by ``tie``; null values
+    say nothing. A key's waiting rows are in one task's state store, on disk, never in a list but for those
+    of one key that wait.
+    """
+    rows = events.filter(F.col(value).isNotNull() & F.col(key).isNotNull()).withWatermark(at, late)
+    told = _Changes(key, at, tie, value, keep_days * 86_400_000)
+    return rows.groupBy(key).transformWithStateInPandas(told, "key long, at timestamp, old_value double, new_value double", "Append", "EventTime")
+
+
+class ProgressLog(StreamingQueryListener):
+    """Writes each batch's progress as a row of a table: query, batch, rows, dropped rows, rows of state, newest event."""
 
-    return events.groupBy(key).applyInPandasWithState(run, "key long, at timestamp, old_value double, new_value double", "last double", "append", "NoTimeout")
+    SCHEMA = "query string, batch long, at string, rows long, dropped long, state_rows long, newest string"
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.running: set = set()
 
-def watched(latest: DataFrame, now: Column, grace_hours: int, at: str) -> DataFrame:
-    """Whether the newest row is younger than the grace."""
-    return latest.agg(F.max(at).alias("newest")).select("newest", (F.col("newest") >= now - F.expr(f"INTERVAL {grace_hours} HOURS")).alias("fresh"))
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.running.add(event.runId)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        states = p.stateOperators
+        row = (p.name, p.batchId, p.timestamp, p.numInputRows, sum(x.numRowsDroppedByWatermark for x in states), sum(x.numRowsTotal for x in states), p.eventTime.get("max"))
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.running.discard(event.runId)
+
+
+def logged(spark: SparkSession, path: str, run: Callable[[], object], timeout: int = 60) -> DataFrame:
+    """The progress rows that ``run``'s queries leave; another thread tells them, each query's end after its last."""
+    import time
+
+    log = ProgressLog(spark, path)
+    spark.streams.addListener(log)
+    try:
+        run()
+        until = time.time() + timeout
+        while log.running and time.time() < until:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    return spark.read.schema(ProgressLog.SCHEMA).parquet(path)
 
 
 #: The sent set is stored by this many buckets of its key; a batch reads only the buckets it touches.
@@ -66,64 +173,90 @@ def sent_bucket(url: Column) -> Column:
     return F.pmod(F.xxhash64(url), F.lit(SENT_BUCKETS)).cast("int")
 
 
-def deliver_once(spark: SparkSession, alerts: DataFrame, sent_path: str, checkpoint: str, deliver: Callable[[Iterator[dict]], bool]) -> None:
-    """Batches of alerts whose keys weren't sent; keys are kept only if the whole batch was delivered.
+def deliver_once(spark: SparkSession, alerts: DataFrame, sent_path: str, checkpoint: str, deliver: Callable[[Iterator[dict], str], bool], step: Callable[[str], None] = lambda _: None) -> None:
+    """Batches of alerts whose keys weren't sent; keys count as sent only if the whole batch was delivered.
 
-    ``deliver`` gets each partition's rows where they are and says whether all went out; nothing but one
-    verdict a partition comes to the driver. A batch with a failed part raises, so the stream's
-    checkpoint doesn't pass it. The sent set is partitioned by a bucket of the key.
+    A batch goes through three tables, each written under its number, so that a batch that is run again finds
+    what was done: the outbox holds what it sends, chosen once; the ledger says that all of it went out; the
+    sent set gets the outbox's keys. A crash anywhere between them is made up for by the next run, which
+    neither chooses, delivers nor appends twice. ``deliver`` gets each partition's rows where they are, and
+    a token of stream, batch and partition by which a receiver knows what it already got: that covers a crash
+    inside of it. Nothing but one verdict a partition comes to the driver; a failed part raises, so the
+    stream's checkpoint doesn't pass it. The sent set is partitioned by a bucket of the key. ``step`` is
+    called before each of the steps.
     """
-
-    def parts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ok, n = True, 0
-        for frame in frames:
-            rows = frame.to_pylist()
-            n += len(rows)
-            ok = bool(deliver(iter(rows))) and ok
-        yield pa.RecordBatch.from_arrays([pa.array([ok]), pa.array([n], pa.int64())], names=["ok", "n"])
-
-    def batch(df: DataFrame, _: int) -> None:
-        keyed = df.withColumn("bucket", sent_bucket(F.col("url")))
-        touched = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # at most SENT_BUCKETS
-        sent = spark.read.schema("url string, bucket int").parquet(sent_path).filter(F.col("bucket").isin(*touched) if touched else F.lit(False))
-        fresh = keyed.join(sent, ["bucket", "url"], "left_anti").dropDuplicates(["bucket", "url"]).persist()
-        try:
-            verdict = fresh.drop("bucket").mapInArrow(parts, "ok boolean, n long").agg(F.bool_and("ok").alias("ok")).first()
-            if verdict is not None and verdict["ok"] is False:
+    import hashlib
+
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    outbox, ledger = f"{checkpoint}-outbox", f"{checkpoint}-ledger"
+
+    def done(path: str) -> bool:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def parts(number: int):
+        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ok, n, token = True, 0, f"{stream}:{number}:{TaskContext.get().partitionId()}"
+            for k, frame in enumerate(frames):
+                rows = frame.to_pylist()
+                n += len(rows)
+                ok = bool(deliver(iter(rows), f"{token}:{k}")) and ok
+            yield pa.RecordBatch.from_arrays([pa.array([ok]), pa.array([n], pa.int64())], names=["ok", "n"])
+
+        return run
+
+    def batch(df: DataFrame, number: int) -> None:
+        box, mark = f"{outbox}/{number}", f"{ledger}/{number}"
+        if not done(box):
+            step("choose")
+            keyed = df.withColumn("bucket", sent_bucket(F.col("url")))
+            touched = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # at most SENT_BUCKETS
+            sent = spark.read.schema("url string, bucket int").parquet(sent_path).filter(F.col("bucket").isin(*touched) if touched else F.lit(False))
+            fresh = keyed.join(sent.select("bucket", "url"), ["bucket", "url"], "left_anti").dropDuplicates(["bucket", "url"])
+            fresh.write.mode("overwrite").parquet(box)
+        chosen = spark.read.parquet(box)
+        if not done(mark):
+            step("deliver")
+            verdict = chosen.drop("bucket").mapInArrow(parts(number), "ok boolean, n long").agg(F.bool_and("ok").alias("ok"), F.sum("n").alias("n")).first()
+            if verdict["ok"] is False:
                 raise RuntimeError("not all messages were delivered")
-            fresh.select("url", "bucket").write.mode("append").partitionBy("bucket").parquet(sent_path)
-        finally:
-            fresh.unpersist()
+            step("mark")
+            spark.createDataFrame([(stream, number, verdict["n"] or 0)], "stream string, batch long, messages long").coalesce(1).write.mode("overwrite").parquet(mark)
+        step("append")
+        part = chosen.select("url", F.lit(f"{stream}-{number}").alias("batch"), "bucket")
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(sent_path)
+        step("end")
 
     alerts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def prime_sent(urls: DataFrame, sent_path: str) -> None:
     """A first run's state: everything there is counts as sent, and nothing is."""
-    urls.select("url").distinct().withColumn("bucket", sent_bucket(F.col("url"))).write.partitionBy("bucket").parquet(sent_path)
+    urls.select("url").distinct().withColumns({"bucket": sent_bucket(F.col("url")), "batch": F.lit("first")}).write.partitionBy("bucket", "batch").parquet(sent_path)
 
 
-def run_to_table(df: DataFrame, folder: str, mode: str = "complete", timeout: int = 600, keys: Sequence[str] = ()) -> DataFrame:
+def run_to_table(df: DataFrame, folder: str, mode: str = "complete", timeout: int = 600, keys: Sequence[str] = (), name: str | None = None) -> DataFrame:
     """Runs a stream over what is there, into a table, and gives the table.
 
     Append mode writes Parquet; complete mode replaces the table with each batch's result; update mode
     appends each batch's changed rows, of which the last of each of ``keys`` counts.
     """
     spark = df.sparkSession
-    name = f"{folder}/{uuid.uuid4().hex}"
-    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{name}/checkpoint")
+    path = f"{folder}/{uuid.uuid4().hex}"
+    writer = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint")
+    writer = writer.queryName(name) if name else writer
     if mode == "append":
-        query = writer.format("parquet").start(f"{name}/out")
+        query = writer.format("parquet").start(f"{path}/out")
     elif mode == "update":
-        query = writer.foreachBatch(lambda b, i: b.withColumn("batch_", F.lit(i).cast("long")).write.mode("append").parquet(f"{name}/out")).start()
+        query = writer.foreachBatch(lambda b, i: b.withColumn("batch_", F.lit(i).cast("long")).write.mode("append").parquet(f"{path}/out")).start()
     else:
-        query = writer.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{name}/out")).start()
+        query = writer.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{path}/out")).start()
     try:
         if not query.awaitTermination(timeout):
             raise TimeoutError("the stream didn't end")
     finally:
         query.stop()
-    out = spark.read.parquet(f"{name}/out")
+    out = spark.read.parquet(f"{path}/out")
     if mode != "update":
         return out
     last = out.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "batch_").alias("x"))

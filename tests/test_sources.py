@@ -221,13 +221,13 @@ def test_delivery_is_all_or_nothing(spark, tmp_path):
     spark.createDataFrame([("old",), ("new",), ("new",)], "url string").write.parquet(feed)
     stream = lambda: spark.readStream.schema("url string").parquet(feed)
 
-    def deliver(rows):
+    def deliver(rows, token):
         for r in rows:
             (out / r["url"]).write_text("x")
         return True
 
     try:
-        jobs.deliver_once(spark, stream(), sent, str(tmp_path / "c"), lambda rows: not list(rows))
+        jobs.deliver_once(spark, stream(), sent, str(tmp_path / "c"), lambda rows, token: not list(rows))
     except Exception:  # noqa: BLE001  the failed batch ends the stream
         pass
     assert spark.read.parquet(sent).count() == 1

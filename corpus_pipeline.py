@@ -21,27 +21,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
+#: Rows of a batch of texts that goes to Python and back: texts are long, and a batch is held on both sides.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark.conf.set(*BATCH)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark.conf.set(*BATCH)
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark.conf.set(*BATCH)
     return near_copies.keep_smallest(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or cut as the mix takes them; ``n_chars`` follows the text."""
+    spark.conf.set(*BATCH)
     mixed = mixing.apply_mix(docs)
     return mixed.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else mixed
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark.conf.set(*BATCH)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 

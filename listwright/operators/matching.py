@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from listwright.sources.shared import written
+
 TOP, UNKNOWN_PRICE, HOME = 25, 1e12, "home"
-#: Up to so many enabled filters are broadcast; more are joined by the deal and region they ask for.
-MOST_BROADCAST = 10_000
-#: The join of many filters is spread over so many tasks a key; filters, the smaller side, are repeated.
-SPREAD = 64
+#: Filters of one salt: so many, and each property meets those of its key in one row's comparison.
+FEW_FILTERS = 10_000
 ANY = "\u0000any"
 
 FILTER_SCHEMA = (
@@ -57,33 +57,35 @@ def matches(p: Column, f: Column, home: str = HOME) -> Column:
 def match_filters(properties: DataFrame, filters: DataFrame, home: str = HOME) -> DataFrame:
     """(filter columns as f, property columns as p) of every match; the same rows however many filters there are.
 
-    Enabled filters are counted first: a small table is broadcast. A large one is joined by the deal and
-    the region that a filter asks for. A property comes under its own values and under "any", so filters
-    that ask for neither meet it too; keys are few, so each is spread by a salt over several tasks.
+    Both sides meet by the deal and the region that a filter asks for. A property comes under its own values
+    and under "any", so filters that ask for neither meet it too. Few filters are broadcast by their size,
+    and no property moves. Many are shuffled: keys are few, so each is then spread by a salt over as many
+    tasks as the filters are many times ``FEW_FILTERS``.
     """
-    on = filters.filter(F.coalesce("enabled", F.lit(True)))
+    on = written(filters.filter(F.coalesce("enabled", F.lit(True))), "filters")
+    spread = max(1, -(-on.count() // FEW_FILTERS))
     p = properties.select(F.struct(*properties.columns).alias("p"))
     f = on.select(F.struct(*on.columns).alias("f"))
     fits = matches(F.col("p"), F.col("f"), home)
-    if on.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        return p.join(F.broadcast(f), fits)
     asked = lambda c, default: F.when(F.coalesce(c, F.lit(default)) == "", F.lit(ANY)).otherwise(F.coalesce(c, F.lit(default)))
     key = F.struct(asked(F.col("f.transaction"), "").alias("deal"), asked(F.col("f.region"), home).alias("region"))
-    keyed = f.withColumns({"_k": key, "_salt": F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))})
+    keyed = f.withColumns({"_k": key, "_salt": F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))})
     own = F.coalesce("p.region", F.lit(ANY))
     deals = F.array_distinct(F.array(F.coalesce("p.transaction", F.lit(ANY)), F.lit(ANY)))
     seen = p.withColumn("_deal", F.explode(deals)).withColumn("_region", F.explode(F.array_distinct(F.array(own, F.lit(ANY)))))
-    salt = F.pmod(F.xxhash64("p.id"), F.lit(SPREAD)).cast("int")
+    salt = F.pmod(F.xxhash64("p.id"), F.lit(spread)).cast("int")
     seen = seen.select("p", F.struct(F.col("_deal").alias("deal"), F.col("_region").alias("region")).alias("_at"), salt.alias("_s"))
     return seen.join(keyed, (F.col("_at") == F.col("_k")) & (F.col("_s") == F.col("_salt")) & fits).select("p", "f")
 
 
 def top_hits(matched: DataFrame, top: int = TOP) -> DataFrame:
     """Each filter's cheapest hits, unknown prices last, and how many more there are."""
+    # The ranking window has no other function beside it, so Spark cuts each task's rows to the top before the shuffle.
     price = F.coalesce("p.price", F.lit(UNKNOWN_PRICE))
-    by = Window.partitionBy("f.name")
-    ranked = matched.withColumn("rank", F.row_number().over(by.orderBy(price, "p.id"))).withColumn("hits", F.count(F.lit(1)).over(by))
-    return ranked.filter(F.col("rank") <= top).withColumn("more", F.greatest(F.col("hits") - top, F.lit(0)))
+    ranked = matched.withColumn("rank", F.row_number().over(Window.partitionBy("f.name").orderBy(price, "p.id"))).filter(F.col("rank") <= top)
+    hits = matched.groupBy(F.col("f.name").alias("_name")).agg(F.count(F.lit(1)).alias("hits"))
+    both = ranked.join(hits, F.col("f.name").eqNullSafe(F.col("_name"))).drop("_name")
+    return both.withColumn("more", F.greatest(F.col("hits") - top, F.lit(0)))
 
 
 def unsent(properties: DataFrame, sent: DataFrame, member_urls: str = "urls") -> DataFrame:

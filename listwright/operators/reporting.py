@@ -27,6 +27,16 @@ def source_counters(diff: DataFrame, source: str, today: Column | None = None) -
     )
 
 
+def totals(diff: DataFrame, *keys: str) -> DataFrame:
+    """Counters at every level of ``keys`` in one pass: per row of all keys, per prefix of them, and over all.
+
+    ``level`` says how many keys a row is for, so a key that is null is told from one that is summed over.
+    """
+    counts = [F.count_if(F.col("status") == s).alias(n) for s, n in (("new", "new"), ("gone", "removed"), ("down", "price_down"), ("up", "price_up"))]
+    grouped = diff.rollup(*keys).agg(F.grouping_id().alias("_id"), F.count_if(F.col("status") != "gone").alias("listings"), *counts)
+    return grouped.withColumn("level", F.lit(len(keys)) - F.bit_count("_id")).drop("_id")
+
+
 def busiest_first(counters: DataFrame, source: str) -> DataFrame:
     moved = F.col("new") + F.col("removed") + F.col("price_down") + F.col("price_up")
     return counters.orderBy(F.desc(moved), F.desc("listings"), source)
@@ -176,14 +186,19 @@ def to_fetch(urls: DataFrame, known: DataFrame, ignore: DataFrame, most_new: int
     joined = u.join(k, F.col("_key") == F.col("_known"), "left").join(i, F.col("_key") == F.col("_ignored"), "left")
     newer = F.col("lastmod").isNotNull() & (F.col("_had").isNull() | (F.col("lastmod") > F.col("_had")))
     reads = F.col("_known").isNotNull() & newer | F.col("_known").isNull() & F.col("_ignored").isNull()
-    turn = F.sum(reads.cast("int")).over(Window.partitionBy(site).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    # A site's running count of reads, from ranges of all sites' order: no site is one task's.
+    own = joined.columns
+    placed = ranked(joined.withColumn("_reads", reads.cast("long")), [F.col(site), F.col("ord"), F.col("url")], ["_reads"]).drop("rank_")
+    starts = placed.groupBy(F.col(site).alias("_site")).agg(F.min("_reads_before").alias("_start"))
+    joined = placed.join(starts, F.col(site).eqNullSafe(F.col("_site")))
+    turn = F.col("_reads_before") - F.col("_start") + F.col("_reads")
     todo = (
         F.when(F.col("_known").isNotNull() & ~newer, F.lit("keep"))
         .when(F.col("_known").isNotNull(), F.lit("refetch"))
         .when(F.col("_ignored").isNotNull() | (turn > most_new), F.lit("skip"))
         .otherwise(F.lit("fetch"))
     )
-    return joined.withColumn("todo", todo).drop("_key", "_known", "_had", "_ignored")
+    return joined.withColumn("todo", todo).select(*own, "todo").drop("_key", "_known", "_had", "_ignored")
 
 
 def report_document(counters: DataFrame, run_at: str) -> DataFrame:

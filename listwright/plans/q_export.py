@@ -126,3 +126,27 @@ def within_window(spark, sf_dir):
     """Rows no older than 120 days."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date_published"))
     return feeds.within_window(rows, F.lit("1998-08-02").cast("date"), 120).select("o_orderkey")
+
+
+_DOC = """'{"id":' || o_orderkey || ',"offers":[{"price":"' || o_custkey || '","tags":["' || o_orderstatus || '","x, y"]},{"price":"9","at":[[1],[2,[' || (o_custkey % 7) || ']]]}],"none":null,"deep":'
+  || repeat('{"in":[', CAST(o_custkey % 6 AS INTEGER)) || '"end"' || repeat(']}', CAST(o_custkey % 6 AS INTEGER)) || ',"empty":{}}'"""
+
+
+@query(f"""WITH d AS (SELECT o_orderkey, {_DOC} AS doc FROM orders) SELECT o_orderkey, replace(t.fullkey, '"', '') AS path, CASE WHEN t.type = 'VARCHAR' THEN t.atom ->> '$' WHEN t.type <> 'NULL' THEN CAST(t.atom AS VARCHAR) END AS value
+  FROM d, json_tree(d.doc) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')""")
+def json_leaves(spark, sf_dir):
+    """All scalars of documents of several depths, with their paths."""
+    from listwright.functions import json_walk
+
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_DOC).alias("doc"))
+    return json_walk.leaves(docs, "o_orderkey", "doc").select("o_orderkey", "path", "value")
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS price, CASE WHEN o_custkey % 6 = 0 THEN 'end' END AS told, o_orderstatus AS tag FROM orders")
+def json_first(spark, sf_dir):
+    """The shallowest price, text and tag of each document."""
+    from listwright.functions import json_walk
+
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_DOC).alias("doc"))
+    found = json_walk.leaves(docs, "o_orderkey", "doc")
+    return json_walk.first_of(found, "o_orderkey", {"price": r"\.price", "told": r"\.deep", "tag": r"\.tags\[\d+\]"})

@@ -3,7 +3,8 @@
 Categories come in a fixed order: first the kinds of toxic text, then toxicity itself, whose link gives
 the verdict. The labels only say toxic or not, so the kinds are found in the data: toxic labelled texts,
 in whatever language, are clustered by the words that tell them from the others; a text belongs to the
-kind of its cluster. Each category has a logistic model over the presence of hashed words and over the
+kind of its cluster. Each fold's models are trained on kinds that are found without its texts; so that a
+kind has one number, those are matched to the kinds of all texts by their words. Each category has a logistic model over the presence of hashed words and over the
 probabilities of all earlier categories. In training, those probabilities are out-of-fold: for each fold
 they come from models that haven't seen it (copies of a text are one example), so a later model learns
 from earlier ones as wrong as they will be on new texts. Scoring runs the chain's full models, in order,
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 from typing import NamedTuple
 
@@ -147,17 +148,17 @@ def _all_logits(model: Linear, docs: np.ndarray, words: np.ndarray, earlier: np.
     return z
 
 
-def fit_chain(docs: np.ndarray, words: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> tuple[list[Linear], float]:
-    """Models in chain order, and the last one's threshold."""
+def fit_chain(docs: np.ndarray, words: np.ndarray, labels: np.ndarray, folds: np.ndarray, without: Sequence[np.ndarray] | None = None) -> tuple[list[Linear], float]:
+    """Models in chain order, and the last one's threshold; ``without`` has the labels as known without each fold."""
     n = len(labels)
     earlier, models = np.zeros((n, 0)), []
     out = np.zeros(n)
-    for y in labels.T:
+    for k, y in enumerate(labels.T):
         out = np.zeros(n)
         for fold in range(FOLDS):
             held = folds == fold
             if held.any():
-                model = fit(docs, words, y, earlier, np.flatnonzero(~held))
+                model = fit(docs, words, y if without is None else without[fold][:, k], earlier, np.flatnonzero(~held))
                 out[held] = sigmoid(_all_logits(model, docs, words, earlier)[held])
         models.append(fit(docs, words, y, earlier, np.arange(n)))
         clipped = np.clip(out, 1e-4, 1 - 1e-4)
@@ -222,6 +223,36 @@ def kinds_of(docs: np.ndarray, words: np.ndarray, toxic: np.ndarray, size: int)
     return out
 
 
+def matched_kinds(docs: np.ndarray, words: np.ndarray, kinds: np.ndarray, other: np.ndarray, size: int) -> np.ndarray:
+    """``other``'s kinds under the numbers of those of ``kinds`` whose words are most alike, the largest first."""
+
+    def profiles(of: np.ndarray) -> np.ndarray:
+        out = np.zeros((KINDS, size))
+        mine = of[docs] >= 0
+        np.add.at(out, (of[docs[mine]], words[mine]), 1.0)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+    alike, number, free = profiles(other) @ profiles(kinds).T, np.arange(KINDS), list(range(KINDS))
+    for k in range(KINDS):
+        number[k] = max(free, key=lambda j: (alike[k, j], -j))
+        free.remove(number[k])
+    return np.where(other >= 0, number[np.maximum(other, 0)], -1)
+
+
+def kinds_without(docs: np.ndarray, words: np.ndarray, toxic: np.ndarray, folds: np.ndarray, kinds: np.ndarray, size: int) -> list[np.ndarray]:
+    """The kinds of the texts outside each fold, found without its texts."""
+    out = []
+    for fold in range(FOLDS):
+        rows = np.flatnonzero(folds != fold)
+        place = np.full(len(toxic), -1)
+        place[rows] = np.arange(len(rows))
+        mine = place[docs] >= 0
+        own = np.full(len(toxic), -1)
+        own[rows] = kinds_of(place[docs[mine]], words[mine], toxic[rows], size)
+        out.append(matched_kinds(docs, words, np.where(folds != fold, kinds, -1), own, size))
+    return out
+
+
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """The labelled texts to fit on, each once: text, toxic, key (a hash of the text) and fold; a written table."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_doc")).agg(F.max("toxic").alias("label_toxic"))
@@ -251,20 +282,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(texts: DataFrame, most: int = CANDIDATES) -> np.ndarray:
-    """Hashes that tell toxic from other texts outside at least one fold, the best first."""
+    """Hashes that tell toxic from other texts outside at least one fold, the best first.
+
+    Each fold's models choose among them by the texts outside of it alone (``fit``)."""
     totals = {(r["fold"], r["toxic"]): r["n"] for r in texts.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two a fold
     counts = texts.select("text", "toxic", "fold").mapInArrow(_counted, "hash int, fold int, toxic int, n long")
     of = lambda fold, toxic: F.coalesce(F.sum(F.when((F.col("fold") == fold) & (F.col("toxic") == toxic), F.col("n"))), F.lit(0))
     per = counts.groupBy("hash").agg(F.sum("n").alias("all_"), *[of(f, t).alias(f"n{f}_{t}") for f in range(FOLDS) for t in (0, 1)]).filter(F.col("all_") >= LEAST_TEXTS)
 
-    def tells(without: int | None) -> Column:
+    def tells(without: int) -> Column:
         folds = [f for f in range(FOLDS) if f != without]
         n = [float(max(1, sum(totals.get((f, t), 0) for f in folds))) for t in (0, 1)]
         got = [sum((F.col(f"n{f}_{t}") for f in folds), F.lit(0)) for t in (0, 1)]
         share = (got[0] + got[1]) / sum(n)
         return F.abs(got[1] / n[1] - got[0] / n[0]) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n[0] + 1 / n[1]))
 
-    best = F.greatest(*[tells(f) for f in (None, *range(FOLDS))])
+    best = F.greatest(*[tells(f) for f in range(FOLDS)])
     rows = per.select("hash", F.round(best, 6).alias("z")).filter(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "hash").limit(most).collect()
     return np.array([r["hash"] for r in rows], np.int64)
 
@@ -310,8 +343,9 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Chain:
     words = np.concatenate([np.asarray(x.values, np.int64) for x in lists]) if lengths.sum() else np.zeros(0, np.int64)
     at = np.repeat(np.arange(len(toxic)), lengths)
     kinds = kinds_of(at, words, toxic, len(hashes))
-    columns = [*[(kinds == k).astype(float) for k in range(KINDS)], toxic]
-    links, threshold = fit_chain(at, words, np.column_stack(columns), folds)
+    columns = lambda of: np.column_stack([*[(of == k).astype(float) for k in range(KINDS)], toxic])
+    without = [columns(of) for of in kinds_without(at, words, toxic, folds, kinds, len(hashes))]
+    links, threshold = fit_chain(at, words, columns(kinds), folds, without)
     return Chain(hashes, links, threshold)
 
 

@@ -59,6 +59,28 @@ def test_kinds_are_found_in_the_data_and_earlier_links_are_used(monkeypatch):
     assert [len(m.chain) for m in models] == [0, 1, 2, 3] and (models[3].chain > 0.1).all() and 0 < threshold < 1
 
 
+def test_a_folds_kinds_are_found_without_its_texts():
+    """Labels inside a fold change nothing of the kinds outside of it but their numbers; numbers follow the words."""
+    rng = np.random.default_rng(12)
+    n, kinds = 600, rng.integers(0, 4, 600)
+    toxic = (rng.random(n) < 0.4).astype(float)
+    docs, words = [], []
+    for i in range(n):
+        mine = rng.integers(0, 200, 10).tolist() + (list(rng.choice(range(200 + 10 * kinds[i], 210 + 10 * kinds[i]), 6)) if toxic[i] else [])
+        docs += [i] * len(set(mine))
+        words += sorted(set(mine))
+    docs, words, folds = np.array(docs), np.array(words), rng.integers(0, toxicity.FOLDS, n)
+    found = toxicity.kinds_of(docs, words, toxic, 240)
+    without = toxicity.kinds_without(docs, words, toxic, folds, found, 240)
+    other = np.where(folds == 0, 1 - toxic, toxic)
+    again = toxicity.kinds_without(docs, words, other, folds, toxicity.kinds_of(docs, words, other, 240), 240)
+    outside = folds != 0
+    pairs = set(zip(without[0][outside].tolist(), again[0][outside].tolist(), strict=True))
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) and (without[0][~outside] == -1).all()
+    told = outside & (toxic > 0) & (found >= 0)
+    assert (without[0][told] == found[told]).mean() > 0.95
+
+
 def test_chain_uses_earlier_probabilities():
     rng = np.random.default_rng(1)
     n = 3000

@@ -95,6 +95,13 @@ def _seats(votes: Column, divisor: Column, most: Column) -> Column:
     return F.least(F.floor(votes / divisor + 0.5).cast("long"), most)
 
 
+def _with_group(rows: DataFrame, groups: DataFrame, few: bool, total: int) -> DataFrame:
+    """Rows with their group's row of ``groups(g_, rows_, ...)``: broadcast if groups are ``few``, else with hot groups split off."""
+    if few:
+        return rows.join(F.broadcast(groups), F.col("group") == F.col("g_"))
+    return split_join(rows, "group", groups, "g_", "rows_", total)
+
+
 def apportioned(parties: DataFrame, order: Sequence[str]) -> DataFrame:
     """``parties(group, votes, most, seats, ...)`` with quota: each group's seats by highest quotients.
 
@@ -113,27 +120,28 @@ def apportioned(parties: DataFrame, order: Sequence[str]) -> DataFrame:
     near = [F.col("votes_") / F.greatest(F.col("left_") + k * half, F.lit(0.5)) for k in (4, 1, -1)]
     points = [low, *[F.least(F.greatest(x, low), high) for x in near], high]
     bounds = written(of.select("g_", "left_", "rows_", F.array(*points).alias("grid_")), "divisors")
+    few = bounds.limit(MOST_HOT + 1).count() <= MOST_HOT  # a row of some hundred bytes each
     while True:
         # At a grid's first divisor a group has its seats or more, at its last no more than them.
-        tried = split_join(free, "group", bounds, "g_", "rows_", total).select("group", "votes", "most", "left_", "rows_", "grid_", F.posexplode("grid_").alias("at_", "divisor_")).filter("at_ > 0")
+        tried = _with_group(free, bounds, few, total).select("group", "votes", "most", "left_", "rows_", "grid_", F.posexplode("grid_").alias("at_", "divisor_")).filter("at_ > 0")
         before = F.get("grid_", F.col("at_") - 1)
         seats = _seats(F.col("votes"), F.col("divisor_"), F.col("most"))
         sums = tried.groupBy("group", "at_").agg(*[F.first(c).alias(c) for c in ("left_", "rows_", "divisor_")], F.first(before).alias("before_"), F.sum(seats).alias("n"), F.max(_seats(F.col("votes"), before, F.col("most")) - seats).alias("apart"))
-        few = sums.filter(F.col("n") <= F.col("left_")).groupBy(F.col("group").alias("g_"))
-        chosen = few.agg(F.min_by(F.struct("left_", "rows_", "before_", "divisor_", "apart"), "at_").alias("x")).select("g_", "x.*")
+        enough = sums.filter(F.col("n") <= F.col("left_")).groupBy(F.col("group").alias("g_"))
+        chosen = enough.agg(F.min_by(F.struct("left_", "rows_", "before_", "divisor_", "apart"), "at_").alias("x")).select("g_", "x.*")
         ratio = F.col("divisor_") / F.col("before_")
         grid = F.concat(F.array("before_"), F.transform(F.sequence(F.lit(1), F.lit(TRIED - 1)), lambda k: F.col("before_") * F.pow(ratio, k / TRIED)), F.array("divisor_"))
         bounds = written(chosen.select("g_", "left_", "rows_", F.array_sort(grid).alias("grid_"), ((F.col("apart") > 1) & (ratio > 1 + 1e-15)).alias("wide")), "divisors")
         if bounds.filter("wide").isEmpty():
             break
-    held = split_join(free, "group", bounds, "g_", "rows_", total)
+    held = _with_group(free, bounds, few, total)
     sure = held.withColumn("quota", _seats(F.col("votes"), F.array_max("grid_"), F.col("most")))
     sure = written(sure.drop("g_", "rows_", "grid_", "wide"), "quotas")
     rest = sure.groupBy(F.col("group").alias("g_")).agg((F.first("left_") - F.sum("quota")).alias("rest_"), F.count(F.lit(1)).alias("rows_"))
-    more = split_join(sure, "group", written(rest, "rests"), "g_", "rows_", total).filter((F.col("rest_") > 0) & (F.col("quota") < F.col("most")))
+    more = _with_group(sure, written(rest, "rests"), few, total).filter((F.col("rest_") > 0) & (F.col("quota") < F.col("most")))
     placed = ranked(more.drop("g_", "rows_"), [F.col("group"), -F.col("votes") / (2 * F.col("quota") + 1), *[F.col(c) for c in order]])
     starts = placed.groupBy(F.col("group").alias("g_")).agg(F.min("rank_").alias("start_"), F.count(F.lit(1)).alias("rows_"))
-    won = split_join(placed, "group", written(starts, "starts"), "g_", "rows_", total).filter(F.col("rank_") - F.col("start_") < F.col("rest_"))
+    won = _with_group(placed, written(starts, "starts"), few, total).filter(F.col("rank_") - F.col("start_") < F.col("rest_"))
     keys = ["group", *order]
     extra = written(won.select(*keys).withColumn("extra_", F.lit(1)), "extras").withColumnsRenamed({k: f"{k}_x" for k in keys})
     on = [F.col(k).eqNullSafe(F.col(f"{k}_x")) for k in keys]

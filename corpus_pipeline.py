@@ -24,6 +24,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Rows of a batch of texts that goes to Python and back: texts are long, and a batch is held on both sides.
 BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
 
+#: Words that packing's workers remember: they live on beside the other stages' memory.
+REMEMBERED = 300_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spark.conf.set(*BATCH)
@@ -49,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spark.conf.set(*BATCH)
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), remembered=REMEMBERED)
 
 
 STAGES = [

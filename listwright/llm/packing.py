@@ -81,15 +81,15 @@ class Tokens:
     words take the whole way.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.by_word = splits_words(tokenizer)
         self.encode, self.model, self.size = tokenizer.encode, tokenizer.model, tokenizer.get_vocab_size()
-        self.known = _Words(self._encoded, REMEMBERED // 4)
-        self.letters = _Words(self._spelled, REMEMBERED)
-        self.other = _Words(self._whole, REMEMBERED // 4)
+        self.known = _Words(self._encoded, remembered // 4)
+        self.letters = _Words(self._spelled, remembered)
+        self.other = _Words(self._whole, remembered // 4)
 
     def _whole(self, word: str) -> bytes:
         ids = self.encode(word, add_special_tokens=False).ids
@@ -116,9 +116,9 @@ class Tokens:
 
 
 @cache
-def tokens_of(path: str) -> Tokens:
+def tokens_of(path: str, remembered: int = REMEMBERED) -> Tokens:
     """One per worker process, so that a worker's next task knows its words."""
-    return Tokens(path)
+    return Tokens(path, remembered)
 
 
 def stored_as(path: str) -> str:
@@ -126,9 +126,9 @@ def stored_as(path: str) -> str:
     return "<u2" if tokens_of(path).size <= 1 << 16 else "<u4"
 
 
-def _tokenised(path: str, sequence: int, kind: str):
+def _tokenised(path: str, sequence: int, kind: str, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_of(path)
+        tokens = tokens_of(path, remembered)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             full, tails, lengths = [], [], []
@@ -271,12 +271,15 @@ def _packed(sequence: int, kind: str):
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """One row per piece of a document: which ids it holds and where they lie in which sequence."""
+def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, group_rows: int = GROUP_ROWS, remembered: int = REMEMBERED) -> DataFrame:
+    """One row per piece of a document: which ids it holds and where they lie in which sequence.
+
+    A worker remembers the ids of so many words (some 200 bytes each) as long as it lives.
+    """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, row long, doc_tokens long, full_crc array<long>, tail binary"
     kind = stored_as(tokenizer_path)
-    tokens = written(narrow.mapInArrow(_tokenised(tokenizer_path, sequence, kind), schema), "tokens")
+    tokens = written(narrow.mapInArrow(_tokenised(tokenizer_path, sequence, kind, remembered), schema), "tokens")
     groups = max(1, round(tokens.count() / group_rows))
     grouped = tokens.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     grouped = grouped.repartition(parts_for(docs.sparkSession, groups, TASK_GROUPS), "group")

@@ -239,11 +239,13 @@ def prop(**kw):
         ({"transaction": "auction"}, {}, True), ({"transaction": "auction"}, {"transaction": "auction"}, True), ({"transaction": None, "region": None}, {"region": ""}, True),
     ],
 )
-@pytest.mark.parametrize("most", [10_000, 0])
-def test_filter_policy(spark, monkeypatch, p, f, hit, most):
-    monkeypatch.setattr(matching, "MOST_BROADCAST", most)
+@pytest.mark.parametrize("few", [10_000, 1])
+def test_filter_policy(spark, monkeypatch, p, f, hit, few):
+    """Among filters that nothing passes; with one filter a salt, they are dealt to four."""
+    monkeypatch.setattr(matching, "FEW_FILTERS", few)
     names = [c.split(" ")[0] for c in matching.FILTER_SCHEMA.split(", ")]
-    filters = spark.createDataFrame([tuple(({"name": "f"} | f).get(n) for n in names)], matching.FILTER_SCHEMA)
+    others = [{"name": f"g{k}", "transaction": "none"} for k in range(3)]
+    filters = spark.createDataFrame([tuple(x.get(n) for n in names) for x in ({"name": "f"} | f, *others)], matching.FILTER_SCHEMA)
     got = matching.match_filters(spark.createDataFrame([prop(**p)], PROPERTY), filters)
     assert got.count() == int(hit)
 

@@ -120,3 +120,23 @@ def test_a_runs_failed_steps(spark):
     steps = spark.createDataFrame([("b", 90, 1), ("a", 60, 2), ("c", 30, 0)], "name string, seconds int, code int")
     assert tuple(reporting.run_summary(steps).first()) == (3, 2, "a,b")
     assert tuple(reporting.run_summary(steps.filter("code = 0")).first()) == (0, 0, "")
+
+
+def test_json_of_any_depth(spark):
+    from listwright.functions import json_walk
+
+    deep = json.loads('{"a":' * 60 + "1" + "}" * 60)
+    docs = {1: deep, 2: {"offers": [{"price": "7"}, {"price": 8, "x": [[True, None], []]}], "e": {}, "o": {"price": "9"}}, 3: 5, 4: [], 5: "é \" \\"}
+
+    def leaves(x, path):
+        if isinstance(x, dict):
+            return [y for k, v in x.items() for y in leaves(v, f"{path}.{k}")]
+        if isinstance(x, list):
+            return [y for i, v in enumerate(x) for y in leaves(v, f"{path}[{i}]")]
+        return [(path, x)]
+
+    rows = [(k, json.dumps(v)) for k, v in docs.items()] + [(6, "{broken"), (7, None), (8, "")]
+    found = json_walk.leaves(spark.createDataFrame(rows, "k long, j string"), "k", "j")
+    said = lambda v: None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+    assert sorted(((r.k, r.path, r.value) for r in found.collect()), key=str) == sorted(((k, p, said(v)) for k, d in docs.items() for p, v in leaves(d, "$")), key=str)
+    assert {r.k: r.price for r in json_walk.first_of(found, "k", {"price": r"\.price"}).collect() if r.price} == {2: "9"}

@@ -50,6 +50,8 @@ LEAST_TEXTS = 5
 LEAST_Z, PENALTY = 5.0, 3e-4
 #: Kinds that toxic texts are parted into, and rounds of the clustering.
 KINDS, CLUSTER_ROUNDS = 4, 25
+#: Toxic texts that a kind is worth; fewer of them are parted into fewer kinds.
+KIND_TEXTS = 25
 #: In chain order; the last one is the table's own label and gives the verdict.
 CATEGORIES = (*[f"kind_{k + 1}" for k in range(KINDS)], "toxic")
 #: Words whose candidates a worker remembers.
@@ -209,13 +211,13 @@ def kinds_of(docs: np.ndarray, words: np.ndarray, toxic: np.ndarray, size: int)
     if not len(told):
         return out
     x = x[told] / length[told, None]
-    centres = [x[int(np.argmax(length[told]))]]
-    while len(centres) < KINDS:
+    centres, most = [x[int(np.argmax(length[told]))]], max(1, min(KINDS, int(toxic.sum()) // KIND_TEXTS))
+    while len(centres) < most:
         centres.append(x[int(np.argmin(np.max(x @ np.stack(centres).T, axis=1)))])
     c = np.stack(centres)
     for _ in range(CLUSTER_ROUNDS):
         label = np.argmax(x @ c.T, axis=1)
-        sums = np.stack([x[label == k].sum(0) if (label == k).any() else c[k] for k in range(KINDS)])
+        sums = np.stack([x[label == k].sum(0) if (label == k).any() else c[k] for k in range(most)])
         c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     label = np.argmax(x @ c.T, axis=1)
     rank = np.argsort(np.argsort(-np.bincount(label, minlength=KINDS), kind="stable"), kind="stable")
@@ -282,22 +284,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(texts: DataFrame, most: int = CANDIDATES) -> np.ndarray:
-    """Hashes that tell toxic from other texts outside at least one fold, the best first.
+    """Hashes that tell toxic from other texts, of all folds or outside one of them, the best first.
 
-    Each fold's models choose among them by the texts outside of it alone (``fit``)."""
+    Each fold's models choose among them by the texts outside of it alone (``fit``), so what all folds tell only
+    adds to what the last models choose from."""
     totals = {(r["fold"], r["toxic"]): r["n"] for r in texts.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two a fold
     counts = texts.select("text", "toxic", "fold").mapInArrow(_counted, "hash int, fold int, toxic int, n long")
     of = lambda fold, toxic: F.coalesce(F.sum(F.when((F.col("fold") == fold) & (F.col("toxic") == toxic), F.col("n"))), F.lit(0))
     per = counts.groupBy("hash").agg(F.sum("n").alias("all_"), *[of(f, t).alias(f"n{f}_{t}") for f in range(FOLDS) for t in (0, 1)]).filter(F.col("all_") >= LEAST_TEXTS)
 
-    def tells(without: int) -> Column:
+    def tells(without: int | None) -> Column:
         folds = [f for f in range(FOLDS) if f != without]
         n = [float(max(1, sum(totals.get((f, t), 0) for f in folds))) for t in (0, 1)]
         got = [sum((F.col(f"n{f}_{t}") for f in folds), F.lit(0)) for t in (0, 1)]
         share = (got[0] + got[1]) / sum(n)
         return F.abs(got[1] / n[1] - got[0] / n[0]) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n[0] + 1 / n[1]))
 
-    best = F.greatest(*[tells(f) for f in range(FOLDS)])
+    best = F.greatest(*[tells(f) for f in (None, *range(FOLDS))])
     rows = per.select("hash", F.round(best, 6).alias("z")).filter(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "hash").limit(most).collect()
     return np.array([r["hash"] for r in rows], np.int64)
 

@@ -151,11 +151,10 @@ def freshness(progress: DataFrame, now: Column, grace_hours: float) -> DataFrame
 
 
 def run_summary(steps: DataFrame) -> DataFrame:
-    """Minutes of a run, how many steps failed, and the first of them by name, as many as a report shows."""
-    failed = steps.filter(F.col("code") != 0)
-    shown = failed.orderBy("name").limit(TOP_ROWS).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("failed"))
-    # Two single rows: aggregates without keys.
-    return steps.agg(F.bround(F.sum("seconds") / 60).cast("long").alias("minutes"), F.count_if(F.col("code") != 0).alias("n_failed")).join(shown)
+    """Minutes of a run, how many steps failed, and the names of all of them, in one cell."""
+    failed = F.col("code") != 0
+    names = F.collect_list(F.when(failed, F.col("name")))
+    return steps.agg(F.bround(F.sum("seconds") / 60).cast("long").alias("minutes"), F.count_if(failed).alias("n_failed"), F.array_join(F.array_sort(names), ",").alias("failed"))
 
 
 def sorted_rows(df: DataFrame, *order: str) -> DataFrame:

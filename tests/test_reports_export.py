@@ -120,6 +120,8 @@ def test_a_runs_failed_steps(spark):
     steps = spark.createDataFrame([("b", 90, 1), ("a", 60, 2), ("c", 30, 0)], "name string, seconds int, code int")
     assert tuple(reporting.run_summary(steps).first()) == (3, 2, "a,b")
     assert tuple(reporting.run_summary(steps.filter("code = 0")).first()) == (0, 0, "")
+    many = spark.range(1000).selectExpr("cast(id as string) as name", "1L as seconds", "1 as code")
+    assert reporting.run_summary(many).first().failed == ",".join(sorted(str(i) for i in range(1000)))
 
 
 def test_json_of_any_depth(spark):

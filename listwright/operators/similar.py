@@ -9,15 +9,13 @@ it links to, and the nearest. Rows with a null in what is compared link to nothi
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listwright.functions.geo import KM_DEGREE, LON_SCALE, planar_km
-from listwright.functions.numbers import close
+from listwright.functions.geo import KM_DEGREE, LON_SCALE
 from listwright.sources.shared import written
 
 # Candidates lie within the radius, their sizes within the share, their texts share so much.
@@ -52,31 +50,87 @@ def _classes(rows: DataFrame, on: Sequence[str], key: str, *more: Column) -> Dat
     return first.join(second, first["id_"] == second["least_"], "left").drop("least_")
 
 
+#: So many pairs of classes are compared at once in a task.
+BLOCK_PAIRS = 2_000_000
+
+
+def _around(cell: Sequence[str], km: float, share: float):
+    """Per class of a cell's own: links and the nearest of all classes in the cell and around it.
+
+    A partition's rows come sorted by cell, so one cell's rows are held at a time, as five numbers each.
+    """
+    import numpy as np
+    import pandas as pd
+
+    most = np.iinfo(np.int64).max
+
+    def one(at: pd.DataFrame) -> pd.DataFrame:
+        at = at.sort_values("area_", kind="stable")
+        ids, n, lat, lon, area = (at[c].to_numpy() for c in ("id_", "n_", "lat_", "lon_", "area_"))
+        own, got, i = np.flatnonzero(at["own_"].to_numpy()), [], 0
+        while i < len(own):
+            # Sizes within the share of the block's first and last, a hair wider: the exact test follows.
+            first = np.searchsorted(area, area[own[i]] * (1 - share) * (1 - 1e-9))
+            reach = lambda k: np.searchsorted(area, area[own[k]] / (1 - share) * (1 + 1e-9), "right") - first
+            j = min(len(own), i + max(1, BLOCK_PAIRS // reach(i)))
+            while j - i > 1 and (j - i) * reach(j - 1) > 2 * BLOCK_PAIRS:
+                j = i + (j - i) // 2
+            a, b = own[i:j, None], np.arange(first, first + reach(j - 1))[None]
+            y, x = lat[a] - lat[b], lon[a] - lon[b]
+            apart = np.sqrt(y * y + x * LON_SCALE * x * LON_SCALE) * KM_DEGREE
+            linked = (apart <= km) & (np.abs(area[a] - area[b]) <= share * np.maximum(area[a], area[b])) & (a != b)
+            # Equal distances differ by the last digits of their points: they count to the micrometre.
+            far = np.where(linked, np.floor(apart * 1e9 + 0.5), np.inf)
+            least = far.min(axis=1)
+            other = np.where(linked & (far == least[:, None]), ids[b], most).min(axis=1)
+            got.append(pd.DataFrame({"class_": ids[own[i:j]], "links": np.where(linked, n[b], 0).sum(axis=1), "m": least / 1e9, "other": other}))
+            i = j
+        return pd.concat(got)
+
+    def run(frames):
+        held = []
+        for frame in frames:
+            if not len(frame):
+                continue
+            held.append(frame)
+            last = frame.iloc[-1]
+            open_ = np.logical_and.reduce([frame[c].to_numpy() == last[c] for c in cell])
+            if open_.all() and (len(held) == 1 or all(held[0].iloc[-1][c] == last[c] for c in cell)):
+                continue
+            whole = pd.concat([*held[:-1], frame[~open_]])
+            held = [frame[open_]]
+            yield from parts(whole)
+        if held:
+            yield from parts(pd.concat(held))
+
+    def parts(rows: pd.DataFrame):
+        for _, at in rows.groupby(list(cell), sort=False):
+            if at["own_"].any():
+                found = one(at)
+                yield found[found["links"] > 0]
+
+    return run
+
+
 def radius_links(df: DataFrame, keys: Sequence[str], key: str = "ord", lat: str = "lat", lon: str = "lon", area: str = "area_m2", km: float = RADIUS_KM, share: float = AREA_SHARE) -> DataFrame:
-    """(key, class_id, n_links, nearest, nearest_at): rows alike in ``keys``, within the radius, sizes within the share.
+    """(key, class_id, n_links, nearest, nearest_at): rows alike in ``keys``, within the radius, sizes within the share; the key is a long.
 
-    A row is in one cell of the radius' size and one bucket of its size's logarithm; it meets its own cell
-    and the half of the neighbours that come after it, so each pair of classes comes once.
+    A row's class is in one cell of the radius' size and sent to the eight around it, so a cell's own classes
+    meet all that they link to in one place. Pairs are added up there, in blocks of sizes within the share, and
+    are never rows: what leaves a cell is a row a class.
     """
     on = [*keys, lat, lon, area]
     rows = df.select(key, *on).dropna().filter(F.col(area) > 0)
-    dy, dx, db = km / KM_DEGREE, km / (KM_DEGREE * LON_SCALE), -math.log1p(-share) * (1 + 1e-9)
+    dy, dx = (km * (1 + 1e-9) / degree for degree in (KM_DEGREE, KM_DEGREE * LON_SCALE))
     at = lambda v, step: F.floor(v / step).cast("long")
     classes = written(_classes(rows, on, key), "places")
-    placed = classes.withColumns({"cy": at(F.col(lat), dy), "cx": at(F.col(lon), dx), "cb": at(F.ln(area), db)})
-    after = [o for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
-    offsets = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, "yxb", strict=True)]) for o in after])
-    side = lambda s, **more: placed.select(*[F.col(k).alias(f"{k}_{s}") for k in keys], F.col("id_").alias(s), F.col("n_").alias(f"n_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in (lat, lon, area)], *[v.alias(k) for k, v in more.items()])
-    a = side("a", cy=F.col("cy"), cx=F.col("cx"), cb=F.col("cb")).withColumn("o", F.explode(offsets)).withColumns({"py": F.col("cy") + F.col("o.y"), "px": F.col("cx") + F.col("o.x"), "pb": F.col("cb") + F.col("o.b")}).drop("cy", "cx", "cb")
-    b = side("b", qy=F.col("cy"), qx=F.col("cx"), qb=F.col("cb"))
-    same = (F.col("py") == F.col("qy")) & (F.col("px") == F.col("qx")) & (F.col("pb") == F.col("qb"))
-    for k in keys:
-        same = same & (F.col(f"{k}_a") == F.col(f"{k}_b"))
-    own = (F.col("o.y") == 0) & (F.col("o.x") == 0) & (F.col("o.b") == 0)
-    apart = planar_km(F.col(f"{lat}_a"), F.col(f"{lon}_a"), F.col(f"{lat}_b"), F.col(f"{lon}_b"))
-    pairs = a.join(b, same & (~own | (F.col("a") < F.col("b"))) & close(F.col(f"{area}_a"), F.col(f"{area}_b"), share) & (apart <= km))
-    # Equal distances differ by the last digits of their points: they count to the micrometre.
-    found = _both_ways(pairs.select("a", "n_a", "b", "n_b", F.round(apart, 9).alias("km")), "km")
+    offsets = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in product((-1, 0, 1), repeat=2)])
+    cell = [*[f"k{i}_" for i in range(len(keys))], "cy_", "cx_"]
+    sent = classes.select(
+        *[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)], "id_", "n_", *[F.col(c).cast("double").alias(n) for c, n in ((lat, "lat_"), (lon, "lon_"), (area, "area_"))], F.explode(offsets).alias("o")
+    ).select("*", (at(F.col("lat_"), dy) + F.col("o.y")).alias("cy_"), (at(F.col("lon_"), dx) + F.col("o.x")).alias("cx_"), ((F.col("o.y") == 0) & (F.col("o.x") == 0)).alias("own_")).drop("o")
+    near = sent.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(_around(cell, km, share), "class_ long, links long, m double, other long")
+    found = near.select("class_", "links", F.struct("m", "other").alias("nearest"))
     return _for_rows(rows, on, key, classes, found, F.lit(0.0))
 
 

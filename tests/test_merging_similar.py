@@ -1,5 +1,6 @@
 """Constrained merging in rounds, and the similarity joins, against brute force."""
 
+import math
 import random
 from collections import Counter
 
@@ -67,6 +68,20 @@ def test_places_within_the_radius(spark):
     assert similar.radius_links(df.limit(0), ["kind"]).count() == 0
 
 
+def test_pairs_by_radius_are_added_up_where_they_meet(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = {i: (i % 2, 38 + rng.randrange(60) / 1000, 23 + rng.randrange(60) / 1000, float(rng.randrange(20, 60))) for i in range(300)}
+    df = spark.createDataFrame([(i, *r) for i, r in rows.items()], "ord long, kind int, lat double, lon double, area_m2 double")
+
+    def linked(x, y):
+        km = math.hypot(x[1] - y[1], (x[2] - y[2]) * 0.76) * 111
+        return km if x[0] == y[0] and km <= 3 and abs(x[3] - y[3]) <= 0.15 * max(x[3], y[3]) else None
+
+    monkeypatch.setattr(similar, "BLOCK_PAIRS", 50)
+    got = similar.radius_links(df, ["kind"])
+    assert found(got, "ord") == brute(rows, linked, lambda x, y: x == y)
+
+
 @pytest.mark.parametrize(("bits", "parts", "most"), [(64, 4, 7), (32, 2, 5), (64, 8, 3)])
 def test_codes_within_so_many_bits(spark, bits, parts, most):
     rng = random.Random(4)

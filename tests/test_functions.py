@@ -5,7 +5,7 @@ import unicodedata
 
 import pytest
 from listwright.functions import dates, floors, geo, numbers, text
-from listwright.operators import rules
+from listwright.operators import normalize, rules
 from pyspark.sql import functions as F
 
 
@@ -107,6 +107,16 @@ def test_rules(spark):
     assert values(spark, ["the a the", "the a the der", "thethe a b", "the", ""], words) == [False, True, True, True, False]
 
 
+def test_words_looked_up_as_bytes_find_what_their_pattern_finds(spark):
+    texts = ["flat", "flats", "a flat b", "μισθωσ", "for-rent", "for_rent", "forrent", "rental", "x rent", "results x", "x results", "print", "prints", "γη", "γηπεδο", "", None]
+    patterns = [rules.RENT_WORDS, rules.SALE_WORDS, normalize.NOT_LISTING, normalize.LAND_WORDS, *[p for _, p in rules.TYPE_RULES], "a|(b)", r"\balpha\b"]
+    for p in patterns:
+        assert values(spark, texts, lambda c: rules.finds(c, p)) == values(spark, texts, lambda c: c.rlike(f"(?U){p}"))  # noqa: B023
+    mixed = ["ΑΘΉΝΑΣ É", "ABC +%41", "Σ", "", None]
+    assert values(spark, mixed, text.fold) == ["αθηνασ e", "abc +%41", "σ", "", None]
+    assert values(spark, ["a+b", "a+%41", "%zz", "", None], text.unquote) == ["a+b", "a+A", "%zz", "", None]
+
+
 def test_deals_and_types(spark):
     words = ["flat for rent or for sale", "for sale", "προσ ενοικιαση", "x", "x"]
     rows = list(zip(words, [None, "rent", None, "sale", None], [50_000.0, 1.0, None, 5.0, 9_999.0], strict=True))

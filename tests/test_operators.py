@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import random
 
 import pytest
@@ -333,3 +334,15 @@ def test_titles_places_and_lines(spark):
     more = {c: F.lit(None).cast("string") for c in ("url", "title", "transaction", "type", "bedrooms", "floor", "area", "region", "source_domain", "segment", "year_built")} | {"price_eur": F.lit(1.0), "area_m2": F.lit(1.0), "listing_date": F.lit(None).cast("date"), "first_seen": F.lit(None).cast("date")}
     best = gold.rollup_properties(members.withColumns(more)).first()
     assert (best.point.lat, best.point.geo, best.auction) == (38.1, "site", False)
+
+
+def test_a_band_join_sends_a_row_to_two_stretches_at_most(spark):
+    rows = [(i, "k", float(v), f"s{i % 5}", "wide" * 5) for i, v in enumerate([-9, -4, -1, 0, 0.5, 1, 2.5, 3, 4, 40, 41, 99, 100, 1000, 1010, 1015, 1018, 1019, 9000, 9130, 9140])]
+    df = spark.createDataFrame(rows, "ord long, key string, v double, site string, other string")
+    pairs = grouping.band_pairs(df, ["key"], "v", "site").select(F.col("a.ord").alias("a"), F.col("b.ord").alias("b"))
+    bucket = {i: round(v) for i, _, v, _, _ in rows}
+    reach = lambda b: max(2, math.floor(0.015 * b)) + 1
+    expected = {(i, j) for i in bucket for j in bucket if i % 5 != j % 5 and bucket[i] <= bucket[j] <= bucket[i] + reach(bucket[i]) and (bucket[i] < bucket[j] or i < j)}
+    got = [tuple(r) for r in pairs.collect()]
+    assert set(got) == expected and len(got) == len(expected)
+    assert "other" not in pairs._jdf.queryExecution().optimizedPlan().toString().split("Join")[1].split("LogicalRDD")[0]

@@ -140,30 +140,39 @@ def unsent_drops(matched: DataFrame, drops: DataFrame, sent: DataFrame, new_ids:
 def pack_messages(blocks: DataFrame, limit: int = 3900) -> DataFrame:
     """Next-fit packing of ``blocks(recipient, ord, title, pieces)`` into messages of bounded UTF-16 length.
 
-    A recipient's blocks meet in one task, as its messages are one sequence.
+    A recipient's blocks meet in one task, as its messages are one sequence. They come sorted and pass one by one:
+    what is held of a recipient is its open message.
     """
 
     units = _units
 
-    def run(key, frame):
+    def run(frames):
         import pandas as pd
 
-        out, open_ = [], ""
-        for row in frame.sort_values("ord").itertuples(index=False):
-            lead = [row.title] if row.title else []
-            for k, piece in enumerate([*lead, *row.pieces]):
-                if units(piece) > limit:
-                    piece = plain_cut(piece, limit)
-                joint = "" if not open_ else "\n\n" if k == 0 else "\n"
-                if units(open_ + joint + piece) <= limit:
-                    open_ += joint + piece
-                    continue
-                if open_:
-                    out.append(open_)
-                again = f"{row.title} (cont.)\n{piece}" if row.title and k else piece
-                open_ = again if units(again) <= limit else piece
+        who, part, open_, out = None, None, "", []
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                if part is None or row.recipient != who:
+                    if open_:
+                        out.append((who, part, open_))
+                    who, part, open_ = row.recipient, 0, ""
+                lead = [row.title] if row.title else []
+                for k, piece in enumerate([*lead, *row.pieces]):
+                    if units(piece) > limit:
+                        piece = plain_cut(piece, limit)
+                    joint = "" if not open_ else "\n\n" if k == 0 else "\n"
+                    if units(open_ + joint + piece) <= limit:
+                        open_ += joint + piece
+                        continue
+                    if open_:
+                        out.append((who, part, open_))
+                        part += 1
+                    again = f"{row.title} (cont.)\n{piece}" if row.title and k else piece
+                    open_ = again if units(again) <= limit else piece
+            yield pd.DataFrame(out, columns=["recipient", "part", "message"])
+            out = []
         if open_:
-            out.append(open_)
-        return pd.DataFrame({"recipient": [key[0]] * len(out), "part": range(len(out)), "message": out})
+            yield pd.DataFrame([(who, part, open_)], columns=["recipient", "part", "message"])
 
-    return blocks.groupBy("recipient").applyInPandas(run, "recipient string, part long, message string")
+    sent = blocks.select("recipient", "ord", "title", "pieces").repartition("recipient").sortWithinPartitions("recipient", F.col("ord").asc_nulls_last())
+    return sent.mapInPandas(run, "recipient string, part long, message string")

@@ -346,3 +346,11 @@ def test_a_band_join_sends_a_row_to_two_stretches_at_most(spark):
     got = [tuple(r) for r in pairs.collect()]
     assert set(got) == expected and len(got) == len(expected)
     assert "other" not in pairs._jdf.queryExecution().optimizedPlan().toString().split("Join")[1].split("LogicalRDD")[0]
+
+
+def test_recipients_messages_pass_one_by_one(spark):
+    rows = [(r, o, f"t{o}", ["x" * 8]) for r in ("b", "a", None) for o in (2, 1, 3)]
+    got = matching.pack_messages(spark.createDataFrame(rows, "recipient string, ord long, title string, pieces array<string>").repartition(3), 24)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    parts = [(0, "t1\nxxxxxxxx\n\nt2\nxxxxxxxx"), (1, "t3\nxxxxxxxx")]
+    assert sorted((r.recipient or "", r.part, r.message) for r in got.collect()) == [(who, *p) for who in ("", "a", "b") for p in parts]

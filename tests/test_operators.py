@@ -354,3 +354,14 @@ def test_recipients_messages_pass_one_by_one(spark):
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
     parts = [(0, "t1\nxxxxxxxx\n\nt2\nxxxxxxxx"), (1, "t3\nxxxxxxxx")]
     assert sorted((r.recipient or "", r.part, r.message) for r in got.collect()) == [(who, *p) for who in ("", "a", "b") for p in parts]
+
+
+def test_listings_that_say_their_traits_only_meet_the_same(spark):
+    rows = [flat(i, f"s{i}", 100_000.0, 80.0, floor=(None, "1", "2")[i % 3], bedrooms=(None, "2")[i % 2], type=("house", "studio")[i % 5 == 0]) for i in range(30)]
+    base = grouping.prepared(spark.createDataFrame(rows, GROUP)).withColumns({"site": F.col("source_domain"), "rare_words": F.array().cast("array<string>")}).select(*grouping.PAIRED)
+    got = [(r.a, r.b) for r in grouping.candidates(base).collect()]
+    whole = lambda x: None not in (x.floor_key, x.bedrooms_key, x.kind)
+    same = lambda x, y: (x.floor_key, x.bedrooms_key, x.kind) == (y.floor_key, y.bedrooms_key, y.kind)
+    known = base.collect()
+    expected = {(x.ord, y.ord) for x in known for y in known if x.ord < y.ord and (same(x, y) or not (whole(x) and whole(y)))}
+    assert {(a.ord, b.ord) for a, b in got} == expected and len(got) == len(expected)

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from listwright.operators.ranges import ranked
 from listwright.plans.catalog import query, table
 from listwright.sources import paged
-from listwright.sources.shared import shared_dir
+from listwright.sources.shared import shared_dir, written
 
 PER_PAGE, POSTS = 50, 20
 _BOX = "lat >= 40.2 AND lat <= 40.7 AND lon >= 22.1 AND lon <= 22.9"
@@ -48,11 +49,13 @@ def landed_channels(spark, sf_dir) -> str:
     root = f"{shared_dir(spark)}/channels-{uuid.uuid4().hex}"
     channel = F.concat(F.lit("c"), F.col("o_custkey") % 3)
     rows = table(spark, sf_dir, "orders").select(channel.alias("channel"), F.col("o_orderkey").alias("post"))
-    rows = rows.withColumn("page", F.floor((F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("post"))) - 1) / POSTS))
+    rows = ranked(rows, [F.col("channel"), -F.col("post")])
+    first = rows.groupBy("channel").agg(F.min("rank_").alias("first"))
+    rows = rows.join(first, "channel").withColumn("page", F.floor((F.col("rank_") - F.col("first")) / POSTS))
     block = F.transform(F.sort_array(F.collect_list("post"), asc=False), lambda p: F.concat(F.lit('<div data-post="x/'), p, F.lit('">post '), p, F.lit("</div>")))
-    pages = rows.groupBy("channel", "page").agg(F.array_join(block, "").alias("body"), F.min("post").alias("low"))
-    before = F.lag("low").over(Window.partitionBy("channel").orderBy("page"))
-    named = pages.withColumn("before", before).select(F.concat_ws("/", "channel", F.concat(F.coalesce(F.col("before").cast("string"), F.lit("newest")), F.lit(".html"))).alias("name"), "body")
+    pages = written(rows.groupBy("channel", "page").agg(F.array_join(block, "").alias("body"), F.min("post").alias("before_next")), "channel-pages")
+    before = pages.select("channel", (F.col("page") + 1).alias("page"), F.col("before_next").alias("before"))
+    named = pages.join(before, ["channel", "page"], "left").select(F.concat_ws("/", "channel", F.concat(F.coalesce(F.col("before").cast("string"), F.lit("newest")), F.lit(".html"))).alias("name"), "body")
     paged.land(named, root)
     return root
 

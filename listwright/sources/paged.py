@@ -7,7 +7,9 @@ others as they are.
 
 ``ChannelPosts`` is a streaming source of one row per post. A channel is read backwards from its newest page,
 each page before the lowest number of the one before; its offset is that number, so a stream that stops goes
-on from its checkpoint and reads each post once. Pages newer than those read are another run's.
+on from its checkpoint and reads each post once. Pages newer than those read are another run's. Where the
+numbers that pages end before can be listed, as those of landed pages can, no page is read to plan a batch,
+a batch's pages are read by many tasks, and batches double, so their number grows with the logarithm.
 
 Both ask a ``fetcher`` for pages, by default that of landed files: a dotted name of a function, so that it
 can be found where the tasks are.
@@ -17,9 +19,11 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from importlib import import_module
+from operator import neg
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual
 
@@ -147,52 +151,98 @@ def landed_channels(root: str) -> list[str]:
     return _names(root)
 
 
+def landed_marks(root: str, channel: str) -> list[int]:
+    """The numbers that a channel's landed pages end before, by their names alone, highest first."""
+    named = (n.removesuffix(".html") for n in _names(f"{root}/{channel}"))
+    return sorted((int(n) for n in named if n.isdecimal()), reverse=True)
+
+
+#: A batch of listed pages is at most so many times the first one.
+MOST_GROWTH = 1024
+
+
 @dataclass
 class Pages(InputPartition):
-    """A channel's pages from one number down to another."""
+    """A channel's posts before one number (the newest without one), down to another or its end (-1); the pages between, if listed."""
 
     channel: str
     before: int | None
     until: int
+    marks: list[int] | None = None
 
 
 class ChannelReader(DataSourceStreamReader):
-    """Offsets are a number a channel: the lowest post that was read. Null is the newest page, -1 that nothing is left."""
+    """Offsets are a number a channel: the lowest post that was read. Null is the newest page, -1 that nothing is left.
+
+    ``batch_pages`` is what a task reads of a channel, and what a run's first batch does; each batch after
+    it reads up to twice as much, where ``marks`` lists the numbers. Without, each page is looked at here.
+    """
 
     def __init__(self, options: dict):
         self.root, self.fetcher = options["path"], options.get("fetcher", f"{__name__}.landed_before")
         self.channels = options.get("channels", f"{__name__}.landed_channels")
+        self.lister = options.get("marks", "" if "fetcher" in options else f"{__name__}.landed_marks")
         self.batch, self.most = int(options.get("batch_pages", BATCH_PAGES)), int(options.get("pages", RUN_PAGES))
         self.at: dict | None = None
+        self.growth, self.listed = 1, {}
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {c: [None, 0] for c in fetcher_of(self.channels)(self.root)}
 
+    def marks(self, channel: str, before: int | None, until: int = -1) -> list[int]:
+        """The listed numbers between two, highest first."""
+        if channel not in self.listed:
+            self.listed[channel] = fetcher_of(self.lister)(self.root, channel)
+        found = self.listed[channel]
+        first = 0 if before is None else bisect_right(found, -before, key=neg)
+        return found[first : bisect_left(found, -until, key=neg)]
+
     def latestOffset(self) -> dict:  # noqa: N802
-        """A few pages further down each channel: only their lowest numbers are looked at here."""
+        """Some pages further down each channel."""
         self.at = self.at if self.at is not None else self.initialOffset()
         following = {}
         for channel, (before, pages) in self.at.items():
-            for _ in range(self.batch):
+            if self.lister and before != -1 and pages < self.most:
+                n, below = min(self.batch * self.growth, self.most - pages), self.marks(channel, before)
+                before, pages = (below[n - 1], pages + n) if len(below) >= n else (-1, pages + len(below) + 1)
+            for _ in range(0 if self.lister else self.batch):
                 if before == -1 or pages >= self.most:
                     break
                 raw, low = fetcher_of(self.fetcher)(self.root, channel, before)
                 before, pages = (low, pages + 1) if raw is not None and low is not None and low != before else (-1, pages)
             following[channel] = [before, pages]
+        if following != self.at:
+            self.growth = min(2 * self.growth, MOST_GROWTH)
         return following
 
     def partitions(self, start: dict, end: dict) -> list[Pages]:
         self.at = end  # a restarted stream asks for its last batch first
-        return [Pages(c, start.get(c, [None, 0])[0], end[c][0]) for c in end if start.get(c, [None, 0])[0] != end[c][0]]
+        found = []
+        for c, (until, _) in end.items():
+            before = start.get(c, [None, 0])[0]
+            if before == until:
+                continue
+            if not self.lister:
+                found.append(Pages(c, before, until))
+                continue
+            edges = [before, *self.marks(c, before, until)]
+            for k in range(0, len(edges), self.batch):
+                found.append(Pages(c, edges[k], [*edges, until][min(k + self.batch, len(edges))], edges[k + 1 : k + self.batch]))
+        return found
 
     def read(self, partition: Pages) -> Iterator[tuple]:
-        before = partition.before
+        before, marks = partition.before, partition.marks
+        following = [*marks, partition.until] if marks is not None else None
         while before != partition.until:
             raw, low = fetcher_of(self.fetcher)(self.root, partition.channel, before)
-            if raw is None or low is None or low == before:
+            if following is not None:
+                low = following.pop(0)  # each listed page gives what the next one doesn't
+            elif raw is None or low is None or low == before:
                 return
-            for block in re.split(r'(?=data-post=")', raw)[1:]:
-                yield partition.channel, int(re.match(r'data-post="[^"/]+/(\d+)"', block)[1]), block
+            for block in re.split(r'(?=data-post=")', raw or "")[1:]:
+                post = int(re.match(r'data-post="[^"/]+/(\d+)"', block)[1])
+                if post >= low:
+                    yield partition.channel, post, block
             before = low
 
     def commit(self, end: dict) -> None:
@@ -232,11 +282,15 @@ def land(pages, root: str) -> None:
     def run(batches):
         from pyarrow import fs
 
+        made = set()
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 path = f"{root}/{name}"
                 system, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-                system.create_dir(at.rpartition("/")[0], recursive=True)
+                folder = at.rpartition("/")[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with system.open_output_stream(at) as f:
                     f.write(body.encode())
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["name"])

@@ -88,3 +88,31 @@ def test_each_post_is_read_once_over_restarts(spark, tmp_path):
     assert run(3) == {"x": list(range(66, 96)), "y": list(range(1, 31)), "empty": []}
     assert run(7)["x"] == list(range(26, 96))
     assert run(50) == run(50) == {"x": list(range(1, 96)), "y": list(range(1, 31)), "empty": []}
+
+
+def test_listed_pages_are_planned_unread_and_dealt_to_tasks(tmp_path, monkeypatch):
+    os.makedirs(tmp_path / "x")
+    for k in range(100):
+        page = range(1000 - 10 * k, 990 - 10 * k, -1)
+        (tmp_path / "x" / f"{page[0] + 1 if k else 'newest'}.html").write_text("".join(f'<div data-post="x/{p}">{p}</div>' for p in page))
+    (tmp_path / "x" / "946.html").write_text("".join(f'<div data-post="x/{p}">{p}</div>' for p in range(945, 935, -1)))  # another run's
+    reader = paged.ChannelReader({"path": str(tmp_path), "batch_pages": "3", "pages": "1000"})
+    with monkeypatch.context() as m:
+        m.setattr(paged, "landed_before", None)
+        at, ranges, batches = reader.initialOffset(), [], 0
+        while (following := reader.latestOffset()) != at:
+            ranges += reader.partitions(at, following)
+            at, batches = following, batches + 1
+    assert at["x"][0] == -1 and batches == 6 and len(ranges) == 34  # of 101 pages in threes; batches of 3, 6, 12, 24, 48, 8
+    posts = [[p for _, p, _ in reader.read(r)] for r in ranges]
+    assert max(map(len, posts)) <= 30 and sorted(p for ps in posts for p in ps) == list(range(1, 1001))
+
+
+def test_pages_that_cannot_be_listed_are_walked(tmp_path):
+    os.makedirs(tmp_path / "x")
+    for name, page in (("newest", (9, 8)), ("8", (7, 6)), ("6", (5,))):
+        (tmp_path / "x" / f"{name}.html").write_text("".join(f'<div data-post="x/{p}">{p}</div>' for p in page))
+    reader = paged.ChannelReader({"path": str(tmp_path), "fetcher": "listwright.sources.paged.landed_before", "batch_pages": "2"})
+    at = reader.initialOffset()
+    first = reader.latestOffset()
+    assert first == {"x": [6, 2]} and [p for r in reader.partitions(at, first) for _, p, _ in reader.read(r)] == [9, 8, 7, 6]

@@ -95,3 +95,27 @@ def test_a_crash_at_any_step_neither_resends_nor_loses(spark, tmp_path, crash):
     spark.createDataFrame([("a",), ("c",)], "url string").write.mode("append").parquet(feed)
     jobs.deliver_once(spark, stream(), sent, str(tmp_path / "c"), deliver)
     assert sorted(r.url for r in spark.read.parquet(sent).collect()) == ["a", "b", "c", "old"]
+
+
+def test_changes_of_many_keys_take_a_call_a_part(spark, tmp_path, monkeypatch):
+    """Keys share parts of the state, and are told apart in them."""
+    monkeypatch.setattr(jobs, "CHANGE_PARTS", 2)
+    batches = [[(k, h + k % 3, 10 * k + h, float(h * k % 4)) for k in range(40) for h in range(s, s + 10)] for s in (0, 10, 20)]
+    stream = landed(spark, tmp_path, *batches, [(99, 5000, 1, 0.0)], [(99, 9000, 2, 0.0)])
+    log = f"{tmp_path}/progress"
+    out = {}
+
+    def run():
+        out["rows"] = jobs.run_to_table(jobs.price_changes(stream, "k", "ts", "v", "id", "24 hours", 10), str(tmp_path / "run"), "append", name="parts")
+
+    progress = jobs.logged(spark, log, run).collect()
+    got = sorted((r.key, (r["at"] - START).total_seconds() / 3600, r.old_value, r.new_value) for r in out["rows"].collect() if r.key != 99)
+    expected = []
+    for k in range(40):
+        before = None
+        for h in range(30):
+            if before != (v := float(h * k % 4)):
+                expected.append((k, h + k % 3, before, v))
+            before = v
+    assert got == sorted(expected, key=lambda r: r[:2])
+    assert max(p.state_rows for p in progress) <= 2  # an entry a part, not one a row

@@ -10,13 +10,14 @@ from listwright.plans.catalog import query, table
 from listwright.sources import extract, feeds
 
 NOW = "2026-03-04T05:06:07Z"
+PARTS_A_CORE = 4
 PRICE = "CAST(floor(o_totalprice) AS BIGINT)"
 
 
 def made(spark, sf_dir, *columns: str):
-    """Columns of orders by SQL expressions; their braces are text."""
+    """Columns of orders by SQL expressions; their braces are text. Reading feeds is work by row, so rows are dealt evenly, however few the file's parts."""
     chosen = ", ".join(columns).replace("{", "{{").replace("}", "}}")
-    return spark.sql(f"SELECT {chosen} FROM {{o}}", o=table(spark, sf_dir, "orders"))
+    return spark.sql(f"SELECT {chosen} FROM {{o}}", o=table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism * PARTS_A_CORE))
 
 
 @query(f"""SELECT 'https://m.example/listings/' || o_orderkey AS url, CASE o_custkey % 3 WHEN 0 THEN 'land' WHEN 1 THEN 'maisonette' END AS type, CASE WHEN o_orderkey % 7 > 0 THEN CAST({PRICE} AS DOUBLE) END AS price_eur,

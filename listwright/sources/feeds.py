@@ -17,6 +17,7 @@ from listwright.functions.dates import epoch_day, relative_day, sheet_day
 from listwright.functions.geo import in_box
 from listwright.functions.text import squeeze, strip_tags, unescape
 from listwright.operators.rules import first_match, kind_by_word
+from listwright.sources.shared import once
 
 #: The raw listing's columns and types, in order.
 RAW = {
@@ -401,7 +402,7 @@ def post_rows(posts: DataFrame, now: str, places: Sequence[tuple[str, str]] = ()
         "channel", F.lower(F.coalesce("focus", F.lit(""))).alias("focus"), group(b, 'data-post="([^"]+)"').alias("post"), group(b, '<time datetime="([^"]+)"').alias("at"),
         group(b, r'(?s)<div class="tgme_widget_message_text[^>]*>(.*?)</div>').alias("raw"),
     ).filter("post is not null and at is not null and raw is not null")
-    found = found.withColumn("text", post_text(F.col("raw"))).filter(post_is_listing(F.col("text"))).withColumn("low", F.lower("text"))
+    found = once(once(found, {"text": post_text(F.col("raw"))}).filter(post_is_listing(F.col("text"))), {"low": F.lower("text")})
     low = F.col("low")
     named = F.array_compact(F.array(*[F.when(low.rlike(f"(?U){p}"), F.lit(n)) for p, n in places])) if places else F.array().cast("array<string>")
     home = first_match(F.col("focus"), [(n, p) for p, n in homes]) if homes else F.lit(None).cast("string")
@@ -410,7 +411,7 @@ def post_rows(posts: DataFrame, now: str, places: Sequence[tuple[str, str]] = ()
         .when(home.isNotNull() & (F.size(named) == 0), F.array(home))
         .otherwise(F.array_distinct(named))
     )
-    found = found.withColumns({"places": F.array_join(held, ", "), "price": F.get(post_prices(F.col("text")), F.lit(0))})
+    found = once(found, {"places": F.array_join(held, ", "), "price": F.get(post_prices(F.col("text")), F.lit(0))})
     where = lambda p: F.length(F.regexp_extract(low, rf"(?s)^(.*?)(?:{p.removeprefix('(?iu)')})", 1))
     rent, sale = low.rlike(POST_RENT), low.rlike(POST_SALE)
     deal = F.when(rent & (~sale | (where(POST_RENT) < where(POST_SALE))), F.lit("rent")).otherwise(F.lit("sale"))
@@ -497,10 +498,11 @@ def alert_card(context: Column) -> Column:
 
 def alert_rows(alerts: DataFrame, now: str) -> DataFrame:
     """Rows of the alert sheet (portal, received, subject, url, context) that link one listing, as raw rows."""
-    a = alerts.filter(is_listing_url(F.col("url"))).select("portal", "received", "subject", "url", alert_card(F.col("context")).alias("c")).select("*", "c.*").drop("c")
+    a = alerts.filter(is_listing_url(F.col("url"))).select("portal", "received", "subject", "url", "context")
+    a = once(a, {"c": alert_card(F.col("context"))}).select("portal", "received", "subject", "url", "c.*")
     agency = group(F.col("card"), r"(?U)Αγγελιοδότ\w*\s*:\s*([^\W\d_].*?)(?=\s+(?:Δες|Δείτε|Νέα|Νέες|Απενεργοποίηση)|$)")
-    a = a.withColumns({"_agency": agency, "card": F.trim(F.get(F.split("card", ALERT_END, 2), F.lit(0)))})
-    a = a.withColumn("card", F.regexp_replace("card", r"(?U)\s+Α(γ(γ\w*)?)?$", ""))
+    ended = F.regexp_replace(F.trim(F.get(F.split("card", ALERT_END, 2), F.lit(0))), r"(?U)\s+Α(γ(γ\w*)?)?$", "")
+    a = once(a, {"_agency": agency, "_card": ended}).drop("card").withColumnRenamed("_card", "card")
     card, portal = F.col("card"), F.col("portal")
     capture, indomio = F.col("subject").startswith(CAPTURE), portal == "Indomio"
     words = F.lower(F.concat_ws(" ", card, "subject", "all"))

@@ -233,3 +233,14 @@ def test_delivery_is_all_or_nothing(spark, tmp_path):
     assert spark.read.parquet(sent).count() == 1
     jobs.deliver_once(spark, stream(), sent, str(tmp_path / "c"), deliver)
     assert [p.name for p in out.iterdir()] == ["new"] and sorted(r.url for r in spark.read.parquet(sent).collect()) == ["new", "old"]
+
+
+def test_rows_of_feeds_are_dealt_and_texts_are_made_once(spark):
+    from listwright.plans import q_feeds
+
+    assert q_feeds.made(spark, "/root/testdata/sf0.001", "o_orderkey").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    posts = spark.createDataFrame([("", "c", "")], "block string, channel string, focus string")
+    assert plan(feeds.post_rows(posts, "2026-03-04T05:06:07Z")).count(r"<br\s*/?>") == 1
+    pages = spark.createDataFrame([("", "")], "url string, html string")
+    assert plan(extract.page_listings(pages, F.lit("2026-03-01").cast("date"))).count('meta[^>]+(?:property|name)=["\']og:title') == 1

@@ -20,6 +20,7 @@ from listwright.functions.numbers import locale_number, page_number
 from listwright.functions.text import cells, fold, meta, page_text, place_under_heading, squeeze, strip_tags, unescape, without_boilerplate
 from listwright.operators.normalize import is_other
 from listwright.operators.rules import all_matches, first_match
+from listwright.sources.shared import once
 
 # How pages label size, rooms, floor, year, deal and place; how URLs and titles name types.
 PAGE_PRICE = r"(?i)(?:€|EUR)\s?(\d{1,3}(?:[.,]\d{3})+|\d+)(?![\d.,])|(\d{1,3}(?:[.,]\d{3})+|\d+)\s?(?:€|EUR|ευρώ)"
@@ -149,28 +150,28 @@ def page_listings(pages: DataFrame, today: Column) -> DataFrame:
     """
     html, url = F.col("html"), F.col("url")
     blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    p = pages.withColumns({"_text": page_text(html), "_cells": cells(html), "_ld": ld_fields(F.transform(blocks, lambda b: F.trim(unescape(b))))})
-    p = p.withColumn("title", F.substring(F.coalesce(meta(html, "og:title"), F.trim(unescape(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]*)", 1)))), 1, 200))
-    head = F.concat_ws(" ", "title", F.substring("_text", 1, HEAD))
+    p = once(pages, {"_text": page_text(html), "_cells": cells(html)}).withColumns({"_ld": ld_fields(F.transform(blocks, lambda b: F.trim(unescape(b))))})
+    p = once(p, {"title": F.substring(F.coalesce(meta(html, "og:title"), F.trim(unescape(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]*)", 1)))), 1, 200)})
+    p = once(p, {"_head": F.concat_ws(" ", "title", F.substring("_text", 1, HEAD)), "_days": page_days(html, F.col("_text"), today), "_point": script_point(html)})
+    head = F.col("_head")
     stated = page_number(_either(head, PAGE_PRICE))
     price = F.coalesce(F.nullif(page_number(F.col("_ld.price")), F.lit(0.0)), F.when(stated >= LEAST_PRICE, stated))
     low = F.lower(F.concat_ws(" ", "title", url))
     said = _group(F.col("_cells"), DEAL_CELL)
     deal = F.when(said.rlike("(?iu)ενοικ|rent"), F.lit("rent")).when(said.isNotNull(), F.lit("sale")).when(low.rlike(PAGE_RENT), F.lit("rent")).when(low.rlike(PAGE_SALE), F.lit("sale"))
-    point = script_point(html)
+    point = F.col("_point")
     lat = F.coalesce(F.col("_ld.lat").try_cast("double"), meta(html, "place:location:latitude").try_cast("double"))
     lon = F.coalesce(F.col("_ld.lon").try_cast("double"), meta(html, "place:location:longitude").try_cast("double"))
-    days = page_days(html, F.col("_text"), today)
     parts = F.array_compact(F.array(_none(F.col("_ld.location")), F.trim(_group(F.col("_cells"), PLACE_CELL)), place_under_heading(html, F.col("title"))))
     p = p.withColumns(
         {
             "price_eur": price, "area_m2": F.coalesce(F.nullif(page_number(F.col("_ld.area")), F.lit(0.0)), page_number(_group(head, PAGE_AREA))),
             "bedrooms": F.coalesce(_none(F.col("_ld.bedrooms")), _either(head, PAGE_BEDROOMS)), "floor": F.lower(_either(head, PAGE_FLOOR)), "year_built": _group(head, PAGE_YEAR),
             "type": F.coalesce(first_match(F.lower("title"), PAGE_TYPES), first_match(F.lower(url), PAGE_TYPES)), "transaction": deal, "location": _none(F.array_join(F.array_distinct(parts), " | ")),
-            "lat": F.when(lat.isNotNull(), lat).otherwise(point["lat"]), "lon": F.when(lat.isNotNull(), lon).otherwise(point["lon"]), "image": meta(html, "og:image"), "_days": days,
+            "lat": F.when(lat.isNotNull(), lat).otherwise(point["lat"]), "lon": F.when(lat.isNotNull(), lon).otherwise(point["lon"]), "image": meta(html, "og:image"),
         }
     )
-    return p.select("*", F.col("_days.published").alias("date_published"), F.col("_days.updated").alias("date_updated"), F.col("_days.source").alias("date_source")).drop("_text", "_cells", "_ld", "_days")
+    return p.select("*", F.col("_days.published").alias("date_published"), F.col("_days.updated").alias("date_updated"), F.col("_days.source").alias("date_source")).drop("_text", "_cells", "_ld", "_head", "_point", "_days")
 
 
 def is_sold(title: Column) -> Column:

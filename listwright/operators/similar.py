@@ -14,9 +14,11 @@ from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from listwright.functions.geo import KM_DEGREE, LON_SCALE
-from listwright.sources.shared import written
+from listwright.sources.shared import once, written
 
 # Candidates lie within the radius, their sizes within the share, their texts share so much.
 RADIUS_KM, AREA_SHARE, TEXT_SHARE = 3.0, 0.15, 0.8
@@ -165,28 +167,193 @@ def sign_code(vector: Column, bits: int = 64) -> Column:
     return F.aggregate(sign, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
 
 
+#: Rows of a chunk by number (a power of two), and tokens that one task counts.
+CHUNK_BITS, COUNTED = 10, 1 << 22
+#: Counts fall into so many bins to a doubling; a token's place in the order is its bin, its part and its print.
+COUNT_BINS, PART_SHIFT, BIN_SHIFT = 8, 32, 48
+
+
+def _dealt(parts: int):
+    """Each chunk's tokens by the part that counts them: their prints, the lower 32 bits, and whose they are."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            rows, sets = batch.column(0).to_numpy(), batch.column(1)
+            tokens = sets.flatten().to_numpy().view(np.uint64)
+            owner = np.repeat(rows, sets.value_lengths().to_numpy())
+            part = ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((part, owner >> CHUNK_BITS))
+            part, owner, prints = part[order], owner[order], tokens[order].astype("<u4")
+            chunk, local = owner >> CHUNK_BITS, (owner & ((1 << CHUNK_BITS) - 1)).astype("<u2")
+            cuts = np.r_[0, np.flatnonzero((np.diff(part) != 0) | (np.diff(chunk) != 0)) + 1, len(part)] if len(part) else np.zeros(1, int)
+            runs = list(zip(cuts[:-1], cuts[1:], strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(chunk[cuts[:-1]]),
+                    pa.array([local[a:b].tobytes() for a, b in runs], pa.binary()), pa.array([prints[a:b].tobytes() for a, b in runs], pa.binary()),
+                ],
+                names=["part", "chunk", "locals", "prints"],
+            )
+
+    return run
+
+
+def _repeated(rows):
+    """A part's tokens that several rows have, each with its count's bin; those of one row link to nothing."""
+    import numpy as np
+    import pyarrow as pa
+
+    each = [np.frombuffer(x.as_buffer(), "<u4") for x in rows["prints"]]
+    _, places, n = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+    bins = np.minimum(np.floor(np.log2(n) * COUNT_BINS + 1e-9), 255).astype(np.uint8)[places]
+    out, at = [], 0
+    for part, chunk, local, prints in zip(rows["part"].to_pylist(), rows["chunk"].to_pylist(), rows["locals"], each, strict=True):
+        own = bins[at : at + len(prints)]
+        at += len(prints)
+        kept = np.flatnonzero(own)
+        if len(kept):
+            out.append((part, chunk, np.frombuffer(local.as_buffer(), "<u2")[kept].tobytes(), prints[kept].tobytes(), own[kept].tobytes()))
+    kinds = {"part": pa.int32(), "chunk": pa.int64(), "locals": pa.binary(), "prints": pa.binary(), "bins": pa.binary()}
+    return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(kinds.items())})
+
+
+def _prefixed(least: float):
+    """A chunk's rows with ``prefix_``: of each set's rarest tokens the repeated ones; ``last_``: the last one's place.
+
+    ``alone_`` tokens, which no other row has, come before them.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(rows, repeated):
+        number = rows["row_"].to_numpy() & ((1 << CHUNK_BITS) - 1)
+        sizes = rows["size_"].to_numpy().astype(np.int64)
+        of = np.full(1 << CHUNK_BITS, -1)
+        of[number] = np.arange(len(number))
+        owners, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for part, local, prints, bins in zip(repeated["part"].to_pylist(), repeated["locals"], repeated["prints"], repeated["bins"], strict=True):
+            owners.append(of[np.frombuffer(local.as_buffer(), "<u2")])
+            places.append((np.frombuffer(bins.as_buffer(), np.uint8).astype(np.int64) << BIN_SHIFT) | (part << PART_SHIFT) | np.frombuffer(prints.as_buffer(), "<u4"))
+        owner, place = np.concatenate(owners), np.concatenate(places)
+        order = np.lexsort((place, owner))
+        owner, place = owner[order], place[order]
+        n = np.bincount(owner, minlength=len(sizes))
+        # Tokens of this row alone come first in the order; what is left of the prefix are repeated ones.
+        lacks = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+        left = np.maximum(lacks - (sizes - n), 0)
+        last = np.full(len(sizes), -1)
+        some = np.flatnonzero(left)
+        last[some] = place[(np.cumsum(n) - n)[some] + left[some] - 1]
+        kept = place <= last[owner]
+        offsets = np.r_[0, np.cumsum(np.bincount(owner[kept], minlength=len(sizes)))].astype(np.int32)
+        columns = {"alone_": pa.array(sizes - n), "last_": pa.array(last)}
+        for name, values in columns.items():
+            rows = rows.append_column(name, values)
+        return rows.append_column("prefix_", pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[kept])))
+
+    return run
+
+
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """``sets`` without its sets, with the prefix of each and its last place in the order of all tokens.
+
+    Tokens are ordered by how many rows have them, in bins, and by hash. They are counted by their prints, in parts
+    of the hashes; what comes back to a chunk are the repeated ones. A print that two tokens of a part share
+    only brings more candidates, as does a count that copies raise.
+    """
+    total = sets.agg(F.sum("size_")).first()[0] or 0
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // COUNTED))
+    assert parts < 1 << (BIN_SHIFT - PART_SHIFT)
+    dealt = sets.select("row_", "set_").mapInArrow(_dealt(parts), "part int, chunk long, locals binary, prints binary")
+    repeated = dealt.repartition(parts, "part").groupBy("part").applyInArrow(_repeated, "part int, chunk long, locals binary, prints binary, bins binary")
+    rows = sets.drop("set_")
+    schema = StructType([*rows.schema.fields, StructField("alone_", LongType()), StructField("last_", LongType()), StructField("prefix_", ArrayType(LongType()))])
+    chunk = F.shiftright("row_", CHUNK_BITS).alias("chunk_")
+    return rows.groupBy(chunk).cogroup(repeated.groupBy(F.col("chunk").alias("chunk_"))).applyInArrow(_prefixed(least), schema)
+
+
+def _candidates(classes: DataFrame, least: float) -> DataFrame:
+    """(a, b): classes whose prefixes share as many tokens as two sets of the similarity must.
+
+    What the prefix that ends first shares with the other set is all in both prefixes. So no more can be
+    shared than that and the rest of its set, or what either set has behind the last token they share there.
+    """
+    listed = classes.filter("last_ >= 0").select("at_", "size_", "last_", "alone_", F.posexplode("prefix_").alias("i", "token")).withColumn("left_", F.col("size_") - F.col("alone_") - F.col("i") - 1)
+    a, b = (listed.select(F.col("at_").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("size_", "last_", "left_", "token")]) for s in "ab")
+    fits = (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9) & (F.col("a") < F.col("b"))
+    shared = a.join(b, (F.col("tokena") == F.col("tokenb")) & fits).groupBy("a", "size_a", "last_a", "b", "size_b", "last_b")
+    shared = shared.agg(F.count(F.lit(1)).alias("c"), F.min("left_a").alias("left_a"), F.min("left_b").alias("left_b"))
+    rest_a, rest_b = (F.ceil(least * F.col(f"size_{s}") - 1e-9) - 1 for s in "ab")
+    rest = F.when(F.col("last_a") < F.col("last_b"), rest_a).when(F.col("last_a") > F.col("last_b"), rest_b).otherwise(F.greatest(rest_a, rest_b))
+    return shared.filter(F.col("c") + F.least(rest, "left_a", "left_b") >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-3).select("a", "b")
+
+
+#: Sets that link to one set are compared in squares of so many by so many.
+TILE = 512
+
+
+def _overlaps(pairs, members):
+    """How alike a square's pairs are; each of its sets came once."""
+    import numpy as np
+    import pyarrow as pa
+
+    sets = members["set_"].combine_chunks()
+    ids, lengths = members["row_"].to_numpy(), sets.value_lengths().to_numpy()
+    _, tokens = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    ends = np.cumsum(lengths)
+    each = [tokens[e - n : e] for e, n in zip(ends, lengths, strict=True)]
+    by_id = np.argsort(ids)
+    at = lambda c: by_id[np.searchsorted(ids[by_id], pairs[c].to_numpy())]
+    order = np.argsort(at("a"), kind="stable")
+    a, b = at("a")[order], at("b")[order]
+    shared, has = np.zeros(len(a), np.int64), np.zeros(len(tokens), bool)
+    cuts = np.r_[0, np.flatnonzero(np.diff(a)) + 1, len(a)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        has[each[a[lo]]] = True
+        starts = np.cumsum(lengths[b[lo:hi]]) - lengths[b[lo:hi]]
+        shared[lo:hi] = np.add.reduceat(has[np.concatenate([each[k] for k in b[lo:hi]])], starts, dtype=np.int64)
+        has[each[a[lo]]] = False
+    return pa.table({"a": pa.array(ids[a]), "b": pa.array(ids[b]), "alike": pa.array(shared / (lengths[a] + lengths[b] - shared))})
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, alike): the pairs with their similarity.
+
+    Of many copies most have the same first neighbour: those are numbered together, so that a square of pairs
+    needs each of its sets once and no pair brings sets of its own.
+    """
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("row_"), F.col("b").alias("other_")), F.struct(F.col("b").alias("row_"), F.col("a").alias("other_")))).alias("e")).select("e.*")
+    first = ends.groupBy("row_").agg(F.least(F.first("row_"), F.min("other_")).alias("first_"))
+    number = F.floor((F.row_number().over(Window.partitionBy("first_").orderBy("row_")) - 1) / TILE)
+    wanted = written(first.select("row_", F.struct("first_", number.alias("no_")).alias("block_")), "wanted")
+    held = written(sets.select("row_", "set_").join(wanted.select("row_"), "row_"), "wanted-sets")
+    block = lambda s: wanted.select(F.col("row_").alias(s), F.col("block_").alias(f"block_{s}"))
+    square = F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("square_")
+    dealt = written(pairs.join(block("a"), "a").join(block("b"), "b").select(square, "a", "b"), "squares")
+    members = dealt.select(F.col("square_").alias("in_"), F.explode(F.array("a", "b")).alias("row_")).distinct().join(held, "row_")
+    return dealt.groupBy("square_").cogroup(members.groupBy("in_")).applyInArrow(_overlaps, "a long, b long, alike double")
+
+
 def set_links(df: DataFrame, key: str, tokens: str, least: float = TEXT_SHARE) -> DataFrame:
     """(key, class_id, n_links, nearest, nearest_at): rows whose sets of tokens have the Jaccard similarity; nearest_at is 1 less it.
 
     Sets so similar share one of their rarest tokens: as many as a set may lack of the other, and one more.
-    Tokens are ordered by how many sets have them, so a row is listed under few, rare ones.
+    Sets are written once and stay there: what is shuffled are short prints of tokens to be counted, those that
+    several rows have, digests, and the whole sets of classes that are compared at last, in squares.
     """
-    sets = df.select(key, F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))).alias("set_"))
-    rows = written(sets, "token-sets").filter("size(set_) > 0").withColumn("digest_", F.sha2(F.array_join("set_", ","), 256))
-    classes = written(_classes(rows, ["digest_"], key, F.any_value("set_").alias("set_")), "sets")
-    each = classes.select("id_", F.size("set_").alias("size_"), F.explode("set_").alias("token"))
-    often = each.groupBy(F.col("token").alias("t_")).agg(F.count(F.lit(1)).alias("often"))
-    order = each.join(often, F.col("token") == F.col("t_")).groupBy("id_", "size_").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("by_rarity"))
-    lacks = F.col("size_") - F.ceil(least * F.col("size_") - 1e-9).cast("int") + 1
-    listed = written(order.select("id_", "size_", F.explode(F.slice("by_rarity", F.lit(1), lacks)).alias("x")).select("id_", "size_", "x.token"), "prefixes")
-    a, b = (listed.select(F.col("id_").alias(s), F.col("size_").alias(f"size_{s}"), F.col("token").alias(f"token_{s}")) for s in "ab")
-    fits = (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, (F.col("token_a") == F.col("token_b")) & fits).select("a", "b").distinct()
-    whole = lambda s: classes.select(F.col("id_").alias(f"id_{s}"), F.col("n_").alias(f"n_{s}"), F.col("set_").alias(f"set_{s}"))
-    both = pairs.join(whole("a"), F.col("a") == F.col("id_a")).join(whole("b"), F.col("b") == F.col("id_b"))
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    alike = shared / (F.size("set_a") + F.size("set_b") - shared)
-    found = _both_ways(both.filter(alike >= least - 1e-9).select("a", "n_a", "b", "n_b", (1 - alike).alias("apart")), "apart")
+    hashed = F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))))
+    kept = once(df.select(key, tokens), {"set_": hashed}).filter("size(set_) > 0")
+    numbered = kept.select(key, F.monotonically_increasing_id().alias("row_"), F.unhex(F.sha2(F.array_join("set_", ","), 256)).alias("digest_"), F.size("set_").alias("size_"), "set_")
+    sets = written(numbered, "token-sets")
+    rows = written(_prefixes(sets, least), "prefixes")
+    classes = written(_classes(rows, ["digest_"], key, F.min("row_").alias("at_"), *[F.any_value(c).alias(c) for c in ("size_", "alone_", "last_", "prefix_")]), "set-classes")
+    pairs = written(_candidates(classes, least), "set-pairs")
+    linked = _compared(pairs, sets).filter(F.col("alike") >= least - 1e-9)
+    named = lambda s: classes.select(F.col("at_").alias(f"at_{s}"), F.col("id_").alias(f"id_{s}"), F.col("n_").alias(f"n_{s}"))
+    ends = linked.join(named("a"), F.col("a") == F.col("at_a")).join(named("b"), F.col("b") == F.col("at_b"))
+    found = _both_ways(ends.select(F.col("id_a").alias("a"), "n_a", F.col("id_b").alias("b"), "n_b", (1 - F.col("alike")).alias("apart")), "apart")
     return _for_rows(rows, ["digest_"], key, classes, found, F.lit(0.0))
 
 

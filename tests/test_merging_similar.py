@@ -115,6 +115,42 @@ def test_sets_of_the_similarity(spark):
     assert got == brute(rows, lambda x, y: 1 - jaccard(x, y) if jaccard(x, y) >= 0.8 else None, lambda x, y: x == y)
 
 
+def test_sets_stay_where_they_are_unless_they_may_link(spark, monkeypatch):
+    """Each set shares rare tokens with others, yet few can link; tokens are shuffled as prints, and few of them twice."""
+    rng = random.Random(6)
+    rows = {i: frozenset([*(f"u{i}_{k}" for k in range(88)), *(f"r{x}" for x in rng.sample(range(3000), 12))]) for i in range(600)}
+    for i in range(0, 600, 20):
+        rows[1000 + i] = frozenset([*sorted(rows[i])[: 84 + i % 14], *(f"n{i}_{k}" for k in range(6))])
+        rows[2000 + i] = rows[i]
+    rows |= {3000 + i: frozenset(f"s{x}" for x in rng.sample(range(8), rng.choice([1, 2, 5, 6]))) for i in range(60)}
+    df = spark.createDataFrame([(i, sorted(r)) for i, r in rows.items()], "id long, tokens array<string>").repartition(3)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    df.count()
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    monkeypatch.setattr(similar, "COUNTED", 5000, raising=False)
+    monkeypatch.setattr(similar, "TILE", 2, raising=False)
+    before = written()
+    got = found(similar.set_links(df, "id", "tokens"), "id")
+    moved = written() - before
+    assert got == brute(rows, lambda x, y: 1 - jaccard(x, y) if jaccard(x, y) >= 0.8 else None, lambda x, y: x == y)
+    assert sum(n > 0 for _, n, _, _ in got.values()) > 80
+    assert moved < 16 * sum(map(len, rows.values()))
+
+
+def test_many_near_copies_bring_each_set_once(spark):
+    """All of 300 sets link: 44,850 pairs, for which 300 sets are moved."""
+    rows = {i: frozenset([*(f"t{k}" for k in range(100)), *(f"u{i}_{k}" for k in range(1 + i % 10))]) for i in range(300)}
+    df = spark.createDataFrame([(i, sorted(r)) for i, r in rows.items()], "id long, tokens array<string>").repartition(3)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    df.count()
+    before = written()
+    got = found(similar.set_links(df, "id", "tokens"), "id")
+    moved = written() - before
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    assert got == brute(rows, lambda x, y: 1 - jaccard(x, y) if jaccard(x, y) >= 0.8 else None, lambda x, y: x == y)
+    assert moved < 300 * 299 / 2 * 200
+
+
 def test_codes_and_runs_of_words(spark):
     df = spark.createDataFrame([([0.5, -1.0, 0.0, 2.0], "A b  c\nd"), (None, None), ([], " x "), ([1.0], "")], "v array<double>, t string")
     assert [r[0] for r in df.select(similar.sign_code(F.col("v"), 4)).collect()] == [9, None, 0, 1]

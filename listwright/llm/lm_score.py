@@ -51,14 +51,14 @@ ROUNDS, RATE, BATCH = 1, 0.25, 12_288
 BLOCK, ADDED = 16_384, 256
 #: Logits are kept within this, so that no exponential overflows.
 LOGIT = 40
-#: Tokens of a chunk of texts, letters read at once, and distinct words of chunks that one task counts.
+#: Tokens of a chunk of texts, bytes read at once, and distinct words of chunks that one task counts.
 CHUNK, PIECE, COUNTED = 1 << 19, 1 << 20, 1 << 20
 #: Chunks that one task scores.
 TASK_CHUNKS = 8
 LEAST_PARTS = 16
 #: Counts fall into so many bins to a doubling; the names end at a bin's edge.
 BINS = 32
-_WORDS, _SPACE = re.compile(WORD), re.compile(SPACE)
+_WORDS, _SPACE = re.compile(WORD), re.compile(SPACE.encode())
 
 
 class Vocabulary(NamedTuple):
@@ -91,21 +91,21 @@ def named_token(rank: np.ndarray) -> np.ndarray:
     return (rank % CLASSES) * MEMBERS + rank // CLASSES
 
 
-def _lists(text: str) -> Iterator[list[str]]:
-    """The words of a text, in lists of a bounded part of it."""
+def _lists(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in UTF-8, in lists of a bounded part of it; what splits bytes is ASCII white space."""
     at = 0
     while len(text) - at > PIECE:
         gap = _SPACE.search(text, at + PIECE)
         cut = gap.start() if gap else len(text)
-        yield _WORDS.findall(text, at, cut)
+        yield text[at:cut].split()
         at = cut
-    yield _WORDS.findall(text, at)
+    yield text[at:].split()
 
 
 class _Places(dict):
     """Numbers of words by first appearance."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         return n
 
@@ -126,7 +126,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 33
 
     def closed(docs: list, parts: list[np.ndarray], lengths: list[int], seen: _Places) -> pa.RecordBatch:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in seen), np.uint64, len(seen))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen))
         order = np.argsort(hashes, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -140,7 +140,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             length = 0
-            for words in _lists(text.as_py() or ""):
+            for words in _lists(text.as_buffer().to_pybytes() if text.is_valid else b""):
                 if words:
                     parts.append(np.array(list(map(seen.__getitem__, words)), np.int64))
                     length += len(words)
@@ -311,17 +311,27 @@ class Network:
             n = int(np.prod(shape))
             self.parts[name] = self.flat[at : at + n].reshape(shape)
             at += n
+        self.spaces: dict[str, np.ndarray] = {}
+
+    def space(self, name: str, *shape: int) -> np.ndarray:
+        """An array to write to, kept for the next line: the system's pages for a fresh one cost more than the sums."""
+        n = int(np.prod(shape))
+        if name not in self.spaces or self.spaces[name].size < n:
+            self.spaces[name] = np.empty(n, np.float32)
+        return self.spaces[name][:n].reshape(shape)
 
     def forward(self, line: np.ndarray):
         """log p of each token of a line but its ``WINDOW`` first and last, 0 for borders; and what training needs.
 
-        Tokens are brought together by class, so that each class's output vectors are one product.
+        Tokens are brought together by class, so that each class's output vectors are one product. What
+        training needs is good until the next line.
         """
         p, n = self.parts, len(line) - 2 * WINDOW
-        around = np.take(p["embed"], line, axis=0)
-        pre = np.repeat(p["shift"][None], n, axis=0)
+        around = np.take(p["embed"], line, axis=0, out=self.space("around", len(line), WIDTH), mode="clip")
+        pre, some = self.space("pre", n, WIDTH), self.space("some", n, WIDTH)
+        pre[:] = p["shift"]
         for k, d in enumerate(_OFFSETS):
-            pre += around[WINDOW + d : WINDOW + d + n] * p["mix"][k]
+            pre += np.multiply(around[WINDOW + d : WINDOW + d + n], p["mix"][k], out=some)
         hidden = np.tanh(pre, out=pre)
         middle = line[WINDOW : WINDOW + n]
         real = np.flatnonzero(middle != BORDER)
@@ -329,11 +339,11 @@ class Network:
         order = np.argsort(kind.astype(np.uint8), kind="stable")  # a radix sort
         real, kind = real[order], kind[order]
         member, rows = middle[real] % MEMBERS, np.arange(len(real))
-        held = hidden[real]
+        held = np.take(hidden, real, axis=0, out=self.space("held", len(real), WIDTH), mode="clip")
         cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
-        a = held @ p["to_class"].T
+        a = np.matmul(held, p["to_class"].T, out=self.space("a", len(real), CLASSES))
         a += self.class_bias
-        b = np.empty((len(real), MEMBERS), np.float32)
+        b = self.space("b", len(real), MEMBERS)
         for c in range(CLASSES):
             lo, hi = cuts[c], cuts[c + 1]
             if hi > lo:
@@ -357,36 +367,45 @@ class Network:
         n = len(real)
         if not n:
             return
-        a /= sums[0][:, None] * n
-        b /= sums[1][:, None] * n
-        a[rows, kind] -= 1 / n
-        b[rows, member] -= 1 / n
-        inner = a @ p["to_class"]
-        members = np.zeros_like(p["to_member"])
+        # Rows of a and b stay times their sums; what they are multiplied with, or what comes out, is divided.
+        a[rows, kind] -= sums[0]
+        b[rows, member] -= sums[1]
+        by_class, by_member = (1 / (s[:, None] * n) for s in sums)
+        scaled, inner, inner_b = (self.space(k, n, WIDTH) for k in ("scaled", "inner", "inner_b"))
+        np.multiply(held, by_member, out=scaled)
+        members = self.space("members", CLASSES, MEMBERS, WIDTH)
+        members[:] = 0
         for c in range(CLASSES):
             lo, hi = cuts[c], cuts[c + 1]
             if hi > lo:
-                np.matmul(b[lo:hi].T, held[lo:hi], out=members[c])
-                inner[lo:hi] += b[lo:hi] @ p["to_member"][c]
-        slopes = {"to_class": a.T @ held, "to_member": members}
-        inner *= 1 - held * held
+                np.matmul(b[lo:hi].T, scaled[lo:hi], out=members[c])
+                np.matmul(b[lo:hi], p["to_member"][c], out=inner_b[lo:hi])
+        np.matmul(a, p["to_class"], out=inner)
+        inner *= by_class
+        inner += np.multiply(inner_b, by_member, out=inner_b)
+        slopes = {"to_class": (np.multiply(held, by_class, out=scaled).T @ a).T, "to_member": members}
+        np.multiply(held, held, out=scaled)
+        inner *= np.subtract(1, scaled, out=scaled)
         slopes["shift"] = inner.sum(0)
-        full = np.zeros((len(line) - 2 * WINDOW, WIDTH), np.float32)
+        full, back, some = self.space("full", len(line) - 2 * WINDOW, WIDTH), self.space("back", len(line), WIDTH), self.space("some", len(line) - 2 * WINDOW, WIDTH)
+        full[:] = back[:] = 0
         full[real] = inner
-        back = np.zeros_like(around)
         slopes["mix"] = np.empty_like(p["mix"])
         for k, d in enumerate(_OFFSETS):
             beside = slice(WINDOW + d, WINDOW + d + len(full))
-            back[beside] += full * p["mix"][k]
+            back[beside] += np.multiply(full, p["mix"][k], out=some)
             slopes["mix"][k] = np.einsum("ij,ij->j", full, around[beside])
         order = np.argsort(line.astype(np.uint16), kind="stable")
         ids, starts = np.unique(line[order], return_index=True)
-        embed = np.add.reduceat(back[order], starts, axis=0)
+        embed = np.add.reduceat(np.take(back, order, axis=0, out=around, mode="clip"), starts, axis=0)
         squares["embed"][ids] += embed * embed
         p["embed"][ids] -= rate * embed / (np.sqrt(squares["embed"][ids]) + 1e-6)
         for name, g in slopes.items():
-            squares[name] += g * g
-            p[name] -= rate * g / (np.sqrt(squares[name]) + 1e-6)
+            some = self.space(f"some {name}", *g.shape)
+            squares[name] += np.multiply(g, g, out=some)
+            np.sqrt(squares[name], out=some)
+            some += 1e-6
+            p[name] -= np.divide(np.multiply(g, rate, out=g), some, out=some)
 
 
 _OFFSETS = [d for d in range(-WINDOW, WINDOW + 1) if d]

@@ -415,3 +415,16 @@ def test_queries_cover_whole_tables(spark):
     for name in ("op1_toxicity", "op2_mixing", "op3_quality_rules", "op4_exact_dedup", "op5_lm_score", "op6_simhash", "op10_secret_scan"):
         assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() == n, name
     assert hashlib.sha256(b"").hexdigest() in {r.base_sha256 for r in registry.op10_secret_scan(spark, "/root/testdata/sf0.001").collect()}
+
+
+def test_lm_writes_to_kept_arrays_and_splits_bytes_as_the_pattern_does(monkeypatch):
+    rng = np.random.default_rng(4)
+    line = rng.integers(0, 300, 500).astype(np.int32)
+    net, fresh = lm_score.Network(), lm_score.Network()
+    first = net.forward(line)
+    logs, kept = first[0].copy(), first[1][0]
+    assert net.forward(line[:90])[1][0].base is kept.base  # a shorter line takes part of the same memory
+    assert (net.forward(line)[0] == logs).all() and (fresh.forward(line)[0] == logs).all()
+    monkeypatch.setattr(lm_score, "PIECE", 20)
+    text = "a\x0bb\x1cc \x85d e f\r\n\x0cgé 😀" * 9
+    assert [w for ws in lm_score._lists(text.encode()) for w in ws] == [w.encode() for w in lm_score._WORDS.findall(text)]

@@ -27,12 +27,14 @@ tasks; reruns of one split agree.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -47,12 +49,20 @@ HASHED = 1_024
 NAMED = TOKENS - HASHED
 BORDER = TOKENS
 ROUNDS, RATE, BATCH = 1, 0.25, 12_288
+#: Rows of a class whose logits are made, read and left at once, and rows of a line that are summed at once.
+TILE, STRETCH = 256, 256
+#: So many runs of rows are summed one by one.
+RUNS = 48
 #: Weights of a block, and tasks whose blocks one group adds up.
 BLOCK, ADDED = 16_384, 256
 #: Logits are kept within this, so that no exponential overflows.
 LOGIT = 40
 #: Tokens of a chunk of texts, bytes read at once, and distinct words of chunks that one task counts.
 CHUNK, PIECE, COUNTED = 1 << 19, 1 << 20, 1 << 20
+#: Bytes of short texts that are split together.
+RUN = 1 << 22
+#: Tokens of a line that are scored at once.
+SCORED = 1 << 16
 #: Chunks that one task scores.
 TASK_CHUNKS = 8
 LEAST_PARTS = 16
@@ -102,12 +112,32 @@ def _lists(text: bytes) -> Iterator[list[bytes]]:
     yield text[at:].split()
 
 
-class _Places(dict):
-    """Numbers of words by first appearance."""
+def _numbered(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's place among the distinct ones, and those' hashes."""
+    coded = words.dictionary_encode()
+    names = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)  # a list of its values takes far longer
+    return coded.indices.to_numpy(), np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+
+def _worded(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(words of each row, all words' places, hashes at the places) for some rows after the other; a long text is a row alone."""
+    sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy().astype(np.int64)
+    starts = np.r_[0, np.cumsum(sizes)]
+    at = 0
+    while at < len(text):
+        # Rows of a few pieces' bytes together, or one row.
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + RUN, "right")) - 1)
+        if end == at + 1 and sizes[at] > PIECE:
+            parts = [_numbered(pa.array(words, pa.binary())) for words in _lists(text[at].as_buffer().to_pybytes()) if words]
+            bases = np.cumsum([0, *[len(h) for _, h in parts]])
+            places = np.concatenate([np.empty(0, np.int64), *[x + b for (x, _), b in zip(parts, bases, strict=False)]])
+            yield np.array([len(places)]), places, np.concatenate([np.empty(0, np.uint64), *[h for _, h in parts]])
+        else:
+            split = pc.ascii_split_whitespace(text.slice(at, end - at))
+            some = pc.binary_length(split.values).to_numpy() > 0  # white space at an end leaves an empty word there
+            places, hashes = _numbered(split.values)
+            yield np.diff(np.r_[0, np.cumsum(some)][split.offsets.to_numpy()]), places[some], hashes
+        at = end
 
 
 def _stored(values: np.ndarray, n: int) -> bytes:
@@ -125,34 +155,38 @@ _CHUNKS = "chunk long, docs array<long>, lengths binary, places binary, words bi
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 33
 
-    def closed(docs: list, parts: list[np.ndarray], lengths: list[int], seen: _Places) -> pa.RecordBatch:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in seen), np.uint64, len(seen))
-        order = np.argsort(hashes, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        all_ = place[np.concatenate(parts)] if parts else np.empty(0, np.int64)
-        counts = np.bincount(all_, minlength=len(seen))
-        values = [number, docs, np.array(lengths, "<u4").tobytes(), _stored(all_, len(seen)), hashes[order].astype("<u8").tobytes(), counts.astype("<u4").tobytes()]
+    def closed(docs: list, parts: list[tuple[np.ndarray, np.ndarray]], lengths: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, place = np.unique(np.concatenate([h for _, h in parts]), return_inverse=True)
+        each = np.split(place, np.cumsum([len(h) for _, h in parts])[:-1])
+        all_ = np.concatenate([p[x] for p, (x, _) in zip(each, parts, strict=True)])
+        counts = np.bincount(all_, minlength=len(hashes))
+        kept = counts > 0  # the others are words of the next chunk
+        all_, hashes, counts = (np.cumsum(kept) - 1)[all_], hashes[kept], counts[kept]
+        values = [number, docs, np.concatenate(lengths).astype("<u4").tobytes(), _stored(all_, len(hashes)), hashes.astype("<u8").tobytes(), counts.astype("<u4").tobytes()]
         kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split(" ")[0] for x in _CHUNKS.split(", ")])
 
-    docs, parts, lengths, seen, held = [], [], [], _Places(), 0
+    docs, parts, lengths, held = [], [], [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            length = 0
-            for words in _lists(text.as_buffer().to_pybytes() if text.is_valid else b""):
-                if words:
-                    parts.append(np.array(list(map(seen.__getitem__, words)), np.int64))
-                    length += len(words)
-            docs.append(doc)
-            lengths.append(length)
-            held += length + 1
-            if held >= CHUNK:
-                yield closed(docs, parts, lengths, seen)
-                number += 1
-                docs, parts, lengths, seen, held = [], [], [], _Places(), 0
+        ids, row = batch.column(0).to_pylist(), 0
+        for n, places, hashes in _worded(batch.column(1)):
+            ends, word = np.cumsum(n + 1), 0
+            done = 0
+            while done < len(n):
+                before = int(ends[done - 1]) if done else 0
+                upto = min(int(np.searchsorted(ends, before + CHUNK - held)) + 1, len(n))
+                words = int(n[done:upto].sum())
+                docs += ids[row : row + upto - done]
+                lengths.append(n[done:upto])
+                parts.append((places[word : word + words], hashes))
+                held += int(ends[upto - 1]) - before
+                row, word, done = row + upto - done, word + words, upto
+                if held >= CHUNK:
+                    yield closed(docs, parts, lengths)
+                    number += 1
+                    docs, parts, lengths, held = [], [], [], 0
     if docs:
-        yield closed(docs, parts, lengths, seen)
+        yield closed(docs, parts, lengths)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -306,6 +340,7 @@ class Network:
         self.flat = np.array(flat, np.float32)
         self.class_bias = np.zeros(CLASSES, np.float32) if class_bias is None else class_bias
         self.member_bias = np.zeros((CLASSES, MEMBERS), np.float32) if member_bias is None else member_bias
+        self.bias_reach = max(np.abs(self.class_bias).max(), np.abs(self.member_bias).max())
         self.parts, at = {}, 0
         for name, shape in self.SHAPES:
             n = int(np.prod(shape))
@@ -315,91 +350,124 @@ class Network:
 
     def space(self, name: str, *shape: int) -> np.ndarray:
         """An array to write to, kept for the next line: the system's pages for a fresh one cost more than the sums."""
-        n = int(np.prod(shape))
+        n = math.prod(shape)
         if name not in self.spaces or self.spaces[name].size < n:
             self.spaces[name] = np.empty(n, np.float32)
         return self.spaces[name][:n].reshape(shape)
 
-    def forward(self, line: np.ndarray):
-        """log p of each token of a line but its ``WINDOW`` first and last, 0 for borders; and what training needs.
+    def _wide(self) -> np.ndarray:
+        """Each place's weights, again and again for as many rows as are summed at once."""
+        wide = self.space("wide", 2 * WINDOW, STRETCH, WIDTH)
+        wide[:] = self.parts["mix"][:, None]
+        return wide
 
-        Tokens are brought together by class, so that each class's output vectors are one product. What
-        training needs is good until the next line.
+    def _hidden(self, line: np.ndarray):
+        """A line's embeddings; the hidden rows of its inner tokens that aren't borders, brought together by class.
+
+        A one stands behind each hidden row, for the biases.
         """
         p, n = self.parts, len(line) - 2 * WINDOW
         around = np.take(p["embed"], line, axis=0, out=self.space("around", len(line), WIDTH), mode="clip")
-        pre, some = self.space("pre", n, WIDTH), self.space("some", n, WIDTH)
-        pre[:] = p["shift"]
-        for k, d in enumerate(_OFFSETS):
-            pre += np.multiply(around[WINDOW + d : WINDOW + d + n], p["mix"][k], out=some)
-        hidden = np.tanh(pre, out=pre)
+        hidden, pre, some = self.space("hidden", n, WIDTH + 1), self.space("pre", STRETCH, WIDTH), self.space("some", STRETCH, WIDTH)
+        hidden[:, WIDTH] = 1
+        mix = self._wide()
+        for lo in range(0, n, STRETCH):
+            k = min(STRETCH, n - lo)
+            x, y = pre[:k], some[:k]
+            x[:] = p["shift"]
+            for d, weight in zip(_OFFSETS, mix, strict=True):
+                x += np.multiply(around[WINDOW + d + lo : WINDOW + d + lo + k], weight[:k], out=y)
+            np.tanh(x, out=hidden[lo : lo + k, :WIDTH])
         middle = line[WINDOW : WINDOW + n]
         real = np.flatnonzero(middle != BORDER)
         kind = middle[real] // MEMBERS
         order = np.argsort(kind.astype(np.uint8), kind="stable")  # a radix sort
         real, kind = real[order], kind[order]
-        member, rows = middle[real] % MEMBERS, np.arange(len(real))
-        held = np.take(hidden, real, axis=0, out=self.space("held", len(real), WIDTH), mode="clip")
-        cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
-        a = np.matmul(held, p["to_class"].T, out=self.space("a", len(real), CLASSES))
-        a += self.class_bias
-        b = self.space("b", len(real), MEMBERS)
+        held = np.take(hidden, real, axis=0, out=self.space("held", len(real), WIDTH + 1), mode="clip")
+        return around, held, real, middle[real] % MEMBERS, np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+
+    def _tiles(self, held: np.ndarray, member: np.ndarray, cuts: list[int]):
+        """(class, from, to, places of own members' logits, vectors, logits) for some rows of one class at a time, few
+        enough for a core's cache.
+
+        The first half of vectors and logits is the classes', the other the members'; a column is a row's.
+        """
+        p = self.parts
+        vectors, z = self.space("vectors", 2, CLASSES, WIDTH + 1), self.space("z", 2 * CLASSES * TILE)
+        vectors[0, :, :WIDTH], vectors[0, :, WIDTH] = p["to_class"], self.class_bias
+        weights = self.flat[_OUT]
+        # Hidden values are within 1, so no logit is above the sum of a vector's absolute weights and its bias.
+        reach = (np.abs(weights, out=self.space("weights", len(weights))).reshape(-1, WIDTH) @ _ONES[:WIDTH]).max() + self.bias_reach
         for c in range(CLASSES):
-            lo, hi = cuts[c], cuts[c + 1]
-            if hi > lo:
-                np.matmul(held[lo:hi], p["to_member"][c].T, out=b[lo:hi])
-                b[lo:hi] += self.member_bias[c]
-        logs = np.zeros(n, np.float32)
-        sums = []
-        for z, at in ((a, kind), (b, member)):
-            np.clip(z, -LOGIT, LOGIT, out=z)
-            own = z[rows, at]
+            if cuts[c + 1] > cuts[c]:
+                vectors[1, :, :WIDTH], vectors[1, :, WIDTH] = p["to_member"][c], self.member_bias[c]
+                for lo in range(cuts[c], cuts[c + 1], TILE):
+                    hi = min(lo + TILE, cuts[c + 1])
+                    tile = z[: 2 * CLASSES * (hi - lo)].reshape(2 * CLASSES, hi - lo)
+                    np.matmul(vectors.reshape(-1, WIDTH + 1), held[lo:hi].T, out=tile)
+                    if not reach < LOGIT:
+                        np.clip(tile, -LOGIT, LOGIT, out=tile)
+                    yield c, lo, hi, (CLASSES + member[lo:hi]) * (hi - lo) + _ROWS[: hi - lo], vectors, tile
+
+    def forward(self, line: np.ndarray):
+        """log p of each token of a line but its ``WINDOW`` first and last, 0 for borders; and its embeddings.
+
+        The embeddings are good until the next line.
+        """
+        around, held, real, member, cuts = self._hidden(line)
+        own, sums = self.space("own", len(real)), self.space("sums", 2, len(real))
+        for c, lo, hi, at, _, z in self._tiles(held, member, cuts):
+            np.add(z[c], z.reshape(-1)[at], out=own[lo:hi])
             np.exp(z, out=z)
-            total = z.sum(1)
-            sums.append(total)
-            logs[real] += own - np.log(total)
-        return logs, (around, held, real, kind, member, rows, cuts, a, b, sums)
+            np.matmul(_ONES, z.reshape(2, CLASSES, -1), out=sums[:, lo:hi])
+        np.log(sums, out=sums)
+        logs = np.zeros(len(line) - 2 * WINDOW, np.float32)
+        logs[real] = own - sums[0] - sums[1]
+        return logs, (around,)
 
     def step(self, line: np.ndarray, squares: dict[str, np.ndarray], rate: float = RATE) -> None:
         """One Adagrad step on the mean negative log-likelihood of a line's inner tokens."""
         p = self.parts
-        _, (around, held, real, kind, member, rows, cuts, a, b, sums) = self.forward(line)
+        around, held, real, member, cuts = self._hidden(line)
         n = len(real)
         if not n:
             return
-        # Rows of a and b stay times their sums; what they are multiplied with, or what comes out, is divided.
-        a[rows, kind] -= sums[0]
-        b[rows, member] -= sums[1]
-        by_class, by_member = (1 / (s[:, None] * n) for s in sums)
-        scaled, inner, inner_b = (self.space(k, n, WIDTH) for k in ("scaled", "inner", "inner_b"))
-        np.multiply(held, by_member, out=scaled)
-        members = self.space("members", CLASSES, MEMBERS, WIDTH)
-        members[:] = 0
-        for c in range(CLASSES):
-            lo, hi = cuts[c], cuts[c + 1]
-            if hi > lo:
-                np.matmul(b[lo:hi].T, scaled[lo:hi], out=members[c])
-                np.matmul(b[lo:hi], p["to_member"][c], out=inner_b[lo:hi])
-        np.matmul(a, p["to_class"], out=inner)
-        inner *= by_class
-        inner += np.multiply(inner_b, by_member, out=inner_b)
-        slopes = {"to_class": (np.multiply(held, by_class, out=scaled).T @ a).T, "to_member": members}
-        np.multiply(held, held, out=scaled)
-        inner *= np.subtract(1, scaled, out=scaled)
+        inner, slope = self.space("inner", n, WIDTH), self.space("slope", 2 * CLASSES, WIDTH)
+        classes, members = self.space("classes", CLASSES, WIDTH), self.space("members", CLASSES, MEMBERS, WIDTH)
+        classes[:] = members[:] = 0
+        for c, lo, hi, at, vectors, z in self._tiles(held, member, cuts):
+            np.exp(z, out=z)
+            both = z.reshape(2, CLASSES, -1)
+            total = _ONES @ both
+            z[c] -= total[0]
+            z.reshape(-1)[at] -= total[1]
+            total *= n
+            both *= np.divide(1, total, out=total)[:, None]
+            np.matmul(z.T, vectors.reshape(-1, WIDTH + 1)[:, :WIDTH], out=inner[lo:hi])
+            np.matmul(z, held[lo:hi, :WIDTH], out=slope)
+            classes += slope[:CLASSES]
+            members[c] += slope[CLASSES:]
+        slopes = {"to_class": classes, "to_member": members}
+        curve = np.multiply(held[:, :WIDTH], held[:, :WIDTH], out=self.space("curve", n, WIDTH))
+        inner *= np.subtract(1, curve, out=curve)
         slopes["shift"] = inner.sum(0)
-        full, back, some = self.space("full", len(line) - 2 * WINDOW, WIDTH), self.space("back", len(line), WIDTH), self.space("some", len(line) - 2 * WINDOW, WIDTH)
+        full, back, some = self.space("full", len(line) - 2 * WINDOW, WIDTH), self.space("back", len(line), WIDTH), self.space("some", STRETCH, WIDTH)
         full[:] = back[:] = 0
         full[real] = inner
-        slopes["mix"] = np.empty_like(p["mix"])
-        for k, d in enumerate(_OFFSETS):
-            beside = slice(WINDOW + d, WINDOW + d + len(full))
-            back[beside] += np.multiply(full, p["mix"][k], out=some)
-            slopes["mix"][k] = np.einsum("ij,ij->j", full, around[beside])
+        mix = self._wide()
+        for lo in range(0, len(full), STRETCH):
+            x = full[lo : lo + STRETCH]
+            for d, weight in zip(_OFFSETS, mix, strict=True):
+                back[WINDOW + d + lo : WINDOW + d + lo + len(x)] += np.multiply(x, weight[: len(x)], out=some[: len(x)])
+        slopes["mix"] = np.stack([np.einsum("ij,ij->j", full, around[WINDOW + d : WINDOW + d + len(full)]) for d in _OFFSETS])
         order = np.argsort(line.astype(np.uint16), kind="stable")
-        ids, starts = np.unique(line[order], return_index=True)
-        embed = np.add.reduceat(np.take(back, order, axis=0, out=around, mode="clip"), starts, axis=0)
-        squares["embed"][ids] += embed * embed
-        p["embed"][ids] -= rate * embed / (np.sqrt(squares["embed"][ids]) + 1e-6)
+        ids, starts, many = np.unique(line[order], return_index=True, return_counts=True)
+        most = np.argsort(-many, kind="stable")
+        ids, embed = ids[most], _summed_runs(np.take(back, order, axis=0, out=around, mode="clip"), starts[most], many[most])
+        square = squares["embed"][ids]
+        square += embed * embed
+        squares["embed"][ids] = square
+        p["embed"][ids] -= rate * embed / (np.sqrt(square) + 1e-6)
         for name, g in slopes.items():
             some = self.space(f"some {name}", *g.shape)
             squares[name] += np.multiply(g, g, out=some)
@@ -408,7 +476,21 @@ class Network:
             p[name] -= np.divide(np.multiply(g, rate, out=g), some, out=some)
 
 
+def _summed_runs(rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The sums of runs of rows, the longest run first: the next row of all that have one, then what is left of a few."""
+    out, at = rows[starts], 1
+    while (longer := np.searchsorted(-lengths, -at)) > RUNS:
+        out[:longer] += rows[starts[:longer] + at]
+        at += 1
+    for k in range(longer):
+        out[k] += rows[starts[k] + at : starts[k] + lengths[k]].sum(0)
+    return out
+
+
 _OFFSETS = [d for d in range(-WINDOW, WINDOW + 1) if d]
+_ROWS, _ONES = np.arange(TILE), np.ones(CLASSES, np.float32)
+#: Where the output vectors are among the weights.
+_OUT = slice((TOKENS + 1) * WIDTH, (TOKENS + 1 + TOKENS + CLASSES) * WIDTH)
 
 
 def lined(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -420,12 +502,12 @@ def lined(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _batches(line: np.ndarray) -> Iterator[np.ndarray]:
+def _batches(line: np.ndarray, most: int = BATCH) -> Iterator[np.ndarray]:
     """Even parts of a line of up to a batch, each with the tokens around it."""
     n = len(line) - 2 * WINDOW
     if n <= 0:
         return
-    cuts = np.linspace(0, n, -(-n // BATCH) + 1).astype(int)
+    cuts = np.linspace(0, n, -(-n // most) + 1).astype(int)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         yield line[lo : hi + 2 * WINDOW]
 
@@ -489,7 +571,7 @@ def _by_text(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def line_logs(net: Network, line: np.ndarray) -> np.ndarray:
     """log p of each token of a line that isn't a border."""
-    logs = [net.forward(part)[0] for part in _batches(line)]
+    logs = [net.forward(part)[0] for part in _batches(line, SCORED)]
     inner = line[WINDOW : len(line) - WINDOW]
     return np.concatenate(logs)[inner != BORDER] if logs else np.empty(0)
 

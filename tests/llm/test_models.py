@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 import xxhash
@@ -428,3 +429,34 @@ def test_lm_writes_to_kept_arrays_and_splits_bytes_as_the_pattern_does(monkeypat
     monkeypatch.setattr(lm_score, "PIECE", 20)
     text = "a\x0bb\x1cc \x85d e f\r\n\x0cgé 😀" * 9
     assert [w for ws in lm_score._lists(text.encode()) for w in ws] == [w.encode() for w in lm_score._WORDS.findall(text)]
+
+
+@pytest.mark.parametrize("size", [0.1, 3.0])
+def test_lm_holds_no_logits_of_a_whole_line(size):
+    """Logits are made a tile at a time: one class with more rows than a tile, others with few or none, and cut ones."""
+    rng = np.random.default_rng(6)
+    bias = np.log(rng.random(lm_score.CLASSES).astype(np.float32)), np.log(rng.random((lm_score.CLASSES, lm_score.MEMBERS)).astype(np.float32))
+    net = lm_score.Network(lm_score.Network().flat + rng.normal(0, size, lm_score.Network.SIZE).astype(np.float32), *bias)
+    line = np.r_[rng.integers(0, lm_score.MEMBERS, 3_000), rng.integers(0, lm_score.TOKENS + 1, 9_000), [lm_score.BORDER] * 2].astype(np.int32)
+    logs, p = net.forward(line)[0], net.parts
+    for at in [*range(0, 3_000, 500), *range(3_000, len(logs), 700)]:
+        t = line[at + 2]
+        if t == lm_score.BORDER:
+            continue
+        h = np.tanh(p["shift"] + sum(p["embed"][line[at + 2 + d]] * w for d, w in zip((-2, -1, 1, 2), p["mix"], strict=True)))
+        a, b = p["to_class"] @ h + bias[0], p["to_member"][t // 128] @ h + bias[1][t // 128]
+        a, b = (np.clip(x, -lm_score.LOGIT, lm_score.LOGIT).astype(float) for x in (a, b))
+        assert abs(logs[at] - (a[t // 128] - np.log(np.exp(a).sum()) + b[t % 128] - np.log(np.exp(b).sum()))) < 1e-3
+    net.step(line, {k: np.full_like(v, 1e-6) for k, v in net.parts.items()})
+    assert np.isfinite(net.flat).all()
+    assert max(x.size for x in net.spaces.values()) < len(logs) * lm_score.CLASSES / 2
+
+
+def test_lm_chunks_number_words_as_python_does(monkeypatch):
+    monkeypatch.setattr(lm_score, "_lists", None)  # short texts aren't split in Python
+    texts = [None, "", " \t", "a b", "\x0bb\x1cc \x85d ", "é 😀\r\n\x0cb b", "a" * 9]
+    batch = pa.array(texts, pa.string())
+    got = []
+    for n, places, hashes in lm_score._worded(batch):
+        got += [list(x) for x in np.split(hashes[places], np.cumsum(n)[:-1])]
+    assert got == [[xxhash.xxh64_intdigest(w) for w in lm_score._WORDS.findall(t or "")] for t in texts]

@@ -31,15 +31,19 @@ def _both_ways(pairs: DataFrame, measure: str) -> DataFrame:
     return ends.groupBy("class_").agg(F.sum("n").alias("links"), F.min("near").alias("nearest"))
 
 
-def _for_rows(rows: DataFrame, on: Sequence[str], key: str, classes: DataFrame, found: DataFrame, zero: Column) -> DataFrame:
-    """Each row with its class, its links (of its own class too) and the nearest other row, the smaller key on ties."""
+def _for_rows(rows: DataFrame, on: Sequence[str], key: str, classes: DataFrame, found: DataFrame, zero: Column, again: str | None = None, first: str = "id_") -> DataFrame:
+    """Each row with its class, its links (of its own class too) and the nearest other row, the smaller key on ties.
+
+    Where ``again`` is filled, a class' rows share one key and don't link to each other; ``first`` names the class.
+    """
+    apart = F.col(again).isNotNull() if again else F.lit(False)
     named = classes.join(found, classes["id_"] == found["class_"], "left").select(
-        *[F.col(c).alias(f"{c}_k") for c in on], "id_", (F.col("n_") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "second_", "nearest"
+        *[F.col(c).alias(f"{c}_k") for c in on], "id_", F.col(first).alias("class_id"), (F.when(apart, 0).otherwise(F.col("n_") - 1) + F.coalesce("links", F.lit(0))).alias("n_links"), "second_", "nearest"
     )
     joined = rows.join(written(named, "link-classes"), [F.col(c).eqNullSafe(F.col(f"{c}_k")) for c in on])
-    own = F.when(F.col(key) != F.col("id_"), F.col("id_")).otherwise(F.col("second_"))
+    own = F.when(~apart, F.when(F.col(key) != F.col("id_"), F.col("id_")).otherwise(F.col("second_")))
     near = F.array_min(F.array(F.when(own.isNotNull(), F.struct(zero.alias("m"), own.alias("other"))), F.col("nearest")))
-    return joined.select(key, F.col("id_").alias("class_id"), "n_links", near["other"].alias("nearest"), near["m"].alias("nearest_at"))
+    return joined.select(key, "class_id", "n_links", near["other"].alias("nearest"), near["m"].alias("nearest_at"))
 
 
 def _classes(rows: DataFrame, on: Sequence[str], key: str, *more: Column) -> DataFrame:
@@ -52,24 +56,37 @@ def _classes(rows: DataFrame, on: Sequence[str], key: str, *more: Column) -> Dat
     return first.join(second, first["id_"] == second["least_"], "left").drop("least_")
 
 
-#: So many pairs of classes are compared at once in a task.
+#: So many pairs of classes, or of places, are compared at once in a task.
 BLOCK_PAIRS = 2_000_000
+#: Classes around a cell are counted in a table of places by sizes if it has so many fields at most, and so many a class.
+TABLE, TABLE_SHARE = 4_000_000, 64
+#: So many of the nearest places are looked through before a class is compared with all others.
+FIRST_PLACES = 64
+#: Classes of one place travel as lists of so many.
+LISTED = 512
 
 
-def _around(cell: Sequence[str], km: float, share: float):
+def _around(km: float, share: float):
     """Per class of a cell's own: links and the nearest of all classes in the cell and around it.
 
-    A partition's rows come sorted by cell, so one cell's rows are held at a time, as five numbers each.
+    Places and sizes that recur are counted as tables: the places within the radius times the counts of a place's
+    sizes times the sizes within the share are the links of all classes at once. Other cells' classes are compared
+    one by one, in blocks of sizes within the share. Rows of one key (``again_``) are no links of each other.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     most = np.iinfo(np.int64).max
+    fits = lambda x, y: np.abs(x - y) <= share * np.maximum(x, y)
 
-    def one(at: pd.DataFrame) -> pd.DataFrame:
-        at = at.sort_values("area_", kind="stable")
-        ids, n, lat, lon, area = (at[c].to_numpy() for c in ("id_", "n_", "lat_", "lon_", "area_"))
-        own, got, i = np.flatnonzero(at["own_"].to_numpy()), [], 0
+    def apart(y, x):
+        return np.sqrt(y * y + x * LON_SCALE * x * LON_SCALE) * KM_DEGREE
+
+    # Equal distances differ by the last digits of their points: they count to the micrometre.
+    digits = lambda far: np.floor(far * 1e9 + 0.5)
+
+    def compared(own, ids, n, again, lat, lon, area):
+        links, far, other, i = np.zeros(len(own), np.int64), np.full(len(own), np.inf), np.full(len(own), most), 0
         while i < len(own):
             # Sizes within the share of the block's first and last, a hair wider: the exact test follows.
             first = np.searchsorted(area, area[own[i]] * (1 - share) * (1 - 1e-9))
@@ -78,38 +95,85 @@ def _around(cell: Sequence[str], km: float, share: float):
             while j - i > 1 and (j - i) * reach(j - 1) > 2 * BLOCK_PAIRS:
                 j = i + (j - i) // 2
             a, b = own[i:j, None], np.arange(first, first + reach(j - 1))[None]
-            y, x = lat[a] - lat[b], lon[a] - lon[b]
-            apart = np.sqrt(y * y + x * LON_SCALE * x * LON_SCALE) * KM_DEGREE
-            linked = (apart <= km) & (np.abs(area[a] - area[b]) <= share * np.maximum(area[a], area[b])) & (a != b)
-            # Equal distances differ by the last digits of their points: they count to the micrometre.
-            far = np.where(linked, np.floor(apart * 1e9 + 0.5), np.inf)
-            least = far.min(axis=1)
-            other = np.where(linked & (far == least[:, None]), ids[b], most).min(axis=1)
-            got.append(pd.DataFrame({"class_": ids[own[i:j]], "links": np.where(linked, n[b], 0).sum(axis=1), "m": least / 1e9, "other": other}))
+            between = apart(lat[a] - lat[b], lon[a] - lon[b])
+            linked = (between <= km) & fits(area[a], area[b]) & (a != b) & ~(again[a] & again[b] & (ids[a] == ids[b]))
+            at = np.where(linked, digits(between), np.inf)
+            links[i:j], far[i:j] = np.where(linked, n[b], 0).sum(axis=1), at.min(axis=1)
+            other[i:j] = np.where(linked & (at == far[i:j, None]), ids[b], most).min(axis=1)
             i = j
-        return pd.concat(got)
-
-    def run(frames):
-        held = []
-        for frame in frames:
-            if not len(frame):
-                continue
-            held.append(frame)
-            last = frame.iloc[-1]
-            open_ = np.logical_and.reduce([frame[c].to_numpy() == last[c] for c in cell])
-            if open_.all() and (len(held) == 1 or all(held[0].iloc[-1][c] == last[c] for c in cell)):
-                continue
-            whole = pd.concat([*held[:-1], frame[~open_]])
-            held = [frame[open_]]
-            yield from parts(whole)
-        if held:
-            yield from parts(pd.concat(held))
-
-    def parts(rows: pd.DataFrame):
-        for _, at in rows.groupby(list(cell), sort=False):
-            if at["own_"].any():
-                found = one(at)
-                yield found[found["links"] > 0]
+        return links, far, other
+
+    def counted(own, ids, n, again, at, sizes, places, ys, xs):
+        """The same by tables, of classes that aren't ``again``; and which of them must be compared."""
+        size = np.unique(sizes)
+        of = np.searchsorted(size, sizes)
+        field, whole = at * len(size) + of, places * len(size)
+        table = np.bincount(field, weights=n, minlength=whole).reshape(places, -1)
+        within = fits(size[:, None], size[None])
+        least, twice = np.full(whole, most), np.full(whole, most)
+        np.minimum.at(least, field, ids)
+        np.minimum.at(twice, field[again], ids[again])
+        least, twice = least.reshape(places, -1), twice.reshape(places, -1)
+        others = np.stack([least[:, within[:, k] & (np.arange(len(size)) != k)].min(axis=1, initial=most) for k in range(len(size))], axis=1)
+        any_ = np.minimum(least, others)
+        links, far, other, left = np.zeros(len(own), np.int64), np.full(len(own), np.inf), np.full(len(own), most), np.zeros(len(own), bool)
+        order = np.argsort(at[own], kind="stable")
+        here, starts = np.unique(at[own][order], return_index=True)
+        starts = np.r_[starts, len(own)]
+        step, nearby = max(1, BLOCK_PAIRS // places), min(FIRST_PLACES, places)
+        for lo in range(0, len(here), step):
+            block = here[lo : lo + step]
+            mine = order[starts[lo] : starts[min(lo + step, len(here))]]
+            row, k = np.searchsorted(block, at[own[mine]]), of[own[mine]]
+            between = apart(ys[block, None] - ys[None], xs[block, None] - xs[None])
+            inside = between <= km
+            links[mine] = ((inside.astype(float) @ table) @ within)[row, k] - n[own[mine]]
+            steps = np.where(inside, digits(between), np.inf)
+            steps[np.arange(len(block)), block] = -1  # its own place comes first
+            near = np.argpartition(steps, nearby - 1, axis=1)[:, :nearby]
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(steps, near, axis=1), axis=1), axis=1)
+            distance = np.take_along_axis(steps, near, axis=1)
+            best = np.minimum(others[block[row], k], twice[block[row], k])
+            reached = np.where(best < most, 0.0, np.inf)
+            going = np.flatnonzero(links[mine] > 0)
+            for i in range(1, nearby):
+                going = going[distance[row[going], i] <= reached[going]]
+                going = going[distance[row[going], i] < np.inf]
+                if not len(going):
+                    break
+                found, to = any_[near[row[going], i], k[going]], distance[row[going], i]
+                hit = found < most
+                best[going[hit]] = np.minimum(best[going[hit]], found[hit])
+                reached[going[hit]] = to[hit]
+            far[mine], other[mine] = reached, best
+            if nearby < places:  # as far as the last one looked at, there may be more
+                left[mine[going]] = True
+        return links, far, other, left
+
+    def run(rows):
+        lists, numbers = rows["listed_"].combine_chunks(), {}
+        owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        values = lists.flatten()
+        for c in ("area_", "id_", "n_", "again_"):
+            numbers[c] = values.field(c).to_numpy(zero_copy_only=False)
+        order = np.argsort(numbers["area_"], kind="stable")
+        area, ids, n, again = (numbers[c][order] for c in ("area_", "id_", "n_", "again_"))
+        owner = owner[order]
+        lat, lon = (rows[c].to_numpy() for c in ("lat_", "lon_"))
+        own = np.flatnonzero(rows["own_"].to_numpy()[owner])
+        links, far, other, left = np.zeros(len(own), np.int64), np.full(len(own), np.inf), np.full(len(own), most), np.ones(len(own), bool)
+        if len(own):
+            points, at = np.unique(np.stack([lat, lon], axis=1), axis=0, return_inverse=True)
+            fields, sizes = len(points) * len(np.unique(area)), len(np.unique(area))
+            if fields <= min(TABLE, TABLE_SHARE * len(ids)) and sizes * sizes <= TABLE:
+                plain = np.flatnonzero(~again[own])
+                links[plain], far[plain], other[plain], left[plain] = counted(own[plain], ids, n, again, at.ravel()[owner], area, len(points), points[:, 0], points[:, 1])
+            if left.any():
+                links[left], far[left], other[left] = compared(own[left], ids, n, again, lat[owner], lon[owner], area)
+        # Rows of one key count together: each brings its class' links.
+        links = np.where(again[own], links * n[own], links)
+        some = links > 0
+        return pa.table({"class_": ids[own[some]], "links": links[some], "m": far[some] / 1e9, "other": other[some]})
 
     return run
 
@@ -117,23 +181,38 @@ def _around(cell: Sequence[str], km: float, share: float):
 def radius_links(df: DataFrame, keys: Sequence[str], key: str = "ord", lat: str = "lat", lon: str = "lon", area: str = "area_m2", km: float = RADIUS_KM, share: float = AREA_SHARE) -> DataFrame:
     """(key, class_id, n_links, nearest, nearest_at): rows alike in ``keys``, within the radius, sizes within the share; the key is a long.
 
-    A row's class is in one cell of the radius' size and sent to the eight around it, so a cell's own classes
-    meet all that they link to in one place. Pairs are added up there, in blocks of sizes within the share, and
-    are never rows: what leaves a cell is a row a class.
+    A place's classes are in one cell of the radius' size and sent to the eight around it, so a cell's own classes
+    meet all that they link to in one place. Pairs are added up there and are never rows: what leaves a cell is a
+    row a class. Rows that share a key are one end of links, which has the links of all of them.
     """
     on = [*keys, lat, lon, area]
-    rows = df.select(key, *on).dropna().filter(F.col(area) > 0)
+    rows = written(df.select(key, *on).dropna().filter(F.col(area) > 0), "link-rows")
+    again = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(key).alias("again_")), "keys-again")
+    some = bool(again.head(1))
+    rows = rows.join(again, F.col(key) == F.col("again_"), "left")
     dy, dx = (km * (1 + 1e-9) / degree for degree in (KM_DEGREE, KM_DEGREE * LON_SCALE))
     at = lambda v, step: F.floor(v / step).cast("long")
-    classes = written(_classes(rows, on, key), "places")
+    classes = written(_classes(rows, [*on, "again_"], key), "places")
     offsets = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in product((-1, 0, 1), repeat=2)])
-    cell = [*[f"k{i}_" for i in range(len(keys))], "cy_", "cx_"]
-    sent = classes.select(
-        *[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)], "id_", "n_", *[F.col(c).cast("double").alias(n) for c, n in ((lat, "lat_"), (lon, "lon_"), (area, "area_"))], F.explode(offsets).alias("o")
-    ).select("*", (at(F.col("lat_"), dy) + F.col("o.y")).alias("cy_"), (at(F.col("lon_"), dx) + F.col("o.x")).alias("cx_"), ((F.col("o.y") == 0) & (F.col("o.x") == 0)).alias("own_")).drop("o")
-    near = sent.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(_around(cell, km, share), "class_ long, links long, m double, other long")
+    kinds = [f"k{i}_" for i in range(len(keys))]
+    cell = [*kinds, "cy_", "cx_"]
+    values = classes.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, kinds, strict=True)], *[F.col(c).cast("double").alias(n) for c, n in ((lat, "lat_"), (lon, "lon_"))],
+        F.struct(F.col(area).cast("double").alias("area_"), F.col("id_"), F.col("n_"), F.col("again_").isNotNull().alias("again_")).alias("v_"),
+    )
+    point = [*kinds, "lat_", "lon_"]
+    dealt = values.withColumn("part_", F.floor((F.row_number().over(Window.partitionBy(*point).orderBy("v_.area_")) - 1) / LISTED))
+    lists = dealt.groupBy(*point, "part_").agg(F.collect_list("v_").alias("listed_"))
+    sent = lists.select("*", F.explode(offsets).alias("o")).select(
+        *kinds, "lat_", "lon_", "listed_", (at(F.col("lat_"), dy) + F.col("o.y")).alias("cy_"), (at(F.col("lon_"), dx) + F.col("o.x")).alias("cx_"), ((F.col("o.y") == 0) & (F.col("o.x") == 0)).alias("own_")
+    )
+    near = sent.groupBy(*cell).applyInArrow(_around(km, share), "class_ long, links long, m double, other long")
     found = near.select("class_", "links", F.struct("m", "other").alias("nearest"))
-    return _for_rows(rows, on, key, classes, found, F.lit(0.0))
+    if not some:
+        return _for_rows(rows, on, key, classes, found, F.lit(0.0))
+    found = found.groupBy("class_").agg(F.sum("links").alias("links"), F.min("nearest").alias("nearest"))
+    least = F.min("id_").over(Window.partitionBy(*on))
+    return _for_rows(rows, [*on, "again_"], key, classes.withColumn("first_", least), found, F.lit(0.0), again="again_", first="first_")
 
 
 def near_masks(width: int, most: int) -> list[int]:

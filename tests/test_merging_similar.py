@@ -156,3 +156,26 @@ def test_codes_and_runs_of_words(spark):
     assert [r[0] for r in df.select(similar.sign_code(F.col("v"), 4)).collect()] == [9, None, 0, 1]
     assert [r[0] for r in df.select(similar.shingles(F.col("t"))).collect()] == [["a b c", "b c d"], None, ["x"], None]
     assert Counter(bin(m).count("1") for m in similar.near_masks(16, 2)) == {0: 1, 1: 16, 2: 120}
+
+
+@pytest.mark.parametrize("table", [similar.TABLE, 0])
+def test_rows_of_one_key_are_one_end_of_links(spark, monkeypatch, table):
+    """Some keys have several rows, at one place or at several; what can be counted by tables, and what can't."""
+    monkeypatch.setattr(similar, "TABLE", table)
+    monkeypatch.setattr(similar, "FIRST_PLACES", 3)
+    rng = random.Random(11)
+    rows = [(i if i % 7 else i // 14 * 14, i % 2, 38 + rng.randrange(40) / 500, 23 + rng.randrange(40) / 500, float(rng.choice((20, 22, 25, 40, 44, 60)))) for i in range(400)]
+    rows += [rows[0], (rows[7][0], *rows[8][1:])]
+    km = lambda x, y: math.hypot(x[2] - y[2], (x[3] - y[3]) * 0.76) * 111
+    ends = {}
+    for x in rows:
+        for y in rows:
+            if x[0] != y[0] and x[1] == y[1] and km(x, y) <= 3 and abs(x[4] - y[4]) <= 0.15 * max(x[4], y[4]):
+                ends.setdefault(x[0], []).append((round(km(x, y), 6), y[0]))
+    expected = []
+    for x in rows:
+        near = sorted(ends.get(x[0], []))
+        expected.append((x[0], min(y[0] for y in rows if y[1:] == x[1:]), len(near), *((near[0][1], near[0][0]) if near else (-1, -1.0))))
+    df = spark.createDataFrame(rows, "ord long, kind int, lat double, lon double, area_m2 double")
+    got = [(r.ord, r.class_id, r.n_links, *((r.nearest, round(r.nearest_at, 6)) if r.nearest is not None else (-1, -1.0))) for r in similar.radius_links(df, ["kind"]).collect()]
+    assert sorted(got) == sorted(expected)
